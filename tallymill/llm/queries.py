@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_count, language_mix, mixing, personal_data, transport_stream
-from .sql import MIX_SQL
+from . import bpe_count, jaccard_join, language_mix, line_dedup, mixing, personal_data, transport_stream
+from .sql import LINES_SQL, MIX_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,10 +21,18 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op5_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport_stream.digest(transport_stream.demux(transport_stream.mux(table(spark, sf_dir, "documents"))))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.find(table(spark, sf_dir, "documents"))
 
@@ -46,10 +54,12 @@ def op10_language_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_mix_sources": op2_mix_sources,
+    "op3_line_dedup": op3_line_dedup,
     "op5_transport_stream": op5_transport_stream,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_personal_data": op7_personal_data,
     "op8_token_count": op8_token_count,
     "op10_language_mix": op10_language_mix,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_mix_sources": MIX_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_mix_sources": MIX_SQL, "op3_line_dedup": LINES_SQL}

@@ -41,3 +41,21 @@ SELECT *, epochs * n_tokens + prefix_tokens AS taken_tokens FROM taken WHERE epo
 
 
 MIX_SQL = mix_sql()
+
+
+def lines_sql(documents: str = "documents") -> str:
+    """Line deduplication: equal words, or one word replaced, inserted or deleted, against any earlier line."""
+    return rf"""WITH line AS (SELECT doc_id, i - 1 AS line_no, x[i] AS line, list_filter(regexp_split_to_array(x[i], '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+   FROM (SELECT doc_id, string_split(text, chr(10)) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM {documents})),
+ place AS (SELECT *, row_number() OVER (ORDER BY doc_id, line_no) AS id FROM line WHERE len(words) > 0),
+ uniq AS (SELECT words, min(id) AS id FROM place GROUP BY words),
+ variant AS (SELECT id, len(words) AS n, i, list_concat(words[1:i - 1], words[i + 1:]) AS rest FROM (SELECT *, unnest(range(1, len(words) + 1)) AS i FROM uniq WHERE len(words) >= 5)),
+ near AS (SELECT b.id FROM variant a JOIN variant b ON a.rest = b.rest AND a.i = b.i AND a.id < b.id
+   UNION SELECT greatest(v.id, u.id) FROM variant v JOIN uniq u ON v.rest = u.words AND v.n > 5 AND u.id <> v.id),
+ gone AS (SELECT p.doc_id, p.line_no FROM place p JOIN uniq u USING (words) WHERE p.id <> u.id OR u.id IN (SELECT id FROM near)),
+ dropped AS (SELECT l.doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(g.doc_id) AS BIGINT) AS n_dropped,
+   string_agg(l.line, chr(10) ORDER BY l.line_no) FILTER (g.doc_id IS NULL) AS text FROM line l LEFT JOIN gone g USING (doc_id, line_no) GROUP BY l.doc_id)
+SELECT doc_id, n_lines, n_dropped, CASE WHEN n_dropped = 0 OR regexp_matches(text, '[^\x20\x09-\x0D]') THEN text END AS text FROM dropped"""
+
+
+LINES_SQL = lines_sql()
