@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_count, jaccard_join, language_mix, line_dedup, mixing, personal_data, transport_stream
+from . import bpe_count, decontamination, jaccard_join, language_mix, line_dedup, mixing, personal_data, quality, transport_stream
 from .sql import LINES_SQL, MIX_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -25,6 +29,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), table(spark, sf_dir, "pages"))
+
+
 def op5_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport_stream.digest(transport_stream.demux(transport_stream.mux(table(spark, sf_dir, "documents"))))
 
@@ -53,8 +61,10 @@ def op10_language_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_decontamination": op1_decontamination,
     "op2_mix_sources": op2_mix_sources,
     "op3_line_dedup": op3_line_dedup,
+    "op4_quality": op4_quality,
     "op5_transport_stream": op5_transport_stream,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_personal_data": op7_personal_data,
