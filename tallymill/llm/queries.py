@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_count, decontamination, jaccard_join, language_mix, line_dedup, mixing, personal_data, quality, transport_stream
+from . import bpe_count, decontamination, jaccard_join, language_mix, language_model, line_dedup, mixing, personal_data, quality, transport_stream
 from .sql import LINES_SQL, MIX_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,10 @@ def op8_token_count(spark: SparkSession, sf_dir: str, vocabulary: str | None = N
     return bpe_count.count_tokens(table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.train_and_score(table(spark, sf_dir, "documents"))
+
+
 def op10_language_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     langs, loglike = language_mix.train(docs.where(language_mix.remainder(4) != 2))
@@ -69,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "op6_jaccard_join": op6_jaccard_join,
     "op7_personal_data": op7_personal_data,
     "op8_token_count": op8_token_count,
+    "op9_language_model": op9_language_model,
     "op10_language_mix": op10_language_mix,
 }
 
