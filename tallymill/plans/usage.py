@@ -1,4 +1,131 @@
-"""Token usage and billing rollups."""
+"""Token usage and billing queries."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tallymill.functions.text import normalise_model_name
+from tallymill.operators import usage as u
+
+from .standins import MESSAGES_SQL, PRICES_SQL, messages, prices, table
+
+
+def _usage(spark, sf):
+    return u.priced(u.daily_usage(messages(spark, sf)), prices(spark))
+
+
+_NORMAL = "regexp_replace(regexp_replace(regexp_replace({c}, '-?[0-9]{{4}}-?[0-9]{{2}}-?[0-9]{{2}}', '', 'g'), '-[0-9]{{4}}$', ''), '-+$', '')"
+_MONEY = "coalesce(CAST({t} AS DECIMAL(18,0)) * {p} * CAST(0.000001 AS DECIMAL(7,6)), 0)"
+_I, _O = _MONEY.format(t="total_input_tokens", p="input_price"), _MONEY.format(t="total_output_tokens", p="output_price")
+USAGE_SQL = f"""{MESSAGES_SQL}, {PRICES_SQL}, daily AS (SELECT tenant_id, model_used AS model_name, CAST(created_at AS DATE) AS usage_date, CAST(coalesce(sum(input_tokens), 0) AS BIGINT) AS total_input_tokens,
+ CAST(coalesce(sum(output_tokens), 0) AS BIGINT) AS total_output_tokens, CAST(coalesce(sum(total_tokens), 0) AS BIGINT) AS total_tokens, count(id) AS message_count FROM msg
+ WHERE role = 'assistant' AND model_used IS NOT NULL AND total_tokens IS NOT NULL AND created_at < date_trunc('day', created_at) + INTERVAL '23:59:59.999999' GROUP BY ALL),
+ usage AS (SELECT daily.*, CAST({_I} AS DECIMAL(12,6)) AS input_token_cost, CAST({_O} AS DECIMAL(12,6)) AS output_token_cost, CAST({_I} + {_O} AS DECIMAL(12,6)) AS total_cost
+ FROM daily LEFT JOIN price ON {_NORMAL.format(c='model_name')} = name)"""
+_SUM = ", ".join(
+    [f"CAST(sum({c}) AS BIGINT) AS {c}" for c in u.TOKENS] + [f"CAST(sum({c}) AS DECIMAL(18,6)) AS {c}" for c in u.COSTS]
+)
+BILLING_SQL = f"""{USAGE_SQL}, bill AS (SELECT tenant_id, model_name, CAST(date_trunc('month', usage_date) AS DATE) AS period_start, {_SUM},
+ round(avg(CAST(input_token_cost AS DOUBLE) / nullif(total_input_tokens, 0) * 1000000), 6) AS avg_input_price,
+ round(avg(CAST(output_token_cost AS DOUBLE) / nullif(total_output_tokens, 0) * 1000000), 6) AS avg_output_price,
+ last_day(CAST(date_trunc('month', usage_date) AS DATE)) AS period_end, CAST(year(date_trunc('month', usage_date)) AS INT) AS billing_year, CAST(month(date_trunc('month', usage_date)) AS INT) AS billing_month
+ FROM usage GROUP BY tenant_id, model_name, date_trunc('month', usage_date))"""
+
+
+def daily_cost(spark, sf):
+    return _usage(spark, sf)
+
+
+def backfill(spark, sf):
+    m = messages(spark, sf)
+    return u.priced(u.daily_usage(m.where(u.in_days(F.col("created_at"), "2024-01-05", "2024-01-12"))), prices(spark))
+
+
+def summary(spark, sf):
+    return u.usage_summary(_usage(spark, sf).where("usage_date BETWEEN DATE'2024-01-03' AND DATE'2024-01-20'"))
+
+
+def by_model(spark, sf):
+    return u.statistics_by_model(messages(spark, sf))
+
+
+def user_stats(spark, sf):
+    m = messages(spark, sf)
+    return u.message_statistics(m, ["user_id"], m)
+
+
+def tenant_stats(spark, sf):
+    m = messages(spark, sf)
+    return u.message_statistics(m, ["tenant_id"], m)
+
+
+def upsert_replace(spark, sf):
+    """The first twenty days as stored, then days 15 to 25 from messages of even users only."""
+    old = _usage(spark, sf).where("usage_date <= DATE'2024-01-20'")
+    again = messages(spark, sf).where("user_id % 2 = 0").where(u.in_days(F.col("created_at"), "2024-01-15", "2024-01-25"))
+    return u.replace(old, u.priced(u.daily_usage(again), prices(spark)), u.KEY)
+
+
+def upsert_counts(spark, sf):
+    old = _usage(spark, sf).where("usage_date <= DATE'2024-01-20'")
+    return u.upsert_counts(old, _usage(spark, sf).where("usage_date >= DATE'2024-01-15'"), u.KEY)
+
+
+def upsert_increment(spark, sf):
+    daily = u.daily_usage(messages(spark, sf))
+    return u.increment(daily.where("usage_date <= DATE'2024-01-20'"), daily.where("usage_date >= DATE'2024-01-15'"), u.KEY, u.TOKENS)
+
+
+def monthly(spark, sf):
+    return u.monthly_billing(_usage(spark, sf))
+
+
+def monthly_summary(spark, sf):
+    return u.monthly_summary(monthly(spark, sf)).withColumn("by_model", F.to_json("by_model"))
+
+
+def yearly(spark, sf):
+    return u.yearly_summary(monthly(spark, sf))
+
+
+def model_names(spark, sf):
+    """Every priority with a date or a build appended, as names to normalise."""
+    o = table(spark, sf, "orders")
+    suffix = F.get(F.array(*map(F.lit, ("-2024-07-18", "-0125", "20240229", "", "-", "-preview"))), (F.col("o_orderkey") % 6).cast("int"))
+    raw = F.when(F.col("o_orderkey") % 97 == 0, "unknown").otherwise(F.concat("o_orderpriority", suffix))
+    return o.select(raw.alias("model"), normalise_model_name(raw).alias("normal")).groupBy("model", "normal").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _stats_sql(key: str) -> str:
+    return f"""WITH {MESSAGES_SQL}, s AS (SELECT {key}, count(*) AS n, sum(input_tokens) AS i, sum(output_tokens) AS o, sum(total_tokens) AS t,
+ string_agg(DISTINCT model_used, ',' ORDER BY model_used) AS models, count(DISTINCT user_id) AS u FROM msg WHERE role = 'assistant' GROUP BY {key})
+SELECT p.{key}, CAST(coalesce(n, 0) AS BIGINT) AS total_messages, CAST(coalesce(i, 0) AS BIGINT) AS total_input_tokens, CAST(coalesce(o, 0) AS BIGINT) AS total_output_tokens,
+ CAST(coalesce(t, 0) AS BIGINT) AS total_tokens, coalesce(round_even(t / nullif(n, 0), 2), 0) AS avg_tokens, coalesce(models, '') AS models_used, CAST(coalesce(u, 0) AS BIGINT) AS active_users
+FROM (SELECT DISTINCT {key} FROM msg) p LEFT JOIN s USING ({key})"""
+
+
+QUERIES = {
+    "usage_daily_cost": daily_cost, "backfill_range": backfill, "usage_summary_rollup": summary, "usage_by_model": by_model, "usage_user_stats": user_stats, "usage_tenant_stats": tenant_stats,
+    "usage_upsert_replace": upsert_replace, "usage_upsert_counts": upsert_counts, "usage_upsert_increment": upsert_increment, "billing_monthly": monthly, "billing_month_summary": monthly_summary,
+    "billing_yearly": yearly, "normalize_model_name": model_names,
+}
+
+_RANGE = MESSAGES_SQL.replace("FROM events)", "FROM events WHERE {})")
+ORACLE_SQL = {
+    "usage_daily_cost": f"WITH {USAGE_SQL} SELECT * FROM usage",
+    "backfill_range": "WITH " + USAGE_SQL.replace("FROM events)", "FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-12 23:59:59.999999')") + " SELECT * FROM usage",
+    "usage_summary_rollup": f"WITH {USAGE_SQL} SELECT model_name, {_SUM}, CAST(grouping(model_name) AS INT) AS is_total FROM usage WHERE usage_date BETWEEN DATE '2024-01-03' AND DATE '2024-01-20' GROUP BY ROLLUP (model_name)",
+    "usage_by_model": f"WITH {MESSAGES_SQL} SELECT model_used AS model_name, count(id) AS message_count, CAST(sum(input_tokens) AS BIGINT) AS sum_input_tokens, CAST(sum(output_tokens) AS BIGINT) AS sum_output_tokens, CAST(sum(total_tokens) AS BIGINT) AS sum_total_tokens FROM msg WHERE role = 'assistant' GROUP BY model_used",
+    "usage_user_stats": _stats_sql("user_id"),
+    "usage_tenant_stats": _stats_sql("tenant_id"),
+    "usage_upsert_replace": f"""WITH {USAGE_SQL}, again AS (WITH {USAGE_SQL.replace('FROM events)', "FROM events WHERE user_id % 2 = 0 AND ts >= TIMESTAMP '2024-01-15' AND ts < TIMESTAMP '2024-01-25 23:59:59.999999')")} SELECT * FROM usage)
+SELECT * FROM again UNION ALL SELECT * FROM usage o WHERE usage_date <= DATE '2024-01-20' AND NOT EXISTS (FROM again a WHERE a.tenant_id = o.tenant_id AND a.model_name = o.model_name AND a.usage_date = o.usage_date)""",
+    "usage_upsert_counts": f"WITH {USAGE_SQL} SELECT count(*) FILTER (usage_date > DATE '2024-01-20') AS records_created, count(*) FILTER (usage_date <= DATE '2024-01-20') AS records_updated, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, CAST(sum(total_cost) AS DECIMAL(18,6)) AS total_cost FROM usage WHERE usage_date >= DATE '2024-01-15'",
+    "usage_upsert_increment": f"WITH {USAGE_SQL} SELECT tenant_id, model_name, usage_date, {', '.join(f'CASE WHEN usage_date BETWEEN DATE {chr(39)}2024-01-15{chr(39)} AND DATE {chr(39)}2024-01-20{chr(39)} THEN 2 ELSE 1 END * {c} AS {c}' for c in u.TOKENS)} FROM daily",
+    "billing_monthly": f"WITH {BILLING_SQL} SELECT * FROM bill",
+    "billing_month_summary": f"""WITH {BILLING_SQL} SELECT tenant_id, billing_year, billing_month, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, CAST(sum(total_cost) AS DECIMAL(18,6)) AS total_cost,
+ '{{' || string_agg('"' || model_name || '":' || CAST(CAST(total_cost AS DOUBLE) AS VARCHAR), ',' ORDER BY model_name) || '}}' AS by_model FROM bill GROUP BY ALL""",
+    "billing_yearly": f"WITH {BILLING_SQL} SELECT tenant_id, billing_year, billing_month, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, CAST(sum(total_cost) AS DECIMAL(18,6)) AS total_cost FROM bill GROUP BY GROUPING SETS ((tenant_id, billing_year, billing_month), (tenant_id, billing_year))",
+    "normalize_model_name": f"""WITH raw AS (SELECT CASE WHEN o_orderkey % 97 = 0 THEN 'unknown' ELSE o_orderpriority || ['-2024-07-18', '-0125', '20240229', '', '-', '-preview'][o_orderkey % 6 + 1] END AS model FROM orders)
+SELECT model, CASE WHEN model IN ('', 'unknown') THEN model ELSE {_NORMAL.format(c='model')} END AS normal, count(*) AS n FROM raw GROUP BY ALL""",
+}
