@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallymill.plans import listing, retrieval, usage
+from tallymill.plans import ingest, listing, retrieval, usage
 
-_MODULES = (usage, listing, retrieval)
+_MODULES = (usage, listing, retrieval, ingest)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
