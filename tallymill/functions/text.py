@@ -79,7 +79,7 @@ def conversation_title(content: Column, max_length: int = 50, max_words: int = 7
     cut = F.left(title, F.lit(max_length))
     cut = F.when(F.contains(cut, F.lit(" ")), F.regexp_replace(cut, r" [^ ]*$", "")).otherwise(cut)
     title = F.when(F.length(title) > max_length, cut).otherwise(title)
-    return F.when(F.length(title) < F.length(clean), F.concat(title, F.lit("..."))).otherwise(title)
+    return F.when(content.isNull(), None).when(F.length(title) < F.length(clean), F.concat(title, F.lit("..."))).otherwise(title)
 
 
 def snippet(c: Column, limit: int, mark: str) -> Column:
