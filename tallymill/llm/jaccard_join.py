@@ -78,13 +78,13 @@ def profile(docs: DataFrame, width: int) -> DataFrame:
                 h, c = h[c > 1].view(np.int64), c[c > 1]
                 held, size = [], 0
                 seen.clear()
-                yield pa.RecordBatch.from_arrays([pa.array([False] * len(h)), pa.nulls(len(h), pa.int64()), pa.array(c.astype(np.int64)), pa.array(h), pa.nulls(len(h), pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([pa.array([False] * len(h), pa.bool_()), pa.nulls(len(h), pa.int64()), pa.array(c.astype(np.int64)), pa.array(h), pa.nulls(len(h), pa.int64())], names)
 
         def out():
             nonlocal rows
             cols = list(zip(*rows, strict=True))
             rows = []
-            yield pa.RecordBatch.from_arrays([pa.array([True] * len(cols[0])), *(pa.array(c, pa.int64()) for c in cols)], names)
+            yield pa.RecordBatch.from_arrays([pa.array([True] * len(cols[0]), pa.bool_()), *(pa.array(c, pa.int64()) for c in cols)], names)
 
         for batch, k, s in _text_sets(batches, width):
             f1, f2 = int(s.sum(dtype=np.uint64)), int(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64))
