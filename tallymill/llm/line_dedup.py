@@ -34,31 +34,36 @@ _SPACE = r"[\x20\x09-\x0D]+"
 POS = ["doc_id", "row_key", "line_no"]
 
 
-def words_of(line: Column) -> Column:
-    return F.filter(F.split(line, _SPACE), lambda w: w != "")
+def folded(line: Column) -> Column:
+    """The line's words with one space between; lines that are so already are not taken apart."""
+    odd = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    for c in ("  ", "\t", "\r", "\x0b", "\x0c"):
+        odd = odd | F.contains(line, F.lit(c))
+    return F.when(odd, F.array_join(F.filter(F.split(line, _SPACE), lambda w: w != ""), " ")).otherwise(line)
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, row_key, line_no, words of every line that is not blank."""
-    rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("row_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return rows.withColumn("words", words_of(F.col("line"))).where(F.size("words") > 0).drop("line")
+def raw_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, row_key, line_no and line of every line."""
+    rows = docs.where("doc_id is not null and text is not null")
+    return rows.select("doc_id", F.xxhash64("text").alias("row_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def _halves(n: Column, words: Column) -> Column:
-    """Hashes of the first and last halves that a line shares with any line one word away."""
-
-    def pair(m: Column) -> list[Column]:
-        return [F.xxhash64(F.lit("first"), m, F.slice(words, F.lit(1), m)), F.xxhash64(F.lit("last"), m, F.slice(words, n - m + 1, m))]
-
-    m = F.floor(n / 2).cast("int")
-    longer = F.floor((n - 1) / 2).cast("int")
-    return F.when(n >= MIN_WORDS, F.when(longer == m, F.array(*pair(m))).otherwise(F.array(*pair(m), *pair(longer))))
+def hashed_lines(docs: DataFrame) -> DataFrame:
+    """Lines with their words folded and two hashes of these; blank lines have neither part in anything."""
+    lines = raw_lines(docs).withColumn("norm", folded(F.col("line"))).drop("line")
+    return lines.withColumns({"h1": F.xxhash64("norm"), "h2": F.hash("norm")})
 
 
 def distinct_lines(docs: DataFrame) -> DataFrame:
-    """Each distinct line's hashes, word count, first place, number of occurrences and half hashes."""
-    lines = lines_of(docs).select("*", F.size("words").alias("n"), F.xxhash64("words").alias("h1"), F.hash("words").alias("h2"))
-    lines = lines.select("h1", "h2", "n", F.struct(*POS).alias("at"), _halves(F.col("n"), F.col("words")).alias("halves"))
+    """Each distinct line's hashes, word count, first place, number of occurrences and the hashes of its halves.
+
+    The halves are those that a line shares with any line one word away.
+    """
+    n = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
+    lines = hashed_lines(docs).where(F.col("h1") != F.xxhash64(F.lit(""))).withColumn("n", n)
+    half = lambda m: f"xxhash64('first', {m}, substring_index(norm, ' ', {m})), xxhash64('last', {m}, substring_index(norm, ' ', -({m})))"
+    halves = F.expr(f"CASE WHEN n < {MIN_WORDS} THEN NULL WHEN n % 2 = 1 THEN array({half('n div 2')}) ELSE array({half('n div 2')}, {half('n div 2 - 1')}) END")
+    lines = lines.select("h1", "h2", "n", F.struct(*POS).alias("at"), halves.alias("halves"))
     return lines.groupBy("h1", "h2", "n").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("times"), F.first("halves").alias("halves"))
 
 
@@ -94,9 +99,10 @@ def near_duplicates(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """First places of lines that have an earlier near duplicate."""
     wanted = written(sieve(lines), "sieve")
     few = wanted.count() <= BROADCAST_LINES
-    texts = lines_of(docs).join(F.broadcast(wanted) if few else wanted, POS).dropDuplicates(POS)
+    texts = raw_lines(docs).join(F.broadcast(wanted) if few else wanted, POS).dropDuplicates(POS)
     ordered = texts.repartitionByRange(*POS).sortWithinPartitions(*POS)
-    cands = written(ordered.select(F.monotonically_increasing_id().alias("id"), *POS, "words"), "lines")
+    words = F.split(folded(F.col("line")), " ")
+    cands = written(ordered.select(F.monotonically_increasing_id().alias("id"), *POS, words.alias("words")), "lines")
 
     v = written(variants(cands), "variants")
     same = v.where("place > 0").groupBy("key", "place").agg(F.min("id").alias("other"), F.max("id").alias("last")).where("other < last")
@@ -117,34 +123,35 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     lines = written(distinct_lines(docs), "distinct-lines")
     near = written(near_duplicates(docs, lines), "near-lines").withColumn("near", F.lit(True))
-    flat = lines.select("h1", "h2", "n", "first.*", "times")
+    flat = lines.select("h1", "h2", "first.*", "times")
     repeated = flat.join(near, POS, "left").where("times > 1 or near")
-    repeated = repeated.select("h1", "h2", "n", F.struct(*POS).alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
-    each = lines_of(docs).select(*POS, F.size("words").alias("n"), F.xxhash64("words").alias("h1"), F.hash("words").alias("h2"))
-    gone = each.join(repeated, ["h1", "h2", "n"]).where(F.col("near") | (F.struct(*POS) != F.col("first")))
+    repeated = repeated.select("h1", "h2", F.struct(*POS).alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
+    each = hashed_lines(docs).select(*POS, "h1", "h2")
+    gone = each.join(repeated, ["h1", "h2"]).where(F.col("near") | (F.struct(*POS) != F.col("first")))
     return gone.groupBy("doc_id", "row_key").agg(F.collect_set("line_no").alias("gone"))
 
 
+def without(joined: DataFrame) -> DataFrame:
+    """Adds __lines and __left, the text without the lines in __gone, to rows with a text."""
+    lines = joined.withColumn("__lines", F.split("__text", "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
+    return lines.withColumn("__left", F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("__lines", i)), "\n")))
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with its repeated lines gone."""
     gone = dropped_lines(docs).select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key"), F.col("gone").alias("__gone"))
     joined = docs.join(gone, (docs["doc_id"] == gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__key"]), "left")
-    lines = F.split(docs["text"], "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    text = F.when(F.col("__gone").isNull(), docs["text"]).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    out = joined.withColumn("__text", text).where(F.col("__gone").isNull() | F.col("__text").rlike(r"[^\x20\x09-\x0D]"))
-    columns = [F.col("__text").alias(c) if c == "text" else F.length("__text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
+    out = without(joined.withColumn("__text", docs["text"])).where(F.col("__gone").isNull() | F.col("__left").rlike(r"[^\x20\x09-\x0D]"))
+    columns = [F.col("__left").alias(c) if c == "text" else F.length("__left").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
     return out.select(*columns)
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped and the text that is left (null if nothing is) of each row."""
-    gone = dropped_lines(docs)
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("row_key"))
-    joined = rows.join(gone, ["doc_id", "row_key"], "left")
-    lines = F.split("text", "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    kept = F.when(F.col("gone").isNull() | text.rlike(r"[^\x20\x09-\x0D]"), text)
-    size = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
-    return joined.select("doc_id", size.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("text"))
+    gone = dropped_lines(docs).withColumnRenamed("gone", "__gone")
+    rows = docs.select("doc_id", F.col("text").alias("__text"), F.xxhash64("text").alias("row_key"))
+    out = without(rows.join(gone, ["doc_id", "row_key"], "left"))
+    kept = F.when(F.col("__gone").isNull() | F.col("__left").rlike(r"[^\x20\x09-\x0D]"), F.col("__left"))
+    size = F.when(F.col("__text").isNull(), 0).otherwise(F.size("__lines")).cast("long")
+    return out.select("doc_id", size.alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("text"))
