@@ -156,17 +156,27 @@ def co_train(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rou
     return models
 
 
+def sampled(rows: DataFrame, most: int):
+    """The ``most`` rows (or all) that come first by a hash of doc_id, as pandas.
+
+    Rows beyond twice the share that is wanted are filtered out before they are
+    ordered, so tasks together send about twice ``most`` rows.
+    """
+    place = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), F.col("doc_id")), 33)
+    share = min(1.0, 2 * most / max(1, rows.count()))
+    return rows.where(place <= int(share * (1 << 31))).orderBy(place, "doc_id").limit(most).toPandas()
+
+
 def score(docs: DataFrame, labels: DataFrame, pages: DataFrame | None = None, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL, threshold: float = 0.25) -> DataFrame:
     """doc_id, text_score, meta_score (calibrated), score and keep of every row of ``docs``."""
     rows = written(features(docs, pages), "quality")
     truth = labels.where("quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
-    order = F.xxhash64(F.lit("sample"), F.col("doc_id"))
-    labelled = rows.dropDuplicates(["doc_id"]).join(truth, "doc_id").orderBy(order, "doc_id").limit(max_labelled).toPandas()
+    labelled = sampled(rows.dropDuplicates(["doc_id"]).join(truth, "doc_id"), max_labelled)
     y = labelled["quality"].to_numpy(int)
     if len(set(y)) < 2:
         p = F.lit(float(y.mean()) if len(y) else 1.0)
         return rows.select("doc_id", p.alias("text_score"), p.alias("meta_score"), p.alias("score"), (p >= threshold).alias("keep"))
-    pool = rows.join(truth, "doc_id", "left_anti").orderBy(order, "doc_id").limit(max_pool).toPandas()
+    pool = sampled(rows.join(truth, "doc_id", "left_anti"), max_pool)
     test = np.arange(len(y)) % 3 == 2
     if len(set(y[test])) < 2 or len(set(y[~test])) < 2:
         test[:] = True
