@@ -153,9 +153,9 @@ def _per_shard(contexts: int, shards: int) -> int:
     return max(1, -(-contexts // shards))
 
 
-def find_grams(level: Level, context: np.ndarray, successor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def find_grams(level: Level, context: np.ndarray, successor: np.ndarray, firsts: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For sorted contexts (with their successors): number (-1 if unknown) of the n-gram, number of the context's
-    first n-gram, the n-gram's share and the context's weight for the shorter one (1 if it has no successors)."""
+    first n-gram (if ``firsts``), the n-gram's share and the context's weight for the shorter one (1 if it has no successors)."""
     n = len(context)
     number, first = np.full(n, -1, np.int64), np.zeros(n, np.int64)
     share, weight = np.zeros(n), np.ones(n)
@@ -163,11 +163,12 @@ def find_grams(level: Level, context: np.ndarray, successor: np.ndarray) -> tupl
     for k, at in _routes(level, shard_of_context(context, level)):
         keys, shares, weights = _shard(level, k, True)
         c = (context[at] - k * per).astype(np.uint64)
-        own, back = np.unique(c, return_inverse=True)
-        begin, _ = keys.successor(own * np.uint64(level.width))
-        first[at] = begin[back] + level.firsts[k]
-        code = weights[own.astype(np.int64)]
-        weight[at] = np.where(code > 0, _VALUES[code], 1.0)[back]
+        if firsts:
+            new = np.concatenate([[True], c[1:] != c[:-1]])
+            begin, _ = keys.successor(c[new] * np.uint64(level.width))
+            first[at] = begin[np.cumsum(new) - 1] + level.firsts[k]
+        code = weights[c.astype(np.int64)]
+        weight[at] = np.where(code > 0, _VALUES[code], 1.0)
         s = successor[at]
         i, known = keys.successor(c * np.uint64(level.width) + np.maximum(s, 0).astype(np.uint64))
         known &= s >= 0
@@ -191,16 +192,18 @@ class Walk:
         at = at[self.number[at - 1] >= 0]
         return at, self.number[at - 1], self.relative[at]
 
-    def step(self, level: Level) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Looks the next level up: tokens, shares and weights."""
+    def step(self, level: Level, last: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Looks the next level up: tokens, shares and weights. After the ``last`` level there is no further step."""
         at, context, successor = self.keys()
         joint = context * np.int64(level.width + 1) + successor + 1
-        order = np.argsort(joint, kind="stable")
+        order = np.argsort(joint)  # equal ones are alike
         new = np.concatenate([[True], np.diff(joint[order]) > 0]) if len(order) else np.zeros(0, bool)
         pick = order[new]
-        number, first, share, weight = find_grams(level, context[pick], successor[pick])
+        number, first, share, weight = find_grams(level, context[pick], successor[pick], not last)
         back = np.empty(len(order), np.int64)
         back[order] = np.cumsum(new) - 1
+        if last:
+            return at, share[back], weight[back]
         self.k += 1
         self.number, self.relative = np.full(len(self.word), -1, np.int64), np.full(len(self.word), -1, np.int64)
         self.number[at] = number[back]
@@ -328,7 +331,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 p = (walk.count + ADD) / (m.tokens + ADD * (m.vocabulary + 1))
                 for level in m.levels[1:]:
                     if level.n:
-                        at, share, weight = walk.step(level)
+                        at, share, weight = walk.step(level, level is m.levels[-1])
                         p[at] = share + weight * p[at]
                 start = bounds[:-1]
                 made.append((np.diff(bounds), np.add.reduceat(walk.count > 0, start, dtype=np.int64), np.add.reduceat(base, start), np.add.reduceat(np.log10(p), start)))
