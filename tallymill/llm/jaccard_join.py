@@ -44,7 +44,7 @@ EXTRA = 0.05
 #: Frequencies from which a shingle belongs to the next later part of the order.
 LEVELS = (SHORT + 1, 100, 1_000, 10_000)
 BLOCK = 256
-_WINDOW = 4_000_000
+_WINDOW = 2_000_000
 
 
 def _text_sets(batches, width):
