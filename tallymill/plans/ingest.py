@@ -10,6 +10,7 @@ from tallymill.functions import text as tx
 from tallymill.operators import chunking
 from tallymill.operators import pipeline_state as ps
 from tallymill.sources import files, pages
+from tallymill.streaming import state
 from tallymill.streaming import usage as stream
 
 from .standins import MESSAGES_SQL, documents, table
@@ -150,6 +151,20 @@ def stream_rate_limit(spark, sf):
     return stream.latest(stream.run(stream.counter("key", 3, 7200)(rows), _folder(spark)), ["key"])
 
 
+def _status_stream(spark, sf):
+    return stream.events(spark, sf).select("event_id", F.col("user_id").alias("document_id"), F.col("event_type").alias("status"), "ts")
+
+
+def stream_status(spark, sf):
+    out = stream.latest(stream.run(state.latest_status("document_id")(_status_stream(spark, sf)), _folder(spark)), ["document_id"])
+    return out.select("document_id", "status", F.timestamp_micros("updated_us").cast("timestamp_ntz").alias("updated_at"), "n_events")
+
+
+def stream_errors(spark, sf):
+    out = stream.latest(stream.run(state.last_errors("document_id", "error")(_status_stream(spark, sf)), _folder(spark)), ["document_id"])
+    return out.select("document_id", F.array_join(F.transform("events", lambda e: e.cast("string")), ",").alias("events"))
+
+
 _EV = "ev AS (SELECT event_id, user_id AS document_id, event_type AS status, ts, value FROM events)"
 _CHUNK = """RECURSIVE walk AS (SELECT doc_id, text, CAST(0 AS BIGINT) AS s, CAST(NULL AS BIGINT) AS e FROM documents UNION ALL
  SELECT doc_id, text, CASE WHEN nxt - 200 > cur THEN nxt - 200 ELSE nxt END, nxt FROM (SELECT doc_id, text, s AS cur,
@@ -167,7 +182,7 @@ QUERIES = {
     "page_documents": page_documents, "scrape_name": scrape_names, "s3_key": s3_keys, "upload_check": upload_check, "safe_filename": safe_names, "price_match": price_match,
     "pipeline_latest_status": latest_status, "pipeline_stage_map": stage_map, "pipeline_last_errors": last_errors, "pipeline_active_jobs": active_jobs, "pipeline_status_overlay": overlay,
     "rate_limit": rate_limit, "session_activity": session_batches, "stream_daily_usage": stream_daily, "stream_session_activity": stream_sessions, "stream_sliding_counts": stream_sliding,
-    "stream_distinct_events": stream_distinct, "stream_rate_limit": stream_rate_limit,
+    "stream_distinct_events": stream_distinct, "stream_rate_limit": stream_rate_limit, "stream_latest_status": stream_status, "stream_last_errors": stream_errors,
 }
 
 ORACLE_SQL = {
@@ -190,5 +205,7 @@ SELECT page_id, CASE WHEN ends_with(name, '.md') THEN name ELSE name || '.md' EN
     "stream_daily_usage": f"WITH {MESSAGES_SQL} SELECT tenant_id, model_used AS model_name, CAST(created_at AS DATE) AS usage_date, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, count(*) AS message_count FROM msg WHERE role = 'assistant' AND model_used IS NOT NULL GROUP BY ALL",
     "stream_session_activity": f"WITH {_EV}, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM ev WINDOW w AS (PARTITION BY document_id ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY document_id ORDER BY ts, event_id) AS session FROM g) SELECT document_id AS user_id, min(ts) AS first_at, count(*) AS n_events FROM s GROUP BY document_id, session HAVING max(ts) + INTERVAL 6 HOUR <= TIMESTAMP '2024-01-27'",
     "stream_sliding_counts": "SELECT time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL (h) HOUR AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events, (VALUES (0), (1)) v(h) GROUP BY 1, 2",
+    "stream_latest_status": f"WITH {_EV} SELECT document_id, arg_max(status, (ts, event_id)) AS status, max(ts) AS updated_at, count(*) AS n_events FROM ev GROUP BY 1",
+    "stream_last_errors": f"WITH {_EV}, r AS (SELECT * FROM ev WHERE status = 'error' QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY ts DESC, event_id DESC) <= 10) SELECT document_id, string_agg(event_id, ',' ORDER BY ts DESC, event_id DESC) AS events FROM r GROUP BY 1",
     "stream_distinct_events": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
 }

@@ -177,3 +177,39 @@ def test_pictures_and_context(spark):
     spans = spark.createDataFrame([("d", 1, 10.0, 1, "above"), ("d", 1, 90.0, 2, "below")], "doc string, page int, y double, seq int, text string")
     r = files.surrounding_text(i.where("image_id = 1"), spans).first()
     assert (r["text_before"], r["text_after"]) == ("above", "below")
+
+
+def test_partition_upsert(spark, tmp_path):
+    from tallymill.sources import tables
+
+    path = f"{tmp_path}/usage"
+    rows = lambda x: spark.createDataFrame(x, "tenant_id long, n long, day string")
+    tables.write_partitions(rows([(1, 1, "a"), (2, 2, "a"), (1, 3, "b")]), path, ["day"])
+    for _ in range(2):
+        tables.upsert_partitions(spark, path, rows([(1, 10, "a"), (9, 9, "c")]), ["tenant_id", "day"], "day")
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, 3, "b"), (1, 10, "a"), (2, 2, "a"), (9, 9, "c")]
+    assert tables.read_objects(spark, path, "*.parquet").count() > 0
+
+
+def test_batches_add_up_once(spark, tmp_path):
+    from tallymill.streaming.state import add_to_table
+
+    write = add_to_table(f"{tmp_path}/live", ["tenant_id", "day"], ["n"], "day")
+    rows = lambda x: spark.createDataFrame(x, "tenant_id long, n long, day string")
+    for number, batch in ((0, [(1, 1, "a")]), (1, [(1, 5, "a"), (1, 7, "b")]), (1, [(1, 5, "a"), (1, 7, "b")])):
+        write(rows(batch), number)
+    got = spark.read.parquet(f"{tmp_path}/live").select("tenant_id", "n", "day").collect()
+    assert sorted(map(tuple, got)) == [(1, 6, "a"), (1, 7, "b")]
+
+
+def test_status_stream_over_batches(spark, tmp_path):
+    from tallymill.streaming import state
+    from tallymill.streaming import usage as stream
+
+    events = spark.createDataFrame([(k, k % 3, "error" if k % 2 else "ok", 1_700_000_000 + k * 10) for k in range(60)], "event_id long, key long, status string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    for k in range(3):
+        events.where(F.floor(F.col("event_id") / 20) == k).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    rows = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    out = stream.latest(stream.run(state.latest_status("key")(rows), str(tmp_path)), ["key"])
+    expected = ps.latest_status(events.withColumn("ts", F.col("ts").cast("timestamp_ntz")), "key")
+    assert sorted((r["key"], r["status"], r["n_events"]) for r in out.collect()) == sorted((r["key"], r["status"], r["n_events"]) for r in expected.collect())
