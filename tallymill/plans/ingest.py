@@ -165,6 +165,17 @@ def stream_errors(spark, sf):
     return out.select("document_id", F.array_join(F.transform("events", lambda e: e.cast("string")), ",").alias("events"))
 
 
+def _meta(kind, name):
+    return rf"""(?is)<meta\s[^>]*{kind}\s*=\s*["'']{name}["''][^>]*content\s*=\s*["''](.*?)["'']"""
+
+
+def _found(pattern):
+    x = f"regexp_replace(regexp_extract(html, '{pattern}', 1), '<[^>]*>', '', 'g')"
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        x = f"replace({x}, '{entity}', '{char}')"
+    return rf"nullif(trim(regexp_replace({x}, '\s+', ' ', 'g')), '')"
+
+
 _EV = "ev AS (SELECT event_id, user_id AS document_id, event_type AS status, ts, value FROM events)"
 _CHUNK = """RECURSIVE walk AS (SELECT doc_id, text, CAST(0 AS BIGINT) AS s, CAST(NULL AS BIGINT) AS e FROM documents UNION ALL
  SELECT doc_id, text, CASE WHEN nxt - 200 > cur THEN nxt - 200 ELSE nxt END, nxt FROM (SELECT doc_id, text, s AS cur,
@@ -205,6 +216,14 @@ SELECT page_id, CASE WHEN ends_with(name, '.md') THEN name ELSE name || '.md' EN
     "stream_daily_usage": f"WITH {MESSAGES_SQL} SELECT tenant_id, model_used AS model_name, CAST(created_at AS DATE) AS usage_date, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, count(*) AS message_count FROM msg WHERE role = 'assistant' AND model_used IS NOT NULL GROUP BY ALL",
     "stream_session_activity": f"WITH {_EV}, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM ev WINDOW w AS (PARTITION BY document_id ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY document_id ORDER BY ts, event_id) AS session FROM g) SELECT document_id AS user_id, min(ts) AS first_at, count(*) AS n_events FROM s GROUP BY document_id, session HAVING max(ts) + INTERVAL 6 HOUR <= TIMESTAMP '2024-01-27'",
     "stream_sliding_counts": "SELECT time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL (h) HOUR AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events, (VALUES (0), (1)) v(h) GROUP BY 1, 2",
+    "html_metadata": "SELECT page_id, " + ", ".join(f"coalesce({', '.join(_found(p) for p in ps_)}, '{d}') AS {n}" for n, d, ps_ in (
+        ("title", "Untitled", ("(?is)<title[^>]*>(.*?)</title>", _meta("property", "og:title"), "(?is)<h1[^>]*>(.*?)</h1>")), ("description", "", (_meta("name", "description"), _meta("property", "og:description"))),
+        ("author", "", (_meta("name", "author"), _meta("property", "article:author"))))) + " FROM pages",
+    "safe_filename": "WITH n AS (SELECT doc_id, trim(regexp_replace(regexp_replace(strip_accents(replace(left(text, 60), 'ß', '')), '[^A-Za-z0-9_.-]', '-', 'g'), '-+', '-', 'g'), '-') AS n FROM documents) SELECT doc_id, CASE WHEN n = '' THEN 'conversation-report' ELSE n END AS name FROM n",
+    "chunk_table_rows": """WITH r AS (SELECT CAST(l_orderkey % 40 AS VARCHAR) AS path, l_orderkey * 10 + l_linenumber AS row_idx, min([CAST(l_partkey AS VARCHAR), l_returnflag || '|x', CAST(l_linenumber AS VARCHAR)]) AS c FROM lineitem WHERE l_orderkey <= 3000 GROUP BY ALL),
+ n AS (SELECT path, row_number() OVER (PARTITION BY path ORDER BY row_idx) AS n, count(*) OVER (PARTITION BY path) AS total, '| ' || c[1] || ' | ' || replace(c[2], '|', '\\|') || ' | ' || c[3] || ' |' AS line FROM r),
+ g AS (SELECT path, CAST((n - 1) // 25 AS INT) AS chunk_index, CAST(min(n) AS INT) AS row_start, CAST(max(n) AS INT) AS row_end, '## Sheet: Items' || CASE WHEN any_value(total) > 25 THEN ' (rows ' || min(n) || '–' || max(n) || ')' ELSE '' END || chr(10) || chr(10) || '| part | flag | line |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg(line, chr(10) ORDER BY n) AS chunk FROM n GROUP BY path, (n - 1) // 25)
+SELECT path, chunk_index, row_start, row_end, CAST(length(chunk) AS INT) AS n_chars, left(chunk, 40) AS head FROM g""",
     "stream_latest_status": f"WITH {_EV} SELECT document_id, arg_max(status, (ts, event_id)) AS status, max(ts) AS updated_at, count(*) AS n_events FROM ev GROUP BY 1",
     "stream_last_errors": f"WITH {_EV}, r AS (SELECT * FROM ev WHERE status = 'error' QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY ts DESC, event_id DESC) <= 10) SELECT document_id, string_agg(event_id, ',' ORDER BY ts DESC, event_id DESC) AS events FROM r GROUP BY 1",
     "stream_distinct_events": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
