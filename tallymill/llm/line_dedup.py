@@ -54,13 +54,17 @@ def hashed_lines(docs: DataFrame) -> DataFrame:
     return lines.withColumns({"h1": F.xxhash64("norm"), "h2": F.hash("norm")})
 
 
+def word_count(norm: str) -> Column:
+    """Number of words of a folded line that is not empty."""
+    return F.length(norm) - F.length(F.replace(norm, F.lit(" "), F.lit(""))) + 1
+
+
 def distinct_lines(docs: DataFrame) -> DataFrame:
     """Each distinct line's hashes, word count, first place, number of occurrences and the hashes of its halves.
 
     The halves are those that a line shares with any line one word away.
     """
-    n = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
-    lines = hashed_lines(docs).where(F.col("h1") != F.xxhash64(F.lit(""))).withColumn("n", n)
+    lines = hashed_lines(docs).where(F.col("h1") != F.xxhash64(F.lit(""))).withColumn("n", word_count("norm"))
     half = lambda m: f"xxhash64('first', {m}, substring_index(norm, ' ', {m})), xxhash64('last', {m}, substring_index(norm, ' ', -({m})))"
     halves = F.expr(f"CASE WHEN n < {MIN_WORDS} THEN NULL WHEN n % 2 = 1 THEN array({half('n div 2')}) ELSE array({half('n div 2')}, {half('n div 2 - 1')}) END")
     lines = lines.select("h1", "h2", "n", F.struct(*POS).alias("at"), halves.alias("halves"))
@@ -76,10 +80,10 @@ def sieve(lines: DataFrame) -> DataFrame:
 
 def variants(lines: DataFrame) -> DataFrame:
     """(key, place, id): the hash of the line less the word at ``place``; place 0 is the line itself."""
-    less = F.transform(
-        F.sequence(F.lit(1), F.size("words")), lambda i: F.struct(F.xxhash64(F.concat(F.slice("words", F.lit(1), i - 1), F.slice("words", i + 1, F.size("words")))).alias("key"), i.alias("place"))
+    less = F.expr(
+        "transform(sequence(1, n), i -> struct(xxhash64(concat_ws(' ', nullif(substring_index(norm, ' ', i - 1), ''), nullif(substring_index(norm, ' ', i - n), ''))) AS key, i AS place))"
     )
-    whole = F.array(F.struct(F.xxhash64("words").alias("key"), F.lit(0).alias("place")))
+    whole = F.array(F.struct(F.xxhash64("norm").alias("key"), F.lit(0).alias("place")))
     return lines.select("id", F.explode(F.concat(whole, less)).alias("v")).select("v.key", "v.place", "id")
 
 
@@ -101,8 +105,8 @@ def near_duplicates(docs: DataFrame, lines: DataFrame) -> DataFrame:
     few = wanted.count() <= BROADCAST_LINES
     texts = raw_lines(docs).join(F.broadcast(wanted) if few else wanted, POS).dropDuplicates(POS)
     ordered = texts.repartitionByRange(*POS).sortWithinPartitions(*POS)
-    words = F.split(folded(F.col("line")), " ")
-    cands = written(ordered.select(F.monotonically_increasing_id().alias("id"), *POS, words.alias("words")), "lines")
+    cands = ordered.select(F.monotonically_increasing_id().alias("id"), *POS, folded(F.col("line")).alias("norm"))
+    cands = written(cands.withColumn("n", word_count("norm")), "lines")
 
     v = written(variants(cands), "variants")
     same = v.where("place > 0").groupBy("key", "place").agg(F.min("id").alias("other"), F.max("id").alias("last")).where("other < last")
@@ -112,8 +116,8 @@ def near_duplicates(docs: DataFrame, lines: DataFrame) -> DataFrame:
     changed = v.join(cross, "key").select("id", F.when(F.col("place") == 0, F.col("less")).otherwise(F.col("whole")).alias("other")).where("id > other")
     pairs = replaced.union(changed).distinct()
 
-    a = cands.select("id", *POS, F.col("words").alias("a"))
-    b = cands.select(F.col("id").alias("other"), F.col("words").alias("b"))
+    a = cands.select("id", *POS, F.split("norm", " ").alias("a"))
+    b = cands.select(F.col("id").alias("other"), F.split("norm", " ").alias("b"))
     shorter = F.least(F.size("a"), F.size("b")) >= MIN_WORDS
     return pairs.join(a, "id").join(b, "other").where(shorter & within_one_word(F.col("a"), F.col("b"))).select(*POS).distinct()
 
