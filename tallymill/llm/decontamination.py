@@ -1,13 +1,15 @@
-"""Benchmark decontamination by spaced-seed hashing.
+"""Benchmark decontamination by seeds of a few equal tokens.
 
-A mask selects some token positions of a window; the hash of the selected tokens
-is equal wherever only ignored tokens differ. Training windows whose hash occurs
-among the benchmark's, under any of the masks, are hits. Around each hit the
-training text and the item are laid over each other on the hit's diagonal, and the
-best run is taken, in which a differing token costs as much as four equal ones
-gain: at least 80 % of it agrees. An item leaks when the run has ``min_tokens``
-equal tokens, or 80 % of the item if that is less. Items shorter than a window are
-looked up by the hash of all their tokens.
+A run is a stretch of the training text laid over one of an item of equal length, in
+which at least 80 % of the tokens agree. An item leaks when any run has ``min_tokens``
+equal tokens, or 80 % of the item if that is less; the run with the most equal tokens
+is given.
+
+The differing tokens of a run cut its equal ones into few pieces, so one piece has
+at least ``seed_width`` tokens: four, or less for some short items. Training windows
+of that width whose hash occurs among the item's are hits, and every run that makes a
+leak has one. On each hit's diagonal the agreeing tokens are counted, and where they
+could suffice the longest run is taken from prefix sums.
 
 The benchmark comes in blocks of a bounded number of tokens, each broadcast to one
 pass over the whole training table; nothing is shuffled, so a passage that is in
@@ -30,70 +32,100 @@ from pyspark.sql import functions as F
 
 from .words import block_words, blocks, mix
 
-#: Fixed masks: 1 selects a position. Any two substitutions in 24 tokens leave a hit.
-MASKS = ("11010110111", "1110101011101", "110110010111")
-SPAN = max(map(len, MASKS))
+#: The widest seed. Longer ones would lose runs in which every fifth token differs.
+SPAN = 4
 BLOCK_TOKENS = 500_000
 FILTER_BITS = 22
+VERIFY_TOKENS = 1 << 20
 SCHEMA = "doc_id long, item_id long, matched_tokens long, run_tokens long, item_tokens long, start_token long, end_token long"
 _C = [np.uint64(pow(0x9FB21C651E98DF25, k + 1, 1 << 64)) for k in range(SPAN)]
 
 
 class Index(NamedTuple):
-    """Seeds of a block of items: for each mask, sorted hashes with their items and places."""
+    """Seeds of a block of items: for each width, sorted hashes with their items and places."""
 
     ids: list
     tokens: list[np.ndarray]
-    masks: list[tuple[int, ...]]
+    need: np.ndarray
+    widths: list[int]
     seeds: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
     filters: list[np.ndarray]
 
 
-def seed_hashes(h: np.ndarray, mask: tuple[int, ...], span: int) -> np.ndarray:
-    n = len(h) - span + 1
+def needed(n: int, min_tokens: int) -> int:
+    """Equal tokens that make a leak of an item of ``n`` tokens."""
+    return max(1, min(min_tokens, -(-4 * n // 5)))
+
+
+def seed_width(n: int, need: int) -> int:
+    """Length of the piece without a difference that every run with ``need`` equal tokens has, at most ``SPAN``."""
+    return min(SPAN, *(-(-e // (1 + min(e // 4, n - e))) for e in range(need, n + 1)))
+
+
+def seed_hashes(h: np.ndarray, width: int) -> np.ndarray:
+    n = len(h) - width + 1
     if n < 1:
         return np.empty(0, np.uint64)
     out = np.zeros(n, np.uint64)
-    for j in mask:
+    for j in range(width):
         out += h[j : j + n] * _C[j]
     return mix(out)
 
 
-def build_index(items: list[tuple[int, np.ndarray]]) -> Index:
-    masks = [(tuple(k for k, c in enumerate(m) if c == "1"), len(m)) for m in MASKS]
-    least = min(len(m) for m in MASKS)
-    masks += [(tuple(range(n)), n) for n in sorted({len(t) for _, t in items if len(t) < least})]
-    seeds, filters = [], []
-    for mask, span in masks:
-        whole = span < least
-        own = [(k, seed_hashes(t, mask, span)) for k, (_, t) in enumerate(items) if not whole or len(t) == span]
-        h = np.concatenate([x for _, x in own] or [np.empty(0, np.uint64)])
+def build_index(items: list[tuple[int, np.ndarray]], min_tokens: int = 13) -> Index:
+    need = [needed(len(t), min_tokens) for _, t in items]
+    width_of = [seed_width(len(t), m) for (_, t), m in zip(items, need, strict=True)]
+    widths, seeds, filters = sorted(set(width_of)), [], []
+    for width in widths:
+        own = [(k, seed_hashes(t, width)) for k, (_, t) in enumerate(items) if width_of[k] == width]
+        h = np.concatenate([x for _, x in own])
         item = np.repeat([k for k, _ in own], [len(x) for _, x in own]).astype(np.int64)
-        place = np.concatenate([np.arange(len(x)) for _, x in own] or [np.empty(0, np.int64)])
+        place = np.concatenate([np.arange(len(x)) for _, x in own])
         order = np.argsort(h, kind="stable")
         seeds.append((h[order], item[order], place[order]))
         bits = np.zeros(1 << FILTER_BITS, bool)
         bits[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
         filters.append(bits)
-    return Index([i for i, _ in items], [t for _, t in items], masks, seeds, filters)
-
-
-def best_run(equal: np.ndarray) -> tuple[int, int, int]:
-    """(equal tokens, start, end) of the run with the highest sum of +1 for equal and -4 for different."""
-    total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -4))])
-    gain = total - np.minimum.accumulate(total)
-    end = int(gain.argmax())
-    start = int(np.flatnonzero(total[: end + 1] == total[: end + 1].min())[-1])
-    return int(equal[start:end].sum()), start, end
-
-
-def leaks(h: np.ndarray, bounds: np.ndarray, index: Index, min_tokens: int) -> Iterator[tuple[int, int, int, int, int, int, int]]:
+    return Index([i for i, _ in items], [t for _, t in items], np.array(need, np.int64), widths, seeds, filters)
+
+
+def longest_run(equal: np.ndarray) -> tuple[int, int, int]:
+    """(equal tokens, start, end) of the run with the most equal tokens, of which at least 80 % agree; of several, the shortest, then the first."""
+    same = np.concatenate([[0], np.cumsum(equal)])
+    total = 5 * same - 4 * np.arange(len(same))  # a run agrees enough if its sum of +1 and -4 is not negative
+    least = np.minimum.accumulate(total)
+    start = np.searchsorted(-least, -total)  # the first place from which the sum to here is not negative
+    matched = same - same[start]
+    most = int(matched.max())
+    if not most:
+        return 0, 0, 0
+    places = np.flatnonzero(equal)
+    ends = np.flatnonzero(matched == most)
+    first, last = places[same[start[ends]]], places[same[ends] - 1] + 1  # without differing tokens at either side
+    k = int((last - first).argmin())
+    return most, int(first[k]), int(last[k])
+
+
+def agreeing(h: np.ndarray, begin: np.ndarray, end: np.ndarray, diagonal: np.ndarray, item: np.ndarray, index: Index) -> np.ndarray:
+    """Equal tokens on each diagonal from ``begin`` to ``end``."""
+    flat = np.concatenate(index.tokens)
+    base = np.concatenate([[0], np.cumsum([len(t) for t in index.tokens])])[item] - diagonal
+    n = end - begin
+    out = np.zeros(len(n), np.int64)
+    piece = (np.cumsum(n) - n) // VERIFY_TOKENS
+    for p in np.unique(piece):
+        own = np.flatnonzero(piece == p)
+        at = np.repeat(begin[own] - (np.cumsum(n[own]) - n[own]), n[own]) + np.arange(n[own].sum())
+        same = h[at] == flat[at + np.repeat(base[own], n[own])]
+        out[own] = np.add.reduceat(same, np.cumsum(n[own]) - n[own], dtype=np.int64)
+    return out
+
+
+def leaks(h: np.ndarray, bounds: np.ndarray, index: Index) -> Iterator[tuple[int, int, int, int, int, int, int]]:
     """(text, item, equal tokens, run, item's tokens, start, end) for the texts with words h[bounds[k]:bounds[k + 1]]."""
-    found = set()
-    for (mask, span), (seeds, item, place), bits in zip(index.masks, index.seeds, index.filters, strict=True):
-        if not len(seeds):
-            continue
-        s = seed_hashes(h, mask, span)
+    found = []
+    for width, (seeds, item, place), bits in zip(index.widths, index.seeds, index.filters, strict=True):
+        s = seed_hashes(h, width)
         at = np.flatnonzero(bits[(s >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
         lo, hi = np.searchsorted(seeds, s[at]), np.searchsorted(seeds, s[at], "right")
         n = hi - lo
@@ -101,24 +133,28 @@ def leaks(h: np.ndarray, bounds: np.ndarray, index: Index, min_tokens: int) -> I
         if not len(at):
             continue
         text = np.searchsorted(bounds, at, "right") - 1
-        inside = at + span <= bounds[text + 1]  # a window within one text
+        inside = at + width <= bounds[text + 1]  # a window within one text
         at, lo, n, text = at[inside], lo[inside], n[inside], text[inside]
         hit = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        diagonal = np.repeat(at, n) - place[hit]
-        found |= set(zip(np.repeat(text, n).tolist(), item[hit].tolist(), diagonal.tolist(), strict=True))
+        found.append(np.stack([np.repeat(text, n), item[hit], np.repeat(at, n) - place[hit]]))
+    if not found or not sum(f.shape[1] for f in found):
+        return
+    text, item, diagonal = np.unique(np.concatenate(found, axis=1), axis=1)
+    size = np.array([len(t) for t in index.tokens])
+    begin, end = np.maximum(diagonal, bounds[text]), np.minimum(diagonal + size[item], bounds[text + 1])
+    enough = agreeing(h, begin, end, diagonal, item, index) >= index.need[item]
     best: dict[tuple[int, int], tuple] = {}
-    for text, k, diagonal in sorted(found):
+    for t, k, d, x, y in zip(*(c[enough].tolist() for c in (text, item, diagonal, begin, end)), strict=True):
         tokens = index.tokens[k]
-        begin, end = max(diagonal, int(bounds[text])), min(diagonal + len(tokens), int(bounds[text + 1]))
-        matched, a, b = best_run(h[begin:end] == tokens[begin - diagonal : end - diagonal])
-        if matched >= min(min_tokens, -(-4 * len(tokens) // 5)) and matched > best.get((text, k), (0,))[0]:
-            first = begin + a - int(bounds[text])
-            best[text, k] = (matched, b - a, len(tokens), first, first + b - a)
-    for (text, k), rest in best.items():
-        yield text, index.ids[k], *rest
+        matched, a, b = longest_run(h[x:y] == tokens[x - d : y - d])
+        if matched >= index.need[k] and matched > best.get((t, k), (0,))[0]:
+            first = x + a - int(bounds[t])
+            best[t, k] = (matched, b - a, len(tokens), first, first + b - a)
+    for (t, k), rest in best.items():
+        yield t, index.ids[k], *rest
 
 
-def benchmark_blocks(benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS) -> Iterator[Index]:
+def benchmark_blocks(benchmark: DataFrame, min_tokens: int, block_tokens: int = BLOCK_TOKENS) -> Iterator[Index]:
     """The benchmark's items in bounded blocks, read one after the other."""
     held, size = [], 0
     for row in benchmark.where("text is not null").select(F.col("item_id").cast("long"), "text").toLocalIterator():
@@ -128,10 +164,10 @@ def benchmark_blocks(benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS) ->
         held.append((row[0], h))
         size += len(h)
         if size >= block_tokens:
-            yield build_index(held)
+            yield build_index(held, min_tokens)
             held, size = [], 0
     if held:
-        yield build_index(held)
+        yield build_index(held, min_tokens)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, min_tokens: int = 13, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -139,7 +175,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_tokens: int = 13, bloc
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     out = None
-    for index in benchmark_blocks(benchmark, block_tokens):
+    for index in benchmark_blocks(benchmark, min_tokens, block_tokens):
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches, shared=shared):
@@ -147,7 +183,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_tokens: int = 13, bloc
                 made = []
                 for first, block in blocks(batch.column(1).to_pylist()):
                     h, bounds = block_words(block)
-                    made += [(first + t, *rest) for t, *rest in leaks(h, bounds, shared.value, min_tokens)]
+                    made += [(first + t, *rest) for t, *rest in leaks(h, bounds, shared.value)]
                 ids = batch.column(0).take(pa.array([m[0] for m in made], pa.int64()))
                 cols = list(zip(*made, strict=True))[1:] if made else [[]] * 6
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in cols)], [c.split(" ")[0] for c in SCHEMA.split(", ")])
@@ -161,7 +197,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, min_tokens: int = 13, bloc
     """``docs`` without the rows into which any item leaks; one pass for each block of the benchmark, without a shuffle."""
     spark = docs.sparkSession
     at = docs.columns.index("text")
-    for index in benchmark_blocks(benchmark, block_tokens):
+    for index in benchmark_blocks(benchmark, min_tokens, block_tokens):
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches, shared=shared):
@@ -169,7 +205,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, min_tokens: int = 13, bloc
                 keep = np.ones(batch.num_rows, bool)
                 for first, block in blocks(batch.column(at).to_pylist()):
                     h, bounds = block_words(block)
-                    for t, *_ in leaks(h, bounds, shared.value, min_tokens):
+                    for t, *_ in leaks(h, bounds, shared.value):
                         keep[first + t] = False
                 yield batch.filter(pa.array(keep))
 
