@@ -227,7 +227,7 @@ def span_classifier(patterns: list[str], n: np.ndarray, post: np.ndarray, rounds
     x = np.zeros((len(patterns), len(cells)))
     for row, p in zip(x, patterns, strict=True):
         row[[index[0, p[0], ""], *(index[k, p[0], p[k]] for k in range(1, len(p)))]] = 1
-    w, beta = np.minimum(n, 1e6).astype(float), np.zeros(len(cells))
+    w, beta = n.astype(float), np.zeros(len(cells))
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         step = np.linalg.solve((x.T * (w * p * (1 - p))) @ x + np.eye(len(cells)), x.T @ (w * (post - p)) - beta)
