@@ -7,9 +7,11 @@ is surest for the other one. Then both are calibrated on labelled rows that
 neither was trained on, and a last logistic model on the two calibrated log-odds
 scores every document.
 
-Fitting uses bounded samples in the order of a hash of doc_id: at most
-``max_labelled`` labelled and ``max_pool`` unlabelled documents. Measuring and
-scoring cover all rows.
+Labelled documents are a bounded sample, at most ``max_labelled`` in the order of a
+hash of doc_id. The pool is every unlabelled document: the surest are picked by
+exact cut-offs from counts, and Newton's sums are made where the rows are, so only
+counts and sums reach the driver. Which labels a row was given follows from the
+models and cut-offs of the rounds before; copies of a row are given the same.
 
 Null or empty text has measures of zero; null metadata is a value of its own. With
 no labels, or one class only, every score is the share of good labels (1 without
@@ -24,6 +26,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +35,7 @@ from .scratch import written
 MEASURES = ("log_words", "word_length", "upper", "digit", "mark", "symbol", "bar", "other", "distinct", "repeated", "line_words", "repeated_lines")
 #: One-hot buckets of the metadata view, and their seeds: the view's size does not depend on the data.
 BUCKETS = {"source": 64, "lang": 16, "host": 64}
-MAX_LABELLED, MAX_POOL, ROUNDS, SHARE = 20_000, 20_000, 5, 0.02
+MAX_LABELLED, ROUNDS, SHARE = 20_000, 5, 0.02
 
 
 def _class_table() -> np.ndarray:
@@ -125,34 +128,164 @@ class Logistic:
             beta += step
             if np.abs(step).max() < 1e-6:
                 break
+        return self.set(beta)
+
+    def set(self, beta: np.ndarray) -> Logistic:
         self.slope = beta[1:] / self.scale
         self.intercept = float(beta[0] - self.mean @ self.slope)
         return self
 
+    @classmethod
+    def of(cls, mean: np.ndarray, scale: np.ndarray, beta: np.ndarray) -> Logistic:
+        self = cls()
+        self.mean, self.scale = mean, scale
+        return self.set(beta)
+
     def logit(self, x: np.ndarray) -> np.ndarray:
         return x @ self.slope + self.intercept
 
 
-def co_train(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = ROUNDS, share: float = SHARE) -> list[Logistic]:
-    """A model of each view, after each has labelled the pool's surest documents for the other in every round."""
-    given: list[dict[int, int]] = [{}, {}]  # pseudo-labels that a view has got
+def summed(rows: DataFrame, f, size: int) -> np.ndarray:
+    """Sum of f's vectors over the batches of all rows, added up in a fixed order."""
+    schema = "part int, total binary"
+
+    def row(part, total):
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "total"])
+
+    def by_task(batches):
+        yield row(TaskContext.get().partitionId(), sum((f(b) for b in batches), np.zeros(size)))
+
+    def together(batches):
+        got = sorted((p, t) for b in batches for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        if got:
+            yield row(got[0][0], sum((np.frombuffer(t) for _, t in got), np.zeros(size)))
+
+    out = rows.mapInArrow(by_task, schema).repartition(16, "part").mapInArrow(together, schema).collect()
+    return sum((np.frombuffer(r["total"]) for r in sorted(out)), np.zeros(size))
 
-    def fit(v: int) -> Logistic:
-        own = sorted(given[v])
-        x = np.vstack([views[v], pool[v][own]]) if own else views[v]
-        labels = np.concatenate([y, [given[v][k] for k in own]])
-        return Logistic().fit(x, labels, np.concatenate([np.ones(len(y)), np.full(len(own), 0.5)]))
 
-    models = [fit(0), fit(1)]
-    for _ in range(rounds):
+def pool_views(batch) -> list[np.ndarray]:
+    """Measures, and log_chars with the buckets, of a batch."""
+    names = ("log_chars", *(f"{name}_bucket" for name in BUCKETS))
+    text = batch.column("measures").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(MEASURES))
+    return [text, np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in names], 1)]
+
+
+def one_hot(meta: np.ndarray) -> np.ndarray:
+    return np.hstack([meta[:, :1], *(np.eye(size)[meta[:, k].astype(int)] for k, size in enumerate(BUCKETS.values(), 1))])
+
+
+def pool_logits(models: list[Logistic], views: list[np.ndarray]) -> list[np.ndarray]:
+    """Row by row, so that a row's value does not depend on its batch."""
+    (text, meta), slope, at = views, models[1].slope, 1
+    other = models[1].intercept + meta[:, 0] * slope[0]
+    for k, size in enumerate(BUCKETS.values(), 1):
+        other = other + slope[at : at + size][meta[:, k].astype(int)]
+        at += size
+    return [(text * models[0].slope).sum(1) + models[0].intercept, other]
+
+
+def surest(batch, views, models, given):
+    """For each view and label: rows that may get it, and their keys, the surest first."""
+    low = batch.column("place").to_numpy(zero_copy_only=False).view(np.uint64)
+    for v, logit in enumerate(pool_logits(models, views)):
+        high = ~np.abs(logit).view(np.uint64)
+        for label in (0, 1):
+            yield v, label, (np.abs(logit) > 3) & ((logit > 3) == bool(label)) & (given[1 - v] < 0), high, low
+
+
+def labels_given(batch, history) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Views of a batch, and the pseudo-label of each row for each view, -1 without one."""
+    views, given = pool_views(batch), [np.full(batch.num_rows, -1, np.int8) for _ in range(2)]
+    for models, cuts in history:
+        for (v, label, may, high, low), (h, m) in zip(list(surest(batch, views, models, given)), cuts, strict=True):
+            given[1 - v][may & ((high < h) | ((high == h) & (low <= m)))] = label
+    return views, given
+
+
+def cut_offs(pool: DataFrame, history: list, models: list[Logistic], most: list[int]) -> list[tuple[np.uint64, np.uint64]]:
+    """The last key to take for each view and label, so that the ``most`` surest rows are taken; byte by byte from counts."""
+    known, left, done = [[] for _ in most], list(most), [False] * len(most)
+    for k in range(16):
+
+        def count(batch, known=tuple(map(tuple, known)), k=k):
+            views, given = labels_given(batch, history)
+            out = []
+            for (_, _, may, high, low), prefix in zip(surest(batch, views, models, given), known, strict=True):
+                key = np.stack([high, low], 1).astype(">u8").view(np.uint8).reshape(-1, 16)
+                may = may & (key[:, : len(prefix)] == np.array(prefix, np.uint8)).all(1) if len(prefix) == k else np.zeros(len(may), bool)
+                out.append(np.bincount(key[may, k], minlength=256))
+            return np.concatenate(out).astype(float)
+
+        counts = summed(pool, count, 256 * len(most)).reshape(len(most), 256).astype(int)
+        for j in range(len(most)):
+            total = counts[j].cumsum()
+            if done[j]:
+                continue
+            at = int(np.searchsorted(total, left[j]))
+            if at > 255:  # fewer than wanted: all of them
+                done[j] = True
+                continue
+            known[j].append(at)
+            done[j] = bool(total[at] == left[j])
+            left[j] -= int(total[at] - counts[j][at])
+        if all(done):
+            break
+    ends = [bytes(p).ljust(16, b"\xff") for p in known]
+    return [(np.uint64(int.from_bytes(e[:8], "big")), np.uint64(int.from_bytes(e[8:], "big"))) for e in ends]
+
+
+def fit_all(views: list[np.ndarray], y: np.ndarray, pool: DataFrame, history: list, before: list[Logistic]) -> list[Logistic]:
+    """Both views' models on the labelled rows and, at half weight, all rows with pseudo-labels; as ``Logistic.fit``."""
+    width = [v.shape[1] for v in views]
+
+    def own(batch):
+        values, given = labels_given(batch, history)
         for v in (0, 1):
-            logit = models[v].logit(pool[v])
-            order = np.argsort(logit, kind="stable")
-            for label, at in ((0, order), (1, order[::-1])):
-                sure = [int(k) for k in at if (logit[k] > 3) == bool(label) and abs(logit[k]) > 3 and int(k) not in given[1 - v]]
-                most = max(1, int(share * len(logit) * (y == label).mean())) if len(logit) else 0
-                given[1 - v].update(dict.fromkeys(sure[:most], label))
-        models = [fit(0), fit(1)]
+            has = given[v] >= 0
+            yield v, (one_hot(values[1][has]) if v else values[0][has]), given[v][has].astype(float)
+
+    def moments(batch):
+        return np.concatenate([np.concatenate([[len(x)], (x - before[v].mean).sum(0), ((x - before[v].mean) ** 2).sum(0)]) for v, x, _ in own(batch)])
+
+    total = np.split(summed(pool, moments, sum(2 * w + 1 for w in width)), [2 * width[0] + 1])
+    mean, scale, beta = [], [], []
+    for v, w in enumerate(width):
+        d = views[v] - before[v].mean
+        n = total[v][0] + len(d)
+        m = (total[v][1 : w + 1] + d.sum(0)) / n
+        mean.append(before[v].mean + m)
+        scale.append(np.sqrt(np.maximum(0, (total[v][w + 1 :] + (d**2).sum(0)) / n - m**2)) + 1e-6)
+        beta.append(np.concatenate([[before[v].intercept + mean[v] @ before[v].slope], before[v].slope * scale[v]]))
+
+    def newton(v, x, y, weight):
+        z = np.hstack([np.ones((len(x), 1)), (x - mean[v]) / scale[v]])
+        p = 1 / (1 + np.exp(-np.clip(z @ beta[v], -30, 30)))
+        return np.concatenate([z.T @ (weight * (y - p)), ((z.T * (weight * p * (1 - p))) @ z).reshape(-1)])
+
+    size = [(w + 1) * (w + 2) for w in width]
+    for _ in range(30):
+        sums = np.split(summed(pool, lambda batch: np.concatenate([newton(v, x, t, 0.5) for v, x, t in own(batch)]), sum(size)), [size[0]])
+        most = 0.0
+        for v, w in enumerate(width):
+            whole = sums[v] + newton(v, views[v], y, 1.0)
+            ridge = np.eye(w + 1)
+            ridge[0, 0] = 1e-6
+            step = np.linalg.solve(whole[w + 1 :].reshape(w + 1, w + 1) + ridge, whole[: w + 1] - ridge @ beta[v])
+            beta[v] = beta[v] + step
+            most = max(most, np.abs(step).max())
+        if most < 1e-6:
+            break
+    return [Logistic.of(*c) for c in zip(mean, scale, beta, strict=True)]
+
+
+def co_train(views: list[np.ndarray], y: np.ndarray, pool: DataFrame, rounds: int = ROUNDS, share: float = SHARE) -> list[Logistic]:
+    """A model of each view, after each has labelled the pool's surest documents for the other in every round."""
+    models, history, n = [Logistic().fit(v, y) for v in views], [], pool.count()
+    most = [max(1, int(share * n * (y == label).mean())) for _ in (0, 1) for label in (0, 1)]
+    for _ in range(rounds if n else 0):
+        history = [*history, (models, cut_offs(pool, history, models, most))]
+        models = fit_all(views, y, pool, history, models)
     return models
 
 
@@ -167,7 +300,7 @@ def sampled(rows: DataFrame, most: int):
     return rows.where(place <= int(share * (1 << 31))).orderBy(place, "doc_id").limit(most).toPandas()
 
 
-def score(docs: DataFrame, labels: DataFrame, pages: DataFrame | None = None, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL, threshold: float = 0.25) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, pages: DataFrame | None = None, max_labelled: int = MAX_LABELLED, threshold: float = 0.25) -> DataFrame:
     """doc_id, text_score, meta_score (calibrated), score and keep of every row of ``docs``."""
     rows = written(features(docs, pages), "quality")
     truth = labels.where("quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
@@ -176,13 +309,14 @@ def score(docs: DataFrame, labels: DataFrame, pages: DataFrame | None = None, ma
     if len(set(y)) < 2:
         p = F.lit(float(y.mean()) if len(y) else 1.0)
         return rows.select("doc_id", p.alias("text_score"), p.alias("meta_score"), p.alias("score"), (p >= threshold).alias("keep"))
-    pool = sampled(rows.join(truth, "doc_id", "left_anti"), max_pool)
+    place = F.xxhash64(F.lit("pool"), F.col("doc_id")).alias("place")
+    pool = written(rows.join(truth, "doc_id", "left_anti").select("measures", "log_chars", *(f"{name}_bucket" for name in BUCKETS), place), "quality-pool")
     test = np.arange(len(y)) % 3 == 2
     if len(set(y[test])) < 2 or len(set(y[~test])) < 2:
         test[:] = True
     train = ~test if not test.all() else test
-    views, others = [text_matrix(labelled), meta_matrix(labelled)], [text_matrix(pool), meta_matrix(pool)]
-    models = co_train([v[train] for v in views], y[train], others)
+    views = [text_matrix(labelled), meta_matrix(labelled)]
+    models = co_train([v[train] for v in views], y[train], pool)
     logits = [m.logit(v[test])[:, None] for m, v in zip(models, views, strict=True)]
     platt = [Logistic().fit(z, y[test]) for z in logits]
     last = Logistic().fit(np.hstack([p.logit(z)[:, None] for p, z in zip(platt, logits, strict=True)]), y[test])
