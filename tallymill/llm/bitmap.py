@@ -9,16 +9,21 @@ from pyspark.sql import functions as F
 BITS = 25
 
 
-def build(df: DataFrame, value: Column, bits: int = BITS) -> np.ndarray:
-    """Words of a bitmap of ``2 ** bits`` bits with the bit of each value's top ``bits`` bits set.
+def build(df: DataFrame, value: Column, keep: list[Column] | None = None, bits: int = BITS) -> list[np.ndarray]:
+    """For each condition in ``keep`` (default: one that all rows meet), the words of a bitmap of ``2 ** bits`` bits
+    with the bit of each value's top ``bits`` bits set.
 
     Aggregated by word on the executors: at most ``2 ** (bits - 6)`` rows come back.
     """
-    at = df.select(F.shiftrightunsigned(value, 64 - bits).alias("at"))
-    words = at.selectExpr("int(shiftright(at, 6)) AS word", "shiftleft(1L, int(at & 63)) AS bit")
-    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(1 << (bits - 6), np.uint64)
-    out[rows.column(0).to_numpy()] = rows.column(1).to_numpy().view(np.uint64)
+    keep = [F.lit(True)] if keep is None else keep
+    at = df.select(F.shiftrightunsigned(value, 64 - bits).alias("at"), *(c.alias(f"k{k}") for k, c in enumerate(keep)))
+    words = at.selectExpr("int(shiftright(at, 6)) AS word", "shiftleft(1L, int(at & 63)) AS bit", *(f"k{k}" for k in range(len(keep))))
+    bit = lambda k: F.bit_or(F.when(F.col(f"k{k}"), F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"b{k}")
+    rows = words.groupBy("word").agg(*map(bit, range(len(keep)))).toArrow()
+    out = []
+    for k in range(len(keep)):
+        out.append(np.zeros(1 << (bits - 6), np.uint64))
+        out[-1][rows.column(0).to_numpy()] = rows.column(k + 1).to_numpy().view(np.uint64)
     return out
 
 

@@ -1,25 +1,36 @@
 """Near-duplicate components by an exact n-gram Jaccard join with T-occurrence search.
 
-1. Texts with equal shingle sets form a class; one document stands for it.
+1. One pass writes each text's shingle set, packed, with two fingerprints. Texts with
+   equal sets form a class; one document stands for it.
 2. Shingles get one global order, rare before frequent. Frequent ones are known
    from counts over all texts, kept in bitmaps of fixed size; a mistaken bit moves a
    shingle in the order and never changes the result.
-3. A class's prefix in that order is indexed. Inverted lists are divided as in
-   DivideSkip: short lists (at most ``SHORT`` classes) are merged, and a pair stays
-   when it occurs often enough in them for the overlap that its sizes require, less
-   what long lists could add. Where long lists could supply all of it on both sides,
-   classes are tied to the long list's pivot instead.
-4. Ties give clusters; each class's set travels to its cluster once, in blocks of
-   bounded size. In a block pair, every class is a query: the long lists of its
-   shingles are put aside, the short ones heap-merged, and classes that reach the
+3. A class's prefix in that order is indexed. Short lists (at most ``SHORT`` classes)
+   are merged, and a pair is tied when it occurs often enough in them for the overlap
+   that its sizes require, less what long lists could add. Only classes whose
+   prefix has more long lists than that, those with about ``percent`` of their
+   shingles frequent, are tied to the long list's pivot instead.
+4. Ties give clusters; each class's set travels to its cluster in blocks of bounded
+   size. In a block pair, every class is a query of DivideSkip: the longest lists of
+   its shingles are put aside, the short ones heap-merged, and classes that reach the
    required count less the number of long lists are probed in the long lists by
    binary search. What reaches the overlap is a link.
-5. Links give components.
+5. A large cluster is not searched in all block pairs. Each block is searched in itself
+   and against the cluster's first block, which stands for it; then only blocks of
+   classes outside the largest component so far are searched against all others. So
+   a group of near copies costs in proportion to its size, and classes that no
+   representative connects are still held against everything.
+6. Links give components.
 
 Every step is exact: a link between two texts is in one prefix pair, hence in one
-cluster, hence in one block pair. Null, empty or blank text: no shingles, no
-links, its own component. Null doc_id: a row with a null component. Rows with one
-doc_id are one document for links. Extra columns are ignored.
+cluster; at the end both are connected or their blocks were searched. Links within
+what is already connected are not sought, so their number is not known.
+
+Null, empty or blank text: no shingles, no links, its own component. Null doc_id: a
+row with a null component. Rows with one doc_id are one document for links. Equal
+texts are one class; ties in size or frequency are ordered by hash. A very long text
+is one set, held whole by one task at a time. An empty table gives no rows. Extra
+columns are ignored (``keep_one`` hands them on, whatever their names).
 """
 
 from __future__ import annotations
@@ -29,7 +40,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bitmap
@@ -37,25 +48,17 @@ from .graph import components
 from .scratch import written
 from .words import block_words, blocks, mix, shingles
 
-#: Longest inverted list that is merged.
+#: Longest inverted list that is merged over all classes.
 SHORT = 12
 #: A prefix is longer than it must be by this fraction of the set, so that many long lists can be skipped.
 EXTRA = 0.05
 #: Frequencies from which a shingle belongs to the next later part of the order.
 LEVELS = (SHORT + 1, 100, 1_000, 10_000)
 BLOCK = 256
+#: DivideSkip's weight of a binary search against a merged entry.
+MU = 0.0085
 _WINDOW = 2_000_000
-
-
-def _text_sets(batches, width):
-    """(row, sorted set of shingle hashes) of each text, block by block, with the batch it is from."""
-    for batch in batches:
-        at = 0
-        for _, block in blocks(batch.column(1).to_pylist()):
-            h, bounds = block_words(block)
-            for k in range(len(block)):
-                yield batch, at + k, np.unique(shingles(h[bounds[k] : bounds[k + 1]], width))
-            at += len(block)
+_SETS = "doc_id long, n long, f1 long, f2 long, c long, shingles binary"
 
 
 def _signed(x: int) -> int:
@@ -63,45 +66,41 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def profile(docs: DataFrame, width: int) -> DataFrame:
-    """n and two fingerprints of each document's set; other rows (doc false) are counts of shingles within a task."""
-    names = ["doc", "doc_id", "n", "f1", "f2"]
+def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """n, two fingerprints and the packed set of each document; rows with a count c are of shingle f1 within a task."""
+    names = [c.split(" ")[0] for c in _SETS.split(", ")]
 
     def run(batches):
         seen, held, size = set(), [], 0
-        rows: list[tuple] = []
 
-        def flush():
-            nonlocal held, size
-            if held:
-                h, c = np.unique(np.concatenate(held), return_counts=True)
-                h, c = h[c > 1].view(np.int64), c[c > 1]
-                held, size = [], 0
-                seen.clear()
-                yield pa.RecordBatch.from_arrays([pa.array([False] * len(h), pa.bool_()), pa.nulls(len(h), pa.int64()), pa.array(c.astype(np.int64)), pa.array(h), pa.nulls(len(h), pa.int64())], names)
+        def counts():
+            h, c = np.unique(np.concatenate(held), return_counts=True)
+            h, c = h[c > 1].view(np.int64), c[c > 1]
+            none = pa.nulls(len(h), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, pa.array(h), none, pa.array(c.astype(np.int64)), pa.nulls(len(h), pa.binary())], names)
 
-        def out():
-            nonlocal rows
-            cols = list(zip(*rows, strict=True))
-            rows = []
-            yield pa.RecordBatch.from_arrays([pa.array([True] * len(cols[0]), pa.bool_()), *(pa.array(c, pa.int64()) for c in cols)], names)
-
-        for batch, k, s in _text_sets(batches, width):
-            f1, f2 = int(s.sum(dtype=np.uint64)), int(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64))
-            rows.append((batch.column(0)[k].as_py(), len(s), _signed(f1), _signed(f2)))
-            if (f1, f2) not in seen:
-                seen.add((f1, f2))
-                held.append(s)
-                size += len(s)
-            if len(rows) >= 8192:
-                yield from out()
-            if size >= _WINDOW:
-                yield from flush()
-        if rows:
-            yield from out()
-        yield from flush()
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc boolean, doc_id long, n long, f1 long, f2 long")
+        for batch in batches:
+            ids, at = batch.column(0).cast(pa.int64()), 0
+            for _, block in blocks(batch.column(1).to_pylist()):
+                h, bounds = block_words(block)
+                sets = [np.unique(shingles(h[bounds[k] : bounds[k + 1]], width)) for k in range(len(block))]
+                prints = [(int(s.sum(dtype=np.uint64)), int(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64))) for s in sets]
+                cols = [pa.array(x, pa.int64()) for x in ([len(s) for s in sets], *([_signed(p[j]) for p in prints] for j in (0, 1)))]
+                yield pa.RecordBatch.from_arrays([ids.slice(at, len(block)), *cols, pa.nulls(len(block), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names)
+                at += len(block)
+                for s, p in zip(sets, prints, strict=True):
+                    if p not in seen:
+                        seen.add(p)
+                        held.append(s)
+                        size += len(s)
+                if size >= _WINDOW:
+                    yield counts()
+                    held, size = [], 0
+                    seen.clear()
+        if size:
+            yield counts()
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SETS)
 
 
 def needed(n: int, percent: int) -> int:
@@ -113,85 +112,57 @@ def prefix_length(n: int, percent: int) -> int:
     return min(n, n - needed(n, percent) + 1 + int(EXTRA * n))
 
 
-def prefixes(docs: DataFrame, width: int, percent: int, levels: list[np.ndarray]) -> DataFrame:
-    """doc_id, n, and the set's prefix in the global order."""
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
+def prefixes(sets: DataFrame, percent: int, levels: list[np.ndarray]) -> DataFrame:
+    """cid, n, and the set's prefix in the global order."""
+    shared = sets.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches):
         maps = shared.value
-        ids, ns, keys = [], [], []
-
-        def out():
-            offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            values = np.concatenate(keys).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["cid", "n", "keys"])
-
-        for batch, k, s in _text_sets(batches, width):
-            doc_id = batch.column(0)[k].as_py()
-            if not len(s) or doc_id is None:
-                continue
-            level = np.zeros(len(s), np.uint8)
-            for m in maps:
-                level += bitmap.test(m, s)
-            order = np.argsort(level, kind="stable")
-            ids.append(doc_id)
-            ns.append(len(s))
-            keys.append(s[order[: prefix_length(len(s), percent)]])
-            if len(ids) >= 2048:
-                yield out()
-                ids, ns, keys = [], [], []
-        if ids:
-            yield out()
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "cid long, n long, keys array<long>")
-
-
-def sets_of(docs: DataFrame, width: int, wanted: np.ndarray) -> DataFrame:
-    """cid, n and the sorted set (packed) of documents whose id's bit is in ``wanted``."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
-
-    def keep(batches):
         for batch in batches:
-            ids = np.array([0 if x is None else x for x in batch.column(0).to_pylist()], np.int64)
-            ok = bitmap.test(shared.value, mix(ids.view(np.uint64))) & np.array([x is not None for x in batch.column(0).to_pylist()], bool)
-            if ok.any():
-                yield batch.filter(pa.array(ok))
+            keys = []
+            for packed in batch.column(2):
+                s = np.frombuffer(packed.as_buffer(), np.uint64)
+                level = np.zeros(len(s), np.uint8)
+                for m in maps:
+                    level += bitmap.test(m, s)
+                keys.append(s[np.argsort(level, kind="stable")[: prefix_length(len(s), percent)]])
+            offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+            values = np.concatenate([np.empty(0, np.uint64), *keys]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["cid", "n", "keys"])
+
+    return sets.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "shingles").mapInArrow(run, "cid long, n long, keys array<long>")
+
+
+def sets_of(sets: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """cid, n and packed set of documents whose id's bit is in ``wanted``."""
+    shared = sets.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches):
-        ids, ns, packed, size = [], [], [], 0
-        for batch, k, s in _text_sets(keep(batches), width):
-            ids.append(batch.column(0)[k].as_py())
-            ns.append(len(s))
-            packed.append(s.tobytes())
-            size += len(s)
-            if size > 500_000:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(packed, pa.binary())], ["cid", "n", "set"])
-                ids, ns, packed, size = [], [], [], 0
-        if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(packed, pa.binary())], ["cid", "n", "set"])
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            ok = bitmap.test(shared.value, mix(ids.view(np.uint64)))
+            if ok.any():
+                yield batch.filter(pa.array(ok)).rename_columns(["cid", "n", "set"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "cid long, n long, set binary")
+    return sets.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "shingles").mapInArrow(run, "cid long, n long, set binary")
 
 
 def overlap_needed(n: int, m: int, percent: int) -> int:
     return -(-percent * (n + m) // (100 + percent))
 
 
-def divide_skip(queries: list[np.ndarray], index: list[np.ndarray], percent: int, same: bool) -> list[tuple[int, int]]:
+def divide_skip(queries: list[np.ndarray], index: list[np.ndarray], percent: int, same: bool, labels: list[list[int]] | None = None) -> list[tuple[int, int]]:
     """Links (query, indexed) by T-occurrence search; if ``same``, index is queries and each pair comes once.
 
-    Indexed sets that a union-find already holds together with the query are not
-    searched again: only enough links to connect what is linked come out.
+    Sets with equal labels (of queries, of index) are connected already. A set that
+    is connected with the query drops out of its lists: only enough links to connect
+    what is linked come out.
     """
-    parent = list(range(len(queries) + len(index)))
+    if labels is None:
+        labels = [list(range(len(queries))), list(range(0 if same else len(queries), len(index) + (0 if same else len(queries))))]
+    _, label = np.unique(np.concatenate([labels[0], [] if same else labels[1]]), return_inverse=True)
     shift = 0 if same else len(queries)
 
-    def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
     # inverted lists: for each distinct shingle, the ascending indexed sets that have it
     every = np.concatenate(index)
     owner = np.repeat(np.arange(len(index)), [len(s) for s in index])
@@ -199,6 +170,8 @@ def divide_skip(queries: list[np.ndarray], index: list[np.ndarray], percent: int
     every, owner = every[order], owner[order]
     words, start = np.unique(every, return_index=True)
     stop = np.append(start[1:], len(every))
+    place = np.repeat(np.arange(len(words)), stop - start) * len(index) + owner  # ascending: lists one after the other
+    sizes = [len(s) for s in index]
     links = []
     for q, s in enumerate(queries):
         at = np.searchsorted(words, s)
@@ -206,61 +179,102 @@ def divide_skip(queries: list[np.ndarray], index: list[np.ndarray], percent: int
         t = needed(len(s), percent)
         if len(at) < t:
             continue
-        length = stop[at] - start[at]
-        by_length = at[np.argsort(length, kind="stable")]
+        at = at[np.argsort(stop[at] - start[at], kind="stable")]
         # the longest lists are put aside, fewer than the required count
-        n_long = max(0, min(t - 1, max(int((length > 8).sum()), len(at) - 4 * (len(at) - t + 1))))
-        short, long = by_length[: len(at) - n_long], by_length[len(at) - n_long :]
-        lists = [owner[start[w] : stop[w]] for w in short]
-        if len(lists) <= 8:
-            merged = ((k, sum(1 for _ in g)) for k, g in groupby(heapq.merge(*(x.tolist() for x in lists))))
-        else:  # many lists: the same merge in one sort
-            merged = zip(*(x.tolist() for x in np.unique(np.concatenate(lists), return_counts=True)), strict=True) if lists else ()
-        for k, count in sorted(merged, key=lambda x: -x[1]):
-            if same and k >= q or count < t - n_long or root(q) == root(k + shift):
-                continue
-            need = overlap_needed(len(s), len(index[k]), percent)
-            if count + n_long < need:
-                continue
-            probe = words[long]
-            found = np.searchsorted(index[k], probe)
-            total = count + int((index[k][np.minimum(found, len(index[k]) - 1)] == probe).sum())
-            if total >= need:
-                links.append((q, k))
-                parent[root(q)] = root(k + shift)
+        n_long = min(t - 1, int(t / (MU * np.log2(max(2, stop[at[-1]] - start[at[-1]])) + 1)))
+        short, long = at[: len(at) - n_long], np.sort(at[len(at) - n_long :])
+        last = -1
+        while True:
+            open_ = label[shift:] != label[q]
+            open_[: last + 1] = False
+            if same:
+                open_[q:] = False
+            lists = [x for x in (owner[start[w] : stop[w]][open_[owner[start[w] : stop[w]]]].tolist() for w in short) if x] if open_.any() else []
+            linked = False
+            for k, entries in groupby(heapq.merge(*lists)):
+                count = sum(1 for _ in entries)
+                need = overlap_needed(len(s), sizes[k], percent)
+                if count + n_long < need:
+                    continue
+                probe = long * len(index) + k
+                found = np.minimum(np.searchsorted(place, probe), len(place) - 1)
+                if count + int((place[found] == probe).sum()) >= need:
+                    links.append((q, k))
+                    label[label == label[k + shift]] = label[q]
+                    last, linked = k, True
+                    break  # what is connected now drops out of the lists
+            if not linked:
+                break
     return links
 
 
 def _link_blocks(rows: DataFrame, percent: int) -> DataFrame:
-    """Links of each block pair (cluster, g1, s1, g2, s2), whose rows are together and in order."""
+    """Links (a, b) of each block pair (cluster, g1, s1, g2, s2), whose rows are together and in order."""
     keys = ["cluster", "g1", "s1", "g2", "s2"]
 
     def run(batches):
         key, group = None, []
 
-        def search():
-            left = [(c, s) for side, c, s in group if side == 0]
-            right = [(c, s) for side, c, s in group if side == 1]
-            found = divide_skip([s for _, s in left], [s for _, s in right or left], percent, not right) if left else []
-            return [left[q][0] for q, _ in found], [(right or left)[k][0] for _, k in found]
-
         def out():
-            a, b = search()
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            left = [(c, x, s) for side, c, x, s in group if side == 0]
+            right = [(c, x, s) for side, c, x, s in group if side == 1]
+            same = key[1:3] == key[3:]
+            if left and (right or same):
+                other = left if same else right
+                found = divide_skip([x[2] for x in left], [x[2] for x in other], percent, same, [[x[1] for x in left], [x[1] for x in other]])
+                ends = [left[q][0] for q, _ in found], [other[k][0] for _, k in found]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ends], ["a", "b"])
 
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in range(5)]
-            side, cid, packed = (batch.column(c).to_pylist() for c in (5, 6, 7))
+            side, cid, comp, packed = (batch.column(c).to_pylist() for c in (5, 6, 7, 8))
             for k, new in enumerate(zip(*cols, strict=True)):
                 if new != key:
-                    if group and (key[1:3] == key[3:] or group[-1][0] == 1):
-                        yield out()
+                    if group:
+                        yield from out()
                     key, group = new, []
-                group.append((side[k], cid[k], np.frombuffer(packed[k], np.uint64)))
-        if group and (key[1:3] == key[3:] or group[-1][0] == 1):
-            yield out()
+                group.append((side[k], cid[k], comp[k], np.frombuffer(packed[k], np.uint64)))
+        if group:
+            yield from out()
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "side", "n", "cid").select(*keys, "side", "cid", "comp", "set").mapInArrow(run, "a long, b long")
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "side", "n", "cid").select(*keys, "side", "cid", "set").mapInArrow(run, "a long, b long")
+
+def _block_rows(members: DataFrame) -> DataFrame:
+    """Members (cluster, cid, n, set, comp, g, rest) once for each block pair that they are in.
+
+    With ``rest`` false everywhere (first search): own block, and the first block of
+    equal or adjacent size. Otherwise: members with ``rest`` against all blocks of equal
+    or adjacent size, others against the blocks of members with ``rest``. Blocks of
+    the others have numbers below 0.
+    """
+    tally = members.groupBy("cluster", "g").agg(F.count_if("rest").alias("rest"), F.count_if(~F.col("rest")).alias("other"))
+    held = lambda c: F.expr(f"({c} + {BLOCK - 1}) div {BLOCK}")
+    tally = tally.select("cluster", F.struct("g", held("rest").alias("rest"), held("other").alias("other")).alias("t"))
+    tally = tally.groupBy("cluster").agg(F.collect_list("t").alias("tally"))  # one for each size class of a cluster: the logarithm of a size
+    rows = members.join(tally, "cluster")
+    of = lambda g, c: F.coalesce(F.get(F.filter("tally", lambda t: t["g"] == g), 0)[c], F.lit(0).cast("long"))
+    g, one, zero = F.col("g"), F.lit(1).cast("long"), F.lit(0).cast("long")
+    hashed = F.xxhash64("cid")
+    own = F.when(F.col("rest"), F.pmod(hashed, of(g, "rest"))).otherwise(-1 - F.pmod(hashed, of(g, "other")))
+    rows = rows.withColumn("s", own).withColumn("first", F.expr("aggregate(tally, 0L, (m, t) -> m + t.rest) = 0"))
+    s = F.col("s")
+    span = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
+
+    def targets(h: Column) -> Column:
+        every, lowest = span(-of(h, "other"), of(h, "rest") - 1), -of(h, "other")
+        leading = F.when(of(h, "other") > 0, F.array(-one)).otherwise(F.array().cast("array<bigint>"))
+        first = F.when(s == -1, span(lowest, -one)).otherwise(leading)
+        return F.when(F.col("first"), first).when(F.col("rest"), every).otherwise(span(zero, of(h, "rest") - 1))
+
+    def pair(g1, s1, g2, s2, side):
+        return F.struct(g1.alias("g1"), s1.alias("s1"), g2.alias("g2"), s2.alias("s2"), side.cast("int").alias("side"))
+
+    same = F.array_distinct(F.concat(targets(g), F.when(F.col("first") | F.col("rest"), F.array(s)).otherwise(F.array().cast("array<bigint>"))))
+    own = F.transform(same, lambda o: pair(g, F.least(s, o), g, F.greatest(s, o), (s > o).cast("int")))
+    up = F.transform(targets(g + 1), lambda o: pair(g, s, g + 1, o, F.lit(0)))
+    down = F.transform(targets(g - 1), lambda o: pair(g - 1, o, g, s, F.lit(1)))
+    return rows.select("cluster", "cid", "n", "set", "comp", F.explode(F.concat(own, up, down)).alias("p")).select("cluster", "p.*", "cid", "n", "comp", "set")
 
 
 def candidate_ties(entries: DataFrame, percent: int) -> DataFrame:
@@ -281,12 +295,10 @@ def candidate_ties(entries: DataFrame, percent: int) -> DataFrame:
     merged = pairs.groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= least).select("a", "b")
 
     # classes whose prefix has more long lists than the merge may skip
-    long = shared.where(F.col("held") > SHORT)
-    heavy = long.groupBy("cid").agg(F.count(F.lit(1)).alias("longs"), F.first("n").alias("n")).where(F.col("longs") > extra("n")).select("cid")
-    tied = long.join(heavy, "cid").withColumn("g", size_class(percent))
-    pivots = tied.groupBy("key", "g").agg(F.min("cid").alias("pivot"))
-    reach = pivots.unionByName(pivots.withColumn("g", F.col("g") - 1))
-    stars = tied.select("cid", "key", "g").join(reach, ["key", "g"]).select(F.col("cid").alias("a"), F.col("pivot").alias("b")).where("a <> b").distinct()
+    longs = F.count(F.lit(1)).over(Window.partitionBy("cid"))
+    tied = shared.where(F.col("held") > SHORT).withColumn("longs", longs).where(F.col("longs") > extra("n")).select("cid", "key")
+    pivots = tied.groupBy("key").agg(F.min("cid").alias("pivot"))
+    stars = tied.join(pivots, "key").select(F.col("cid").alias("a"), F.col("pivot").alias("b")).where("a <> b")
     return merged.unionByName(stars)
 
 
@@ -295,38 +307,39 @@ def size_class(percent: int):
     return F.floor(F.log(F.col("n").cast("double")) / (F.log(F.lit(100.0 / percent)) * 1.0001)).cast("long")
 
 
+def _linked(sets: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
+    """(id, component) of classes with links; sets: doc_id, n, shingles; clusters: cid, cluster."""
+    members = sets_of(sets, _id_bitmap(clusters)).join(clusters, "cid").withColumn("g", size_class(percent))
+    members = written(members, "members", "none")
+    first = members.withColumn("comp", F.col("cid")).withColumn("rest", F.lit(False))
+    links = written(_link_blocks(_block_rows(first), percent), "links")
+    found = components(links, "linked")
+
+    large = members.groupBy("cluster", "g").count().where(F.col("count") > BLOCK).select("cluster").distinct()
+    named = members.join(large, "cluster", "left_semi").join(found.withColumnRenamed("id", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
+    tally = named.groupBy("cluster", "comp").count().groupBy("cluster").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count(F.lit(1)).alias("parts"))
+    tally = written(tally.where("parts > 1"), "split-clusters")
+    if tally.isEmpty():
+        return found
+    rest = named.join(tally, "cluster").withColumn("rest", F.col("comp") != F.col("main")).select("cluster", "cid", "n", "set", "comp", "g", "rest")
+    more = _link_blocks(_block_rows(written(rest, "rest", "none")), percent)
+    return components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), "all-linked")
+
+
 def link(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, component_id and n_copies (documents with the same set) of each row of ``docs``."""
-    docs = docs.select("doc_id", "text")
-    seen = written(profile(docs, width), "profile")
-    each = seen.where("doc").select("doc_id", "n", "f1", "f2")
-    frequent = written(seen.where("not doc").groupBy(F.col("f1").alias("h")).agg(F.sum("n").alias("n")).where(F.col("n") >= LEVELS[0]), "frequent")
-    levels = [bitmap.build(frequent.where(F.col("n") >= least), F.col("h")) for least in LEVELS]
+    seen = written(shingle_sets(docs.select("doc_id", "text"), width), "shingle-sets", "none")
+    sets = seen.where("c IS NULL")
+    each = sets.select("doc_id", "n", "f1", "f2")
+    frequent = seen.where("c IS NOT NULL").groupBy(F.col("f1").alias("h")).agg(F.sum("c").alias("c")).where(F.col("c") >= LEVELS[0])
+    levels = bitmap.build(frequent, F.col("h"), [F.col("c") >= least for least in LEVELS])
 
     classes = each.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("cid"), F.count(F.lit(1)).alias("n_copies"))
     classes = written(classes, "classes")
-    entries = prefixes(docs, width, percent, levels).join(classes.select("cid").distinct(), "cid", "left_semi")
+    entries = prefixes(sets, percent, levels).join(classes.select("cid"), "cid", "left_semi")
     clusters = components(candidate_ties(entries, percent), "clusters").select(F.col("id").alias("cid"), F.col("component").alias("cluster"))
-    clusters = written(clusters, "clusters")
-
-    sets = sets_of(docs, width, _id_bitmap(clusters)).join(clusters, "cid").withColumn("g", size_class(percent))
-    sets = written(sets, "sets")
-    sizes = written(sets.groupBy("cluster", "g").agg(F.expr(f"(count(1) + {BLOCK - 1}) div {BLOCK}").alias("m")), "sizes")
-    near = sizes.select("cluster", "g", "m").join(sizes.select("cluster", (F.col("g") - 1).alias("g"), F.col("m").alias("above")), ["cluster", "g"], "left")
-    near = near.join(sizes.select("cluster", (F.col("g") + 1).alias("g"), F.col("m").alias("below")), ["cluster", "g"], "left")
-    rows = sets.join(near, ["cluster", "g"]).withColumn("s", F.pmod(F.xxhash64("cid"), F.col("m")))
-    long0 = F.lit(0).cast("long")
-    pair = lambda g1, s1, g2, s2, side: F.struct(g1.alias("g1"), s1.alias("s1"), g2.alias("g2"), s2.alias("s2"), F.lit(side).alias("side"))
-    g, s = F.col("g"), F.col("s")
-    own = F.transform(F.sequence(long0, F.col("m") - 1), lambda o: pair(g, F.least(s, o), g, F.greatest(s, o), 0))
-    own = F.transform(own, lambda p: F.when((p["s1"] == p["s2"]) | (p["s1"] == s), p).otherwise(F.struct(p["g1"].alias("g1"), p["s1"].alias("s1"), p["g2"].alias("g2"), p["s2"].alias("s2"), F.lit(1).alias("side"))))
-    none = F.array().cast("array<struct<g1:bigint,s1:bigint,g2:bigint,s2:bigint,side:int>>")
-    up = F.when(F.col("above").isNotNull(), F.transform(F.sequence(long0, F.col("above") - 1), lambda o: pair(g, s, g + 1, o, 0))).otherwise(none)
-    down = F.when(F.col("below").isNotNull(), F.transform(F.sequence(long0, F.col("below") - 1), lambda o: pair(g - 1, o, g, s, 1))).otherwise(none)
-    rows = rows.select("cluster", "cid", "n", "set", F.explode(F.concat(own, up, down)).alias("p")).select("cluster", "p.*", "cid", "n", "set")
-    links = _link_blocks(rows, percent)
-
-    found = components(links, "links").select(F.col("id").alias("cid"), F.col("component").alias("linked"))
+    found = _linked(sets, written(clusters, "clusters"), percent).select(F.col("id").alias("cid"), F.col("component").alias("linked"))
+
     named = classes.join(found, "cid", "left").select("f1", "f2", "n", F.coalesce("linked", "cid").alias("component"), "n_copies")
     out = each.join(named, ["f1", "f2", "n"], "left")
     return out.select(
@@ -342,11 +355,11 @@ def _id_bitmap(df: DataFrame) -> np.ndarray:
             h = mix(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
 
-    return bitmap.build(df.select("cid").mapInArrow(run, "h long"), F.col("h"))
+    return bitmap.build(df.select("cid").mapInArrow(run, "h long"), F.col("h"))[0]
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Rows of ``docs`` that stand for their group: the smallest doc_id of each component. Null ids and texts without words stay."""
-    result = link(docs, width, percent).select(F.col("doc_id").alias("_id"), "component_id", "n_shingles")
-    gone = result.where("n_shingles > 0 and _id <> component_id").select("_id").distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
+    result = link(docs, width, percent)
+    gone = result.where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")

@@ -1,7 +1,8 @@
 """Shared scratch space: every intermediate table is a Parquet table there.
 
-The folder is the session's ``spark.checkpoint.dir``; only where that is unset
-(unit tests, a local session) a temporary folder takes its place.
+The folder is the session's ``spark.checkpoint.dir``. Only a session whose tasks
+run in the driver's own machine (``local[...]``, as in unit tests) may leave it
+unset: a temporary folder takes its place there.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 def folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tallymill-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -25,9 +29,9 @@ def fresh(spark: SparkSession, tag: str) -> str:
     return f"{folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = fresh(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
