@@ -34,7 +34,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transport_stream.digest(transport_stream.demux(transport_stream.mux(table(spark, sf_dir, "documents"))))
+    return transport_stream.round_trip(table(spark, sf_dir, "documents"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

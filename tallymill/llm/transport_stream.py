@@ -7,9 +7,13 @@ the program tables of stored streams, checks continuity counters, reassembles
 the elementary packets and gives payload, timestamps and random-access points.
 Both work on one row at a time; nothing is shuffled.
 
+``round_trip`` does both and gives checksums, in one pass.
+
 Null or empty text: a payload of padding alone. A stream that does not parse:
 ``error`` says why and the other columns are null (null media: "no media").
-Equal texts give equal streams. Extra columns are ignored.
+Equal texts give equal streams. Batches are cut by bytes, so many long texts in a
+row are not held together; one very long text is held whole, with its stream. A null
+doc_id stays null; an empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 PACKET, SYNC, HZ = 188, 0x47, 90_000
@@ -27,6 +32,8 @@ UNIT = 16 * BLOCK
 PMT_PID, ES_PID, PRIVATE_DATA = 0x1000, 0x0100, 0x06
 FRAME_TICKS = HZ // 25
 RANDOM_ACCESS_EVERY = 4
+#: Bytes of texts or streams that a task holds at once, beyond one row.
+SLICE = 8 << 20
 
 MUX_SCHEMA = "doc_id long, n_bytes long, media binary"
 DEMUX_SCHEMA = (
@@ -159,13 +166,22 @@ def demux_bytes(media: bytes) -> dict:
     }
 
 
+def slices(batch, column: int):
+    """Consecutive parts of a batch with about ``SLICE`` bytes in the column."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def mux(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and the text as a stored transport stream."""
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for part in slices(batch, 1):
                 data = [(t or "").encode("utf-8", "replace") for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).cast(pa.int64()), pa.array([len(d) for d in data], pa.int64()), pa.array([mux_bytes(padded(d)) for d in data], pa.binary())], ["doc_id", "n_bytes", "media"]
@@ -193,8 +209,7 @@ def demux(media: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for part in slices(batch, 2):
                 rows = [demux_row(m) for m in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array([r.get(f) for r in rows], t) for f, t in zip(fields, types, strict=True))], ["doc_id", "n_bytes", *fields])
 
@@ -207,26 +222,49 @@ DIGEST_SCHEMA = (
 )
 
 
-def digest(streams: DataFrame) -> DataFrame:
+def digest_row(doc_id: int | None, n_bytes: int, r: dict) -> dict:
     """Checksums and a feature line of what ``demux`` read back."""
+    p = r["payload"]
+    if p is None:
+        return {"doc_id": doc_id, "n_bytes": n_bytes, "feature": f"error={r['error']}"}
+    t, ra = r["timestamps"], r["random_access"]
+    feature = f"program={r['program']};type={r['stream_type']};packets={r['packets']};cc_errors={r['continuity_errors']};units={len(t)};rap={len(ra)};last_pts={t[-1] if t else -1}"
+    return {
+        "doc_id": doc_id, "n_bytes": n_bytes, "payload_bytes": len(p), "payload_sha256": hashlib.sha256(p).hexdigest(), "tail_crc32": zlib.crc32(p[-32:]),
+        "media_bytes": r["media_bytes"], "media_sha256": r["media_sha256"], "feature": feature, "packets": r["packets"], "continuity_errors": r["continuity_errors"],
+        "n_timestamps": len(t), "n_random_access": len(ra),
+    }
+
+
+def _digests(rows) -> pa.RecordBatch:
+    names = [c.split(" ")[0] for c in DIGEST_SCHEMA.split(", ")]
+    kinds = [pa.string() if c.endswith(" string") else pa.int64() for c in DIGEST_SCHEMA.split(", ")]
+    rows = list(rows)
+    return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], k) for n, k in zip(names, kinds, strict=True)], names)
+
+
+def digest(streams: DataFrame) -> DataFrame:
+    """Checksums and a feature line of each row that ``demux`` gave."""
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                p = r["payload"]
-                if p is None:
-                    rows.append({"doc_id": r["doc_id"], "n_bytes": r["n_bytes"], "feature": f"error={r['error']}"})
-                    continue
-                t, ra = r["timestamps"], r["random_access"]
-                feature = f"program={r['program']};type={r['stream_type']};packets={r['packets']};cc_errors={r['continuity_errors']};units={len(t)};rap={len(ra)};last_pts={t[-1] if t else -1}"
-                rows.append({
-                    "doc_id": r["doc_id"], "n_bytes": r["n_bytes"], "payload_bytes": len(p), "payload_sha256": hashlib.sha256(p).hexdigest(), "tail_crc32": zlib.crc32(p[-32:]),
-                    "media_bytes": r["media_bytes"], "media_sha256": r["media_sha256"], "feature": feature, "packets": r["packets"], "continuity_errors": r["continuity_errors"],
-                    "n_timestamps": len(t), "n_random_access": len(ra),
-                })
-            names = [c.split(" ")[0] for c in DIGEST_SCHEMA.split(", ")]
-            kinds = [pa.string() if c.endswith(" string") else pa.int64() for c in DIGEST_SCHEMA.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], k) for n, k in zip(names, kinds, strict=True)], names)
+            for part in slices(batch, batch.schema.get_field_index("payload")):
+                yield _digests(digest_row(r["doc_id"], r["n_bytes"], r) for r in part.to_pylist())
 
     return streams.mapInArrow(run, DIGEST_SCHEMA)
+
+
+def round_trip(docs: DataFrame) -> DataFrame:
+    """``digest`` of ``demux`` of ``mux`` of each text, a row at a time in one pass."""
+
+    def rows(part):
+        for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            data = (text or "").encode("utf-8", "replace")
+            yield digest_row(doc_id, len(data), demux_row(mux_bytes(padded(data))))
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, 1):
+                yield _digests(rows(part))
+
+    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(run, DIGEST_SCHEMA)
