@@ -1,7 +1,9 @@
 """Near-duplicate components by an exact n-gram Jaccard join with T-occurrence search.
 
-1. One pass writes each text's shingle set, packed, with two fingerprints. Texts with
-   equal sets form a class; one document stands for it.
+1. Texts are hashed to shingle sets where they are needed: once for two fingerprints and
+   counts, once for prefixes, and a third time only those that may have links. So no
+   copy of all sets, which are larger than the texts, is stored. Texts with equal sets
+   form a class; one document stands for it.
 2. Shingles get one global order, rare before frequent. Frequent ones are known
    from counts over all texts, kept in bitmaps of fixed size; a mistaken bit moves a
    shingle in the order and never changes the result.
@@ -58,7 +60,18 @@ BLOCK = 256
 #: DivideSkip's weight of a binary search against a merged entry.
 MU = 0.0085
 _WINDOW = 2_000_000
-_SETS = "doc_id long, n long, f1 long, f2 long, c long, shingles binary"
+_PROFILE = "doc_id long, n long, f1 long, f2 long, c long"
+
+
+def _text_sets(batches, width):
+    """(batch, row, set) of each text in column 1, block by block; a set's shingle hashes are sorted."""
+    for batch in batches:
+        at = 0
+        for _, block in blocks(batch.column(1).to_pylist()):
+            h, bounds = block_words(block)
+            for k in range(len(block)):
+                yield batch, at + k, np.unique(shingles(h[bounds[k] : bounds[k + 1]], width))
+            at += len(block)
 
 
 def _signed(x: int) -> int:
@@ -66,41 +79,41 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """n, two fingerprints and the packed set of each document; rows with a count c are of shingle f1 within a task."""
-    names = [c.split(" ")[0] for c in _SETS.split(", ")]
+def profile(docs: DataFrame, width: int) -> DataFrame:
+    """n and two fingerprints of each document's set; rows with a count c are of shingle f1 within a task."""
+    names = [c.split(" ")[0] for c in _PROFILE.split(", ")]
 
     def run(batches):
-        seen, held, size = set(), [], 0
+        seen, held, size, rows = set(), [], 0, []
+
+        def out(*columns):
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
         def counts():
             h, c = np.unique(np.concatenate(held), return_counts=True)
-            h, c = h[c > 1].view(np.int64), c[c > 1]
-            none = pa.nulls(len(h), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, pa.array(h), none, pa.array(c.astype(np.int64)), pa.nulls(len(h), pa.binary())], names)
-
-        for batch in batches:
-            ids, at = batch.column(0).cast(pa.int64()), 0
-            for _, block in blocks(batch.column(1).to_pylist()):
-                h, bounds = block_words(block)
-                sets = [np.unique(shingles(h[bounds[k] : bounds[k + 1]], width)) for k in range(len(block))]
-                prints = [(int(s.sum(dtype=np.uint64)), int(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64))) for s in sets]
-                cols = [pa.array(x, pa.int64()) for x in ([len(s) for s in sets], *([_signed(p[j]) for p in prints] for j in (0, 1)))]
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(block)), *cols, pa.nulls(len(block), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names)
-                at += len(block)
-                for s, p in zip(sets, prints, strict=True):
-                    if p not in seen:
-                        seen.add(p)
-                        held.append(s)
-                        size += len(s)
-                if size >= _WINDOW:
-                    yield counts()
-                    held, size = [], 0
-                    seen.clear()
+            none = [None] * int((c > 1).sum())
+            return out(none, none, h[c > 1].view(np.int64), none, c[c > 1])
+
+        for batch, k, s in _text_sets(batches, width):
+            f1, f2 = int(s.sum(dtype=np.uint64)), int(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64))
+            rows.append((batch.column(0)[k].as_py(), len(s), _signed(f1), _signed(f2), None))
+            if (f1, f2) not in seen:
+                seen.add((f1, f2))
+                held.append(s)
+                size += len(s)
+            if len(rows) >= 8192:
+                yield out(*zip(*rows, strict=True))
+                rows = []
+            if size >= _WINDOW:
+                yield counts()
+                held, size = [], 0
+                seen.clear()
+        if rows:
+            yield out(*zip(*rows, strict=True))
         if size:
             yield counts()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SETS)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _PROFILE)
 
 
 def needed(n: int, percent: int) -> int:
@@ -112,39 +125,62 @@ def prefix_length(n: int, percent: int) -> int:
     return min(n, n - needed(n, percent) + 1 + int(EXTRA * n))
 
 
-def prefixes(sets: DataFrame, percent: int, levels: list[np.ndarray]) -> DataFrame:
+def prefixes(docs: DataFrame, width: int, percent: int, levels: list[np.ndarray]) -> DataFrame:
     """cid, n, and the set's prefix in the global order."""
-    shared = sets.sparkSession.sparkContext.broadcast(levels)
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches):
-        maps = shared.value
-        for batch in batches:
-            keys = []
-            for packed in batch.column(2):
-                s = np.frombuffer(packed.as_buffer(), np.uint64)
-                level = np.zeros(len(s), np.uint8)
-                for m in maps:
-                    level += bitmap.test(m, s)
-                keys.append(s[np.argsort(level, kind="stable")[: prefix_length(len(s), percent)]])
-            offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            values = np.concatenate([np.empty(0, np.uint64), *keys]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["cid", "n", "keys"])
+        ids, ns, keys, size = [], [], [], 0
 
-    return sets.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "shingles").mapInArrow(run, "cid long, n long, keys array<long>")
-
-
-def sets_of(sets: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """cid, n and packed set of documents whose id's bit is in ``wanted``."""
-    shared = sets.sparkSession.sparkContext.broadcast(wanted)
+        def out():
+            offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys).view(np.int64)))], ["cid", "n", "keys"])
+
+        for batch, k, s in _text_sets(batches, width):
+            doc_id = batch.column(0)[k].as_py()
+            if not len(s) or doc_id is None:
+                continue
+            level = np.zeros(len(s), np.uint8)
+            for m in shared.value:
+                level += bitmap.test(m, s)
+            ids.append(doc_id)
+            ns.append(len(s))
+            keys.append(s[np.argsort(level, kind="stable")[: prefix_length(len(s), percent)]])
+            size += len(keys[-1])
+            if size >= 200_000:
+                yield out()
+                ids, ns, keys, size = [], [], [], 0
+        if ids:
+            yield out()
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "cid long, n long, keys array<long>")
+
+
+def sets_of(docs: DataFrame, width: int, wanted: np.ndarray) -> DataFrame:
+    """cid, n and the sorted set (packed) of documents whose id's bit is in ``wanted``."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches):
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            ok = bitmap.test(shared.value, mix(ids.view(np.uint64)))
-            if ok.any():
-                yield batch.filter(pa.array(ok)).rename_columns(["cid", "n", "set"])
-
-    return sets.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "shingles").mapInArrow(run, "cid long, n long, set binary")
+        def keep():
+            for batch in batches:
+                ok = pa.array(bitmap.test(shared.value, mix(batch.column(0).to_numpy().view(np.uint64))))
+                yield batch.filter(ok)
+
+        ids, ns, packed, size = [], [], [], 0
+        for batch, k, s in _text_sets(keep(), width):
+            if not len(s):
+                continue
+            ids.append(batch.column(0)[k].as_py())
+            ns.append(len(s))
+            packed.append(s.tobytes())
+            size += len(s)
+            if size >= 200_000:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(packed, pa.binary())], ["cid", "n", "set"])
+                ids, ns, packed, size = [], [], [], 0
+        if ids:
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(packed, pa.binary())], ["cid", "n", "set"])
+
+    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "cid long, n long, set binary")
 
 
 def overlap_needed(n: int, m: int, percent: int) -> int:
@@ -279,7 +315,7 @@ def _block_rows(members: DataFrame) -> DataFrame:
 
 def candidate_ties(entries: DataFrame, percent: int) -> DataFrame:
     """Ties (a, b) such that every link is within a cluster of ties. entries: cid, n, keys."""
-    flat = entries.select("cid", "n", F.explode("keys").alias("key"))
+    flat = written(entries, "prefixes", "none").select("cid", "n", F.explode("keys").alias("key"))
     lists = flat.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
     shared = written(flat.join(lists, "key"), "shared-keys")
 
@@ -307,9 +343,9 @@ def size_class(percent: int):
     return F.floor(F.log(F.col("n").cast("double")) / (F.log(F.lit(100.0 / percent)) * 1.0001)).cast("long")
 
 
-def _linked(sets: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
-    """(id, component) of classes with links; sets: doc_id, n, shingles; clusters: cid, cluster."""
-    members = sets_of(sets, _id_bitmap(clusters)).join(clusters, "cid").withColumn("g", size_class(percent))
+def _linked(docs: DataFrame, clusters: DataFrame, width: int, percent: int) -> DataFrame:
+    """(id, component) of classes with links; clusters: cid, cluster."""
+    members = sets_of(docs, width, _id_bitmap(clusters)).join(clusters, "cid").withColumn("g", size_class(percent))
     members = written(members, "members", "none")
     first = members.withColumn("comp", F.col("cid")).withColumn("rest", F.lit(False))
     links = written(_link_blocks(_block_rows(first), percent), "links")
@@ -328,17 +364,17 @@ def _linked(sets: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
 
 def link(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, component_id and n_copies (documents with the same set) of each row of ``docs``."""
-    seen = written(shingle_sets(docs.select("doc_id", "text"), width), "shingle-sets", "none")
-    sets = seen.where("c IS NULL")
-    each = sets.select("doc_id", "n", "f1", "f2")
+    docs = docs.select("doc_id", "text")
+    seen = written(profile(docs, width), "profile")
+    each = seen.where("c IS NULL").select("doc_id", "n", "f1", "f2")
     frequent = seen.where("c IS NOT NULL").groupBy(F.col("f1").alias("h")).agg(F.sum("c").alias("c")).where(F.col("c") >= LEVELS[0])
     levels = bitmap.build(frequent, F.col("h"), [F.col("c") >= least for least in LEVELS])
 
     classes = each.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("cid"), F.count(F.lit(1)).alias("n_copies"))
     classes = written(classes, "classes")
-    entries = prefixes(sets, percent, levels).join(classes.select("cid"), "cid", "left_semi")
+    entries = prefixes(docs, width, percent, levels).join(classes.select("cid"), "cid", "left_semi")
     clusters = components(candidate_ties(entries, percent), "clusters").select(F.col("id").alias("cid"), F.col("component").alias("cluster"))
-    found = _linked(sets, written(clusters, "clusters"), percent).select(F.col("id").alias("cid"), F.col("component").alias("linked"))
+    found = _linked(docs, written(clusters, "clusters"), width, percent).select(F.col("id").alias("cid"), F.col("component").alias("linked"))
 
     named = classes.join(found, "cid", "left").select("f1", "f2", "n", F.coalesce("linked", "cid").alias("component"), "n_copies")
     out = each.join(named, ["f1", "f2", "n"], "left")

@@ -29,9 +29,21 @@ def fresh(spark: SparkSession, tag: str) -> str:
     return f"{folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+#: While a table is written, batches are small and so are its row groups: columns of texts and packed sets are wide.
+_SMALL = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m", "spark.sql.parquet.columnarReaderBatchSize": "512"}
+_ROW_GROUP = 16 << 20
+
+
 def written(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = fresh(spark, tag)
-    df.write.option("compression", compression).parquet(path)
+    before = {k: spark.conf.get(k) for k in _SMALL}
+    try:
+        for k, v in _SMALL.items():
+            spark.conf.set(k, v)
+        df.write.option("compression", compression).option("parquet.block.size", _ROW_GROUP).parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
