@@ -9,8 +9,11 @@ log-likelihood beats a penalty for one more proportion. The prediction is the
 language with the largest proportion, which is the score.
 
 Null text, or text without letters: ``und`` with score 0. No training rows: all
-``und``. Ties go to the language that sorts first. Rows are independent, so
-repeated rows give equal answers. Extra columns are ignored.
+``und``. Ties go to the language that sorts first. A null doc_id counts as the empty
+text in the split and stays null. Rows are independent, so repeated rows give equal
+answers; a very long text is counted whole in one pass, then only its counts are
+used. An empty table gives no rows. Extra columns are ignored. More than
+``MAX_LANGUAGES`` values of lang are an error: the model would have no bounded size.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 15
 ORDERS = 3
+MAX_LANGUAGES = 500
 SCHEMA = "doc_id long, lang_pred string, score double, languages array<string>, proportions array<double>"
 _A, _B, _SHIFT = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(17)
 
@@ -96,7 +100,10 @@ def train(docs: DataFrame, alpha: float = 0.5) -> tuple[list[str], np.ndarray]:
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(c[at])], ["lang", "bucket", "n"])
 
-    rows = docs.where("text is not null and lang is not null").select("text", "lang").mapInArrow(run, "lang string, bucket int, n long")
+    docs = docs.where("text is not null and lang is not null")
+    if docs.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    rows = docs.select("text", "lang").mapInArrow(run, "lang string, bucket int, n long")
     # at most one row for each language and bucket
     total = rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(total["lang"].unique())
@@ -173,5 +180,5 @@ def identify(docs: DataFrame, langs: list[str], loglike: np.ndarray, penalty: fl
 
 
 def remainder(n: int) -> Column:
-    """crc32 of doc_id as text, modulo ``n``."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+    """crc32 of doc_id as text (empty if null), modulo ``n``."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n

@@ -6,13 +6,16 @@ account numbers, credentials, numbers that fail a check). Five labelers vote on
 each: shape, check digits or ranges, gazetteer, nearby words, and contrary
 evidence. Expectation-maximisation over the counts of all vote patterns of the
 corpus estimates each labeler's reliability for each kind; the posteriors train
-a logistic span classifier, which accepts or refuses every candidate that is
-not a base one. Vote patterns are a small fixed set, so only their counts reach
-the driver; candidates stay in a table in the shared folder.
+a logistic span classifier on votes and on coarse features of the span and what is
+beside it; it accepts or refuses every candidate that is not a base one. Votes with
+features are a fixed set, so only their counts reach the driver; candidates stay in a
+table in the shared folder.
 
 Null or empty text: zero counts, no spans. Spans are code points, end exclusive.
-Repeated rows each get their row. Extra columns are ignored. An added span that
-overlaps a base span is dropped.
+Repeated rows each get their row, a null doc_id stays null. A very long text is
+scanned whole in one task, in time that follows its length. An empty table gives no
+rows. Extra columns are ignored. An added span that overlaps a base span is dropped;
+of added spans that overlap, the one that begins first stays.
 """
 
 from __future__ import annotations
@@ -49,11 +52,21 @@ _LOOSE = {
 }
 # Words near each kind, contrary words, and the gazetteers.
 _NEAR = {
-    "email": ("mail", "contact", "write to", "address"), "ip": ("ip", "host", "server", "address", "login from"), "card": ("card", "visa", "credit", "payment", "cvv"),
-    "phone": ("phone", "tel", "call", "mobile", "fax", "contact"), "national_id": ("ssn", "social", "national id", "passport"), "account": ("iban", "account", "bank", "transfer"),
-    "secret": ("token", "key", "secret", "password", "passwd", "credential", "bearer"),
+    "email": ("mail", "email", "mailto", "contact", "write to", "address"), "ip": ("ip", "host", "server", "address", "login from"), "card": ("card", "visa", "credit", "payment", "cvv"),
+    "phone": ("phone", "tel", "telephone", "call", "mobile", "fax", "contact"), "national_id": ("ssn", "social", "national id", "passport"), "account": ("iban", "account", "bank", "transfer"),
+    "secret": ("token", "key", "api_key", "secret", "password", "passwd", "credential", "credentials", "bearer"),
 }
 _AGAINST = ("version", "isbn", "order", "invoice", "page", "section", "chapter", "total", "serial", "sha", "commit", "checksum")
+#: Shapes of base kinds whose check failed.
+_SHAPE = {"ip": re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"), "card": re.compile(r"[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{2,4}")}
+
+
+def _whole(words: tuple[str, ...]) -> re.Pattern:
+    """Any of the words, not as part of a longer one."""
+    return re.compile(rf"(?<![a-z0-9])(?:{'|'.join(map(re.escape, words))})(?![a-z0-9])")
+
+
+_NEAR_WORD, _AGAINST_WORD = {kind: _whole(words) for kind, words in _NEAR.items()}, _whole(_AGAINST)
 _DOMAINS = ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "eu", "info", "example", "test")
 _COUNTRY_CODES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "52", "54", "55", "61", "81", "82", "86", "91")
 _ISSUERS = ("34", "37", "4", "51", "52", "53", "54", "55", "6011", "62", "65")
@@ -111,11 +124,24 @@ def _iban(s: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _side(c: str) -> str:
+    """Class of a character next to a span: none, letter or digit, space, quote or bracket, sign before a value, other."""
+    return "0" if not c else "a" if c.isalnum() else "s" if c.isspace() else "q" if c in "\"'`()[]{}<>" else "=" if c in "=:" else "o"
+
+
+def span_features(text: str, s: str, digits: int, start: int, end: int) -> str:
+    """Features of the span and its context beside the votes: length, share of digits, separators, upper case, and what is on either side."""
+    sign = text[start - 2 : start - 1] if text[start - 1 : start].isspace() and start > 1 else text[start - 1 : start]
+    after = _side(text[end : end + 1])
+    return f"{min(3, len(s) // 12)}{4 * digits // max(1, len(s))}{min(2, sum(c in ' .-()/' for c in s))}{int(any(c.isupper() for c in s))}{_side(sign)}{after if after in 'aq' else 'o'}"
+
+
 def votes(text: str, rank: int, start: int, end: int, base: bool) -> str:
-    """Kind and five votes: y for, n against, - abstains; then a coarse length."""
+    """Kind and five votes: y for, n against, - abstains; then the span's features."""
     kind, s = KINDS[rank], text[start:end]
     d = _digits(s)
-    shape = "y" if base or _LOOSE.get(kind) and _LOOSE[kind].fullmatch(s) else "n"
+    form = _LOOSE.get(kind) or _SHAPE.get(kind)
+    shape = "y" if base or form and form.fullmatch(s) else "n"
     if kind == "card":
         check = "y" if luhn(d) else "n"
     elif kind == "ip":
@@ -136,10 +162,10 @@ def votes(text: str, rank: int, start: int, end: int, base: bool) -> str:
         "secret": s.startswith(_VENDOR),
     }.get(kind, False)
     around = text[max(0, start - 40) : start].lower()
-    near = "y" if any(w in around for w in _NEAR[kind]) else "-"
+    near = "y" if _NEAR_WORD[kind].search(around) else "-"
     edge = (start and text[start - 1].isalnum()) or (end < len(text) and text[end].isalnum())
-    against = "n" if edge or any(w in around for w in _AGAINST) else "-"
-    return f"{rank}{shape}{check}{'y' if listed else '-'}{near}{against}{min(3, len(s) // 12)}"
+    against = "n" if edge or _AGAINST_WORD.search(around) else "-"
+    return f"{rank}{shape}{check}{'y' if listed else '-'}{near}{against}{span_features(text, s, len(d), start, end)}"
 
 
 def candidates(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, str]]]:
@@ -221,24 +247,28 @@ def reliabilities(patterns: list[str], n: np.ndarray, rounds: int = 50) -> np.nd
 
 
 def span_classifier(patterns: list[str], n: np.ndarray, post: np.ndarray, rounds: int = 30) -> np.ndarray:
-    """Probabilities by a logistic model on kind, votes and length, trained on the posteriors."""
+    """Probabilities by a logistic model on votes and features of the span by kind, trained on the votes' posteriors."""
     cells = sorted({(k, p[0], p[k]) for p in patterns for k in range(1, len(p))} | {(0, p[0], "") for p in patterns})
     index = {c: k for k, c in enumerate(cells)}
-    x = np.zeros((len(patterns), len(cells)))
-    for row, p in zip(x, patterns, strict=True):
-        row[[index[0, p[0], ""], *(index[k, p[0], p[k]] for k in range(1, len(p)))]] = 1
+    at = np.array([[index[0, p[0], ""], *(index[k, p[0], p[k]] for k in range(1, len(p)))] for p in patterns])  # the cells that are 1
     w, beta = n.astype(float), np.zeros(len(cells))
+    chance = lambda: 1 / (1 + np.exp(-np.clip(beta[at].sum(1), -30, 30)))
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.solve((x.T * (w * p * (1 - p))) @ x + np.eye(len(cells)), x.T @ (w * (post - p)) - beta)
+        p = chance()
+        gradient, hessian = -beta, np.eye(len(cells))
+        for i in range(at.shape[1]):
+            gradient = gradient + np.bincount(at[:, i], w * (post - p), len(cells))
+            for j in range(at.shape[1]):
+                np.add.at(hessian, (at[:, i], at[:, j]), w * p * (1 - p))
+        step = np.linalg.solve(hessian, gradient)
         beta += step
         if np.abs(step).max(initial=0) < 1e-8:
             break
-    return 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+    return chance()
 
 
 def find(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """doc_id, base counts, base_sha256, spans and n_added of each row of ``docs``."""
+    """doc_id, base counts, base_sha256, spans, n_added and n_spans of each row of ``docs``."""
     scanned = written(scan(docs), "personal-data")
     table = scanned.select(F.explode("found.pattern").alias("pattern")).groupBy("pattern").count().toPandas().sort_values("pattern")
     patterns, n = table["pattern"].tolist(), table["count"].to_numpy()
@@ -252,4 +282,4 @@ def find(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     every = F.array_sort(F.array_union(F.transform("base", key), added))
     names = F.array(*map(F.lit, KINDS))
     text = F.array_join(F.transform(every, lambda c: F.concat_ws(":", names[c["rank"]], c["start"].cast("string"), c["end"].cast("string"))), ",")
-    return scanned.select("doc_id", *(f"n_{k}" for k in BASE), "base_sha256", text.alias("spans"), (F.size(every) - F.size("base")).cast("long").alias("n_added"))
+    return scanned.select("doc_id", *(f"n_{k}" for k in BASE), "base_sha256", text.alias("spans"), (F.size(every) - F.size("base")).cast("long").alias("n_added"), F.size(every).cast("long").alias("n_spans"))
