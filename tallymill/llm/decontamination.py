@@ -1,28 +1,37 @@
-"""Benchmark decontamination by seeds of a few equal tokens.
+"""Benchmark decontamination by spaced-seed hashing.
 
 A run is a stretch of the training text laid over one of an item of equal length, in
 which at least 80 % of the tokens agree. An item leaks when any run has ``min_tokens``
 equal tokens, or 80 % of the item if that is less; the run with the most equal tokens
 is given.
 
-The differing tokens of a run cut its equal ones into few pieces, so one piece has
-at least ``seed_width`` tokens: four, or less for some short items. Training windows
-of that width whose hash occurs among the item's are hits, and every run that makes a
-leak has one. On each hit's diagonal the agreeing tokens are counted, and where they
-could suffice the longest run is taken from prefix sums.
+Seeds are tokens under fixed masks: of five tokens in a row, or of six in a row of
+which a mask ignores one inner token. Wherever a run makes a leak, six tokens in a row
+have at most one difference: were there two in every six, more than a fifth would
+differ. So one of the five masks hits each leak. Short items, for which that does not
+hold, take the most tokens for which every way to differ is hit (``seed_weight``).
+Hashes of masked training tokens are joined with those of the items; on each hit's
+diagonal the agreeing tokens are counted, and where they could suffice the longest run
+is taken from prefix sums. Hits are expanded in bounded pieces, so seeds that many
+items share do not fill a task's memory.
 
-The benchmark comes in blocks of a bounded number of tokens, each broadcast to one
-pass over the whole training table; nothing is shuffled, so a passage that is in
-every document costs no more than its hits.
+The benchmark is hashed in tasks and comes in blocks of a bounded number of tokens,
+each broadcast to one pass over the whole training table; nothing is shuffled, so a
+passage that is in every document costs no more than its hits.
 
 Tokens are runs outside white space, A-Z in lower case. Null or empty texts are
-clean, null or empty items are skipped, an empty benchmark finds nothing. Repeated
-rows, and several items in one document, each get their row. Extra columns stay.
+clean, null or empty items are skipped, an empty benchmark finds nothing; an empty
+table gives no rows. Repeated rows, and several items in one document, each get their
+row; of equal runs the first is given. A null doc_id stays null. A very long text is
+searched whole by one task. ``drop_leaks`` hands all columns on, whatever their names;
+``find_leaks`` ignores extra ones.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from itertools import combinations
 from typing import NamedTuple
 
 import numpy as np
@@ -32,22 +41,27 @@ from pyspark.sql import functions as F
 
 from .words import block_words, blocks, mix
 
-#: The widest seed. Longer ones would lose runs in which every fifth token differs.
-SPAN = 4
+#: Tokens of a seed. Six in a row could hold two differences in each.
+WEIGHT = 5
 BLOCK_TOKENS = 500_000
 FILTER_BITS = 22
 VERIFY_TOKENS = 1 << 20
 SCHEMA = "doc_id long, item_id long, matched_tokens long, run_tokens long, item_tokens long, start_token long, end_token long"
-_C = [np.uint64(pow(0x9FB21C651E98DF25, k + 1, 1 << 64)) for k in range(SPAN)]
+_C = [np.uint64(pow(0x9FB21C651E98DF25, k + 1, 1 << 64)) for k in range(WEIGHT)]
+
+
+def masks(weight: int) -> list[tuple[int, ...]]:
+    """Places that count: ``weight`` in a row, or one more in a row less an inner one."""
+    return [tuple(range(weight)), *(tuple(k for k in range(weight + 1) if k != gap) for gap in range(1, weight))]
 
 
 class Index(NamedTuple):
-    """Seeds of a block of items: for each width, sorted hashes with their items and places."""
+    """Seeds of a block of items: for each weight, sorted hashes with their items and places."""
 
     ids: list
     tokens: list[np.ndarray]
     need: np.ndarray
-    widths: list[int]
+    weights: list[int]
     seeds: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
     filters: list[np.ndarray]
 
@@ -57,27 +71,36 @@ def needed(n: int, min_tokens: int) -> int:
     return max(1, min(min_tokens, -(-4 * n // 5)))
 
 
-def seed_width(n: int, need: int) -> int:
-    """Length of the piece without a difference that every run with ``need`` equal tokens has, at most ``SPAN``."""
-    return min(SPAN, *(-(-e // (1 + min(e // 4, n - e))) for e in range(need, n + 1)))
+@cache
+def seed_weight(n: int, need: int) -> int:
+    """The most tokens, up to ``WEIGHT``, of seeds that hit every run of an item of ``n`` tokens with ``need`` equal ones."""
+    if need >= 12:
+        return WEIGHT
+
+    def hit(length: int, differ: set[int], weight: int) -> bool:
+        return any(not any(at + k in differ for k in mask) for mask in masks(weight) for at in range(length - mask[-1]))
 
+    runs = [(length, set(x)) for length in range(need, n + 1) for e in range(min(length - need, length // 5) + 1) for x in combinations(range(length), e)]
+    return next((w for w in range(WEIGHT, 1, -1) if all(hit(length, x, w) for length, x in runs)), 1)
 
-def seed_hashes(h: np.ndarray, width: int) -> np.ndarray:
-    n = len(h) - width + 1
+
+def seed_hashes(h: np.ndarray, mask: tuple[int, ...], number: int) -> np.ndarray:
+    """Hash of the tokens under a mask at each place where it fits; masks are told apart by their number."""
+    n = len(h) - mask[-1]
     if n < 1:
         return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for j in range(width):
-        out += h[j : j + n] * _C[j]
+    out = np.full(n, number, np.uint64)
+    for k, c in zip(mask, _C, strict=False):
+        out += h[k : k + n] * c
     return mix(out)
 
 
 def build_index(items: list[tuple[int, np.ndarray]], min_tokens: int = 13) -> Index:
     need = [needed(len(t), min_tokens) for _, t in items]
-    width_of = [seed_width(len(t), m) for (_, t), m in zip(items, need, strict=True)]
-    widths, seeds, filters = sorted(set(width_of)), [], []
-    for width in widths:
-        own = [(k, seed_hashes(t, width)) for k, (_, t) in enumerate(items) if width_of[k] == width]
+    weight_of = [seed_weight(len(t), m) for (_, t), m in zip(items, need, strict=True)]
+    weights, seeds, filters = sorted(set(weight_of)), [], []
+    for weight in weights:
+        own = [(k, seed_hashes(t, mask, number)) for k, (_, t) in enumerate(items) if weight_of[k] == weight for number, mask in enumerate(masks(weight))]
         h = np.concatenate([x for _, x in own])
         item = np.repeat([k for k, _ in own], [len(x) for _, x in own]).astype(np.int64)
         place = np.concatenate([np.arange(len(x)) for _, x in own])
@@ -86,7 +109,7 @@ def build_index(items: list[tuple[int, np.ndarray]], min_tokens: int = 13) -> In
         bits = np.zeros(1 << FILTER_BITS, bool)
         bits[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
         filters.append(bits)
-    return Index([i for i, _ in items], [t for _, t in items], np.array(need, np.int64), widths, seeds, filters)
+    return Index([i for i, _ in items], [t for _, t in items], np.array(need, np.int64), weights, seeds, filters)
 
 
 def longest_run(equal: np.ndarray) -> tuple[int, int, int]:
@@ -121,23 +144,28 @@ def agreeing(h: np.ndarray, begin: np.ndarray, end: np.ndarray, diagonal: np.nda
     return out
 
 
+def hits(h: np.ndarray, bounds: np.ndarray, index: Index) -> Iterator[np.ndarray]:
+    """(text, item, diagonal) of windows that share a seed with an item, in pieces of about ``VERIFY_TOKENS`` hits."""
+    for weight, (seeds, item, place), bits in zip(index.weights, index.seeds, index.filters, strict=True):
+        for number, mask in enumerate(masks(weight)):
+            s = seed_hashes(h, mask, number)
+            at = np.flatnonzero(bits[(s >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
+            lo, hi = np.searchsorted(seeds, s[at]), np.searchsorted(seeds, s[at], "right")
+            text = np.searchsorted(bounds, at, "right") - 1
+            real = (hi > lo) & (at + mask[-1] < bounds[text + 1])  # a window within one text
+            at, lo, n, text = at[real], lo[real], (hi - lo)[real], text[real]
+            piece = np.cumsum(n) // VERIFY_TOKENS
+            for p in np.unique(piece):
+                own = piece == p
+                m = n[own]
+                hit = np.repeat(lo[own], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                yield np.stack([np.repeat(text[own], m), item[hit], np.repeat(at[own], m) - place[hit]])
+
+
 def leaks(h: np.ndarray, bounds: np.ndarray, index: Index) -> Iterator[tuple[int, int, int, int, int, int, int]]:
     """(text, item, equal tokens, run, item's tokens, start, end) for the texts with words h[bounds[k]:bounds[k + 1]]."""
-    found = []
-    for width, (seeds, item, place), bits in zip(index.widths, index.seeds, index.filters, strict=True):
-        s = seed_hashes(h, width)
-        at = np.flatnonzero(bits[(s >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
-        lo, hi = np.searchsorted(seeds, s[at]), np.searchsorted(seeds, s[at], "right")
-        n = hi - lo
-        at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
-        if not len(at):
-            continue
-        text = np.searchsorted(bounds, at, "right") - 1
-        inside = at + width <= bounds[text + 1]  # a window within one text
-        at, lo, n, text = at[inside], lo[inside], n[inside], text[inside]
-        hit = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        found.append(np.stack([np.repeat(text, n), item[hit], np.repeat(at, n) - place[hit]]))
-    if not found or not sum(f.shape[1] for f in found):
+    found = [np.unique(x, axis=1) for x in hits(h, bounds, index)]
+    if not found:
         return
     text, item, diagonal = np.unique(np.concatenate(found, axis=1), axis=1)
     size = np.array([len(t) for t in index.tokens])
@@ -155,10 +183,19 @@ def leaks(h: np.ndarray, bounds: np.ndarray, index: Index) -> Iterator[tuple[int
 
 
 def benchmark_blocks(benchmark: DataFrame, min_tokens: int, block_tokens: int = BLOCK_TOKENS) -> Iterator[Index]:
-    """The benchmark's items in bounded blocks, read one after the other."""
+    """The benchmark's items in bounded blocks, hashed in tasks, read one after the other."""
+
+    def run(batches):
+        for batch in batches:
+            packed = []
+            for _, block in blocks(batch.column(1).to_pylist()):
+                h, bounds = block_words(block)
+                packed += [h[bounds[k] : bounds[k + 1]].tobytes() for k in range(len(block))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["item_id", "tokens"])
+
     held, size = [], 0
-    for row in benchmark.where("text is not null").select(F.col("item_id").cast("long"), "text").toLocalIterator():
-        h, _ = block_words([row[1].encode("utf-8", "replace")])
+    for row in benchmark.where("text is not null").select(F.col("item_id").cast("long"), "text").mapInArrow(run, "item_id long, tokens binary").toLocalIterator():
+        h = np.frombuffer(bytes(row[1]), np.uint64)
         if not len(h):
             continue
         held.append((row[0], h))
