@@ -10,10 +10,12 @@ whole epochs first, then documents of the next epoch by ``md5(seed:epoch:doc_id)
 up to the token at which the allotment ends.
 
 The prefix is found without one task holding a leaf: tokens are summed in 4096
-ranges of the order, one range of each leaf holds the end, and only that range's
-documents are summed one by one.
+ranges of the order (``16 ** buckets_hex``), one range of each leaf holds the end, and
+only that range's documents are summed one by one. The sources of one language of a
+domain are shared out in one window: they are rows of a table of leaves, not of
+documents.
 
-Null text has no tokens; null lang and source are the leaf ``und`` and ``none``.
+A very long text is only counted. Null text has no tokens; null lang and source are the leaf ``und`` and ``none``.
 Rows with no token taken are left out, so an empty table gives no rows. Repeated
 rows are rows of their own; among equal order keys the smaller row comes first.
 Extra columns are ignored.
@@ -107,23 +109,17 @@ def mix_sources(
     leaves = meta.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens"))
     leaves = written(leaf_budgets(leaves, budget, max_epochs, weights).selectExpr(*LEAF, "allot div tokens AS epochs", "allot % tokens AS rest"), "mix-leaves")
 
-    # the leaf's order depends on its number of whole epochs, so ranges are made for each number that occurs (at most max_epochs + 1)
-    key = lambda e: F.md5(F.concat_ws(":", F.lit(str(seed)), e.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    bucket = lambda k: F.conv(F.substring(k, 1, buckets_hex), 16, 10).cast("int")
-    ranges = meta.withColumn("epochs", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max_epochs).cast("long"))))
-    ranges = ranges.groupBy(*LEAF, "epochs", bucket(key(F.col("epochs"))).alias("range")).agg(F.sum("n_tokens").alias("tokens"))
-    ranges = ranges.join(leaves, [*LEAF, "epochs"])
+    # a document's place in its leaf's order is hashed for the leaf's own number of whole epochs
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    rows = meta.join(leaves, LEAF).withColumn("order_key", key).withColumn("range", F.conv(F.substring("order_key", 1, buckets_hex), 16, 10).cast("int"))
+    ranges = rows.groupBy(*LEAF, "range").agg(F.sum("n_tokens").alias("tokens"))
     before = F.coalesce(F.sum("tokens").over(Window.partitionBy(*LEAF).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranges = ranges.withColumn("before", before).select(*LEAF, "range", "epochs", F.col("rest").alias("leaf_rest"), "before", "tokens")
-
-    spread = meta.withColumn("epochs", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max_epochs).cast("long")))).withColumn("range", bucket(key(F.col("epochs"))))
-    chosen = spread.join(ranges, [*LEAF, "epochs", "range"])
+    chosen = rows.withColumnRenamed("rest", "leaf_rest").join(ranges.withColumn("before", before), [*LEAF, "range"])
     state = F.when(F.col("before") + F.col("tokens") <= F.col("leaf_rest"), "in").when(F.col("before") >= F.col("leaf_rest"), "out").otherwise("end")
     chosen = chosen.withColumn("state", state)
     w = Window.partitionBy(*LEAF).orderBy("order_key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     ends = (
         chosen.where("state = 'end'")
-        .withColumn("order_key", key(F.col("epochs")))
         .withColumn("here", F.col("before") + F.coalesce(F.sum("n_tokens").over(w), F.lit(0)))
         .withColumn("prefix_tokens", F.greatest(F.lit(0), F.least(F.col("n_tokens"), F.col("leaf_rest") - F.col("here"))))
     )
