@@ -95,10 +95,14 @@ def truncate_middle(c: Column, limit: Column) -> Column:
     return F.when(F.coalesce(c, F.lit("")) == "", "").when(F.length(c) <= limit, c).when(limit <= len(mark), F.left(c, limit)).otherwise(cut)
 
 
+def escape_html(c: Column) -> Column:
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
 def bold_html(c: Column) -> Column:
-    """HTML-escaped text with ``**x**`` as strong."""
-    escaped = F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    return F.regexp_replace(escaped, r"\*\*([^*]+)\*\*", "<strong>$1</strong>")
+    """HTML-escaped text with ``**x**`` as strong; strong tags that are there stay."""
+    bold = F.regexp_replace(escape_html(c), r"\*\*([^*]+)\*\*", "<strong>$1</strong>")
+    return F.replace(F.replace(bold, F.lit("&lt;strong&gt;"), F.lit("<strong>")), F.lit("&lt;/strong&gt;"), F.lit("</strong>"))
 
 
 # Content types by extension.

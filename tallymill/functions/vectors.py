@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -25,5 +26,13 @@ def score(a: Column, b: Column, metric: str = "cosine") -> Column:
     return F.coalesce(dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0)), F.lit(0.0))
 
 
+def score_of(a: Column, query: Sequence[float], metric: str = "cosine") -> Column:
+    """``score`` against a fixed vector, whose norm is computed once."""
+    if metric != "cosine":
+        return score(a, literal(query), metric)
+    norm = math.sqrt(sum(float(x) ** 2 for x in query))
+    return F.coalesce(dot(a, literal(query)) / F.nullif(F.sqrt(dot(a, a)) * F.lit(norm), F.lit(0.0)), F.lit(0.0))
+
+
 def distance(s: Column) -> Column:
     return F.when(s <= 1, 1 - s).otherwise(0.0)

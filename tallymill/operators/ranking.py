@@ -15,17 +15,25 @@ def lexical_rerank(hits: DataFrame, query: Column, k: int | None = None) -> Data
     return out.limit(k) if k else out
 
 
-def faq_match(hits: DataFrame, query: Column) -> DataFrame:
-    """The best answer among hits (id, text, score, rank): the question within the chunk counts 2; else the first line
-    that equals it (2) or has four fifths of its tokens (1.5). No row if nothing matches."""
+def faq_match(hits: DataFrame, documents: DataFrame, query: Column, k: int = 50) -> DataFrame:
+    """One row: whether an answer is found among the first ``k`` hits (id, text, score, rank, document_id, document_name,
+    page_number, chunk_index), and the best one with its document's database id.
+
+    The question within the chunk counts 2; else the first line that equals it (2) or has four fifths of its tokens (1.5).
+    """
     q = t.normalise_question(query)
     tokens = t.words(q)
     lines = F.transform(F.split("text", r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"), t.normalise_question)
     value = lambda x: F.when(x == "", 0.0).when(x == q, 2.0).when((q != "") & (t.overlap_ratio(tokens, t.words(x)) >= 0.8), 1.5).otherwise(0.0)
     first = F.get(F.filter(F.transform(lines, value), lambda s: s > 0), 0)
     lexical = F.when((q != "") & F.contains(t.normalise_question(F.col("text")), q), 2.0).otherwise(F.coalesce(first, F.lit(0.0)))
-    out = hits.where("text <> ''").withColumn("lexical", lexical).where("lexical > 0")
-    return out.withColumn("combined_score", F.col("score") + F.col("lexical")).orderBy(F.desc("combined_score"), "rank").limit(1)
+    near = hits.orderBy("rank").limit(k).where("text <> ''").withColumn("lexical", F.when(q != "", lexical).otherwise(0.0)).where("lexical > 0")
+    best = near.withColumn("combined_score", F.col("score") + F.col("lexical")).orderBy(F.desc("combined_score"), "rank").limit(1)
+    ids = documents.select(F.col("doc_id").alias("document_id"), F.col("id").alias("document_db_id"))
+    fields = ["answer", "document_name", "document_db_id", "page_number", "chunk_index", "combined_score"]
+    found = best.join(ids, "document_id", "left").select(F.struct(F.col("text").alias("answer"), *fields[1:]).alias("b"))
+    one = hits.sparkSession.range(1).select(query.alias("question"))
+    return one.join(found, F.lit(True), "left").select(F.col("b").isNotNull().alias("matched"), "question", *(f"b.{c}" for c in fields))
 
 
 def image_rank(hits: DataFrame, captions: DataFrame, query: Column, k: int) -> DataFrame:
@@ -37,10 +45,22 @@ def image_rank(hits: DataFrame, captions: DataFrame, query: Column, k: int) -> D
 
 
 def image_text(before: Column, caption: Column, after: Column, most: int = 8000) -> Column:
-    """Text before, caption, text after; if that is too long, both surroundings get half of what the caption leaves."""
-    every = F.concat_ws("\n", F.nullif(before, F.lit("")), caption, F.nullif(after, F.lit("")))
-    half = F.greatest(F.lit(0), F.floor((most - F.length(caption) - 2) / 2).cast("int"))
-    return F.when(F.length(every) <= most, every).otherwise(F.left(F.concat_ws("\n", F.right(before, half), caption, F.left(after, half)), F.lit(most)))
+    """Text before, caption and text after, stripped; if that is too long, the beginnings of both surroundings in half of what the caption leaves."""
+    held = lambda c: F.when(c != "", t.strip(c))
+    caption = F.coalesce(caption, F.lit(""))
+    every = F.concat_ws(" ", held(before), t.strip(caption), held(after))
+    room = F.lit(most) - F.length(caption) - 2
+    half = F.floor(room / 2).cast("int")
+    part = lambda c: F.left(F.coalesce(c, F.lit("")), half)
+    cut = F.when(room > 0, t.strip(F.concat_ws(" ", part(before), caption, part(after)))).otherwise(F.left(caption, F.lit(most)))
+    return F.when(F.length(every) <= most, every).otherwise(cut)
+
+
+def context_caption(before: Column, after: Column) -> Column:
+    """A caption from what surrounds an image: 100 characters of either side, at most 300 in all."""
+    parts = F.concat_ws(" ", F.when(before != "", t.strip(F.right(before, F.lit(100)))), F.when(after != "", t.strip(F.left(after, F.lit(100)))))
+    cut = F.when(F.length(parts) > 300, F.concat(F.left(parts, F.lit(297)), F.lit("..."))).otherwise(parts)
+    return F.when((F.coalesce(before, F.lit("")) == "") & (F.coalesce(after, F.lit("")) == ""), "Image from document").otherwise(cut)
 
 
 def best_citations(hits: DataFrame, keys: list[str]) -> DataFrame:
@@ -54,21 +74,6 @@ def best_citations(hits: DataFrame, keys: list[str]) -> DataFrame:
     return kept.select(*keys, F.col("b.document_name").alias("document_title"), url.alias("document_url"), t.snippet(F.col("b.text"), 500, "…").alias("snippet"), F.col("b.page_number").alias("page_number"), position.alias("position"))
 
 
-def citation_positions_as_written(order: list[tuple[str, float]]) -> list[int]:
-    """Positions of citations as an in-place replacement numbers them: one more than the documents known at the time.
-
-    ``order``: (document, score) in the order of the hits; positions by first appearance.
-    """
-    seen: dict[str, int] = {}
-    best: dict[str, float] = {}
-    for key, score in order:
-        if key in seen and score <= best[key]:
-            continue
-        best[key] = score
-        seen[key] = len(seen) + 1
-    return list(seen.values())
-
-
 def citations(hits: DataFrame, documents: DataFrame) -> DataFrame:
     """A citation for each hit in rank order: link by document id (``#`` without one), 500 characters."""
     ids = documents.select(F.col("doc_id").alias("document_id"), F.col("id").alias("_db"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymill.functions.money import COST, cost, unrounded_cost
@@ -30,6 +30,12 @@ def check_range(first: dt.date, last: dt.date, most_days: int, today: dt.date |
         raise ValueError("the range ends in the future")
 
 
+def of_conversations(messages: DataFrame, conversations: DataFrame) -> DataFrame:
+    """Messages with their conversation's tenant and user; messages without a conversation go."""
+    c = conversations.select(F.col("id").alias("conversation_id"), "tenant_id", "user_id")
+    return messages.join(c, "conversation_id")
+
+
 def daily_usage(messages: DataFrame) -> DataFrame:
     """Tokens and messages by tenant, model and day; of assistant messages with a model and a token count.
 
@@ -45,8 +51,9 @@ def daily_usage(messages: DataFrame) -> DataFrame:
 
 
 def priced(usage: DataFrame, prices: DataFrame) -> DataFrame:
-    """Costs of usage rows by normalised model name; prices (name, input_price, output_price) are unique by name."""
-    p = prices.select(F.col("name").alias("_name"), "input_price", "output_price")
+    """Costs of usage rows by normalised model name; a name with two prices (name, input_price, output_price) fails the job once usage needs it."""
+    once = lambda c: F.when(F.count(F.lit(1)) > 1, F.raise_error(F.concat(F.lit("several prices for "), "name"))).otherwise(F.max(c)).alias(c)
+    p = prices.groupBy("name").agg(once("input_price"), once("output_price")).withColumnRenamed("name", "_name")
     joined = usage.join(p, normalise_model_name(F.col("model_name")) == F.col("_name"), "left")
     i, o = unrounded_cost(F.col("total_input_tokens"), F.col("input_price")), unrounded_cost(F.col("total_output_tokens"), F.col("output_price"))
     return joined.select(*usage.columns, cost(F.col("total_input_tokens"), F.col("input_price")).alias(COSTS[0]), cost(F.col("total_output_tokens"), F.col("output_price")).alias(COSTS[1]), (i + o).cast(COST).alias(COSTS[2]))
@@ -128,13 +135,37 @@ def message_statistics(messages: DataFrame, keys: list[str], population: DataFra
     )
 
 
-def statistics_by_model(messages: DataFrame) -> DataFrame:
-    """Assistant messages and tokens by model; messages without a model are a group."""
+def statistics_by_model(messages: DataFrame, conversations: DataFrame | None = None, tenant_id: int | None = None) -> DataFrame:
+    """Assistant messages and tokens by model; messages without a model are a group. Only a tenant's messages need their conversations."""
+    if tenant_id is not None:
+        messages = of_conversations(messages, conversations.where(F.col("tenant_id") == tenant_id))
     return messages.where("role = 'assistant'").groupBy(F.col("model_used").alias("model_name")).agg(
         F.count("id").alias("message_count"), *(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(f"sum_{c}") for c in ("input_tokens", "output_tokens", "total_tokens"))
     )
 
 
+def monthly_upsert(old: DataFrame, usage: DataFrame) -> DataFrame:
+    """Stored bills with those of the usage's months in place of the same tenant's, model's and month's."""
+    return replace(old, monthly_billing(usage).select(*old.columns), ["tenant_id", "model_name", "billing_year", "billing_month"])
+
+
+def by_cost(bills: DataFrame) -> DataFrame:
+    """A tenant's bills, the most expensive first."""
+    return bills.orderBy("tenant_id", F.desc_nulls_first("total_cost"), "model_name")
+
+
+def deleted(rows: DataFrame, condition: Column, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows without those that meet a condition, and how many went by key."""
+    gone = F.coalesce(condition, F.lit(False))
+    return rows.where(~gone), rows.groupBy(*keys).agg(F.count_if(gone).alias("deleted"), F.count_if(~gone).alias("kept"))
+
+
+def running_tokens(messages: DataFrame) -> DataFrame:
+    """Tokens used up to and with each message of a conversation."""
+    w = Window.partitionBy("conversation_id").orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, 0)
+    return messages.select("conversation_id", "id", *(F.sum(F.coalesce(c, F.lit(0))).over(w).alias(f"used_{c}") for c in ("input_tokens", "output_tokens", "total_tokens")))
+
+
 def previous_month(day: dt.date) -> tuple[int, int]:
     return (day.year - 1, 12) if day.month == 1 else (day.year, day.month - 1)
 

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymill.functions import vectors as v
@@ -28,10 +30,63 @@ def payload_filter(points: DataFrame, tenant_id: int, document_ids: Sequence | N
 
 def top_k(points: DataFrame, query: Sequence[float], k: int = 5, metric: str = "cosine") -> DataFrame:
     """The k best points with score and distance; of equal scores, the smaller id. The sort keeps k rows a task."""
-    s = F.round(v.score(F.col("embedding"), v.literal(query), metric), 6)
+    s = F.round(v.score_of(F.col("embedding"), query, metric), 6)
     return points.withColumn("score", s).withColumn("distance", F.round(v.distance(F.col("score")), 6)).orderBy(F.desc("score"), "id").limit(k)
 
 
+def ranked(hits: DataFrame) -> DataFrame:
+    """Hits with their rank; for the k rows of a search."""
+    return hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")).cast("long"))
+
+
+_BLOCK_ROWS = 2048
+
+
+def _blocks(points: DataFrame, group: str | None) -> DataFrame:
+    """Vectors of ``points`` (id, embedding[, group]) packed in rows of at most ``_BLOCK_ROWS``."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, _BLOCK_ROWS):
+                part = batch.slice(at, _BLOCK_ROWS)
+                matrix = np.array(part.column(1).to_pylist(), np.float64)
+                norm = np.linalg.norm(matrix, axis=1, keepdims=True)
+                packed = np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0).tobytes()
+                groups = part.column(2).cast(pa.int64()).to_pylist() if group else [0] * part.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([groups], pa.list_(pa.int64())), pa.array([packed], pa.binary())], ["ids", "groups", "matrix"])
+
+    return points.where("embedding is not null").select(F.col("id").cast("long"), "embedding", *([group] if group else [])).mapInArrow(run, "ids array<long>, groups array<long>, matrix binary")
+
+
+def top_k_each(points: DataFrame, queries: DataFrame, k: int, group: str) -> DataFrame:
+    """query_id, group, rank, id and cosine score of the k best points of each group for every query (id, embedding); a query is no hit of its own.
+
+    Queries and points travel in blocks; each pair of blocks is one matrix product, of which only the k best of
+    each query and group leave the task.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for qi, q, pi, g, p in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+                qi, pi, g = np.array(qi), np.array(pi), np.array(g)
+                score = np.round(np.frombuffer(q).reshape(len(qi), -1) @ np.frombuffer(p).reshape(len(pi), -1).T, 6)
+                score[qi[:, None] == pi] = -np.inf
+                rows = []
+                for value in np.unique(g):
+                    own = np.flatnonzero(g == value)
+                    own = own[np.argsort(pi[own], kind="stable")]
+                    best = np.argsort(-score[:, own], axis=1, kind="stable")[:, :k]
+                    rows += [(int(qi[r]), int(value), int(pi[own[c]]), float(score[r, own[c]])) for r in range(len(qi)) for c in best[r] if np.isfinite(score[r, own[c]])]
+                cols = list(zip(*rows, strict=True)) or [[]] * 4
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.float64())], ["query_id", group, "id", "score"])
+
+    q = _blocks(queries, None).select(F.col("ids").alias("qi"), F.col("matrix").alias("q"))
+    pairs = _blocks(points, group).select(F.col("ids").alias("pi"), "groups", F.col("matrix").alias("p")).crossJoin(q)  # blocks, not rows
+    found = pairs.select("qi", "q", "pi", "groups", "p").mapInArrow(run, f"query_id long, {group} long, id long, score double")
+    w = Window.partitionBy("query_id", group).orderBy(F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def over_fetch(k: int) -> int:
     return max(3 * k, 5)
 
@@ -88,3 +143,40 @@ def search(points: DataFrame, documents: DataFrame, query: Sequence[float], tena
         if strict or not uuids.isEmpty():
             pool = pool.join(uuids, "document_id", "left_semi")
     return top_k(pool, query, k)
+
+
+def payload(*columns: str) -> Column:
+    """Payload as JSON; columns that are null are left out."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "true"})
+
+
+def chunk_points(chunks: DataFrame) -> DataFrame:
+    """Points of chunks (tenant_id, document_id, chunk_index, text, embedding and more): ids that the chunk fixes, and a payload."""
+    rest = [c for c in chunks.columns if c != "embedding"]
+    return chunks.select(point_id().alias("id"), *chunks.columns, payload(*rest).alias("payload"))
+
+
+def image_points(images: DataFrame) -> DataFrame:
+    """Points of images (tenant_id, document_id, page_number, combined_text, caption, embedding): type image, numbered within
+    their document, with the text as caption where there is none."""
+    w = Window.partitionBy("tenant_id", "document_id").orderBy("page_number", "combined_text")
+    rows = images.withColumn("image_index", F.row_number().over(w) - 1).withColumn("type", F.lit("image")).withColumn("caption", F.coalesce("caption", "combined_text"))
+    rest = [c for c in rows.columns if c != "embedding"]
+    return rows.select(F.sha2(F.concat_ws("_image_", F.col("document_id").cast("string"), F.col("image_index").cast("string")), 256).alias("id"), *rows.columns, payload(*rest).alias("payload"))
+
+
+def summary_points(summaries: DataFrame) -> DataFrame:
+    """One point for each document (tenant_id, document_id, summary_text, summary, doc_category, doc_date_range, embedding)."""
+    rest = [c for c in summaries.columns if c != "embedding"]
+    return summaries.select(F.sha2(F.concat(F.col("document_id").cast("string"), F.lit("_summary")), 256).alias("id"), *summaries.columns, payload(*rest).alias("payload"))
+
+
+def drop_tenant(points: DataFrame, tenant_id: int) -> DataFrame:
+    return points.where(F.col("tenant_id") != tenant_id)
+
+
+def relevant_documents(summaries: DataFrame, query: Sequence[float], tenant_id: int, k: int = 5) -> DataFrame:
+    """The documents whose summaries are nearest, with their category, dates and summary; scores to four places."""
+    hits = ranked(top_k(payload_filter(summaries, tenant_id), query, k))
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return hits.select("rank", "document_id", *map(text, ("document_name", "doc_category", "doc_date_range", "summary")), F.bround("score", 4).alias("score"))

@@ -31,9 +31,9 @@ def _chunks(strategy):
 
 def chunk_rows(spark, sf):
     """Line items of an order as rows of its sheet."""
-    o = table(spark, sf, "lineitem").where("l_orderkey <= 3000")
+    o = table(spark, sf, "lineitem")
     cells = F.array(F.col("l_partkey").cast("string"), F.concat("l_returnflag", F.lit("|x")), F.col("l_linenumber").cast("string"))
-    rows = o.select((F.col("l_orderkey") % 40).cast("string").alias("path"), F.lit("Items").alias("sheet"), F.array(*map(F.lit, ("part", "flag", "line"))).alias("header"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_idx"), cells.alias("cells"))
+    rows = o.select(F.floor(F.col("l_orderkey") / 50).cast("string").alias("path"), F.lit("Items").alias("sheet"), F.array(*map(F.lit, ("part", "flag", "line"))).alias("header"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_idx"), cells.alias("cells"))
     rows = rows.groupBy("path", "sheet", "header", "row_idx").agg(F.min("cells").alias("cells"))
     return chunking.row_groups(rows, ["path"]).select("path", "chunk_index", "row_start", "row_end", F.length("chunk").alias("n_chars"), F.left("chunk", F.lit(40)).alias("head"))
 
@@ -44,7 +44,7 @@ def text_metadata(spark, sf):
 
 def html_metadata(spark, sf):
     p = table(spark, sf, "pages")
-    return p.select("page_id", *(c.alias(n) for n, c in pages.page_metadata(F.col("html")).items()))
+    return p.select("page_id", pages.page_metadata("html").alias("m")).select("page_id", "m.*")
 
 
 def page_documents(spark, sf):
@@ -71,7 +71,7 @@ def upload_check(spark, sf):
 
 
 def safe_names(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", tx.safe_filename(F.left("text", F.lit(60))).alias("name"))
+    return table(spark, sf, "documents").select("doc_id", tx.safe_filename(F.col("text")).alias("name"))
 
 
 def price_match(spark, sf):
@@ -119,7 +119,11 @@ def session_batches(spark, sf):
 
 def _folder(spark) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
-    return base.rstrip("/") if base else tempfile.mkdtemp(prefix="tallymill-")
+    if base:
+        return base.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="tallymill-")
 
 
 def stream_daily(spark, sf):
@@ -130,9 +134,9 @@ def stream_daily(spark, sf):
 
 
 def stream_sessions(spark, sf):
-    """Sessions that are closed when the stream ends: those that end more than two days before the last event."""
+    """Sessions of all events: those that the stream has closed when it ends."""
     out = stream.run(stream.sessions(stream.events(spark, sf), "user_id", "6 hours"), _folder(spark), "append")
-    return out.where("end_at <= TIMESTAMP'2024-01-27 00:00:00'").select("user_id", F.col("first_at").cast("timestamp_ntz").alias("first_at"), "n_events")
+    return out.select("user_id", F.col("first_at").cast("timestamp_ntz").alias("first_at"), "n_events")
 
 
 def stream_sliding(spark, sf):
@@ -160,20 +164,36 @@ def stream_status(spark, sf):
     return out.select("document_id", "status", F.timestamp_micros("updated_us").cast("timestamp_ntz").alias("updated_at"), "n_events")
 
 
+def stream_stages(spark, sf):
+    out = stream.latest(stream.run(state.stage_map("document_id")(_status_stream(spark, sf)), _folder(spark)), ["document_id"])
+    return out.select("document_id", F.to_json("stages").alias("stages"))
+
+
+def stream_active(spark, sf):
+    """Documents in work when the stream ends, with the time since when."""
+    out = stream.latest(stream.run(state.active("document_id", "signup", "purchase")(_status_stream(spark, sf)), _folder(spark)), ["document_id"])
+    return out.where("started_us >= 0").select("document_id", F.timestamp_micros("started_us").cast("timestamp_ntz").alias("started_at"))
+
+
 def stream_errors(spark, sf):
     out = stream.latest(stream.run(state.last_errors("document_id", "error")(_status_stream(spark, sf)), _folder(spark)), ["document_id"])
     return out.select("document_id", F.array_join(F.transform("events", lambda e: e.cast("string")), ",").alias("events"))
 
 
 def _meta(kind, name):
-    return rf"""(?is)<meta\s[^>]*{kind}\s*=\s*["'']{name}["''][^>]*content\s*=\s*["''](.*?)["'']"""
+    """The content of the first meta element with the attribute, null without one; attributes come in any order."""
+    tag = rf"""regexp_extract(html, '(?is)<meta\s[^>]*{kind}\s*=\s*["'']{name}["''][^>]*>')"""
+    return rf"""CASE WHEN {tag} <> '' THEN {_plain(rf"regexp_extract({tag}, '(?is)content\s*=\s*[\x22\x27](.*?)[\x22\x27]', 1)")} END"""
+
+
+def _element(tag):
+    return rf"""CASE WHEN regexp_matches(html, '(?i)<{tag}[\s>]') THEN {_plain(rf"regexp_replace(regexp_extract(html, '(?is)<{tag}[^>]*>(.*?)</{tag}>', 1), '<[^>]*>', '', 'g')")} END"""
 
 
-def _found(pattern):
-    x = f"regexp_replace(regexp_extract(html, '{pattern}', 1), '<[^>]*>', '', 'g')"
+def _plain(x):
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
         x = f"replace({x}, '{entity}', '{char}')"
-    return rf"nullif(trim(regexp_replace({x}, '\s+', ' ', 'g')), '')"
+    return f"trim({x}, ' ' || chr(9) || chr(10) || chr(13))"
 
 
 _EV = "ev AS (SELECT event_id, user_id AS document_id, event_type AS status, ts, value FROM events)"
@@ -193,7 +213,7 @@ QUERIES = {
     "page_documents": page_documents, "scrape_name": scrape_names, "s3_key": s3_keys, "upload_check": upload_check, "safe_filename": safe_names, "price_match": price_match,
     "pipeline_latest_status": latest_status, "pipeline_stage_map": stage_map, "pipeline_last_errors": last_errors, "pipeline_active_jobs": active_jobs, "pipeline_status_overlay": overlay,
     "rate_limit": rate_limit, "session_activity": session_batches, "stream_daily_usage": stream_daily, "stream_session_activity": stream_sessions, "stream_sliding_counts": stream_sliding,
-    "stream_distinct_events": stream_distinct, "stream_rate_limit": stream_rate_limit, "stream_latest_status": stream_status, "stream_last_errors": stream_errors,
+    "stream_distinct_events": stream_distinct, "stream_rate_limit": stream_rate_limit, "stream_latest_status": stream_status, "stream_last_errors": stream_errors, "stream_stage_map": stream_stages, "stream_active_jobs": stream_active,
 }
 
 ORACLE_SQL = {
@@ -214,17 +234,19 @@ SELECT page_id, CASE WHEN ends_with(name, '.md') THEN name ELSE name || '.md' EN
     "stream_rate_limit": f"WITH RECURSIVE {_RATE} SELECT key, count(*) FILTER (ok) AS allowed, count(*) FILTER (NOT ok) AS refused FROM f GROUP BY 1",
     "session_activity": f"WITH {_EV}, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM ev WINDOW w AS (PARTITION BY document_id ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY document_id ORDER BY ts, event_id) AS session FROM g) SELECT document_id, min(ts) AS first_at, max(ts) AS last_at, count(*) AS n_events FROM s GROUP BY document_id, session",
     "stream_daily_usage": f"WITH {MESSAGES_SQL} SELECT tenant_id, model_used AS model_name, CAST(created_at AS DATE) AS usage_date, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, count(*) AS message_count FROM msg WHERE role = 'assistant' AND model_used IS NOT NULL GROUP BY ALL",
-    "stream_session_activity": f"WITH {_EV}, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM ev WINDOW w AS (PARTITION BY document_id ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY document_id ORDER BY ts, event_id) AS session FROM g) SELECT document_id AS user_id, min(ts) AS first_at, count(*) AS n_events FROM s GROUP BY document_id, session HAVING max(ts) + INTERVAL 6 HOUR <= TIMESTAMP '2024-01-27'",
+    "stream_session_activity": f"WITH {_EV}, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM ev WINDOW w AS (PARTITION BY document_id ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY document_id ORDER BY ts, event_id) AS session FROM g) SELECT document_id AS user_id, min(ts) AS first_at, count(*) AS n_events FROM s GROUP BY document_id, session HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 2 DAY FROM events)",
     "stream_sliding_counts": "SELECT time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL (h) HOUR AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events, (VALUES (0), (1)) v(h) GROUP BY 1, 2",
-    "html_metadata": "SELECT page_id, " + ", ".join(f"coalesce({', '.join(_found(p) for p in ps_)}, '{d}') AS {n}" for n, d, ps_ in (
-        ("title", "Untitled", ("(?is)<title[^>]*>(.*?)</title>", _meta("property", "og:title"), "(?is)<h1[^>]*>(.*?)</h1>")), ("description", "", (_meta("name", "description"), _meta("property", "og:description"))),
-        ("author", "", (_meta("name", "author"), _meta("property", "article:author"))))) + " FROM pages",
-    "safe_filename": "WITH n AS (SELECT doc_id, trim(regexp_replace(regexp_replace(strip_accents(replace(left(text, 60), 'ß', '')), '[^A-Za-z0-9_.-]', '-', 'g'), '-+', '-', 'g'), '-') AS n FROM documents) SELECT doc_id, CASE WHEN n = '' THEN 'conversation-report' ELSE n END AS name FROM n",
-    "chunk_table_rows": """WITH r AS (SELECT CAST(l_orderkey % 40 AS VARCHAR) AS path, l_orderkey * 10 + l_linenumber AS row_idx, min([CAST(l_partkey AS VARCHAR), l_returnflag || '|x', CAST(l_linenumber AS VARCHAR)]) AS c FROM lineitem WHERE l_orderkey <= 3000 GROUP BY ALL),
+    "html_metadata": f"""SELECT page_id, coalesce(nullif(coalesce({_element('title')}, {_meta('property', 'og:title')}, {_element('h1')}), ''), 'Untitled') AS title,
+ coalesce({_meta('name', 'description')}, {_meta('property', 'og:description')}, '') AS description, coalesce({_meta('name', 'author')}, {_meta('property', 'article:author')}, '') AS author FROM pages""",
+    "safe_filename": "WITH n AS (SELECT doc_id, trim(regexp_replace(regexp_replace(strip_accents(replace(text, 'ß', '')), '[^A-Za-z0-9_.-]', '-', 'g'), '-+', '-', 'g'), '-') AS n FROM documents) SELECT doc_id, CASE WHEN n = '' THEN 'conversation-report' ELSE n END AS name FROM n",
+    "chunk_table_rows": """WITH r AS (SELECT CAST(l_orderkey // 50 AS VARCHAR) AS path, l_orderkey * 10 + l_linenumber AS row_idx, min([CAST(l_partkey AS VARCHAR), l_returnflag || '|x', CAST(l_linenumber AS VARCHAR)]) AS c FROM lineitem GROUP BY ALL),
  n AS (SELECT path, row_number() OVER (PARTITION BY path ORDER BY row_idx) AS n, count(*) OVER (PARTITION BY path) AS total, '| ' || c[1] || ' | ' || replace(c[2], '|', '\\|') || ' | ' || c[3] || ' |' AS line FROM r),
  g AS (SELECT path, CAST((n - 1) // 25 AS INT) AS chunk_index, CAST(min(n) AS INT) AS row_start, CAST(max(n) AS INT) AS row_end, '## Sheet: Items' || CASE WHEN any_value(total) > 25 THEN ' (rows ' || min(n) || '–' || max(n) || ')' ELSE '' END || chr(10) || chr(10) || '| part | flag | line |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg(line, chr(10) ORDER BY n) AS chunk FROM n GROUP BY path, (n - 1) // 25)
 SELECT path, chunk_index, row_start, row_end, CAST(length(chunk) AS INT) AS n_chars, left(chunk, 40) AS head FROM g""",
     "stream_latest_status": f"WITH {_EV} SELECT document_id, arg_max(status, (ts, event_id)) AS status, max(ts) AS updated_at, count(*) AS n_events FROM ev GROUP BY 1",
     "stream_last_errors": f"WITH {_EV}, r AS (SELECT * FROM ev WHERE status = 'error' QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY ts DESC, event_id DESC) <= 10) SELECT document_id, string_agg(event_id, ',' ORDER BY ts DESC, event_id DESC) AS events FROM r GROUP BY 1",
+    "stream_stage_map": f"""WITH {_EV}, l AS (SELECT document_id, status, arg_max(event_id, (ts, event_id)) AS e FROM ev GROUP BY 1, 2)
+SELECT document_id, '{{' || string_agg('"' || status || '":' || e, ',' ORDER BY status) || '}}' AS stages FROM l GROUP BY 1""",
+    "stream_active_jobs": f"WITH {_EV}, b AS (SELECT document_id, max((ts, event_id)) FILTER (status = 'signup') AS b, max((ts, event_id)) FILTER (status = 'purchase') AS e, max(ts) FILTER (status = 'signup') AS started_at FROM ev GROUP BY 1) SELECT document_id, started_at FROM b WHERE b IS NOT NULL AND (e IS NULL OR e < b)",
     "stream_distinct_events": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
 }

@@ -97,7 +97,7 @@ def bulk_delete(spark, sf):
 
 def _configs(spark, sf):
     """A configuration for each customer, with a version for each order in order of date."""
-    o = table(spark, sf, "orders").where("o_custkey <= 400")
+    o = table(spark, sf, "orders")
     entry = F.struct(F.col("o_orderdate").cast("string").alias("timestamp"), F.col("o_orderkey"), F.col("o_orderpriority"), F.col("o_orderstatus"))
     held = o.groupBy(F.col("o_custkey").alias("id")).agg(F.array_sort(F.collect_list(entry)).alias("h"))
     version = lambda x, i: F.struct(i.cast("int").alias("version"), x["timestamp"].alias("timestamp"), F.create_map(F.lit("priority"), x["o_orderpriority"], F.lit("status"), x["o_orderstatus"]).alias("config"))
@@ -122,8 +122,9 @@ def config_update(spark, sf):
 _TURNS = "turn AS (SELECT conv_id AS conversation_id, turn AS id, turn AS created_at, role, text AS content FROM conversations)"
 _DOC = f"WITH {DOCUMENTS_SQL}"
 _PARTS = "SELECT p_partkey AS id, p_partkey % 3 AS tenant_id, p_brand || ' ' || p_size AS name FROM part"
-_HISTORY = """h AS (SELECT o_custkey AS id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS INT) AS version, o_orderpriority, o_orderstatus FROM orders WHERE o_custkey <= 400)"""
-_COUNTS = ", ".join(["count(*) AS total", "count(*) FILTER (processing_status NOT IN ('processing', 'completed', 'failed')) AS pending", *(f"count(*) FILTER (processing_status = '{s}') AS {s}" for s in ls.STATUS_ORDER[1:])])
+_HISTORY = """h AS (SELECT o_custkey AS id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS INT) AS version, o_orderpriority, o_orderstatus FROM orders)"""
+_COUNTS = """count(*) AS total, count(*) FILTER (processing_status NOT IN ('processing', 'completed', 'failed')) AS pending, count(*) FILTER (processing_status = 'processing') AS processing,
+ count(*) FILTER (processing_status = 'completed') AS completed, count(*) FILTER (processing_status = 'failed') AS failed"""
 
 QUERIES = {
     "conversation_last_message": last_message, "conversation_page": conversation_page, "eager_children": eager_children, "recent_context_window": context_window, "transcript_budget": transcript,

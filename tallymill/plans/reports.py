@@ -13,16 +13,16 @@ from .standins import table
 
 
 def _reports(spark, sf):
-    """Turns of a conversation as lines of a report: headings, bullets, numbers and paragraphs by turn."""
-    c = table(spark, sf, "conversations")
-    t = F.left(F.regexp_replace(F.replace("text", F.lit("ß"), F.lit("ss")), r"\s+", " "), F.lit(30))
-    line = F.when(F.col("turn") % 5 == 0, F.upper(t)).when(F.col("turn") % 5 < 3, F.concat(F.lit("- "), t, F.lit(" **b** & <c>"))).when(F.col("turn") % 5 == 3, F.concat(F.lit("1. "), t)).otherwise(t)
-    parts = F.array_sort(F.collect_list(F.struct("turn", line.alias("line"))))
+    """Turns of a conversation as lines of a report: headings, bullets, numbers, blanks and paragraphs by turn."""
+    t = F.regexp_replace(F.replace("text", F.lit("ß"), F.lit("ss")), r"\s+", " ")
+    forms = [F.concat(F.upper(t), F.lit(":")), F.concat(F.lit("•"), t), F.concat(F.lit("- "), t, F.lit(" **b** & <c>")), F.concat(F.lit("1. "), t), F.lit(""), F.concat(F.lit("* "), t), F.concat(F.lit("2) "), t), t]
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.get(F.array(*forms), (F.col("turn") % 8).cast("int")).alias("line"))
+    parts = F.array_sort(F.collect_list(F.struct("turn", "line")))
     return c.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda p: p["line"]), "\n").alias("text"))
 
 
 def report_kinds(spark, sf):
-    return rp.report_lines(_reports(spark, sf), "conv_id").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count("opens").alias("opened"), F.count("closes").alias("closed"))
+    return rp.report_lines(_reports(spark, sf), "conv_id").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if("opens").alias("opened"), F.count_if("closes").alias("closed"))
 
 
 def report_html(spark, sf):
@@ -30,15 +30,16 @@ def report_html(spark, sf):
 
 
 def status_lines(spark, sf):
-    tools = F.array(*map(F.lit, [*rp.STATUS, "other"]))
-    c = table(spark, sf, "conversations")
-    tool = F.get(tools, (F.col("conv_id") % 7).cast("int"))
-    return c.select("conv_id", "turn", rp.status_line(tool, F.col("text")).alias("status"))
+    tools = F.array(*map(F.lit, ("search_knowledge_base", "find_relevant_documents", "list_documents", "search_tables", "get_document_details", "answer_faq_exact_match")))
+    tool = F.get(tools, (F.col("conv_id") % 6).cast("int"))
+    category = F.when(F.col("turn") % 2 == 0, "budget").otherwise("")
+    return table(spark, sf, "conversations").select("conv_id", "turn", rp.status_line(tool, F.col("text"), category, F.col("conv_id")).alias("status"))
 
 
 def summaries(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "lang", F.left("text", F.lit(40)).alias("s"), F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("a"), F.col("source"))).otherwise(F.array().cast("array<string>")).alias("t"))
-    return d.select("doc_id", rp.stored_summary(F.col("s"), F.col("t"), F.array("lang")).alias("stored"), rp.embedded_summary(F.nullif("lang", F.lit("en")), F.lit("2024"), F.col("s"), F.col("t"), F.array().cast("array<string>")).alias("embedded"))
+    none = F.array().cast("array<string>")
+    d = table(spark, sf, "documents").select("doc_id", "lang", F.when(F.col("doc_id") % 5 > 0, F.col("text")).otherwise("").alias("s"), F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("a"), F.col("source"))).otherwise(none).alias("t"))
+    return d.select("doc_id", rp.stored_summary(F.col("s"), F.col("t"), F.array("lang", F.lit("x"))).alias("stored"), rp.embedded_summary(F.nullif("lang", F.lit("en")), F.lit("2024"), F.col("s"), F.col("t"), none).alias("embedded"))
 
 
 def families(spark, sf):
@@ -58,8 +59,9 @@ def page_links(spark, sf):
 
 
 def image_texts(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.left("text", F.lit(600)).alias("b"), F.left("text", F.lit(100)).alias("c"), F.right("text", F.lit(500)).alias("a"))
-    return d.select("doc_id", F.md5(rk.image_text(F.col("b"), F.col("c"), F.col("a"), 800)).alias("md5"))
+    """Every document's text around a caption, and the caption that its text alone would give."""
+    d = table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 4 > 0, F.col("text")).alias("b"), F.concat_ws(" ", F.lit(" a picture of"), "source").alias("c"), F.when(F.col("doc_id") % 3 > 0, F.col("text")).alias("a"))
+    return d.select("doc_id", F.md5(rk.image_text(F.col("b"), F.col("c"), F.col("a"))).alias("md5"), rk.context_caption(F.col("b"), F.col("a")).alias("caption"))
 
 
 def sql_text(spark, sf):
@@ -70,28 +72,34 @@ def sql_text(spark, sf):
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'F' GROUP BY n_name""")
 
 
-_LINE = """line AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 0 THEN upper(t) WHEN turn % 5 < 3 THEN '- ' || t || ' **b** & <c>' WHEN turn % 5 = 3 THEN '1. ' || t ELSE t END AS line FROM (SELECT conv_id, turn, left(regexp_replace(replace(text, 'ß', 'ss'), '\\s+', ' ', 'g'), 30) AS t FROM conversations)),
- k AS (SELECT conv_id, turn, trim(line) AS line, CASE WHEN upper(line) = line AND lower(line) <> line AND length(trim(line)) > 3 THEN 'heading' WHEN regexp_matches(trim(line), '^[-•*]\\s') THEN 'bullet' WHEN regexp_matches(trim(line), '^[0-9]+\\.\\s') THEN 'number' ELSE 'paragraph' END AS kind FROM line WHERE trim(line) <> '' AND NOT starts_with(trim(line), '#')),
- g AS (SELECT *, coalesce(kind IN ('bullet', 'number') AND kind IS DISTINCT FROM lag(kind) OVER w, false) AS opens, coalesce(kind IN ('bullet', 'number') AND kind IS DISTINCT FROM lead(kind) OVER w, false) AS closes FROM k WINDOW w AS (PARTITION BY conv_id ORDER BY turn))"""
+_LINE = """text AS (SELECT conv_id, turn, regexp_replace(replace(text, 'ß', 'ss'), '\\s+', ' ', 'g') AS t FROM conversations),
+ line AS (SELECT conv_id, turn, trim(CASE turn % 8 WHEN 0 THEN upper(t) || ':' WHEN 1 THEN '•' || t WHEN 2 THEN '- ' || t || ' **b** & <c>' WHEN 3 THEN '1. ' || t WHEN 4 THEN '' WHEN 5 THEN '* ' || t WHEN 6 THEN '2) ' || t ELSE t END) AS line FROM text),
+ k AS (SELECT *, CASE WHEN line = '' THEN 'blank' WHEN upper(line) = line AND lower(line) <> line AND length(line) > 3 THEN 'heading' WHEN regexp_matches(line, '^[-•*]') THEN 'bullet' WHEN regexp_matches(line, '^[0-9][.)] ') THEN 'number' ELSE 'paragraph' END AS kind FROM line WHERE NOT starts_with(line, '#')),
+ g AS (SELECT *, kind = 'bullet' AND coalesce(lag(kind) OVER w, '') <> 'bullet' AS opens, kind = 'bullet' AND coalesce(lead(kind) OVER w, '') <> 'bullet' AS closes FROM k WINDOW w AS (PARTITION BY conv_id ORDER BY turn))"""
 _HTML = "regexp_replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\\*\\*([^*]+)\\*\\*', '<strong>\\1</strong>', 'g')"
-_BODY = _HTML.format(x="regexp_replace(line, '^([-•*]|[0-9]+\\.)\\s+', '')")
-_LIST = "CASE WHEN kind = 'bullet' THEN 'ul' ELSE 'ol' END"
+_HEAD = "replace(replace(replace(replace(rtrim(line, ':'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+_BODY = _HTML.format(x="trim(regexp_replace(line, '^[-•* ]+', ''))")
 
 QUERIES = {
     "report_line_kinds": report_kinds, "report_html": report_html, "status_lines": status_lines, "summary_texts": summaries, "model_family": families, "row_access": access,
     "page_links": page_links, "image_texts": image_texts, "sql_text": sql_text,
 }
 ORACLE_SQL = {
-    "report_line_kinds": f"WITH {_LINE} SELECT kind, count(*) AS n, count(*) FILTER (opens) AS opened, count(*) FILTER (closes) AS closed FROM g GROUP BY 1",
-    "report_html": f"""WITH {_LINE} SELECT conv_id, string_agg(CASE WHEN opens THEN '<' || {_LIST} || '>' ELSE '' END || CASE kind WHEN 'heading' THEN '<h2>' || {_HTML.format(x='line')} || '</h2>' WHEN 'paragraph' THEN '<p>' || {_HTML.format(x='line')} || '</p>' ELSE '<li>' || {_BODY} || '</li>' END
- || CASE WHEN closes THEN '</' || {_LIST} || '>' ELSE '' END, chr(10) ORDER BY turn) AS html FROM g GROUP BY 1""",
-    "status_lines": "SELECT conv_id, turn, CASE "
-    + " ".join(f"WHEN conv_id % 7 = {k} THEN replace('{t}', '%s', CASE WHEN length(text) > 60 THEN left(text, 60) || '…' ELSE text END)" for k, t in enumerate(rp.STATUS.values()))
-    + " ELSE 'Working on it' END AS status FROM conversations",
-    "summary_texts": "SELECT doc_id, left(text, 40) || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'Key topics: a, ' || source ELSE '' END || chr(10) || 'Key entities: ' || lang AS stored, CASE WHEN lang <> 'en' THEN lang || ' – 2024' ELSE '2024' END || chr(10) || left(text, 40) || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'Topics: a, ' || source ELSE '' END AS embedded FROM documents",
+    "report_line_kinds": f"WITH {_LINE} SELECT kind, count(*) AS n, count(*) FILTER (opens) AS opened, count(*) FILTER (closes) AS closed FROM g WHERE kind <> 'blank' GROUP BY 1",
+    "report_html": f"""WITH {_LINE} SELECT conv_id, string_agg(CASE WHEN opens THEN '<ul>' || chr(10) ELSE '' END || CASE kind WHEN 'heading' THEN '<h2>' || {_HEAD} || '</h2>' WHEN 'bullet' THEN '<li>' || {_BODY} || '</li>' ELSE '<p>' || {_HTML.format(x='line')} || '</p>' END
+ || CASE WHEN closes THEN chr(10) || '</ul>' ELSE '' END, chr(10) ORDER BY turn) AS html FROM g WHERE kind <> 'blank' GROUP BY 1""",
+    "status_lines": """SELECT conv_id, turn, CASE conv_id % 6 WHEN 0 THEN 'Searching documents for ' || chr(39) || left(text, 60) || chr(39) || '…' WHEN 1 THEN 'Looking for documents about ' || chr(39) || left(text, 60) || chr(39) || '…'
+ WHEN 2 THEN 'Listing available documents' || CASE WHEN turn % 2 = 0 THEN ' (budget)' ELSE '' END || '…' WHEN 3 THEN 'Searching financial/tabular data for ' || chr(39) || left(text, 60) || chr(39) || '…'
+ WHEN 4 THEN 'Examining document ' || conv_id || '…' ELSE 'Running answer_faq_exact_match…' END AS status FROM conversations""",
+    "summary_texts": """SELECT doc_id, CASE WHEN doc_id % 5 > 0 AND text <> '' THEN text || chr(10) || chr(10) ELSE '' END || CASE WHEN doc_id % 2 = 0 THEN 'Key topics: a; ' || source || chr(10) || chr(10) ELSE '' END || 'Key entities: ' || lang || '; x' AS stored,
+ CASE WHEN lang <> 'en' THEN lang ELSE '' END || ' – 2024' || CASE WHEN doc_id % 5 > 0 AND text <> '' THEN chr(10) || text ELSE '' END || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'Topics: a; ' || source ELSE '' END AS embedded FROM documents""",
     "model_family": "WITH m AS (SELECT ['gpt-4-turbo-preview', 'gpt-4', 'gpt-4o-2024', 'o1-mini', 'unknown'][user_id % 5 + 1] AS model, count(*) AS n FROM events GROUP BY 1) SELECT model, n, coalesce(list_filter(['gpt-4-turbo', 'gpt-4o', 'gpt-4', 'o1'], lambda p: starts_with(model, p))[1], 'gpt-4o-mini') AS family FROM m",
     "row_access": "SELECT 'user' AS role, count(*) AS n FROM orders WHERE o_custkey = 13 HAVING count(*) > 0 UNION ALL SELECT 'admin', count(*) FROM orders WHERE o_custkey % 10 = 3 UNION ALL SELECT 'super_admin', count(*) FROM orders",
     "page_links": "SELECT page_id, CASE WHEN page_id % 2 = 0 AND nullif(page_id % 4, 2) <> 0 THEN url || '#page=' || nullif(page_id % 4, 2) ELSE url END AS link FROM pages",
-    "image_texts": "WITH d AS (SELECT doc_id, left(text, 600) AS b, left(text, 100) AS c, right(text, 500) AS a, CAST(greatest(0, floor((800 - length(left(text, 100)) - 2) / 2)) AS BIGINT) AS h FROM documents) SELECT doc_id, md5(CASE WHEN length(b || chr(10) || c || chr(10) || a) <= 800 THEN b || chr(10) || c || chr(10) || a ELSE left(right(b, h) || chr(10) || c || chr(10) || left(a, h), 800) END) AS md5 FROM d",
+    "image_texts": """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 4 > 0 THEN text END AS b, ' a picture of ' || source AS c, CASE WHEN doc_id % 3 > 0 THEN text END AS a FROM documents),
+ e AS (SELECT *, concat_ws(' ', CASE WHEN b <> '' THEN trim(b, ' ' || chr(10)) END, trim(c), CASE WHEN a <> '' THEN trim(a, ' ' || chr(10)) END) AS whole, CAST((8000 - length(c) - 2) // 2 AS BIGINT) AS h FROM d),
+ f AS (SELECT *, concat_ws(' ', CASE WHEN b <> '' THEN trim(right(b, 100), ' ' || chr(10)) END, CASE WHEN a <> '' THEN trim(left(a, 100), ' ' || chr(10)) END) AS k FROM e)
+SELECT doc_id, md5(CASE WHEN length(whole) <= 8000 THEN whole ELSE trim(left(coalesce(b, ''), h) || ' ' || c || ' ' || left(coalesce(a, ''), h), ' ' || chr(10)) END) AS md5,
+ CASE WHEN coalesce(b, '') = '' AND coalesce(a, '') = '' THEN 'Image from document' WHEN length(k) > 300 THEN left(k, 297) || '...' ELSE k END AS caption FROM f""",
     "sql_text": "SELECT n_name, count(*) AS n_orders, CAST(sum(CASE WHEN length(c_name) <= 8 THEN 1 ELSE CAST(ceil((length(c_name) - 0) / 8.0) AS INT) END) AS BIGINT) AS pieces, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'F' GROUP BY 1",
 }

@@ -10,20 +10,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation for each user of the events, of the tenant that the user's last digit names."""
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), (F.col("user_id") % 10).alias("tenant_id"), "user_id").distinct()
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as messages with token counts: errors are the user's, the others the assistant's."""
+    """Events as messages with token counts, in their user's conversation: errors are the user's, the others the assistant's."""
     tokens = F.floor(F.col("value") * 100).cast("long")
     return table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("id"), F.col("user_id"), (F.col("user_id") % 10).alias("tenant_id"), F.when(F.col("event_type") == "error", "user").otherwise("assistant").alias("role"),
+        F.col("event_id").alias("id"), F.col("user_id").alias("conversation_id"), F.when(F.col("event_type") == "error", "user").otherwise("assistant").alias("role"),
         F.when(F.col("event_id") % 50 != 0, F.concat("event_type", F.lit("-2024-07-18"))).alias("model_used"), F.floor(tokens * 7 / 10).cast("long").alias("input_tokens"),
         (tokens - F.floor(tokens * 7 / 10).cast("long")).alias("output_tokens"), tokens.alias("total_tokens"), F.col("ts").cast("timestamp_ntz").alias("created_at"),
     )
 
 
-MESSAGES_SQL = """msg AS (SELECT event_id AS id, user_id, user_id % 10 AS tenant_id, CASE WHEN event_type = 'error' THEN 'user' ELSE 'assistant' END AS role,
- CASE WHEN event_id % 50 <> 0 THEN event_type || '-2024-07-18' END AS model_used, CAST(floor(t * 7 / 10) AS BIGINT) AS input_tokens,
+MESSAGES_SQL = """conv AS (SELECT DISTINCT user_id AS id, user_id % 10 AS tenant_id, user_id FROM events), msg AS (SELECT m.*, c.tenant_id, c.user_id FROM (SELECT event_id AS id, user_id AS conversation_id,
+ CASE WHEN event_type = 'error' THEN 'user' ELSE 'assistant' END AS role, CASE WHEN event_id % 50 <> 0 THEN event_type || '-2024-07-18' END AS model_used, CAST(floor(t * 7 / 10) AS BIGINT) AS input_tokens,
  t - CAST(floor(t * 7 / 10) AS BIGINT) AS output_tokens, t AS total_tokens, ts AS created_at
- FROM (SELECT *, CAST(floor(value * 100) AS BIGINT) AS t FROM events))"""
+ FROM (SELECT *, CAST(floor(value * 100) AS BIGINT) AS t FROM events)) m JOIN conv c ON m.conversation_id = c.id)"""
 
 _PRICES = [("view", "2.50", "10.00"), ("click", "0.15", "0.60"), ("purchase", "30.00", "60.00"), ("signup", "0", None)]
 

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallymill.functions.text import normalise_model_name
 from tallymill.operators import usage as u
 
-from .standins import MESSAGES_SQL, PRICES_SQL, messages, prices, table
+from .standins import MESSAGES_SQL, PRICES_SQL, conversations, prices, table
+from .standins import messages as _messages
+
+
+def messages(spark, sf):
+    return u.of_conversations(_messages(spark, sf), conversations(spark, sf))
 
 
 def _usage(spark, sf):
@@ -46,7 +52,38 @@ def summary(spark, sf):
 
 
 def by_model(spark, sf):
-    return u.statistics_by_model(messages(spark, sf))
+    return u.statistics_by_model(_messages(spark, sf))
+
+
+def by_model_of_tenant(spark, sf):
+    return u.statistics_by_model(_messages(spark, sf), conversations(spark, sf), 3)
+
+
+def monthly_upsert(spark, sf):
+    """Bills of the first twenty days as stored, then of the whole month for even tenants."""
+    usage = _usage(spark, sf)
+    return u.monthly_upsert(u.monthly_billing(usage.where("usage_date <= DATE'2024-01-20'")), usage.where("tenant_id % 2 = 0")).select("tenant_id", "model_name", "billing_year", "billing_month", "total_tokens", "total_cost")
+
+
+def bills_by_cost(spark, sf):
+    """The three most expensive bills of each tenant, in that order."""
+    w = Window.partitionBy("tenant_id").orderBy(F.desc_nulls_first("total_cost"), "model_name")
+    return u.by_cost(monthly(spark, sf)).withColumn("place", F.row_number().over(w)).where("place <= 3").select("tenant_id", "place", "model_name", "total_cost")
+
+
+def delete_usage(spark, sf):
+    """How many daily rows of odd tenants go for the days up to the 15th, and how many stay."""
+    kept, counts = u.deleted(_usage(spark, sf), (F.col("tenant_id") % 2 == 1) & (F.col("usage_date") <= F.lit("2024-01-15").cast("date")), ["tenant_id"])
+    return counts.join(kept.groupBy("tenant_id").agg(F.sum("total_tokens").cast("long").alias("tokens_left")), "tenant_id", "left")
+
+
+def delete_billing(spark, sf):
+    kept, _ = u.deleted(monthly(spark, sf), (F.col("billing_year") == 2024) & (F.col("billing_month") == 1) & (F.col("tenant_id") < 4), ["tenant_id"])
+    return kept.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n"), F.sum("total_cost").cast("decimal(18,6)").alias("total_cost"))
+
+
+def running_tokens(spark, sf):
+    return u.running_tokens(_messages(spark, sf))
 
 
 def user_stats(spark, sf):
@@ -107,15 +144,26 @@ FROM (SELECT DISTINCT {key} FROM msg) p LEFT JOIN s USING ({key})"""
 QUERIES = {
     "usage_daily_cost": daily_cost, "backfill_range": backfill, "usage_summary_rollup": summary, "usage_by_model": by_model, "usage_user_stats": user_stats, "usage_tenant_stats": tenant_stats,
     "usage_upsert_replace": upsert_replace, "usage_upsert_counts": upsert_counts, "usage_upsert_increment": upsert_increment, "billing_monthly": monthly, "billing_month_summary": monthly_summary,
-    "billing_yearly": yearly, "normalize_model_name": model_names,
+    "billing_yearly": yearly, "normalize_model_name": model_names, "usage_by_model_of_tenant": by_model_of_tenant, "billing_monthly_upsert": monthly_upsert, "billing_by_cost": bills_by_cost,
+    "usage_delete": delete_usage, "billing_delete": delete_billing, "running_tokens": running_tokens,
 }
 
-_RANGE = MESSAGES_SQL.replace("FROM events)", "FROM events WHERE {})")
+_BY_MODEL = "SELECT model_used AS model_name, count(id) AS message_count, CAST(sum(input_tokens) AS BIGINT) AS sum_input_tokens, CAST(sum(output_tokens) AS BIGINT) AS sum_output_tokens, CAST(sum(total_tokens) AS BIGINT) AS sum_total_tokens FROM msg WHERE role = 'assistant'"
 ORACLE_SQL = {
     "usage_daily_cost": f"WITH {USAGE_SQL} SELECT * FROM usage",
     "backfill_range": "WITH " + USAGE_SQL.replace("FROM events)", "FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-12 23:59:59.999999')") + " SELECT * FROM usage",
     "usage_summary_rollup": f"WITH {USAGE_SQL} SELECT model_name, {_SUM}, CAST(grouping(model_name) AS INT) AS is_total FROM usage WHERE usage_date BETWEEN DATE '2024-01-03' AND DATE '2024-01-20' GROUP BY ROLLUP (model_name)",
     "usage_by_model": f"WITH {MESSAGES_SQL} SELECT model_used AS model_name, count(id) AS message_count, CAST(sum(input_tokens) AS BIGINT) AS sum_input_tokens, CAST(sum(output_tokens) AS BIGINT) AS sum_output_tokens, CAST(sum(total_tokens) AS BIGINT) AS sum_total_tokens FROM msg WHERE role = 'assistant' GROUP BY model_used",
+    "usage_by_model_of_tenant": f"WITH {MESSAGES_SQL} {_BY_MODEL} AND tenant_id = 3 GROUP BY model_used",
+    "billing_monthly_upsert": f"""WITH {USAGE_SQL}, b AS (SELECT tenant_id, model_name, usage_date, total_tokens, total_cost FROM usage WHERE tenant_id % 2 = 0 UNION ALL
+ SELECT tenant_id, model_name, usage_date, total_tokens, total_cost FROM usage WHERE tenant_id % 2 = 1 AND usage_date <= DATE '2024-01-20')
+SELECT tenant_id, model_name, CAST(year(usage_date) AS INT) AS billing_year, CAST(month(usage_date) AS INT) AS billing_month, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, CAST(sum(total_cost) AS DECIMAL(18,6)) AS total_cost FROM b GROUP BY ALL""",
+    "billing_by_cost": f"WITH {BILLING_SQL} SELECT tenant_id, CAST(row_number() OVER w AS INT) AS place, model_name, total_cost FROM bill WINDOW w AS (PARTITION BY tenant_id ORDER BY total_cost DESC NULLS FIRST, model_name) QUALIFY row_number() OVER w <= 3",
+    "usage_delete": f"""WITH {USAGE_SQL}, x AS (SELECT *, tenant_id % 2 = 1 AND usage_date <= DATE '2024-01-15' AS gone FROM usage)
+SELECT tenant_id, count(*) FILTER (gone) AS deleted, count(*) FILTER (NOT gone) AS kept, CAST(sum(total_tokens) FILTER (NOT gone) AS BIGINT) AS tokens_left FROM x GROUP BY 1""",
+    "billing_delete": f"WITH {BILLING_SQL} SELECT tenant_id, count(*) AS n, CAST(sum(total_cost) AS DECIMAL(18,6)) AS total_cost FROM bill WHERE NOT (billing_year = 2024 AND billing_month = 1 AND tenant_id < 4) GROUP BY 1",
+    "running_tokens": f"""WITH {MESSAGES_SQL} SELECT conversation_id, id, CAST(sum(coalesce(input_tokens, 0)) OVER w AS BIGINT) AS used_input_tokens, CAST(sum(coalesce(output_tokens, 0)) OVER w AS BIGINT) AS used_output_tokens,
+ CAST(sum(coalesce(total_tokens, 0)) OVER w AS BIGINT) AS used_total_tokens FROM msg WINDOW w AS (PARTITION BY conversation_id ORDER BY created_at, id)""",
     "usage_user_stats": _stats_sql("user_id"),
     "usage_tenant_stats": _stats_sql("tenant_id"),
     "usage_upsert_replace": f"""WITH {USAGE_SQL}, again AS (WITH {USAGE_SQL.replace('FROM events)', "FROM events WHERE user_id % 2 = 0 AND ts >= TIMESTAMP '2024-01-15' AND ts < TIMESTAMP '2024-01-25 23:59:59.999999')")} SELECT * FROM usage)

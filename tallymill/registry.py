@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallymill.plans import ingest, listing, reports, retrieval, usage
+from tallymill.plans import ingest, listing, reports, retrieval, service, usage
 
-_MODULES = (usage, listing, retrieval, ingest, reports)
+_MODULES = (usage, listing, retrieval, service, ingest, reports)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallymill.functions.text import fold_space, strip
+from tallymill.functions.text import strip
 
 _DROPPED = frozenset({"script", "style", "nav", "footer", "header", "aside", "head"})
 _BLOCK = frozenset({"p", "div", "article", "section", "ul", "ol", "table", "tr", "blockquote", "pre", "main", "body"})
@@ -23,28 +23,47 @@ def normalise_url(c: Column) -> Column:
     return F.when(F.rlike(full, F.lit(r"^(?i)https?://[^/\s?#]+")), full)
 
 
-def _unescape(c: Column) -> Column:
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+class _Head(HTMLParser):
+    """The first title, the first heading, and the first meta element of each (attribute, value)."""
 
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.metas: dict[tuple[str, str], str] = {}
+        self.texts: dict[str, list[str]] = {}
+        self.within: str | None = None
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "meta":
+            attr = dict(attrs)
+            for kind in ("name", "property"):
+                if attr.get(kind):
+                    self.metas.setdefault((kind, attr[kind]), attr.get("content") or "")
+        elif tag in ("title", "h1") and tag not in self.texts:
+            self.texts[tag], self.within = [], tag
+
+    def handle_endtag(self, tag):
+        if tag == self.within:
+            self.within = None
+
+    def handle_data(self, data):
+        if self.within:
+            self.texts[self.within].append(data)
 
-def page_metadata(html: Column) -> dict[str, Column]:
-    """title (title, og:title, first h1, "Untitled"), description and author of a page."""
 
-    def first(*patterns: str) -> Column:
-        found = [fold_space(_unescape(F.regexp_replace(F.regexp_extract(html, p, 1), "<[^>]*>", ""))) for p in patterns]
-        return F.coalesce(*(F.nullif(x, F.lit("")) for x in found))
+def head_of(html: str) -> tuple[str, str, str]:
+    """title (title, else og:title, else the first h1; "Untitled" where that one is blank), description and author of a page."""
+    head = _Head()
+    head.feed(html)
+    head.close()
+    title = next((v for v in ("".join(head.texts["title"]) if "title" in head.texts else None, head.metas.get(("property", "og:title")), "".join(head.texts["h1"]) if "h1" in head.texts else None) if v is not None), "")
+    first = lambda name, other: head.metas.get(("name", name), head.metas.get(("property", other), "")).strip()
+    return title.strip() or "Untitled", first("description", "og:description"), first("author", "article:author")
 
-    def meta(kind: str, name: str) -> str:
-        return rf'(?is)<meta\s[^>]*{kind}\s*=\s*["\']{name}["\'][^>]*content\s*=\s*["\'](.*?)["\']'
 
-    title = first(r"(?is)<title[^>]*>(.*?)</title>", meta("property", "og:title"), r"(?is)<h1[^>]*>(.*?)</h1>")
-    return {
-        "title": F.coalesce(title, F.lit("Untitled")),
-        "description": F.coalesce(first(meta("name", "description"), meta("property", "og:description")), F.lit("")),
-        "author": F.coalesce(first(meta("name", "author"), meta("property", "article:author")), F.lit("")),
-    }
+@F.pandas_udf(T.StructType([T.StructField(n, T.StringType()) for n in ("title", "description", "author")]))
+def page_metadata(html: pd.Series) -> pd.DataFrame:
+    """title, description and author of a page (Spark has no HTML parser)."""
+    return pd.DataFrame([head_of(h or "") for h in html], columns=["title", "description", "author"])
 
 
 class _Markdown(HTMLParser):
@@ -138,9 +157,9 @@ def markdown(html: pd.Series) -> pd.Series:
     return html.map(lambda h: None if h is None else to_markdown(h))
 
 
-def page_document(pages: DataFrame) -> DataFrame:
-    """page_id, title, author and the numbered template of each page (page_id, url, html)."""
-    meta = page_metadata(F.col("html"))
-    rows = pages.select("page_id", "url", *(c.alias(n) for n, c in meta.items()), markdown("html").alias("content"))
-    text = F.concat_ws("\n\n", F.concat(F.lit("1. title: "), "title"), F.concat(F.lit("2. Source URL: "), "url"), F.concat(F.lit("3. Description: "), "description"), F.concat(F.lit("4. content:\n"), "content"))
-    return rows.select("page_id", "title", "author", text.alias("document"))
+def page_document(pages: DataFrame, with_metadata: bool = True) -> DataFrame:
+    """page_id, title, author and the stored text of each page (page_id, url, html): a numbered template, or the content alone."""
+    rows = pages.select("page_id", "url", page_metadata("html").alias("m"), F.coalesce(markdown("html"), F.lit("")).alias("content")).select("page_id", "url", "m.*", "content")
+    parts = (("1. title:", "title"), ("2. Source URL:", "url"), ("3. Description:", "description"), ("4. content:", "content"))
+    template = strip(F.concat_ws("\n\n", *(x for label, column in parts for x in (F.lit(label), F.coalesce(column, F.lit(""))))))
+    return rows.select("page_id", "title", "author", (template if with_metadata else F.col("content")).alias("document"))

@@ -28,6 +28,12 @@ def read_objects(spark: SparkSession, path: str, pattern: str = "*") -> DataFram
     return rows.select("path", s3_key(F.regexp_replace("path", "^s3a:", "s3:")).alias("key"), F.col("modificationTime").alias("modified"), "length", "content")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at a path of any store that Spark reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def write_partitions(df: DataFrame, path: str, by: Sequence[str], sort: Sequence[str] = ()) -> None:
     """Replaces the partitions that ``df`` has rows of and leaves the others; one file for each partition and task."""
     out = df.repartition(*by)

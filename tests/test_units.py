@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallymill.functions import text as tx
 from tallymill.functions.money import cost
-from tallymill.operators import chunking, listing, ranking, usage, vectors
+from tallymill.operators import chunking, listing, ranking, report, usage, vectors
 from tallymill.operators import config_history as ch
 from tallymill.operators import pipeline_state as ps
 from tallymill.sources import files, pages
@@ -99,13 +99,41 @@ def test_top_k_ties_and_zero(spark):
 
 
 def test_faq(spark):
-    hits = spark.createDataFrame([(1, "1. How do I pay?\nBy card.", 0.1, 1), (2, "how do I really pay", 0.9, 2), (3, "nothing", 1.0, 3)], "id long, text string, score double, rank long")
-    ask = lambda q: [(r["id"], round(r["combined_score"], 2)) for r in ranking.faq_match(hits, F.lit(q)).collect()]
-    assert ask("How do I pay?") == [(2, 2.4)] and ask("How do I pay by card") == [] and ask("zzz") == []
+    schema = "id long, text string, score double, rank long, document_id string, document_name string, page_number int, chunk_index int"
+    hits = spark.createDataFrame([(1, "1. How do I pay?\nBy card.", 0.1, 1, "a", "A", 1, 0), (2, "how do I really pay", 0.9, 2, "b", "B", 2, 1), (3, "nothing", 1.0, 3, "c", "C", 3, 2)], schema)
+    docs = spark.createDataFrame([(20, "b")], "id long, doc_id string")
+    ask = lambda q, k=50: [(r["matched"], r["answer"], r["document_db_id"], r["combined_score"] and round(r["combined_score"], 2)) for r in ranking.faq_match(hits, docs, F.lit(q), k).collect()]
+    assert ask("How do I pay?") == [(True, "how do I really pay", 20, 2.4)] and ask("How do I pay?", 1) == [(True, "1. How do I pay?\nBy card.", None, 2.1)]
+    assert ask("How do I pay by card") == ask("zzz") == ask("?") == [(False, None, None, None)]
 
 
-def test_citation_positions():
-    assert ranking.citation_positions_as_written([("a", 0.5), ("b", 0.4), ("a", 0.9), ("c", 0.1)]) == [3, 2, 3]
+def test_page_head():
+    assert pages.head_of("<title> A &amp; B </title><meta content='d &lt;' name=description><meta name='description' content='later'><h1>H</h1>") == ("A & B", "d <", "")
+    assert pages.head_of("<meta content='O' property='og:title'><h1>H</h1><meta property='article:author' content='W'>") == ("O", "", "W")
+    assert pages.head_of("<title> </title><h1>H</h1>")[0] == "Untitled" and pages.head_of("<h1>H <b>x</b></h1>")[0] == "H x" and pages.head_of("")[0] == "Untitled"
+
+
+def test_page_document(spark):
+    rows = spark.createDataFrame([(1, "http://x/", "<head><title>T</title></head><p>Body</p>"), (2, "http://y/", None)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["document"] for r in pages.page_document(rows).collect()}
+    assert got[1] == "1. title:\n\nT\n\n2. Source URL:\n\nhttp://x/\n\n3. Description:\n\n\n\n4. content:\n\nBody"
+    assert got[2] == "1. title:\n\nUntitled\n\n2. Source URL:\n\nhttp://y/\n\n3. Description:\n\n\n\n4. content:"
+    assert {r["document"] for r in pages.page_document(rows, with_metadata=False).collect()} == {"Body", ""}
+
+
+def test_report_rules(spark):
+    text = "## Left out\nMAIN FINDINGS:\n•one\n# passed over\n* **two** <b>\n\n- three **3**\n1. four\n2) five\n10. six\nok"
+    lines = report.report_lines(spark.createDataFrame([(1, text)], "id long, text string"), "id")
+    html = report.report_html(lines, "id").first()["html"]
+    assert html == "<h2>MAIN FINDINGS</h2>\n<ul>\n<li>one</li>\n<li>two** &lt;b&gt;</li>\n</ul>\n<ul>\n<li>three <strong>3</strong></li>\n</ul>\n<p>1. four</p>\n<p>2) five</p>\n<p>10. six</p>\n<p>ok</p>"
+
+
+def test_prices_are_unique(spark):
+    used = spark.createDataFrame([(1, "m", "2024-01-01", 10, 10, 20, 1)], "tenant_id long, model_name string, usage_date string, total_input_tokens long, total_output_tokens long, total_tokens long, message_count long")
+    prices = spark.createDataFrame([("m", 1.0, 1.0), ("m", 2.0, 2.0)], "name string, input_price double, output_price double").selectExpr("name", "CAST(input_price AS DECIMAL(10,6)) input_price", "CAST(output_price AS DECIMAL(10,6)) output_price")
+    with pytest.raises(Exception, match="several prices for m"):
+        usage.priced(used, prices).collect()
+    assert usage.priced(used, prices.limit(0)).count() == 1
 
 
 def test_titles_and_snippets(spark):
