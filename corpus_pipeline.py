@@ -2,6 +2,12 @@
 
 Every stage works on all rows that its predecessor kept; each result is a Parquet
 table in the shared folder, which the next stage reads.
+
+Null or empty texts and null ids pass the filtering stages as their operators say:
+the classifier scores empty texts and keeps null ids, the other three leave both.
+The mix takes tokens, so it leaves rows without any out. Repeated rows are decided
+alike, and very long texts are taken whole. An empty table stays empty in every
+stage; all stages but the last hand on all columns, whatever their names.
 """
 
 from __future__ import annotations
