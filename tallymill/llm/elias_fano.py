@@ -45,7 +45,7 @@ def open_parts(uri: str, kinds: list[type]) -> list[np.ndarray]:
     """The arrays of a file, mapped into memory. A file of a remote store is mapped from an unlinked copy."""
     path = _local(uri)
     if path is not None:
-        raw = np.memmap(path, np.uint8, "r")
+        raw = np.memmap(path, np.uint8, "r").view(np.ndarray)  # plain arrays are sliced faster
     else:
         from pyarrow import fs
 
@@ -54,7 +54,7 @@ def open_parts(uri: str, kinds: list[type]) -> list[np.ndarray]:
             while chunk := f.read(1 << 22):
                 copy.write(chunk)
             copy.flush()
-            raw = np.memmap(copy, np.uint8, "r")
+            raw = np.memmap(copy, np.uint8, "r").view(np.ndarray)
     head = raw[: _HEAD * 8].view(np.int64)
     out, at = [], _HEAD * 8
     for k, kind in enumerate(kinds):
@@ -94,16 +94,26 @@ def encode(x: np.ndarray) -> list[np.ndarray]:
     return [np.array([n, low], np.int64), packed, high, zeros]
 
 
+def _places() -> np.ndarray:
+    """By byte and rank: the place of the set bit of that rank."""
+    bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+    return np.argsort(1 - bits, axis=1, kind="stable").astype(np.int64)
+
+
+_IN_BYTE = _places()
+
+
 def _select(word: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Place of the set bit number ``rank`` in each word."""
     at = np.zeros(len(word), np.uint64)
-    rank = rank.astype(np.uint64)
-    for width in (32, 16, 8, 4, 2, 1):
-        below = np.bitwise_count(word >> at & np.uint64((1 << width) - 1)).astype(np.uint64)
+    for width in (32, 16, 8):
+        below = np.bitwise_count(word & np.uint64((1 << width) - 1)).astype(np.int64)
         over = rank >= below
-        rank = np.where(over, rank - below, rank)
-        at = np.where(over, at + np.uint64(width), at)
-    return at.astype(np.int64)
+        rank = rank - below * over
+        step = over * np.uint64(width)
+        word = word >> step
+        at += step
+    return at.astype(np.int64) + _IN_BYTE[(word & np.uint64(255)).astype(np.int64), rank]
 
 
 class Sequence:
@@ -144,17 +154,21 @@ class Sequence:
             run[far] = self._select_zero(high[far]) - begin[far]
         hi = np.minimum(lo + run, self.n)
         lo = np.minimum(lo, self.n)
-        end = hi.copy()
-        want = y & np.uint64((1 << self.low) - 1)
+        equal = np.zeros(len(y), bool)
+        # binary search of the low bits; a value that is there is met on the way
         active = np.flatnonzero(lo < hi)
+        begin, end, want = lo[active], hi[active], y[active] & np.uint64((1 << self.low) - 1)
         while len(active):
-            middle = (lo[active] + hi[active]) >> 1
-            less = self._low(middle) < want[active]
-            lo[active] = np.where(less, middle + 1, lo[active])
-            hi[active] = np.where(less, hi[active], middle)
-            active = active[lo[active] < hi[active]]
-        equal = lo < end
-        inside = np.flatnonzero(equal)
-        equal[inside] = self._low(lo[inside]) == want[inside]
+            middle = (begin + end) >> 1
+            value = self._low(middle)
+            less, same = value < want, value == want
+            begin = np.where(less, middle + 1, begin)
+            end = np.where(less, end, middle)
+            done = same | (begin >= end)
+            at = active[done]
+            lo[at] = np.where(same[done], middle[done], begin[done])
+            equal[at] = same[done]
+            going = np.flatnonzero(~done)
+            active, begin, end, want = active[going], begin[going], end[going], want[going]
         lo[beyond], equal[beyond] = self.n, False
         return lo, equal

@@ -18,9 +18,13 @@ sum, encode and write memory-mapped files in the shared folder. Tasks that score
 the shards and look up the sorted distinct n-grams of about a million tokens at once.
 Only shard sizes reach the driver.
 
+A level keeps no pointer sequence of its own: since the context is the high part of
+every key, the keys' Elias-Fano code answers where a context's successors begin.
+
 Null or empty text is the end token alone. No training rows: every word is unknown.
 Repeated rows are counted and scored as often as they occur. Null doc_id counts as
-the empty text in the split. Extra columns are ignored.
+the empty text in the split. An empty table gives no rows. A very long text is scored
+whole, in one block. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +44,7 @@ from .words import block_words, blocks
 END = np.uint64(0x5E17E0D0C5E17E0D)
 DISCOUNT, ADD = 0.75, 0.1
 #: Tokens that a task looks up at once, in bytes of text; n-grams that it counts before it sends them; shard size.
-TEXT_BLOCK, FLUSH, SHARD = 4 << 20, 3_000_000, 1_000_000
+TEXT_BLOCK, FLUSH, SHARD = 8 << 20, 3_000_000, 2_000_000
 _STEP, _LEAST = 30.0 / 65534, -30.0
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -200,15 +204,14 @@ class Walk:
         new = np.concatenate([[True], np.diff(joint[order]) > 0]) if len(order) else np.zeros(0, bool)
         pick = order[new]
         number, first, share, weight = find_grams(level, context[pick], successor[pick], not last)
-        back = np.empty(len(order), np.int64)
-        back[order] = np.cumsum(new) - 1
+        each, at = np.cumsum(new) - 1, at[order]
         if last:
-            return at, share[back], weight[back]
+            return at, share[each], weight[each]
         self.k += 1
         self.number, self.relative = np.full(len(self.word), -1, np.int64), np.full(len(self.word), -1, np.int64)
-        self.number[at] = number[back]
-        self.relative[at] = np.where(number[back] >= 0, (number - first)[back], -1)
-        return at, share[back], weight[back]
+        self.number[at] = number[each]
+        self.relative[at] = np.where(number >= 0, number - first, -1)[each]
+        return at, share[each], weight[each]
 
 
 def _count_level(docs: DataFrame, model: Model, contexts: int, width: int, shards: int) -> DataFrame:
