@@ -145,8 +145,12 @@ class Logistic:
         return x @ self.slope + self.intercept
 
 
-def summed(rows: DataFrame, f, size: int) -> np.ndarray:
-    """Sum of f's vectors over the batches of all rows, added up in a fixed order."""
+#: Vectors that the driver adds up itself; those of more tasks are added in tasks first.
+DIRECT = 64
+
+
+def summed(rows: DataFrame, f, size: int, parts: int) -> np.ndarray:
+    """Sum of f's vectors over the batches of all rows (in ``parts`` tasks), added up in a fixed order."""
     schema = "part int, total binary"
 
     def row(part, total):
@@ -160,8 +164,10 @@ def summed(rows: DataFrame, f, size: int) -> np.ndarray:
         if got:
             yield row(got[0][0], sum((np.frombuffer(t) for _, t in got), np.zeros(size)))
 
-    out = rows.mapInArrow(by_task, schema).repartition(16, "part").mapInArrow(together, schema).collect()
-    return sum((np.frombuffer(r["total"]) for r in sorted(out)), np.zeros(size))
+    out = rows.mapInArrow(by_task, schema)
+    if parts > DIRECT:
+        out = out.repartition(DIRECT, "part").mapInArrow(together, schema)
+    return sum((np.frombuffer(r["total"]) for r in sorted(out.collect())), np.zeros(size))
 
 
 def pool_views(batch) -> list[np.ndarray]:
@@ -203,27 +209,42 @@ def labels_given(batch, history) -> tuple[list[np.ndarray], list[np.ndarray]]:
     return views, given
 
 
-def cut_offs(pool: DataFrame, history: list, models: list[Logistic], most: list[int]) -> list[tuple[np.uint64, np.uint64]]:
-    """The last key to take for each view and label, so that the ``most`` surest rows are taken; byte by byte from counts."""
+#: Bits of a key that one pass counts by.
+DIGIT = 12
+
+
+def cut_offs(pool: DataFrame, history: list, models: list[Logistic], most: list[int], parts: int) -> list[tuple[np.uint64, np.uint64]]:
+    """The last key to take for each view and label, so that the ``most`` surest rows are taken; digit by digit from counts."""
+    size, places = 1 << DIGIT, [*range(64 - DIGIT, -1, -DIGIT), 0]  # shifts of a word's digits; the last one may overlap the one before
     known, left, done = [[] for _ in most], list(most), [False] * len(most)
-    for k in range(16):
+
+    def digits(word: np.ndarray) -> list[np.ndarray]:
+        return [(word >> np.uint64(p) & np.uint64(size - 1)).astype(np.int64) for p in places]
+
+    for k in range(2 * len(places)):
 
         def count(batch, known=tuple(map(tuple, known)), k=k):
             views, given = labels_given(batch, history)
             out = []
             for (_, _, may, high, low), prefix in zip(surest(batch, views, models, given), known, strict=True):
-                key = np.stack([high, low], 1).astype(">u8").view(np.uint8).reshape(-1, 16)
-                may = may & (key[:, : len(prefix)] == np.array(prefix, np.uint8)).all(1) if len(prefix) == k else np.zeros(len(may), bool)
-                out.append(np.bincount(key[may, k], minlength=256))
+                if len(prefix) == k and may.any():
+                    high, low = high[may], low[may]
+                    key = [*digits(high), *(digits(low) if k >= len(places) else [])]
+                    same = np.ones(len(high), bool)
+                    for d, p in zip(key, prefix, strict=False):
+                        same &= d == p
+                    out.append(np.bincount(key[k][same], minlength=size))
+                else:
+                    out.append(np.zeros(size, np.int64))
             return np.concatenate(out).astype(float)
 
-        counts = summed(pool, count, 256 * len(most)).reshape(len(most), 256).astype(int)
+        counts = summed(pool, count, size * len(most), parts).reshape(len(most), size).astype(int)
         for j in range(len(most)):
             total = counts[j].cumsum()
             if done[j]:
                 continue
             at = int(np.searchsorted(total, left[j]))
-            if at > 255:  # fewer than wanted: all of them
+            if at >= size:  # fewer than wanted: all of them
                 done[j] = True
                 continue
             known[j].append(at)
@@ -231,11 +252,22 @@ def cut_offs(pool: DataFrame, history: list, models: list[Logistic], most: list[
             left[j] -= int(total[at] - counts[j][at])
         if all(done):
             break
-    ends = [bytes(p).ljust(16, b"\xff") for p in known]
-    return [(np.uint64(int.from_bytes(e[:8], "big")), np.uint64(int.from_bytes(e[8:], "big"))) for e in ends]
+
+    def end(prefix: list[int]) -> tuple[np.uint64, np.uint64]:
+        """The largest key with these digits."""
+        words = []
+        for part in (prefix[: len(places)], prefix[len(places) :]):
+            word, free = 0, (1 << 64) - 1
+            for p, d in zip(places, part, strict=False):
+                word |= d << p
+                free &= (1 << p) - 1
+            words.append(np.uint64(word | free))
+        return words[0], words[1]
+
+    return [end(p) for p in known]
 
 
-def fit_all(views: list[np.ndarray], y: np.ndarray, pool: DataFrame, history: list, before: list[Logistic]) -> list[Logistic]:
+def fit_all(views: list[np.ndarray], y: np.ndarray, pool: DataFrame, history: list, before: list[Logistic], parts: int) -> list[Logistic]:
     """Both views' models on the labelled rows and, at half weight, all rows with pseudo-labels; as ``Logistic.fit``."""
     width = [v.shape[1] for v in views]
 
@@ -248,7 +280,7 @@ def fit_all(views: list[np.ndarray], y: np.ndarray, pool: DataFrame, history: li
     def moments(batch):
         return np.concatenate([np.concatenate([[len(x)], (x - before[v].mean).sum(0), ((x - before[v].mean) ** 2).sum(0)]) for v, x, _ in own(batch)])
 
-    total = np.split(summed(pool, moments, sum(2 * w + 1 for w in width)), [2 * width[0] + 1])
+    total = np.split(summed(pool, moments, sum(2 * w + 1 for w in width), parts), [2 * width[0] + 1])
     mean, scale, beta = [], [], []
     for v, w in enumerate(width):
         d = views[v] - before[v].mean
@@ -265,7 +297,7 @@ def fit_all(views: list[np.ndarray], y: np.ndarray, pool: DataFrame, history: li
 
     size = [(w + 1) * (w + 2) for w in width]
     for _ in range(30):
-        sums = np.split(summed(pool, lambda batch: np.concatenate([newton(v, x, t, 0.5) for v, x, t in own(batch)]), sum(size)), [size[0]])
+        sums = np.split(summed(pool, lambda batch: np.concatenate([newton(v, x, t, 0.5) for v, x, t in own(batch)]), sum(size), parts), [size[0]])
         most = 0.0
         for v, w in enumerate(width):
             whole = sums[v] + newton(v, views[v], y, 1.0)
@@ -281,11 +313,11 @@ def fit_all(views: list[np.ndarray], y: np.ndarray, pool: DataFrame, history: li
 
 def co_train(views: list[np.ndarray], y: np.ndarray, pool: DataFrame, rounds: int = ROUNDS, share: float = SHARE) -> list[Logistic]:
     """A model of each view, after each has labelled the pool's surest documents for the other in every round."""
-    models, history, n = [Logistic().fit(v, y) for v in views], [], pool.count()
+    models, history, n, parts = [Logistic().fit(v, y) for v in views], [], pool.count(), pool.rdd.getNumPartitions()
     most = [max(1, int(share * n * (y == label).mean())) for _ in (0, 1) for label in (0, 1)]
     for _ in range(rounds if n else 0):
-        history = [*history, (models, cut_offs(pool, history, models, most))]
-        models = fit_all(views, y, pool, history, models)
+        history = [*history, (models, cut_offs(pool, history, models, most, parts))]
+        models = fit_all(views, y, pool, history, models, parts)
     return models
 
 
