@@ -16,8 +16,9 @@ models and cut-offs of the rounds before; copies of a row are given the same.
 Null or empty text has measures of zero; null metadata is a value of its own. With
 no labels, or one class only, every score is the share of good labels (1 without
 any). A doc_id with several labels takes their mean, good if it is at least a
-half. Repeated rows get equal scores. Extra columns are ignored or, in
-``keep_good``, stay.
+half. Repeated rows get equal scores; ties in confidence are taken in the order of a
+hash of doc_id. A very long text is measured whole. An empty table gives no rows.
+Extra columns are ignored or, in ``keep_good``, stay, whatever their names.
 """
 
 from __future__ import annotations
