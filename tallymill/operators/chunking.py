@@ -7,6 +7,7 @@ the walks are small functions over one text, applied in Arrow batches and explod
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -18,16 +19,24 @@ SIZE, OVERLAP = 1000, 200
 ROWS_PER_CHUNK = 25
 
 
+def _windows(n: int, spaces: list[int], size: int, overlap: int) -> Iterator[slice]:
+    """Windows over n characters: each ends at the last space in its second half, or else is full, and the next one reaches back by the overlap."""
+    start = 0
+    while start < n:
+        stop = start + size
+        if stop < n:
+            last = bisect_left(spaces, stop) - 1
+            if last >= 0 and spaces[last] > start + size // 2:
+                stop = spaces[last]
+        yield slice(start, stop)
+        back = stop - overlap
+        start = back if back > start else stop
+
+
 def fixed(text: str, size: int = SIZE, overlap: int = OVERLAP) -> Iterator[str]:
-    """Windows that end at the last space of their second half if there is one. The last window may hold overlap alone."""
-    at, n = 0, len(text)
-    while at < n:
-        end = at + size
-        if end < n and (space := text.rfind(" ", at, end)) > at + size // 2:
-            end = space
-        if piece := text[at:end].strip():
-            yield piece
-        at = end - overlap if end - overlap > at else end
+    """Pieces of about ``size`` characters that end between words. The last one may hold overlap alone."""
+    spaces = [m.start() for m in re.finditer(" ", text)]
+    return filter(None, (text[w].strip() for w in _windows(len(text), spaces, size, overlap)))
 
 
 def _packed(parts: Iterator[str], size: int, joiner: str, carry: Callable[[list[str]], list[str]]) -> Iterator[str]:

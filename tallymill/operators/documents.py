@@ -79,6 +79,18 @@ def first_of_key(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
+def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Each key's row with the greatest order."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*keys, "r.*")
+
+
+def page_of(rows: DataFrame, page: int, per_page: int) -> DataFrame:
+    """A page by id with the number of all rows and of pages."""
+    total = rows.agg(F.count(F.lit(1)).alias("total")).withColumn("pages", F.greatest(F.lit(1), F.expr(f"(total + {per_page - 1}) div {per_page}")))
+    return rows.orderBy("id").offset((page - 1) * per_page).limit(per_page).join(total, F.lit(True))  # one row
+
+
 def appended(rows: DataFrame, new: DataFrame) -> DataFrame:
     """Bulk insert: new rows under the old ones' columns, what they lack is null."""
     return rows.unionByName(new, allowMissingColumns=True).select(*rows.columns)

@@ -21,6 +21,13 @@ def stage_map(events: DataFrame, key: str) -> DataFrame:
     return events.groupBy(key, F.col("status").alias("stage")).agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("first_event"), F.min("ts").alias("started_at"), F.max("ts").alias("last_at"), F.count(F.lit(1)).alias("runs"))
 
 
+def stage_list(events: DataFrame, stages: list[str], keys: DataFrame, key: str) -> DataFrame:
+    """Every stage of every key in order, with the time of its first event; null where it has not begun."""
+    first = events.groupBy(key, F.col("status").alias("stage")).agg(F.min("ts").alias("started_at"))
+    every = keys.select(key, F.posexplode(F.array(*map(F.lit, stages))).alias("position", "stage"))
+    return every.join(first, [key, "stage"], "left")
+
+
 def overlay(rows: DataFrame, live: DataFrame, key: str, default: str) -> DataFrame:
     """Stored status under the live one, under a default."""
     over = live.select(key, F.col("status").alias("_live"))
@@ -57,8 +64,9 @@ def sessions(events: DataFrame, key: str, gap_seconds: int) -> DataFrame:
 def rate_limited(calls: DataFrame, key: str, most: int, window_seconds: int) -> DataFrame:
     """Whether each call is allowed: a counter that allows ``most``, and forgets ``window_seconds`` after the last allowed call.
 
-    Calls of a key are folded in order of time as they stream through a sorted
-    partition; only the counter is held.
+    Whether a call is allowed depends on the one before it, so the calls of one key are
+    folded in order of time by one task, as they stream through a sorted partition;
+    only the counter is held. A key is one caller, and its calls are what it can send.
     """
     window = window_seconds * 1_000_000
 

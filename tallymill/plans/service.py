@@ -116,6 +116,23 @@ def stage_durations(spark, sf):
     return ps.durations(e, "document_id").groupBy("document_id").agg(F.count("seconds").alias("n"), F.sum("seconds").alias("seconds"))
 
 
+def latest_order(spark, sf):
+    """The newest order of each customer, and its highest number."""
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    by_key = dc.latest(o, ["o_custkey"], ["o_orderkey"]).select("o_custkey", F.col("o_orderkey").alias("highest"))
+    return dc.latest(o, ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", F.col("o_orderkey").alias("newest")).join(by_key, "o_custkey")
+
+
+def page_total(spark, sf):
+    return dc.page_of(documents(spark, sf).select("id", "processing_status"), 3, 15)
+
+
+def stage_lists(spark, sf):
+    """The five kinds of events as stages of every user."""
+    e = table(spark, sf, "events").select("event_id", F.col("user_id").alias("document_id"), F.col("event_type").alias("status"), F.col("ts").cast("timestamp_ntz").alias("ts"))
+    return ps.stage_list(e, ["signup", "view", "click", "purchase", "refund"], e.select("document_id").distinct(), "document_id")
+
+
 # points
 
 
@@ -128,7 +145,7 @@ def _summaries(spark, sf):
 
 def chunk_points(spark, sf):
     p = _points(spark, sf).drop("id").withColumn("document_name", F.when(F.col("document_id") % 2 == 0, F.col("document_name")))
-    return vc.chunk_points(p).select("id", F.get_json_object("payload", "$.document_name").alias("name"), F.md5("payload").alias("payload_md5"))
+    return vc.chunk_points(p).select("id", F.get_json_object("payload", "$.document_name").alias("name"), F.get_json_object("payload", "$.chunk_index").cast("int").alias("chunk_index"))
 
 
 def image_points(spark, sf):
@@ -210,7 +227,7 @@ QUERIES = {
     "document_details": details, "documents_completed": completed, "failed_documents": failures, "progress_breakdown": breakdown, "eager_parent": parents, "select_in_load": lookups, "first_per_key": first_urls,
     "bulk_insert": inserted, "config_delete_default": without_config, "config_set_default": new_default, "config_history_json": history_settings, "message_defaults": message_defaults, "stage_durations": stage_durations,
     "vector_chunk_points": chunk_points, "vector_image_points": image_points, "vector_summary_upsert": summary_upsert, "vector_summary_delete": summary_delete, "summary_search": relevant, "vector_scroll": scroll,
-    "vector_replace_document": replaced, "vector_hit_ids": hit_ids, "delete_everywhere": deleted_everywhere, "chunk_payload": chunk_payloads, "upload_split": uploads, "retrieval_request": request,
+    "vector_replace_document": replaced, "vector_hit_ids": hit_ids, "delete_everywhere": deleted_everywhere, "chunk_payload": chunk_payloads, "upload_split": uploads, "retrieval_request": request, "latest_of_key": latest_order, "page_with_total": page_total, "stage_list": stage_lists,
 }
 
 ORACLE_SQL = {
@@ -235,6 +252,22 @@ SELECT id AS document_id, name, coalesce(stage, 'unknown') AS failed_at_stage, C
 SELECT role, model_used, count(*) AS n, count(t) AS n_tokens, CAST(sum(t) AS BIGINT) AS total FROM d GROUP BY 1, 2""",
     "stage_durations": """WITH d AS (SELECT user_id AS document_id, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_us(ts) AS us FROM events)
 SELECT document_id, count(us) AS n, CAST(sum(us // 1000000) AS BIGINT) AS seconds FROM d GROUP BY 1""",
+    "vector_chunk_points": """SELECT sha256((vec_id // 4) || '_chunk_' || (vec_id % 4)) AS id, CASE WHEN (vec_id // 4) % 2 = 0 THEN 'doc' || ((vec_id // 4) % 11) END AS name, CAST(vec_id % 4 AS INT) AS chunk_index FROM embeddings""",
+    "retrieval_request": f"""WITH point AS (SELECT vec_id AS id, CAST(vec_id // 4 AS BIGINT) AS document_id, coalesce(text, '') AS text, 'doc' || ((vec_id // 4) % 11) AS document_name, round({_NEAR}, 6) AS score FROM embeddings LEFT JOIN documents ON doc_id = vec_id
+  WHERE label % 3 = 1 AND vec_id // 4 IN (SELECT doc_id FROM documents WHERE doc_id % 4 = 2)),
+ hit AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM point QUALIFY rank <= 5),
+ p AS (SELECT *, '[Source ' || rank || '] ' || document_name || ': ' AS prefix FROM hit),
+ s AS (SELECT *, length(prefix) + length(text) AS n, sum(length(prefix) + length(text)) OVER (ORDER BY rank) AS total FROM p),
+ o AS (SELECT *, sum(CAST(total > 8000 AS INT)) OVER (ORDER BY rank) AS over_, 8000 - (total - n) - length(prefix) - 5 AS room FROM s),
+ l AS (SELECT *, CAST(least(2000, room) AS BIGINT) AS lim FROM o WHERE over_ <= 1),
+ c AS (SELECT rank, CASE WHEN over_ = 0 THEN prefix || text WHEN room > 200 THEN prefix || CASE WHEN length(text) <= lim THEN text ELSE left(text, CAST(floor((lim - 19) * 0.8) AS BIGINT)) || '... [truncated] ...' || right(text, lim - 19 - CAST(floor((lim - 19) * 0.8) AS BIGINT)) END END AS part FROM l),
+ k AS (SELECT coalesce(string_agg(part, chr(10) || chr(10) ORDER BY rank), '') AS context FROM c),
+ r AS (SELECT count(*) AS n, coalesce(string_agg(rank || ' /documents/' || document_id, ',' ORDER BY rank), '') AS cited FROM hit),
+ h AS (SELECT CAST(least(6, count(*)) AS INT) AS n_history FROM conversations WHERE conv_id = 1)
+SELECT 'What of the erst tion?' AS query, CASE WHEN r.n > 0 THEN 'retrieval' ELSE 'no_results' END AS query_type, r.n AS chunks_retrieved, CASE WHEN r.n > 0 THEN 'Retrieved Documents:' || chr(10) || context || chr(10) || chr(10) || 'Current Question: What of the erst tion?' || chr(10) || chr(10)
+ || 'IMPORTANT: Please answer the question using the information provided in the "Retrieved Documents" section above. If the answer is in the retrieved documents, provide it directly. Only say you don' || chr(39) || 't have information if the retrieved documents truly don' || chr(39) || 't contain relevant information about the question.' END AS user_content,
+ CASE WHEN r.n = 0 THEN 'I couldn' || chr(39) || 't find any relevant information in the documents to answer your question. Please try rephrasing your query or ensure documents have been processed.' END AS answer, n_history, cited AS citations FROM k, r, h
+UNION ALL SELECT 'Hello there!', 'casual', 0, 'Hello there!', NULL, n_history, '' FROM h""",
     "vector_image_points": """WITH i AS (SELECT vec_id // 4 AS d, label % 3 AS t, vec_id % 2 AS p, 'text ' || vec_id AS txt, CASE WHEN vec_id % 3 > 0 THEN 'picture ' || vec_id ELSE 'text ' || vec_id END AS caption FROM embeddings),
  n AS (SELECT *, CAST(row_number() OVER (PARTITION BY t, d ORDER BY p, txt) - 1 AS INT) AS image_index FROM i) SELECT sha256(d || '_image_' || image_index) AS id, CAST(d AS BIGINT) AS document_id, image_index, 'image' AS type, caption, txt AS text FROM n""",
     "vector_summary_upsert": f"{_FULL} SELECT sha256(vec_id || '_summary') AS id, vec_id AS document_id, CASE WHEN vec_id % 2 = 0 THEN 'new' ELSE summary END AS summary, doc_category AS category FROM embeddings LEFT JOIN full_doc ON id = vec_id",
@@ -249,6 +282,10 @@ SELECT h.id, document_id, CASE WHEN document_id % 3 > 0 THEN d.doc_id + 1000 END
     "delete_everywhere": """WITH g AS (SELECT doc_id FROM documents WHERE doc_id % 3 = 0) SELECT 'points' AS store, count(*) AS n, CAST(sum(vec_id // 4) AS BIGINT) AS total FROM embeddings WHERE vec_id // 4 NOT IN (FROM g)
 UNION ALL SELECT 'rows', count(*), CAST(sum(doc_id) AS BIGINT) FROM documents WHERE doc_id NOT IN (FROM g)""",
     "chunk_payload": "SELECT doc_id, CAST(3 AS INT) AS n, lang, 'text' AS kind, source FROM documents",
+    "latest_of_key": "SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS newest, max(o_orderkey) AS highest FROM orders GROUP BY 1",
+    "page_with_total": f"{_DOC} SELECT id, processing_status, count(*) OVER () AS total, greatest(1, (count(*) OVER () + 14) // 15) AS pages FROM doc ORDER BY id LIMIT 15 OFFSET 30",
+    "stage_list": """WITH s AS (SELECT unnest(['signup', 'view', 'click', 'purchase', 'refund']) AS stage, CAST(unnest(range(0, 5)) AS INT) AS position), f AS (SELECT user_id, event_type, min(ts) AS started_at FROM events GROUP BY 1, 2)
+SELECT u.user_id AS document_id, position, stage, started_at FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN s LEFT JOIN f ON f.user_id = u.user_id AND event_type = stage""",
     "upload_split": """WITH p AS (SELECT CASE WHEN doc_id % 5 IN (2, 3) THEN 'unsupported type ' || CASE WHEN doc_id % 5 = 2 THEN '.exe' ELSE '' END WHEN n_chars * 20000 > 52428800 THEN 'too large' ELSE 'ok' END AS problem FROM documents)
 SELECT problem, count(*) AS n FROM p GROUP BY 1""",
 }

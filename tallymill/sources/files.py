@@ -8,7 +8,7 @@ import zipfile
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallymill.functions.text import extension, strip, words
@@ -110,20 +110,46 @@ def xlsx_rows(data: bytes) -> list[tuple[str, int, list[str]]]:
 
 
 def read_xlsx(files: DataFrame) -> DataFrame:
-    """path, sheet, row_idx and cells of every row of XLSX files; a damaged file has one row with its error."""
+    """path, sheet with its number, row_idx and cells of every row of XLSX files; a damaged file has one row with its error."""
+    schema = "path string, sheet string, sheet_no int, row_idx long, cells array<string>, error string"
 
     def run(batches):
         for batch in batches:
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    rows = [(path, s, k, c, None) for s, k, c in xlsx_rows(data)]
+                    found, order = xlsx_rows(data), {}
+                    rows = [(path, s, order.setdefault(s, len(order)), k, c, None) for s, k, c in found]
                 except Exception as e:  # noqa: BLE001  whatever a damaged archive raises
-                    rows = [(path, None, None, None, f"{type(e).__name__}: {e}"[:200])]
-                cols = list(zip(*rows, strict=True)) or [[]] * 5
-                kinds = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], ["path", "sheet", "row_idx", "cells", "error"])
-
-    return files.select("path", "content").mapInArrow(run, "path string, sheet string, row_idx long, cells array<string>, error string")
+                    rows = [(path, None, None, None, None, f"{type(e).__name__}: {e}"[:200])]
+                cols = list(zip(*rows, strict=True)) or [[]] * 6
+                kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], [c.split(" ")[0] for c in schema.split(", ")])
+
+    return files.select("path", "content").mapInArrow(run, schema)
+
+
+def _cell(c: Column) -> Column:
+    return F.replace(F.replace(strip(F.coalesce(c, F.lit(""))), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
+
+
+def workbook_text(rows: DataFrame) -> DataFrame:
+    """path and the whole workbook as Markdown: a section for each sheet, with the rows above its header as text and the table below."""
+    line = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
+    rows = rows.where("error is null").withColumn("cells", F.transform("cells", _cell)).withColumn("_full", F.size(F.filter("cells", lambda c: c != "")))
+    sheet = Window.partitionBy("path", "sheet")
+    top = F.coalesce(F.min(F.when(F.col("_full") >= 2, F.col("row_idx"))).over(sheet), F.min("row_idx").over(sheet))
+    rows = rows.withColumn("_top", top).withColumn("_width", F.max(F.when(F.col("row_idx") == F.col("_top"), F.size("cells"))).over(sheet))
+    title = F.array_join(F.filter("cells", lambda c: c != ""), " ")
+    padded = F.slice(F.concat("cells", F.array_repeat(F.lit(""), F.col("_width"))), F.lit(1), F.col("_width"))
+    head = F.concat(line(F.col("cells")), F.lit("\n"), line(F.array_repeat(F.lit("---"), F.col("_width"))))
+    text = F.when(F.col("row_idx") < F.col("_top"), title).when(F.col("row_idx") == F.col("_top"), head).when(F.size(F.filter(padded, lambda c: c != "")) > 0, line(padded))
+    lines = F.array_sort(F.collect_list(F.struct("row_idx", (F.col("row_idx") < F.col("_top")).alias("above"), text.alias("line"))))
+    kept = F.filter(lines, lambda x: x["line"].isNotNull() & (x["line"] != ""))
+    joined = lambda above: F.array_join(F.transform(F.filter(kept, lambda x: x["above"] == above), lambda x: x["line"]), "\n")
+    each = rows.groupBy("path", "sheet", "sheet_no").agg(joined(True).alias("titles"), joined(False).alias("table"))
+    section = F.concat(F.lit("## Sheet: "), "sheet", F.lit("\n\n"), F.when(F.col("titles") != "", F.concat("titles", F.lit("\n\n"))).otherwise(""), "table")
+    held = F.array_sort(F.collect_list(F.struct("sheet_no", section.alias("section"))))
+    return each.groupBy("path").agg(F.array_join(F.transform(held, lambda x: x["section"]), "\n\n---\n\n").alias("text"))
 
 
 def sheet_tables(rows: DataFrame) -> DataFrame:
@@ -165,6 +191,23 @@ def pdf_pages(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "path string, page_number long, text string, error string")
 
 
+def pdf_text(pages: DataFrame) -> DataFrame:
+    """path and whole text of PDF files from their pages, the first error where there is one."""
+    held = F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("page_number", "text"))))
+    return pages.groupBy("path").agg(F.array_join(F.transform(held, lambda p: p["text"]), "\n\n").alias("text"), F.count("page_number").alias("page_count"), F.max("error").alias("error"))
+
+
+def read_any(files: DataFrame) -> DataFrame:
+    """path, text and error of files (path, content), each by its extension's reader; other types have a row with an error."""
+    kind = files.withColumn("_kind", extension(F.col("path")))
+    of = lambda *kinds: kind.where(F.col("_kind").isin(*kinds)).drop("_kind")
+    texts = of(*TEXT).select("path", strip(F.decode("content", "UTF-8")).alias("text"), F.lit(None).cast("string").alias("error"))
+    rows = read_xlsx(of(".xlsx"))
+    sheets = workbook_text(rows).withColumn("error", F.lit(None).cast("string")).unionByName(rows.where("error is not null").select("path", F.lit(None).cast("string").alias("text"), "error"))
+    other = kind.where(~F.col("_kind").isin(*TEXT, ".docx", ".xlsx", ".pdf")).select("path", F.lit(None).cast("string").alias("text"), F.concat(F.lit("no reader for "), F.col("_kind")).alias("error"))
+    return texts.unionByName(read_docx(of(".docx")).select("path", "text", "error")).unionByName(sheets).unionByName(pdf_text(pdf_pages(of(".pdf"))).select("path", "text", "error")).unionByName(other)
+
+
 def keep_pictures(images: DataFrame, least: int = 100, ratio: float = 3.0) -> DataFrame:
     """Images of at least 100 by 100 that are not as narrow as logos."""
     w, h = F.col("width"), F.col("height")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallymill.functions import text as tx
 from tallymill.functions.money import cost
-from tallymill.operators import chunking, listing, ranking, report, usage, vectors
+from tallymill.operators import chain, chunking, documents, listing, ranking, report, usage, vectors
 from tallymill.operators import config_history as ch
 from tallymill.operators import pipeline_state as ps
 from tallymill.sources import files, pages
@@ -241,3 +241,36 @@ def test_status_stream_over_batches(spark, tmp_path):
     out = stream.latest(stream.run(state.latest_status("key")(rows), str(tmp_path)), ["key"])
     expected = ps.latest_status(events.withColumn("ts", F.col("ts").cast("timestamp_ntz")), "key")
     assert sorted((r["key"], r["status"], r["n_events"]) for r in out.collect()) == sorted((r["key"], r["status"], r["n_events"]) for r in expected.collect())
+
+
+def test_request_without_answers(spark):
+    points = spark.createDataFrame([(1, 1, "a", "A", [1.0, 0.0])], "id long, tenant_id long, document_id string, document_name string, embedding array<double>")
+    texts = spark.createDataFrame([(1, "the text")], "id long, text string")
+    docs = spark.createDataFrame([(7, "a", 1, "failed")], "id long, doc_id string, tenant_id long, processing_status string")
+    turns = spark.createDataFrame([(1, k, k, "user" if k % 2 else "assistant", f"m{k}") for k in range(9)] + [(1, 9, 9, "user", "what?")], "conversation_id long, id long, created_at long, role string, content string")
+    ask = lambda d, q: chain.request(points, texts, d, turns, q, [1.0, 0.0], 1).first()
+    row = ask(docs, "why?")
+    assert row["query_type"] == "no_documents" and row["answer"] == chain.NO_DOCUMENTS and row["user_content"] is None and len(row["history"]) == 6
+    row = ask(docs.withColumn("processing_status", F.lit("completed")), "why?")
+    assert row["query_type"] == "retrieval" and "[Source 1] A: the text" in row["user_content"] and row["citations"][0]["document_url"] == "/documents/7"
+    assert ask(docs.withColumn("processing_status", F.lit("completed")), "what?")["user_content"] is None  # asked already
+
+
+def test_default_moves_on_delete(spark):
+    rows = [(1, 1, True, 5), (2, 1, False, 6), (3, 1, False, 7), (4, 2, True, 1)]
+    c = spark.createDataFrame(rows, "id long, tenant_id long, is_default boolean, created_at long")
+    left = lambda k: sorted((r["id"], r["is_default"]) for r in documents.without_config(c, k).collect())
+    assert left(1) == [(2, False), (3, True), (4, True)] and left(2) == [(1, True), (3, False), (4, True)] and left(4) == [(1, True), (2, False), (3, False)]
+
+
+def test_readers_by_type(spark):
+    f = spark.createDataFrame([("a.md", b" hello\n"), ("b.exe", b"x"), ("c.docx", b"broken"), ("d.pdf", b"no"), ("e", b"")], "path string, content binary")
+    got = {r["path"]: (r["text"], r["error"]) for r in files.read_any(f).collect()}
+    assert got["a.md"] == ("hello", None) and got["b.exe"] == (None, "no reader for .exe") and got["e"][1] == "no reader for "
+    assert got["c.docx"][1] and got["d.pdf"][1]
+
+
+def test_workbook_text(spark):
+    cells = [("w", "S", 0, 1, ["Title", ""], None), ("w", "S", 0, 2, ["a", " b|c "], None), ("w", "S", 0, 3, ["", ""], None), ("w", "S", 0, 4, ["1", "2", "3"], None), ("w", "T", 1, 1, ["only"], None)]
+    rows = spark.createDataFrame(cells, "path string, sheet string, sheet_no int, row_idx long, cells array<string>, error string")
+    assert files.workbook_text(rows).first()["text"] == "## Sheet: S\n\nTitle\n\n| a | b\\|c |\n| --- | --- |\n| 1 | 2 |\n\n---\n\n## Sheet: T\n\n| only |\n| --- |"
