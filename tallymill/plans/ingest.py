@@ -164,6 +164,11 @@ def stream_status(spark, sf):
     return out.select("document_id", "status", F.timestamp_micros("updated_us").cast("timestamp_ntz").alias("updated_at"), "n_events")
 
 
+def stream_batches(spark, sf):
+    rows = _status_stream(spark, sf).withColumn("batch_id", F.col("document_id") % 7)
+    return stream.latest(stream.run(stream.batch_counts(rows, "batch_id", "purchase", "error"), _folder(spark)), ["batch_id"])
+
+
 def stream_stages(spark, sf):
     out = stream.latest(stream.run(state.stage_map("document_id")(_status_stream(spark, sf)), _folder(spark)), ["document_id"])
     return out.select("document_id", F.to_json("stages").alias("stages"))
@@ -213,7 +218,7 @@ QUERIES = {
     "page_documents": page_documents, "scrape_name": scrape_names, "s3_key": s3_keys, "upload_check": upload_check, "safe_filename": safe_names, "price_match": price_match,
     "pipeline_latest_status": latest_status, "pipeline_stage_map": stage_map, "pipeline_last_errors": last_errors, "pipeline_active_jobs": active_jobs, "pipeline_status_overlay": overlay,
     "rate_limit": rate_limit, "session_activity": session_batches, "stream_daily_usage": stream_daily, "stream_session_activity": stream_sessions, "stream_sliding_counts": stream_sliding,
-    "stream_distinct_events": stream_distinct, "stream_rate_limit": stream_rate_limit, "stream_latest_status": stream_status, "stream_last_errors": stream_errors, "stream_stage_map": stream_stages, "stream_active_jobs": stream_active,
+    "stream_distinct_events": stream_distinct, "stream_rate_limit": stream_rate_limit, "stream_latest_status": stream_status, "stream_last_errors": stream_errors, "stream_batch_counts": stream_batches, "stream_stage_map": stream_stages, "stream_active_jobs": stream_active,
 }
 
 ORACLE_SQL = {
@@ -245,6 +250,7 @@ SELECT page_id, CASE WHEN ends_with(name, '.md') THEN name ELSE name || '.md' EN
 SELECT path, chunk_index, row_start, row_end, CAST(length(chunk) AS INT) AS n_chars, left(chunk, 40) AS head FROM g""",
     "stream_latest_status": f"WITH {_EV} SELECT document_id, arg_max(status, (ts, event_id)) AS status, max(ts) AS updated_at, count(*) AS n_events FROM ev GROUP BY 1",
     "stream_last_errors": f"WITH {_EV}, r AS (SELECT * FROM ev WHERE status = 'error' QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY ts DESC, event_id DESC) <= 10) SELECT document_id, string_agg(event_id, ',' ORDER BY ts DESC, event_id DESC) AS events FROM r GROUP BY 1",
+    "stream_batch_counts": "SELECT user_id % 7 AS batch_id, count(*) AS total, count(*) FILTER (event_type = 'purchase') AS completed, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY 1",
     "stream_stage_map": f"""WITH {_EV}, l AS (SELECT document_id, status, arg_max(event_id, (ts, event_id)) AS e FROM ev GROUP BY 1, 2)
 SELECT document_id, '{{' || string_agg('"' || status || '":' || e, ',' ORDER BY status) || '}}' AS stages FROM l GROUP BY 1""",
     "stream_active_jobs": f"WITH {_EV}, b AS (SELECT document_id, max((ts, event_id)) FILTER (status = 'signup') AS b, max((ts, event_id)) FILTER (status = 'purchase') AS e, max(ts) FILTER (status = 'signup') AS started_at FROM ev GROUP BY 1) SELECT document_id, started_at FROM b WHERE b IS NOT NULL AND (e IS NULL OR e < b)",

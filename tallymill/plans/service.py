@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallymill.operators import accounts, chunking
 from tallymill.operators import chain as ch
-from tallymill.operators import chunking
 from tallymill.operators import config_history as hist
 from tallymill.operators import documents as dc
 from tallymill.operators import listing as ls
@@ -133,6 +133,17 @@ def stage_lists(spark, sf):
     return ps.stage_list(e, ["signup", "view", "click", "purchase", "refund"], e.select("document_id").distinct(), "document_id")
 
 
+def sign_up_stages(spark, sf):
+    """Customers' names as emails: users, signups and invitations among them by number."""
+    c = table(spark, sf, "customer")
+    email, k = F.col("c_name").alias("email"), F.col("c_custkey")
+    users = c.where(k % 5 == 0).select(email, F.when(k % 3 > 0, k % 2 == 0).alias("email_verified"))
+    signups = c.where(k % 4 == 0).select(email, (k % 8 == 0).alias("is_verified"), (k % 3 == 0).alias("pending"))
+    invitations = c.where(k % 3 == 0).select(k.alias("id"), email, (k % 2 == 1).alias("valid"))
+    asked = c.select(F.concat(F.lit(" "), F.upper("c_name"), F.lit(" ")).alias("email"))
+    return accounts.stages(asked, users, signups, invitations.unionByName(invitations.withColumn("id", F.col("id") + 1_000_000)))
+
+
 # points
 
 
@@ -227,7 +238,7 @@ QUERIES = {
     "document_details": details, "documents_completed": completed, "failed_documents": failures, "progress_breakdown": breakdown, "eager_parent": parents, "select_in_load": lookups, "first_per_key": first_urls,
     "bulk_insert": inserted, "config_delete_default": without_config, "config_set_default": new_default, "config_history_json": history_settings, "message_defaults": message_defaults, "stage_durations": stage_durations,
     "vector_chunk_points": chunk_points, "vector_image_points": image_points, "vector_summary_upsert": summary_upsert, "vector_summary_delete": summary_delete, "summary_search": relevant, "vector_scroll": scroll,
-    "vector_replace_document": replaced, "vector_hit_ids": hit_ids, "delete_everywhere": deleted_everywhere, "chunk_payload": chunk_payloads, "upload_split": uploads, "retrieval_request": request, "latest_of_key": latest_order, "page_with_total": page_total, "stage_list": stage_lists,
+    "vector_replace_document": replaced, "vector_hit_ids": hit_ids, "delete_everywhere": deleted_everywhere, "chunk_payload": chunk_payloads, "upload_split": uploads, "retrieval_request": request, "latest_of_key": latest_order, "page_with_total": page_total, "stage_list": stage_lists, "sign_up_stages": sign_up_stages,
 }
 
 ORACLE_SQL = {
@@ -283,6 +294,11 @@ SELECT h.id, document_id, CASE WHEN document_id % 3 > 0 THEN d.doc_id + 1000 END
 UNION ALL SELECT 'rows', count(*), CAST(sum(doc_id) AS BIGINT) FROM documents WHERE doc_id NOT IN (FROM g)""",
     "chunk_payload": "SELECT doc_id, CAST(3 AS INT) AS n, lang, 'text' AS kind, source FROM documents",
     "latest_of_key": "SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS newest, max(o_orderkey) AS highest FROM orders GROUP BY 1",
+    "sign_up_stages": """WITH c AS (SELECT lower(c_name) AS email, c_custkey AS k FROM customer),
+ s AS (SELECT email, k, CASE WHEN k % 5 = 0 THEN CASE WHEN k % 3 > 0 AND k % 2 = 0 THEN 'fully_active' ELSE 'user_exists_unverified' END WHEN k % 4 = 0 THEN CASE WHEN k % 8 = 0 AND k % 3 = 0 THEN 'email_verified_pending_tenant_setup' ELSE 'signed_up_pending_verification' END
+ WHEN k % 3 = 0 AND k % 2 = 1 THEN 'invited_pending_registration' ELSE 'not_signed_up' END AS stage FROM c)
+SELECT email, stage, CASE stage WHEN 'fully_active' THEN 'login' WHEN 'user_exists_unverified' THEN 'verify_email' WHEN 'email_verified_pending_tenant_setup' THEN 'setup_tenant' WHEN 'signed_up_pending_verification' THEN 'verify_email'
+ WHEN 'invited_pending_registration' THEN 'register_with_invite' ELSE 'register' END AS next_action, CASE WHEN stage = 'invited_pending_registration' THEN k + 1000000 END AS invitation_id FROM s""",
     "page_with_total": f"{_DOC} SELECT id, processing_status, count(*) OVER () AS total, greatest(1, (count(*) OVER () + 14) // 15) AS pages FROM doc ORDER BY id LIMIT 15 OFFSET 30",
     "stage_list": """WITH s AS (SELECT unnest(['signup', 'view', 'click', 'purchase', 'refund']) AS stage, CAST(unnest(range(0, 5)) AS INT) AS position), f AS (SELECT user_id, event_type, min(ts) AS started_at FROM events GROUP BY 1, 2)
 SELECT u.user_id AS document_id, position, stage, started_at FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN s LEFT JOIN f ON f.user_id = u.user_id AND event_type = stage""",

@@ -214,6 +214,24 @@ def keep_pictures(images: DataFrame, least: int = 100, ratio: float = 3.0) -> Da
     return images.where((w >= least) & (h >= least) & (F.greatest(w / F.nullif(h, F.lit(0)), h / F.nullif(w, F.lit(0))) <= ratio))
 
 
+def estimated_text(images: DataFrame, pages: DataFrame, n: int = 500) -> DataFrame:
+    """text_before and text_after of images (image_id, doc, page) on pages (doc, page, text) without positions.
+
+    The images of a page are taken to be spread evenly over its words; a tenth of ``n`` words on either side of an
+    image's place are left out as its own, and as many before and after those are given.
+    """
+    page = Window.partitionBy("doc", "page")
+    k, total = F.row_number().over(page.orderBy("image_id")), F.count(F.lit(1)).over(page)
+    rows = images.withColumn("_share", F.when(total > 1, k / (total + 1)).otherwise(0.5)).join(pages.select("doc", "page", words(F.col("text")).alias("_words")), ["doc", "page"], "left")
+    near = n // 10
+    at = F.floor(F.size("_words") * F.col("_share"))
+    first, last = F.greatest(F.lit(0), at - near), F.least(F.size("_words").cast("long"), at + near)
+    before = F.slice("_words", (F.greatest(F.lit(0), first - near) + 1).cast("int"), F.least(first, F.lit(near)).cast("int"))
+    after = F.slice("_words", (last + 1).cast("int"), F.lit(near))
+    text = lambda a: F.coalesce(F.array_join(a, " "), F.lit(""))
+    return rows.withColumn("text_before", F.right(text(before), F.lit(n))).withColumn("text_after", F.left(text(after), F.lit(n))).drop("_share", "_words")
+
+
 def surrounding_text(images: DataFrame, spans: DataFrame, n: int = 500) -> DataFrame:
     """text_before and text_after of each image (doc, page, y) from the page's spans (doc, page, y, seq, text)."""
     i = images.select("image_id", "doc", "page", F.col("y").alias("_y"))

@@ -32,6 +32,11 @@ def sliding_counts(rows: DataFrame, size: str = "2 hours", slide: str = "1 hour"
     return held.select(F.col("w.start").alias("start"), "event_type", "n", "value")
 
 
+def batch_counts(rows: DataFrame, key: str, done: str, failed: str) -> DataFrame:
+    """Events of each key so far, and how many of them completed or failed (update mode)."""
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == done).alias("completed"), F.count_if(F.col("status") == failed).alias("failed"))
+
+
 def sessions(rows: DataFrame, key: str, gap: str) -> DataFrame:
     """Sessions of a key, closed when the watermark passes their end (append mode)."""
     held = rows.withWatermark("ts", LATE).groupBy(key, F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n_events"))

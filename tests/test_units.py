@@ -274,3 +274,12 @@ def test_workbook_text(spark):
     cells = [("w", "S", 0, 1, ["Title", ""], None), ("w", "S", 0, 2, ["a", " b|c "], None), ("w", "S", 0, 3, ["", ""], None), ("w", "S", 0, 4, ["1", "2", "3"], None), ("w", "T", 1, 1, ["only"], None)]
     rows = spark.createDataFrame(cells, "path string, sheet string, sheet_no int, row_idx long, cells array<string>, error string")
     assert files.workbook_text(rows).first()["text"] == "## Sheet: S\n\nTitle\n\n| a | b\\|c |\n| --- | --- |\n| 1 | 2 |\n\n---\n\n## Sheet: T\n\n| only |\n| --- |"
+
+
+def test_estimated_text(spark):
+    pages = spark.createDataFrame([(1, 1, " ".join(f"w{k}" for k in range(400))), (1, 2, "few words")], "doc long, page long, text string")
+    images = spark.createDataFrame([(1, 1, 1), (2, 1, 1), (3, 1, 2), (4, 9, 9)], "image_id long, doc long, page long")
+    got = {r["image_id"]: (r["text_before"], r["text_after"]) for r in files.estimated_text(images, pages).collect()}
+    # two images: at a third and two thirds of 400 words; 50 words around each are its own
+    assert got[1] == (" ".join(f"w{k}" for k in range(33, 83)), " ".join(f"w{k}" for k in range(183, 233)))
+    assert got[2][0].split()[-1] == "w215" and got[2][1].split()[0] == "w316" and got[3] == ("", "") and got[4] == ("", "")
