@@ -23,8 +23,18 @@ import regex
 from pyspark.sql import DataFrame
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
-# Capital letters of Unicode 16 that an older table does not lower, and the final sigma's ordinary form.
-_LOWER = {0x03A3: 0x03C3, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B} | {0x10D50 + k: 0x10D70 + k for k in range(22)}
+# Capital letters of Unicode 16 and 17 that an older table does not lower, and the final sigma's ordinary form.
+_LOWER = {0x03A3: 0x03C3, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B}
+_LOWER |= {0x10D50 + k: 0x10D70 + k for k in range(22)} | {0x16EA0 + k: 0x16EBB + k for k in range(25)}
+# Letters and numbers of later Unicode versions than the vocabularies' library knows (16); it takes them for neither.
+_LATER = (
+    (0x0558, 0x0558), (0x058B, 0x058C), (0x088F, 0x088F), (0x0C5C, 0x0C5C), (0x0CDC, 0x0CDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4),
+    (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A),
+    (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6),
+    (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6),
+    (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4),
+    (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
 #: Strings that str.split() takes for white space and Unicode does not.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -103,7 +113,8 @@ class TokenCounter:
         self.inner = [vocab[s] for s in byte_symbols()]
         self.final = [vocab[s + suffix] for s in byte_symbols()]
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.parts = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
+        self.later = re.compile(f"[{''.join(f'{chr(a)}-{chr(b)}' for a, b in _LATER)}]")
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.by_part = _Memo(self._part, memory)
@@ -119,7 +130,10 @@ class TokenCounter:
             low = chunk.lower()
         else:
             low = unicodedata.normalize("NFC", chunk).translate(_LOWER).lower()
-        return sum(map(self.by_part.__getitem__, self.parts(low)))
+            if self.later.search(low):  # a private character, which is no letter either, stands for each
+                at = self.pattern.finditer(self.later.sub("\ue000", low))
+                return sum(self.by_part[low[slice(*m.span())]] for m in at)
+        return sum(map(self.by_part.__getitem__, self.pattern.findall(low)))
 
     def _segment(self, text: str) -> int:
         if _ODD_SPACE.search(text):

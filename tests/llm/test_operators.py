@@ -314,9 +314,9 @@ def test_token_counts_of_every_code_point():
     from tokenizers import Tokenizer
 
     library, own = Tokenizer.from_file(str(VOCABULARY)), bpe_count.TokenCounter(str(VOCABULARY), memory=1000)
-    points = [c for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    points = [c for c in [*range(0x34000), *range(0x3C000, 0x40000), *range(0xE0000, 0xE0200)] if not 0xD800 <= c < 0xE000]
     for at in range(0, len(points), 4000):
-        texts = [f"a{chr(c)}b {chr(c)}{chr(c)}1" for c in points[at : at + 4000]]
+        texts = [f"â{chr(c)}b {chr(c)}{chr(c)}1 !{chr(c)}" for c in points[at : at + 4000]]
         assert [own.count(t) for t in texts] == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
