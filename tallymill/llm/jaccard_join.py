@@ -351,13 +351,17 @@ def _linked(docs: DataFrame, clusters: DataFrame, width: int, percent: int) -> D
     links = written(_link_blocks(_block_rows(first), percent), "links")
     found = components(links, "linked")
 
+    # the components of each cluster are counted before anything is dealt out by cluster
     large = members.groupBy("cluster", "g").count().where(F.col("count") > BLOCK).select("cluster").distinct()
-    named = members.join(large, "cluster", "left_semi").join(found.withColumnRenamed("id", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
-    tally = named.groupBy("cluster", "comp").count().groupBy("cluster").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count(F.lit(1)).alias("parts"))
-    tally = written(tally.where("parts > 1"), "split-clusters")
+    comp = F.coalesce("component", "cid").alias("comp")
+    found_of = found.withColumnRenamed("id", "cid")
+    parts = members.select("cluster", "cid").join(found_of, "cid", "left").groupBy("cluster", comp).count()
+    tally = parts.join(large, "cluster", "left_semi").groupBy("cluster").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count(F.lit(1)).alias("parts"))
+    tally = written(tally.where("parts > 1").select("cluster", "main"), "split-clusters")
     if tally.isEmpty():
         return found
-    rest = named.join(tally, "cluster").withColumn("rest", F.col("comp") != F.col("main")).select("cluster", "cid", "n", "set", "comp", "g", "rest")
+    rest = members.join(tally, "cluster").join(found_of, "cid", "left").withColumn("comp", comp)
+    rest = rest.select("cluster", "cid", "n", "set", "comp", "g", (F.col("comp") != F.col("main")).alias("rest"))
     more = _link_blocks(_block_rows(written(rest, "rest", "none")), percent)
     return components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), "all-linked")
 
