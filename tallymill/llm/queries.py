@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import bpe_count, decontamination, jaccard_join, language_mix, language_model, line_dedup, mixing, personal_data, quality, transport_stream
 from .sql import LINES_SQL, MIX_SQL
