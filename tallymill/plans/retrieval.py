@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallymill.functions import text as tx
-from tallymill.functions.vectors import score
 from tallymill.operators import ranking as rk
 from tallymill.operators import vectors as vc
 
