@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_count, decontamination, jaccard_join, language_mix, language_model, line_dedup, mixing, personal_data, quality, transport_stream
-from .sql import LINES_SQL, MIX_SQL
+from . import bpe_count, decontamination, filter_audit, jaccard_join, language_mix, language_model, line_dedup, mixing, personal_data, quality, transport_stream
+from .sql import AUDIT_SQL, LINES_SQL, MIX_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,6 +63,10 @@ def op10_language_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_mix.identify(held_out, langs, loglike, keep=["held_out"])
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_mix_sources": op2_mix_sources,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Query] = {
     "op8_token_count": op8_token_count,
     "op9_language_model": op9_language_model,
     "op10_language_mix": op10_language_mix,
+    "op11_filter_audit": op11_filter_audit,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_mix_sources": MIX_SQL, "op3_line_dedup": LINES_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_mix_sources": MIX_SQL, "op3_line_dedup": LINES_SQL, "op11_filter_audit": AUDIT_SQL}

@@ -59,3 +59,27 @@ SELECT doc_id, n_lines, n_dropped, CASE WHEN n_dropped = 0 OR regexp_matches(tex
 
 
 LINES_SQL = lines_sql()
+
+
+def audit_sql(documents: str = "documents", labels: str = "labels") -> str:
+    """Failing filters of each document, then every order and step over them."""
+    return rf"""WITH doc AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM {documents}),
+ word AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM doc),
+ marks AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM {labels} GROUP BY doc_id),
+ flag AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, CAST(len(words) < 50 AS INT) + 2 * CAST(100 * len(list_distinct(words)) < 65 * len(words) AS INT)
+   + 4 * CAST(100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text) AS INT) + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INT)
+   + 16 * CAST(coalesce(min(doc_id) OVER (PARTITION BY text) < doc_id, false) AS INT) AS s FROM word LEFT JOIN marks USING (doc_id)),
+ pattern AS (SELECT part, s, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM flag GROUP BY part, s),
+ f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+ ord AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a JOIN f b ON b.x <> a.x JOIN f c ON c.x NOT IN (a.x, b.x) JOIN f d ON d.x NOT IN (a.x, b.x, c.x) JOIN f e ON e.x NOT IN (a.x, b.x, c.x, d.x)),
+ place AS (SELECT filter_order, step, filter_order[step] AS own, 1 << (ascii(filter_order[step]) - 65) AS bit,
+   coalesce(list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(filter_order[i]) - 65))), 0)::INT AS before FROM ord, (SELECT unnest(range(1, 6)) AS step)),
+ res AS (SELECT part, filter_order, step, own, sum(n) FILTER (s & bit = 0 AND s & before = 0) AS kept, sum(n) FILTER (s & bit <> 0 AND s & before = 0) AS removed,
+   sum(n) FILTER (s & bit <> 0 AND s & before <> 0) AS redundant, sum(n) FILTER (s = bit) AS unique_fails,
+   sum(good) FILTER (s & bit <> 0 AND s & before = 0) AS good_lost, sum(toxic) FILTER (s & bit <> 0 AND s & before = 0) AS toxic_lost FROM pattern, place GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+ CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+ CAST(coalesce(sum(removed) OVER (PARTITION BY part, own), 0) AS BIGINT) AS shapley FROM res"""
+
+
+AUDIT_SQL = audit_sql()
