@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_count, decontamination, filter_audit, jaccard_join, language_mix, language_model, line_dedup, mixing, personal_data, quality, transport_stream
+from . import bpe_count, decontamination, filter_audit, jaccard_join, language_mix, language_model, lexicon_match, line_dedup, mixing, personal_data, quality, token_alignment, transport_stream
 from .sql import AUDIT_SQL, LINES_SQL, MIX_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,18 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_lexicon_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon_match.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str, byte_ranks: str | None = None, pieces: str | None = None) -> DataFrame:
+    """The vocabulary of bytes is read in its form as ranks; its JSON form gives the same tokens (tests)."""
+    import public_tokenizers as public
+
+    a, b, pattern = byte_ranks or str(public.path("byte_bpe_50k.tiktoken")), pieces or str(public.path("piece_bpe_32k.model")), public.PATTERN
+    return token_alignment.align(table(spark, sf_dir, "documents"), lambda: token_alignment.byte_ranks(a, pattern), lambda: token_alignment.pieces(b))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_mix_sources": op2_mix_sources,
@@ -79,6 +91,8 @@ QUERIES: dict[str, Query] = {
     "op9_language_model": op9_language_model,
     "op10_language_mix": op10_language_mix,
     "op11_filter_audit": op11_filter_audit,
+    "op12_lexicon_match": op12_lexicon_match,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_mix_sources": MIX_SQL, "op3_line_dedup": LINES_SQL, "op11_filter_audit": AUDIT_SQL}

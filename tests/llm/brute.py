@@ -107,3 +107,35 @@ def personal(text):
             if {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")), "card": 14 <= len(d) <= 19 and luhn % 10 == 0, "phone": 10 <= len(d) <= 15}[kind]:
                 out.append((m.start(), rank, f"{kind}:{m.start()}:{m.end()}"))
     return ",".join(x[2] for x in sorted(out))
+
+
+def alignment(texts, encode_a, encode_b):
+    """(n_a, n_b, n_groups, n_links, n_best, count_sum, groups) of each text; encoders give (id, bytes) of each token."""
+    made = []
+    for t in texts:
+        a = encode_a(t) if t else []
+        b = encode_b(t) if t else []
+        whole = b" " + (t or "").encode()
+        if not t or b"".join(x for _, x in a) != whole or b"".join(x for _, x in b) != whole:
+            made.append(([], [], [], []))
+            continue
+        ends = []
+        for side in (a, b):
+            at, own = 0, []
+            for _, x in side:
+                at += len(x)
+                own.append(at)
+            ends.append(own)
+        links = [(a[i][0], b[j][0]) for i, x in enumerate(ends[0]) for j, y in enumerate(ends[1]) if x == y] if len(t) < 400 else [(a[i][0], b[ends[1].index(x)][0]) for i, x in enumerate(ends[0]) if x in set(ends[1])]
+        groups, i, j = [], 0, 0
+        for cut in sorted(set(ends[0]) & set(ends[1])):
+            left = [str(a[k][0]) for k in range(i, len(a)) if ends[0][k] <= cut]
+            right = [str(b[k][0]) for k in range(j, len(b)) if ends[1][k] <= cut]
+            i, j = i + len(left), j + len(right)
+            groups.append(",".join(left) + "|" + ",".join(right))
+        made.append((a, b, groups, links))
+    count = Counter(x for *_, links in made for x in links)
+    most = defaultdict(int)
+    for (_, b), n in count.items():
+        most[b] = max(most[b], n)
+    return [(len(a), len(b), len(g), len(x), sum(count[p] == most[p[1]] for p in x), sum(count[p] for p in x), ";".join(g)) for a, b, g, x in made]
