@@ -66,7 +66,7 @@ def failing(docs: DataFrame) -> DataFrame:
     capitals = F.length("text") - F.length(F.regexp_replace("text", "[A-Z]", ""))
     rows = docs.select(*KEY, "part", (100 * capitals > 5 * F.length("text")).alias("C"), F.col("text").rlike(r"[#$%&*|]").alias("D"), F.unhex(F.sha2("text", 256)).alias("digest"))
     rows = written(rows, "filter-rows")
-    copies = rows.groupBy("digest").agg(F.min(F.when(~F.col("no_id"), F.col("id"))).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
+    copies = written(rows.groupBy("digest").agg(F.min(F.when(~F.col("no_id"), F.col("id"))).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first"), "copied-texts")
     out = rows.join(copies, "digest", "left").join(word_totals(docs), KEY, "left")
     words = F.coalesce("words", F.lit(0))
     conditions = [words < MIN_WORDS, 100 * F.coalesce("distinct_words", F.lit(0)) < 65 * words, F.col("C"), F.col("D"), F.coalesce(~F.col("no_id") & (F.col("first") < F.col("id")), F.lit(False))]

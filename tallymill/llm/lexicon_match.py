@@ -39,7 +39,7 @@ BAND = (2.0, 7.0)
 DENSITIES = range(9, 1, -1)
 OF_EACH = 4
 SUBSETS = len(DENSITIES) * OF_EACH + 1
-SEEN = 10
+SEEN = 12
 #: A lexicon up to this number of terms is broadcast; a larger one, of very long documents only, is joined by shuffle.
 BROADCAST_TERMS = 1_000_000
 KEY = ["id", "no_id", "row_key"]

@@ -4,6 +4,8 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import xxhash
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {65 + k: 97 + k for k in range(26)}
 
@@ -139,3 +141,43 @@ def alignment(texts, encode_a, encode_b):
     for (_, b), n in count.items():
         most[b] = max(most[b], n)
     return [(len(a), len(b), len(g), len(x), sum(count[p] == most[p[1]] for p in x), sum(count[p] for p in x), ";".join(g)) for a, b, g, x in made]
+
+
+def _chain(values, seed=42):
+    """Spark's xxhash64 of a sequence of longs."""
+    for v in values:
+        seed = xxhash.xxh64_intdigest((v & (1 << 64) - 1).to_bytes(8, "little"), seed)
+    return seed
+
+
+def lexicon_fingerprints(texts, every, band, densities, of_each, seen):
+    """(fingerprints, likeness) over a lexicon from ``every``; likeness takes two of the texts' places."""
+    terms = lambda t: {x for x in re.split(r"[\x20\x09-\x0D]+", (t or "").lower()) if x}
+    df = Counter(x for t in every for x in terms(t))
+    words = {x for x, n in df.items() if band[0] <= math.log(len(every) / n) < band[1]}
+    sizes = [d for d in densities for _ in range(of_each)]
+    codes = {}
+    for x in words:
+        h = xxhash.xxh64_intdigest(x.encode(), 42)
+        mask = 1 << len(sizes)
+        for k, d in enumerate(sizes):
+            v = xxhash.xxh64_intdigest(k.to_bytes(4, "little"), _chain([h]))
+            mask |= (v % (1 << d) == 0) << k
+        code = (h << (len(sizes) + 1) | mask) & (1 << 64) - 1
+        codes[x] = code - (1 << 64) if code >> 63 else code
+    made = []
+    for t in texts:
+        own = sorted(codes[x] for x in terms(t) & words)
+        made.append([_chain(c) & 0xFFFFFFFF if (c := [c for c in own if c >> k & 1]) else None for k in range(len(sizes) + 1)] if own else None)
+    whole = [xxhash.xxh64_intdigest((t or "").encode(), 42) for t in texts]
+    printed = ["".join("." * 8 if h is None else f"{h:08x}" for h in m) if m else f"={w:016x}" for m, w in zip(made, whole, strict=True)]
+
+    def likeness(a, b):
+        if made[a] is None and made[b] is None:
+            return float(whole[a] == whole[b])
+        if made[a] is None or made[b] is None:
+            return 0.0
+        both = [(x, y) for x, y in zip(made[a], made[b], strict=True) if x is not None or y is not None][:seen]
+        return sum(x == y for x, y in both) / len(both)
+
+    return printed, likeness
