@@ -10,7 +10,7 @@ from tallymill.functions import text as tx
 from tallymill.operators import chunking
 from tallymill.operators import pipeline_state as ps
 from tallymill.sources import files, pages
-from tallymill.streaming import state
+from tallymill.streaming import keyed, state
 from tallymill.streaming import usage as stream
 
 from .standins import MESSAGES_SQL, documents, table
@@ -151,8 +151,9 @@ def stream_distinct(spark, sf):
 
 
 def stream_rate_limit(spark, sf):
-    rows = stream.events(spark, sf).select((F.col("user_id") % 30).alias("key"), "ts")
-    return stream.latest(stream.run(stream.counter("key", 3, 7200)(rows), _folder(spark)), ["key"])
+    rows = stream.events(keyed.streaming_session(spark), sf).select((F.col("user_id") % 30).alias("key"), "ts", "event_id")
+    calls = stream.run(keyed.rate_limit("key", 3, 7200)(rows), _folder(spark))
+    return calls.groupBy("key").agg(F.sum("allowed").alias("allowed"), F.sum("refused").alias("refused"))
 
 
 def _status_stream(spark, sf):
@@ -169,20 +170,35 @@ def stream_batches(spark, sf):
     return stream.latest(stream.run(stream.batch_counts(rows, "batch_id", "purchase", "error"), _folder(spark)), ["batch_id"])
 
 
-def stream_stages(spark, sf):
-    out = stream.latest(stream.run(state.stage_map("document_id")(_status_stream(spark, sf)), _folder(spark)), ["document_id"])
-    return out.select("document_id", F.to_json("stages").alias("stages"))
+def _keyed(spark, sf, operator):
+    """The last update of each document by a keyed operator."""
+    return stream.latest(stream.run(operator(_status_stream(keyed.streaming_session(spark), sf)), _folder(spark)), ["document_id"])
 
 
-def stream_active(spark, sf):
+def _stages(ttl_ms):
+    def query(spark, sf):
+        out = _keyed(spark, sf, keyed.stage_map("document_id", ttl_ms))
+        return out.where("NOT expired").select("document_id", F.to_json("stages").alias("stages"))
+
+    return query
+
+
+def _active(ttl_ms):
     """Documents in work when the stream ends, with the time since when."""
-    out = stream.latest(stream.run(state.active("document_id", "signup", "purchase")(_status_stream(spark, sf)), _folder(spark)), ["document_id"])
-    return out.where("started_us >= 0").select("document_id", F.timestamp_micros("started_us").cast("timestamp_ntz").alias("started_at"))
 
+    def query(spark, sf):
+        out = _keyed(spark, sf, keyed.active("document_id", "signup", "purchase", ttl_ms))
+        return out.where("started_us >= 0").select("document_id", F.timestamp_micros("started_us").cast("timestamp_ntz").alias("started_at"))
+
+    return query
 
-def stream_errors(spark, sf):
-    out = stream.latest(stream.run(state.last_errors("document_id", "error")(_status_stream(spark, sf)), _folder(spark)), ["document_id"])
-    return out.select("document_id", F.array_join(F.transform("events", lambda e: e.cast("string")), ",").alias("events"))
+
+def _errors(ttl_ms):
+    def query(spark, sf):
+        out = _keyed(spark, sf, keyed.last_errors("document_id", "error", 10, ttl_ms))
+        return out.where("NOT expired").select("document_id", F.array_join(F.transform("events", lambda e: e.cast("string")), ",").alias("events"))
+
+    return query
 
 
 def _meta(kind, name):
@@ -208,6 +224,16 @@ _CHUNK = """RECURSIVE walk AS (SELECT doc_id, text, CAST(0 AS BIGINT) AS s, CAST
  step AS (SELECT doc_id, text, coalesce(lag(s) OVER w, 0) AS a, e FROM walk WINDOW w AS (PARTITION BY doc_id ORDER BY e NULLS FIRST)),
  piece AS (SELECT doc_id, e, trim(substr(text, a + 1, e - a), ' ' || chr(10) || chr(9) || chr(13)) AS c FROM step WHERE e IS NOT NULL)"""
 _PYMETA = r"regexp_extract_all(text, '[^\s]+')"
+
+
+def _kept(condition):
+    """Events of each document after its last day of silence, of documents that were not silent for a day when the stream's watermark ended."""
+    return f"""{_EV}, part AS (SELECT * FROM ev WHERE {condition}),
+ gap AS (SELECT *, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 1 DAY THEN 1 ELSE 0 END AS new FROM part WINDOW w AS (PARTITION BY document_id ORDER BY ts, event_id)),
+ run AS (SELECT *, sum(new) OVER (PARTITION BY document_id ORDER BY ts, event_id) AS r FROM gap),
+ kept AS (SELECT * FROM run QUALIFY r = max(r) OVER (PARTITION BY document_id) AND max(ts) OVER (PARTITION BY document_id) + INTERVAL 1 DAY > (SELECT max(ts) - INTERVAL 1 DAY FROM part))"""
+
+
 _RATE = """k AS (SELECT user_id % 30 AS key, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id % 30 ORDER BY ts, event_id) AS r FROM events),
  f AS (SELECT key, r, t, 1 AS n, t AS last, true AS ok FROM k WHERE r = 1 UNION ALL
   SELECT k.key, k.r, k.t, CASE WHEN k.t - f.last >= 7200000000 THEN 1 WHEN f.n < 3 THEN f.n + 1 ELSE f.n END, CASE WHEN k.t - f.last >= 7200000000 OR f.n < 3 THEN k.t ELSE f.last END, k.t - f.last >= 7200000000 OR f.n < 3
@@ -218,7 +244,8 @@ QUERIES = {
     "page_documents": page_documents, "scrape_name": scrape_names, "s3_key": s3_keys, "upload_check": upload_check, "safe_filename": safe_names, "price_match": price_match,
     "pipeline_latest_status": latest_status, "pipeline_stage_map": stage_map, "pipeline_last_errors": last_errors, "pipeline_active_jobs": active_jobs, "pipeline_status_overlay": overlay,
     "rate_limit": rate_limit, "session_activity": session_batches, "stream_daily_usage": stream_daily, "stream_session_activity": stream_sessions, "stream_sliding_counts": stream_sliding,
-    "stream_distinct_events": stream_distinct, "stream_rate_limit": stream_rate_limit, "stream_latest_status": stream_status, "stream_last_errors": stream_errors, "stream_batch_counts": stream_batches, "stream_stage_map": stream_stages, "stream_active_jobs": stream_active,
+    "stream_distinct_events": stream_distinct, "stream_rate_limit": stream_rate_limit, "stream_latest_status": stream_status, "stream_batch_counts": stream_batches,
+    "stream_last_errors": _errors(None), "stream_stage_map": _stages(None), "stream_active_jobs": _active(None), "stream_last_errors_expiring": _errors(keyed.DAY_MS), "stream_stage_map_expiring": _stages(keyed.DAY_MS), "stream_active_jobs_expiring": _active(keyed.DAY_MS),
 }
 
 ORACLE_SQL = {
@@ -254,5 +281,9 @@ SELECT path, chunk_index, row_start, row_end, CAST(length(chunk) AS INT) AS n_ch
     "stream_stage_map": f"""WITH {_EV}, l AS (SELECT document_id, status, arg_max(event_id, (ts, event_id)) AS e FROM ev GROUP BY 1, 2)
 SELECT document_id, '{{' || string_agg('"' || status || '":' || e, ',' ORDER BY status) || '}}' AS stages FROM l GROUP BY 1""",
     "stream_active_jobs": f"WITH {_EV}, b AS (SELECT document_id, max((ts, event_id)) FILTER (status = 'signup') AS b, max((ts, event_id)) FILTER (status = 'purchase') AS e, max(ts) FILTER (status = 'signup') AS started_at FROM ev GROUP BY 1) SELECT document_id, started_at FROM b WHERE b IS NOT NULL AND (e IS NULL OR e < b)",
+    "stream_last_errors_expiring": f"WITH {_kept("status = 'error'")} SELECT document_id, string_agg(event_id, ',' ORDER BY ts DESC, event_id DESC) AS events FROM (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY ts DESC, event_id DESC) <= 10) GROUP BY 1",
+    "stream_stage_map_expiring": f"""WITH {_kept('true')}, l AS (SELECT document_id, status, arg_max(event_id, (ts, event_id)) AS e FROM kept GROUP BY 1, 2)
+SELECT document_id, '{{' || string_agg('"' || status || '":' || e, ',' ORDER BY status) || '}}' AS stages FROM l GROUP BY 1""",
+    "stream_active_jobs_expiring": f"WITH {_kept("status IN ('signup', 'purchase')")}, b AS (SELECT document_id, max((ts, event_id)) FILTER (status = 'signup') AS b, max((ts, event_id)) FILTER (status = 'purchase') AS e, max(ts) FILTER (status = 'signup') AS started_at FROM kept GROUP BY 1) SELECT document_id, started_at FROM b WHERE b IS NOT NULL AND (e IS NULL OR e < b)",
     "stream_distinct_events": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
 }

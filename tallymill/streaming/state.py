@@ -1,8 +1,7 @@
-"""Keyed state over a stream: last status with expiry, last errors, and sums merged into a table."""
+"""Keyed state over a stream: last status with expiry, and sums merged into a table."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -46,64 +45,6 @@ def latest_status(key: str, ttl_ms: int = DAY_MS, late: str = "1 day") -> Callab
     return apply
 
 
-def stage_map(key: str) -> Callable[[DataFrame], DataFrame]:
-    """Each key's stages with the number of the last event of each."""
-
-    def step(name: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = {k: tuple(v) for k, v in json.loads(state.get[0]).items()} if state.exists else {}
-        for f in frames:
-            for stage, at, event in zip(f["status"].tolist(), _micros(f["ts"]).tolist(), f["event_id"].tolist(), strict=True):
-                held[stage] = max(held.get(stage, (-1, -1)), (at, event))
-        state.update((json.dumps(held),))
-        yield pd.DataFrame({key: [name[0]], "stages": [{k: int(v[1]) for k, v in sorted(held.items())}]})
-
-    def apply(rows: DataFrame) -> DataFrame:
-        kind = rows.schema[key].dataType.simpleString()
-        return rows.select(key, "status", "ts", "event_id").groupBy(key).applyInPandasWithState(step, f"{key} {kind}, stages map<string,bigint>", "held string", "update", "NoTimeout")
-
-    return apply
-
-
-def active(key: str, begin: str, end: str) -> Callable[[DataFrame], DataFrame]:
-    """Since when each key is in work: the time of its last ``begin`` if no ``end`` came after it, else -1."""
-
-    def step(name: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        began_at, began, ended_at, ended = state.get if state.exists else (-1, -1, -1, -1)
-        for f in frames:
-            for status, at, event in zip(f["status"].tolist(), _micros(f["ts"]).tolist(), f["event_id"].tolist(), strict=True):
-                if status == begin:
-                    began_at, began = max((began_at, began), (at, event))
-                elif status == end:
-                    ended_at, ended = max((ended_at, ended), (at, event))
-        state.update((began_at, began, ended_at, ended))
-        yield pd.DataFrame({key: [name[0]], "started_us": [began_at if (began_at, began) > (ended_at, ended) else -1]})
-
-    def apply(rows: DataFrame) -> DataFrame:
-        kind = rows.schema[key].dataType.simpleString()
-        wanted = rows.where(F.col("status").isin(begin, end)).select(key, "status", "ts", "event_id")
-        return wanted.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, started_us long", "began_at long, began long, ended_at long, ended long", "update", "NoTimeout")
-
-    return apply
-
-
-def last_errors(key: str, error: str, most: int = 10) -> Callable[[DataFrame], DataFrame]:
-    """Each key's last ``most`` error events, newest first."""
-
-    def step(name: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = [tuple(x) for x in json.loads(state.get[0])] if state.exists else []
-        for f in frames:
-            held = sorted({*held, *zip(_micros(f["ts"]).tolist(), f["event_id"].tolist(), strict=True)}, reverse=True)[:most]
-        state.update((json.dumps(held),))
-        yield pd.DataFrame({key: [name[0]], "events": [[int(e) for _, e in held]]})
-
-    def apply(rows: DataFrame) -> DataFrame:
-        kind = rows.schema[key].dataType.simpleString()
-        errors = rows.where(F.col("status") == error).select(key, "ts", "event_id")
-        return errors.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, events array<bigint>", "held string", "update", "NoTimeout")
-
-    return apply
-
-
 def add_to_table(path: str, keys: list[str], measures: list[str], by: str) -> Callable[[DataFrame, int], None]:
     """For ``foreachBatch``: adds a batch's sums to a partitioned table, with the batch's number as guard against a second delivery."""
 

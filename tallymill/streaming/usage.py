@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,29 +46,6 @@ def distinct_events(rows: DataFrame, key: str = "event_id") -> DataFrame:
     return rows.withWatermark("ts", LATE).dropDuplicatesWithinWatermark([key])
 
 
-def counter(key: str, most: int, window_seconds: int) -> Callable[[DataFrame], DataFrame]:
-    """The rate limiter as a stateful stream: allowed calls of each key so far, with the counter as state that expires."""
-
-    def step(name: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        n, last, allowed, refused = state.get if state.exists else (0, 0, 0, 0)
-        times = sorted(int(t.value // 1000) for f in frames for t in f["ts"])
-        for t in times:
-            if t - last >= window_seconds * 1_000_000:
-                n = 0
-            if n < most:
-                n, last, allowed = n + 1, t, allowed + 1
-            else:
-                refused += 1
-        state.update((n, last, allowed, refused))
-        yield pd.DataFrame({key: [name[0]], "allowed": [allowed], "refused": [refused]})
-
-    def apply(rows: DataFrame) -> DataFrame:
-        kind = rows.schema[key].dataType.simpleString()
-        return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, allowed long, refused long", "n long, last long, allowed long, refused long", "update", "NoTimeout")
-
-    return apply
-
-
 def run(stream: DataFrame, folder: str, mode: str = "update") -> DataFrame:
     """Runs a stream over all that is available now; every batch's rows go to a table with the batch's number, written whole or not at all."""
     spark = stream.sparkSession
