@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tallymill.functions.text import s3_key
 from tallymill.operators.usage import replace
 
+from . import ledger
+
 
 def read(spark: SparkSession, path: str, kind: str = "parquet", schema: str | None = None) -> DataFrame:
     reader = spark.read.format(kind)
@@ -35,23 +37,19 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_partitions(df: DataFrame, path: str, by: Sequence[str], sort: Sequence[str] = ()) -> None:
-    """Replaces the partitions that ``df`` has rows of and leaves the others; one file for each partition and task."""
-    out = df.repartition(*by)
+    """Replaces the partitions that ``df`` has rows of and leaves the others. A large partition is written by several tasks.
+
+    A reader may see some partitions before others; ``ledger.write`` commits all at once.
+    """
+    out = df.hint("rebalance", *by)
     if sort:
         out = out.sortWithinPartitions(*by, *sort)
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
 def upsert_partitions(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], by: str) -> None:
-    """Upsert into a partitioned table: only partitions with new rows are read and written again.
-
-    The merged partitions are written beside the table first, since they are read from it.
-    """
-    days = [r[0] for r in new.select(by).distinct().collect()]  # partition values, not rows
-    old = spark.read.schema(new.schema).parquet(path).where(F.col(by).isin(days))
-    aside = f"{path.rstrip('/')}__merged"
-    replace(old.select(*new.columns), new, list(keys)).write.mode("overwrite").parquet(aside)
-    write_partitions(spark.read.schema(new.schema).parquet(aside), path, [by])
+    """Upsert into a table of ``ledger``: only partitions with new rows are read and written again, and all of it commits at once."""
+    ledger.write(spark, path, new, by, lambda old, rows: replace(old, rows, list(keys)))
 
 
 def delete_documents(stores: dict[str, DataFrame], targets: DataFrame, key: str = "document_id") -> dict[str, DataFrame]:

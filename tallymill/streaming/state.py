@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.operators.usage import increment
-from tallymill.sources.tables import exists, write_partitions
+from tallymill.sources import ledger
 
 DAY_MS = 86_400_000
 
@@ -45,24 +45,14 @@ def latest_status(key: str, ttl_ms: int = DAY_MS, late: str = "1 day") -> Callab
     return apply
 
 
-def add_to_table(path: str, keys: list[str], measures: list[str], by: str) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: adds a batch's sums to a partitioned table, with the batch's number as guard against a second delivery."""
+def add_to_table(path: str, keys: list[str], measures: list[str], by: str, writer: str = "live") -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: adds a batch's sums to a table of ``ledger``.
+
+    The sums and the batch's number commit at once, so a batch that is delivered again, after whatever failure, counts once.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        sums = batch.groupBy(*keys).agg(*(F.sum(m).cast("long").alias(m) for m in measures)).withColumn("batch", F.lit(number).cast("long"))
-        if not exists(spark, path):
-            write_partitions(sums, path, [by])
-            return
-        table = spark.read.parquet(path)
-        days = [r[0] for r in sums.select(by).distinct().collect()]  # partition values
-        old = table.where(F.col(by).isin(days))
-        again = old.where(F.col("batch") == number).limit(1).count()
-        if again:
-            return
-        merged = increment(old, sums, keys, measures).withColumn("batch", F.lit(number).cast("long"))
-        aside = f"{path.rstrip('/')}__batch"
-        merged.write.mode("overwrite").parquet(aside)
-        write_partitions(spark.read.parquet(aside), path, [by])
+        sums = batch.groupBy(*keys).agg(*(F.sum(m).cast("long").alias(m) for m in measures))
+        ledger.write(batch.sparkSession, path, sums, by, lambda old, new: increment(old, new, keys, measures), writer, number)
 
     return write

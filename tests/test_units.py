@@ -207,29 +207,17 @@ def test_pictures_and_context(spark):
     assert (r["text_before"], r["text_after"]) == ("above", "below")
 
 
-def test_partition_upsert(spark, tmp_path):
+def test_partition_write(spark, tmp_path):
     from tallymill.sources import tables
 
     path = f"{tmp_path}/usage"
     rows = lambda x: spark.createDataFrame(x, "tenant_id long, n long, day string")
-    tables.write_partitions(rows([(1, 1, "a"), (2, 2, "a"), (1, 3, "b")]), path, ["day"])
-    for _ in range(2):
-        tables.upsert_partitions(spark, path, rows([(1, 10, "a"), (9, 9, "c")]), ["tenant_id", "day"], "day")
-    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, 3, "b"), (1, 10, "a"), (2, 2, "a"), (9, 9, "c")]
+    tables.write_partitions(rows([(1, 1, "a"), (2, 2, "a"), (1, 3, "b")]), path, ["day"], ["n"])
+    tables.write_partitions(rows([(9, 9, "b")]), path, ["day"])
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, 1, "a"), (2, 2, "a"), (9, 9, "b")]
     assert tables.read_objects(spark, path, "*.parquet").count() > 0
 
 
-def test_batches_add_up_once(spark, tmp_path):
-    from tallymill.streaming.state import add_to_table
-
-    write = add_to_table(f"{tmp_path}/live", ["tenant_id", "day"], ["n"], "day")
-    rows = lambda x: spark.createDataFrame(x, "tenant_id long, n long, day string")
-    for number, batch in ((0, [(1, 1, "a")]), (1, [(1, 5, "a"), (1, 7, "b")]), (1, [(1, 5, "a"), (1, 7, "b")])):
-        write(rows(batch), number)
-    got = spark.read.parquet(f"{tmp_path}/live").select("tenant_id", "n", "day").collect()
-    assert sorted(map(tuple, got)) == [(1, 6, "a"), (1, 7, "b")]
-
-
 def test_status_stream_over_batches(spark, tmp_path):
     from tallymill.streaming import state
     from tallymill.streaming import usage as stream
