@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from tallymill.functions import text as tx
@@ -13,7 +11,7 @@ from tallymill.sources import files, pages
 from tallymill.streaming import keyed, state
 from tallymill.streaming import usage as stream
 
-from .standins import MESSAGES_SQL, documents, table
+from .standins import MESSAGES_SQL, documents, folder, table
 
 
 def chunk_fixed(spark, sf):
@@ -117,42 +115,33 @@ def session_batches(spark, sf):
     return ps.sessions(_events(spark, sf), "document_id", 6 * 3600).select("document_id", "first_at", "last_at", "n_events")
 
 
-def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return tempfile.mkdtemp(prefix="tallymill-")
-
-
 def stream_daily(spark, sf):
     e = stream.events(spark, sf)
     tokens = F.floor(F.col("value") * 100).cast("long")
     rows = e.select((F.col("user_id") % 10).alias("tenant_id"), F.when(F.col("event_type") == "error", "user").otherwise("assistant").alias("role"), F.when(F.col("event_id") % 50 != 0, F.concat("event_type", F.lit("-2024-07-18"))).alias("model_used"), tokens.alias("total_tokens"), F.col("ts").alias("created_at"))
-    return stream.latest(stream.run(stream.daily_usage(rows), _folder(spark)), ["tenant_id", "model_name", "usage_date"])
+    return stream.latest(stream.run(stream.daily_usage(rows), folder(spark)), ["tenant_id", "model_name", "usage_date"])
 
 
 def stream_sessions(spark, sf):
     """Sessions of all events: those that the stream has closed when it ends."""
-    out = stream.run(stream.sessions(stream.events(spark, sf), "user_id", "6 hours"), _folder(spark), "append")
+    out = stream.run(stream.sessions(stream.events(spark, sf), "user_id", "6 hours"), folder(spark), "append")
     return out.select("user_id", F.col("first_at").cast("timestamp_ntz").alias("first_at"), "n_events")
 
 
 def stream_sliding(spark, sf):
-    out = stream.latest(stream.run(stream.sliding_counts(stream.events(spark, sf)), _folder(spark)), ["start", "event_type"])
+    out = stream.latest(stream.run(stream.sliding_counts(stream.events(spark, sf)), folder(spark)), ["start", "event_type"])
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 def stream_distinct(spark, sf):
     e = stream.events(spark, sf)
     twice = e.unionByName(stream.events(spark, sf))
-    return stream.run(stream.distinct_events(twice), _folder(spark), "append").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return stream.run(stream.distinct_events(twice), folder(spark), "append").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def stream_rate_limit(spark, sf):
     rows = stream.events(keyed.streaming_session(spark), sf).select((F.col("user_id") % 30).alias("key"), "ts", "event_id")
-    calls = stream.run(keyed.rate_limit("key", 3, 7200)(rows), _folder(spark))
+    calls = stream.run(keyed.rate_limit("key", 3, 7200)(rows), folder(spark))
     return calls.groupBy("key").agg(F.sum("allowed").alias("allowed"), F.sum("refused").alias("refused"))
 
 
@@ -161,18 +150,18 @@ def _status_stream(spark, sf):
 
 
 def stream_status(spark, sf):
-    out = stream.latest(stream.run(state.latest_status("document_id")(_status_stream(spark, sf)), _folder(spark)), ["document_id"])
+    out = stream.latest(stream.run(state.latest_status("document_id")(_status_stream(spark, sf)), folder(spark)), ["document_id"])
     return out.select("document_id", "status", F.timestamp_micros("updated_us").cast("timestamp_ntz").alias("updated_at"), "n_events")
 
 
 def stream_batches(spark, sf):
     rows = _status_stream(spark, sf).withColumn("batch_id", F.col("document_id") % 7)
-    return stream.latest(stream.run(stream.batch_counts(rows, "batch_id", "purchase", "error"), _folder(spark)), ["batch_id"])
+    return stream.latest(stream.run(stream.batch_counts(rows, "batch_id", "purchase", "error"), folder(spark)), ["batch_id"])
 
 
 def _keyed(spark, sf, operator):
     """The last update of each document by a keyed operator."""
-    return stream.latest(stream.run(operator(_status_stream(keyed.streaming_session(spark), sf)), _folder(spark)), ["document_id"])
+    return stream.latest(stream.run(operator(_status_stream(keyed.streaming_session(spark), sf)), folder(spark)), ["document_id"])
 
 
 def _stages(ttl_ms):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="tallymill-")
+
+
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A conversation for each user of the events, of the tenant that the user's last digit names."""
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), (F.col("user_id") % 10).alias("tenant_id"), "user_id").distinct()

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallymill.functions.text import normalise_model_name
 from tallymill.operators import usage as u
+from tallymill.streaming import late
 
-from .standins import MESSAGES_SQL, PRICES_SQL, conversations, prices, table
+from .standins import MESSAGES_SQL, PRICES_SQL, conversations, folder, prices, table
 from .standins import messages as _messages
 
 
@@ -141,7 +144,28 @@ SELECT p.{key}, CAST(coalesce(n, 0) AS BIGINT) AS total_messages, CAST(coalesce(
 FROM (SELECT DISTINCT {key} FROM msg) p LEFT JOIN s USING ({key})"""
 
 
+def kept_usage(spark, sf):
+    """Daily usage from a stream of messages in two deliveries, every batch delivered twice; the second one brings every tenth message
+    of all days, most of them late, and a repair mends those days."""
+    here = f"{folder(spark)}/usage-{uuid.uuid4().hex}"
+    rows = messages(spark, sf)
+    late_ones = F.col("id") % 10 == 3
+    add = late.keep(f"{here}/live", f"{here}/late")
+
+    def twice(batch, number):
+        add(batch, number)
+        add(batch, number)
+
+    for part in (~late_ones, late_ones):
+        rows.where(part).write.mode("append").parquet(f"{here}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{here}/in")
+        stream.writeStream.foreachBatch(twice).option("checkpointLocation", f"{here}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    late.repair(spark, spark.read.schema(rows.schema).parquet(f"{here}/in"), f"{here}/live", f"{here}/late")
+    return u.priced(late.usage(spark, f"{here}/live"), prices(spark))
+
+
 QUERIES = {
+    "usage_kept_by_stream": kept_usage,
     "usage_daily_cost": daily_cost, "backfill_range": backfill, "usage_summary_rollup": summary, "usage_by_model": by_model, "usage_user_stats": user_stats, "usage_tenant_stats": tenant_stats,
     "usage_upsert_replace": upsert_replace, "usage_upsert_counts": upsert_counts, "usage_upsert_increment": upsert_increment, "billing_monthly": monthly, "billing_month_summary": monthly_summary,
     "billing_yearly": yearly, "normalize_model_name": model_names, "usage_by_model_of_tenant": by_model_of_tenant, "billing_monthly_upsert": monthly_upsert, "billing_by_cost": bills_by_cost,
@@ -150,6 +174,7 @@ QUERIES = {
 
 _BY_MODEL = "SELECT model_used AS model_name, count(id) AS message_count, CAST(sum(input_tokens) AS BIGINT) AS sum_input_tokens, CAST(sum(output_tokens) AS BIGINT) AS sum_output_tokens, CAST(sum(total_tokens) AS BIGINT) AS sum_total_tokens FROM msg WHERE role = 'assistant'"
 ORACLE_SQL = {
+    "usage_kept_by_stream": f"WITH {USAGE_SQL} SELECT * FROM usage",
     "usage_daily_cost": f"WITH {USAGE_SQL} SELECT * FROM usage",
     "backfill_range": "WITH " + USAGE_SQL.replace("FROM events)", "FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-12 23:59:59.999999')") + " SELECT * FROM usage",
     "usage_summary_rollup": f"WITH {USAGE_SQL} SELECT model_name, {_SUM}, CAST(grouping(model_name) AS INT) AS is_total FROM usage WHERE usage_date BETWEEN DATE '2024-01-03' AND DATE '2024-01-20' GROUP BY ROLLUP (model_name)",
