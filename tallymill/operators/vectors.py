@@ -42,47 +42,57 @@ def ranked(hits: DataFrame) -> DataFrame:
 _BLOCK_ROWS = 2048
 
 
-def _blocks(points: DataFrame, group: str | None) -> DataFrame:
-    """Vectors of ``points`` (id, embedding[, group]) packed in rows of at most ``_BLOCK_ROWS``."""
+def _blocks(points: DataFrame, group: str | None, dims: int) -> DataFrame:
+    """Vectors of ``dims`` numbers of ``points`` (id, embedding[, group]) packed in rows of at most ``_BLOCK_ROWS``."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, _BLOCK_ROWS):
                 part = batch.slice(at, _BLOCK_ROWS)
-                matrix = np.array(part.column(1).to_pylist(), np.float64)
+                matrix = part.column(1).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(part.num_rows, dims)
                 norm = np.linalg.norm(matrix, axis=1, keepdims=True)
                 packed = np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0).tobytes()
                 groups = part.column(2).cast(pa.int64()).to_pylist() if group else [0] * part.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([groups], pa.list_(pa.int64())), pa.array([packed], pa.binary())], ["ids", "groups", "matrix"])
 
-    return points.where("embedding is not null").select(F.col("id").cast("long"), "embedding", *([group] if group else [])).mapInArrow(run, "ids array<long>, groups array<long>, matrix binary")
+    rows = points.where((F.size("embedding") == dims) & ~F.exists("embedding", lambda x: x.isNull()))
+    return rows.select(F.col("id").cast("long"), "embedding", *([group] if group else [])).mapInArrow(run, "ids array<long>, groups array<long>, matrix binary")
+
+
+def best_of_block(qi: np.ndarray, q: np.ndarray, pi: np.ndarray, groups: np.ndarray, p: np.ndarray, k: int, group: str) -> pa.RecordBatch:
+    """query_id, group, id and score of the k best points p of each group for every query q."""
+    score = np.round(q @ p.T, 6)
+    score[qi[:, None] == pi] = -np.inf
+    rows = []
+    for value in np.unique(groups):
+        own = np.flatnonzero(groups == value)
+        own = own[np.argsort(pi[own], kind="stable")]
+        best = np.argsort(-score[:, own], axis=1, kind="stable")[:, :k]
+        rows += [(int(qi[r]), int(value), int(pi[own[c]]), float(score[r, own[c]])) for r in range(len(qi)) for c in best[r] if np.isfinite(score[r, own[c]])]
+    cols = list(zip(*rows, strict=True)) or [[]] * 4
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.float64())], ["query_id", group, "id", "score"])
 
 
 def top_k_each(points: DataFrame, queries: DataFrame, k: int, group: str) -> DataFrame:
     """query_id, group, rank, id and cosine score of the k best points of each group for every query (id, embedding); a query is no hit of its own.
 
-    Queries and points travel in blocks; each pair of blocks is one matrix product, of which only the k best of
-    each query and group leave the task.
+    Queries and points travel in blocks. Each block of points is in one of as many shares as there are shuffle
+    partitions, and each block of queries goes to all shares; each pair is one matrix product, of which only the k best of
+    each query and group leave the task. Vectors of another length than the first query's are left out, as are those with nulls.
     """
+    first = queries.where("embedding IS NOT NULL").select(F.size("embedding")).first()
+    dims = first[0] if first else 0
+    shares = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
         for batch in batches:
             for qi, q, pi, g, p in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
-                qi, pi, g = np.array(qi), np.array(pi), np.array(g)
-                score = np.round(np.frombuffer(q).reshape(len(qi), -1) @ np.frombuffer(p).reshape(len(pi), -1).T, 6)
-                score[qi[:, None] == pi] = -np.inf
-                rows = []
-                for value in np.unique(g):
-                    own = np.flatnonzero(g == value)
-                    own = own[np.argsort(pi[own], kind="stable")]
-                    best = np.argsort(-score[:, own], axis=1, kind="stable")[:, :k]
-                    rows += [(int(qi[r]), int(value), int(pi[own[c]]), float(score[r, own[c]])) for r in range(len(qi)) for c in best[r] if np.isfinite(score[r, own[c]])]
-                cols = list(zip(*rows, strict=True)) or [[]] * 4
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.float64())], ["query_id", group, "id", "score"])
-
-    q = _blocks(queries, None).select(F.col("ids").alias("qi"), F.col("matrix").alias("q"))
-    pairs = _blocks(points, group).select(F.col("ids").alias("pi"), "groups", F.col("matrix").alias("p")).crossJoin(q)  # blocks, not rows
-    found = pairs.select("qi", "q", "pi", "groups", "p").mapInArrow(run, f"query_id long, {group} long, id long, score double")
+                yield best_of_block(np.array(qi), np.frombuffer(q).reshape(len(qi), -1), np.array(pi), np.array(g), np.frombuffer(p).reshape(len(pi), -1), k, group)
+
+    every = F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share")
+    q = _blocks(queries, None, dims).select(F.col("ids").alias("qi"), F.col("matrix").alias("q"), every)
+    p = _blocks(points, group, dims).select(F.col("ids").alias("pi"), "groups", F.col("matrix").alias("p"), F.pmod(F.xxhash64("ids"), F.lit(shares)).cast("int").alias("share"))
+    found = p.join(q, "share").select("qi", "q", "pi", "groups", "p").mapInArrow(run, f"query_id long, {group} long, id long, score double")
     w = Window.partitionBy("query_id", group).orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -116,11 +126,11 @@ def scroll(points: DataFrame, tenant_id: int, document_id) -> DataFrame:
 
 
 def patch(points: DataFrame, changes: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Payload columns take the changes' values where those are not null, by tenant and document."""
+    """Payload columns take the changes' values where those are not null, by tenant and document. Other columns may have any names."""
     keys = ["tenant_id", "document_id"]
-    new = changes.select(*keys, *(F.col(c).alias(f"_{c}") for c in columns))
-    joined = points.join(new, keys, "left")
-    return joined.select(*(F.coalesce(f"_{c}", c).alias(c) if c in columns else F.col(c) for c in points.columns))
+    p = points.select(*keys, F.struct("*").alias("point"))
+    joined = p.join(changes.select(*keys, F.struct(*columns).alias("change")), keys, "left")
+    return joined.select(*(F.coalesce(f"change.`{c}`", f"point.`{c}`").alias(c) if c in columns else F.col(f"point.`{c}`").alias(c) for c in points.columns))
 
 
 def statistics(points: DataFrame, keys: Sequence[str] = ("tenant_id",)) -> DataFrame:

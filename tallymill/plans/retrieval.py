@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tallymill.functions import text as tx
 from tallymill.operators import ranking as rk
+from tallymill.operators import vector_index as vi
 from tallymill.operators import vectors as vc
 
-from .standins import table
+from .standins import folder, table
 
 QUERY = "the that of in and"
 #: A fixed query vector.
@@ -53,6 +56,33 @@ def topk_each(spark, sf):
     return vc.top_k_each(_points(spark, sf), queries, 3, "tenant_id")
 
 
+def _index(spark, sf):
+    """The index of all points, their schema, and every vector whose id is divisible by 20 as queries."""
+    queries = table(spark, sf, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("id"), "embedding")
+    points = _points(spark, sf)
+    return vi.build(points, f"{folder(spark)}/vectors-{uuid.uuid4().hex}"), points.schema, queries
+
+
+def index_each(spark, sf):
+    """As topk_each, by an index of which all lists are read."""
+    index, schema, queries = _index(spark, sf)
+    return vi.search_each(spark, index, schema, queries, 3, len(index.centroids), "tenant_id")
+
+
+def index_one(spark, sf):
+    """The ten best points of a tenant by the index; lists are read until there are ten."""
+    index, schema, _ = _index(spark, sf)
+    return _columns(vi.search(spark, index, schema, VECTOR, 10, len(index.centroids), tenant_id=1, document_types=[".pdf", ".xlsx"]))
+
+
+def index_recall(spark, sf):
+    """Of the ten nearest of each query over all points, how many the index finds with the number of lists that it has measured."""
+    index, schema, queries = _index(spark, sf)
+    found = vi.search_each(spark, index, schema, queries, 10)
+    exact = vc.top_k_each(_points(spark, sf).withColumn("all", F.lit(0)), queries, 10, "all")
+    return vi.recall(found, exact)
+
+
 def search_ids(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("doc_id"))
     return _columns(vc.search(_points(spark, sf), docs, VECTOR, 0, wanted=[1, 2, 3, 10, 20, 30], k=5))
@@ -152,7 +182,7 @@ def _keyword_sql(words: list[str], text: str) -> str:
 
 _FAQ_Q = "the and attion to thanedble the, anea. eriner thanea"
 QUERIES = {
-    "vector_topk": topk, "vector_topk_filtered": topk_filtered, "vector_topk_tables": topk_tables, "vector_topk_per_tenant": topk_each, "vector_search_ids": search_ids, "vector_stats": stats,
+    "vector_topk": topk, "vector_topk_filtered": topk_filtered, "vector_topk_tables": topk_tables, "vector_topk_per_tenant": topk_each, "vector_index_per_tenant": index_each, "vector_index_filtered": index_one, "vector_index_recall": index_recall, "vector_search_ids": search_ids, "vector_stats": stats,
     "vector_delete": delete, "vector_upsert": upsert, "vector_patch": patch, "lexical_boost_rerank": rerank, "lexical_boost": boosts, "keyword_score": keywords, "faq_match": faq,
     "citations_best_per_doc": citations_best, "citations": citations, "context_pack": context, "casual_query": casual, "image_rank": images,
 }
@@ -163,6 +193,7 @@ ORACLE_SQL = {
     "vector_topk_filtered": f"WITH {_SCORED} " + _TOP.format(where="WHERE tenant_id = 1 AND document_type IN ('.pdf', '.xlsx')", k=10),
     "vector_topk_tables": f"WITH {_SCORED} " + _TOP.format(where="WHERE tenant_id = 2 AND document_type = '.xlsx'", k=5),
     "vector_topk_per_tenant": f"WITH {_POINTS} SELECT q.vec_id AS query_id, tenant_id, CAST(row_number() OVER w AS INT) AS rank, id, score FROM (SELECT vec_id, p.id, CAST(p.tenant_id AS BIGINT) AS tenant_id, round(list_cosine_similarity(p.embedding, CAST(e.embedding AS DOUBLE[])), 6) AS score FROM point p JOIN embeddings e ON vec_id % 20 = 0 AND vec_id <> id) q WINDOW w AS (PARTITION BY vec_id, tenant_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 3",
+    "vector_index_filtered": f"WITH {_SCORED} " + _TOP.format(where="WHERE tenant_id = 1 AND document_type IN ('.pdf', '.xlsx')", k=10),
     "vector_search_ids": f"WITH {_SCORED} " + _TOP.format(where="WHERE tenant_id = 0 AND document_id IN (1, 2, 3, 10, 20, 30)", k=5),
     "vector_stats": f"WITH {_POINTS} SELECT tenant_id, count(*) AS total_points, count(DISTINCT document_id) AS unique_documents FROM point GROUP BY 1",
     "vector_delete": f"WITH {_POINTS} SELECT id, tenant_id, document_id FROM point WHERE document_id % 5 <> 0",
@@ -193,3 +224,5 @@ SELECT conv_id, turn, len(list_filter(['hi', 'hello', 'hey', 'howdy', 'greetings
     "image_rank": f"""WITH {_HITS.format(k=30)}, w AS (SELECT id, score, 0.5 * {_keyword_sql(['the', 'of', 'erst'], "'the picture of ' || d.source")} + 0.3 * {_keyword_sql(['the', 'of', 'erst'], 'd.text')} + 0.2 * {_keyword_sql(['the', 'of', 'erst'], 'd.lang')} AS k
  FROM hit JOIN documents d ON doc_id = id WHERE doc_id % 4 <> 1) SELECT id, round(k, 6) AS keyword_score, round(0.7 * score + 0.3 * k, 6) AS final_score FROM w ORDER BY 3 DESC, id LIMIT 10""",
 }
+
+ORACLE_SQL["vector_index_per_tenant"] = ORACLE_SQL["vector_topk_per_tenant"]
