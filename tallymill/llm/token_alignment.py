@@ -10,7 +10,8 @@
    over a sorted stream that Spark spills holds one pair's count at a time. A B id with many
    posting rows is dealt out over as many shares of ``SHARE`` rows, by block, each with its
    own copy of the id's counts: what one task reads has a bound, whatever the id.
-4. Each document's contributions are summed in bounded buffers, then by Spark.
+4. Contributions are summed by document in bounded buffers and leave a task packed by block,
+   in fewer rows than it has read. They are shuffled by block, where one pass adds them up.
 
 Encoding: no special tokens are added, and their strings inside texts are plain text. A gets
 a space and the text, B the text (it adds the space itself). A's bytes are its vocabulary's;
@@ -243,8 +244,34 @@ def unpacked(block: pa.Array, postings: pa.Array, own: np.ndarray) -> tuple[np.n
     return np.repeat(block.take(pa.array(own)).to_numpy() << 16, n) | (packed & 0xFFFF).astype(np.int64), (packed >> 16).astype(np.int64), n
 
 
+def summed(parts: DataFrame) -> DataFrame:
+    """row, n_best and count_sum of documents, of packed contributions (block, docs, best, total)."""
+
+    def run(batches):
+        block, best, total, held = None, None, None, None
+
+        def out():
+            own = np.flatnonzero(held)
+            return pa.RecordBatch.from_arrays([pa.array(block << 16 | own), pa.array(best[own]), pa.array(total[own])], ["row", "n_best", "count_sum"])
+
+        for batch in batches:
+            for k, number in enumerate(batch.column(0).to_pylist()):
+                if number != block:
+                    if block is not None:
+                        yield out()
+                    block, best, total, held = number, np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, bool)
+                docs, more_best, more = (np.frombuffer(batch.column(c)[k].as_buffer(), t) for c, t in ((1, np.uint16), (2, np.int64), (3, np.int64)))
+                held[docs] = True
+                best[docs] += more_best
+                total[docs] += more
+        if block is not None:
+            yield out()
+
+    return parts.repartition("block").sortWithinPartitions("block").mapInArrow(run, "row long, n_best long, count_sum long")
+
+
 def contributions(postings: DataFrame) -> DataFrame:
-    """row, n_best and count_sum of documents, in parts; postings: posting rows (b, a, block, times, postings)."""
+    """Packed sums of documents (block, docs, best, total), in parts; postings: posting rows (b, a, block, times, postings)."""
     counts = written(postings.groupBy("b", "a").agg(F.sum("times").alias("count"), F.count(F.lit(1)).alias("rows")), "pair-counts")
     # a row for each id of the vocabulary at most
     of_b = counts.groupBy("b").agg(F.max("count").alias("most"), F.expr(f"int((sum(rows) + {SHARE - 1}) div {SHARE})").alias("shares"))
@@ -264,8 +291,11 @@ def contributions(postings: DataFrame) -> DataFrame:
             total, top = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
             np.add.at(total, at, np.concatenate(weights))
             np.add.at(top, at, np.concatenate(best))
-            for k in range(0, len(row), 1 << 15):
-                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 15)]) for x in (row, top, total)], ["row", "n_best", "count_sum"])
+            starts = np.flatnonzero(np.diff(row >> 16, prepend=-1))
+            cuts = list(zip(starts.tolist(), [*starts[1:].tolist(), len(row)], strict=True))
+            packed = [[x[i:j].tobytes() for i, j in cuts] for x in ((row & 0xFFFF).astype(np.uint16), top, total)]
+            for k in range(0, len(cuts), 256):
+                yield pa.RecordBatch.from_arrays([pa.array((row >> 16)[starts[k : k + 256]]), *(pa.array(x[k : k + 256], pa.binary()) for x in packed)], ["block", "docs", "best", "total"])
 
         for batch in batches:
             count, told_best = batch.column(0), batch.column(1)
@@ -290,7 +320,7 @@ def contributions(postings: DataFrame) -> DataFrame:
         if rows:
             yield from out()
 
-    return stream.select("count", "best", "block", "postings").mapInArrow(run, "row long, n_best long, count_sum long")
+    return stream.select("count", "best", "block", "postings").mapInArrow(run, "block long, docs binary, best binary, total binary")
 
 
 def align(docs: DataFrame, left, right) -> DataFrame:
@@ -301,6 +331,6 @@ def align(docs: DataFrame, left, right) -> DataFrame:
     both = written(encoded(docs, left, right), "alignment")
     each = both.where("row IS NOT NULL").select("row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
     postings = both.where("b IS NOT NULL").select("b", "a", "block", "times", "postings")
-    sums = contributions(postings).groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    sums = summed(contributions(postings))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return each.join(sums, "row", "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256")
