@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tallymill.functions.text import conversation_title
 from tallymill.operators import config_history as ch
 from tallymill.operators import listing as ls
+from tallymill.operators import substring_index as si
 
-from .standins import DOCUMENTS_SQL, documents, table
+from .standins import DOCUMENTS_SQL, documents, folder, table
 
 
 def _turns(spark, sf):
@@ -57,6 +60,12 @@ def search(spark, sf):
     return ls.filtered(documents(spark, sf), search="doc the%", exclude_failed=True).select("id", "name", "processing_status")
 
 
+def substring(spark, sf):
+    """The search of documents_ilike by an index of three-letter runs."""
+    index = si.build(documents(spark, sf).select("id", "name", "processing_status"), f"{folder(spark)}/names-{uuid.uuid4().hex}")
+    return ls.filtered(si.search(spark, index, "doc the%"), exclude_failed=True)
+
+
 def status_counts(spark, sf):
     return ls.status_counts(documents(spark, sf), ["tenant_id"])
 
@@ -128,7 +137,7 @@ _COUNTS = """count(*) AS total, count(*) FILTER (processing_status NOT IN ('proc
 
 QUERIES = {
     "conversation_last_message": last_message, "conversation_page": conversation_page, "eager_children": eager_children, "recent_context_window": context_window, "transcript_budget": transcript,
-    "documents_sorted_page": sorted_page, "documents_status_page": status_page, "documents_ilike": search, "status_counts": status_counts, "batch_progress": batch_progress,
+    "documents_sorted_page": sorted_page, "documents_status_page": status_page, "documents_ilike": search, "documents_substring": substring, "status_counts": status_counts, "batch_progress": batch_progress,
     "chunk_length_stats": length_stats, "dedupe_rename": dedupe_rename, "duplicate_names": duplicate_names, "default_config_per_tenant": default_config, "title_from_first_message": titles,
     "bulk_delete_plan": bulk_delete, "latest_config_version": config_latest, "config_version_append": config_update,
 }
@@ -164,3 +173,5 @@ SELECT conv_id, CASE WHEN length(t) < length(c) THEN t || '...' ELSE t END AS ti
 SELECT id, CAST(CASE WHEN id % 2 = 0 THEN n + 2 ELSE n END AS INT) AS n, CAST(CASE WHEN id % 2 = 0 THEN 0 ELSE n - 1 END AS INT) AS as_written, CAST(CASE WHEN id % 2 = 0 THEN n + 1 ELSE n - 1 END AS INT) AS latest,
  CASE WHEN id % 2 = 0 THEN 'Y' ELSE status END AS status, priority FROM t""",
 }
+
+ORACLE_SQL["documents_substring"] = ORACLE_SQL["documents_ilike"]
