@@ -8,6 +8,7 @@ from tallymill.functions.register import register, views
 from tallymill.functions.text import page_link
 from tallymill.operators import ranking as rk
 from tallymill.operators import report as rp
+from tallymill.sources import files
 
 from .standins import table
 
@@ -58,6 +59,14 @@ def page_links(spark, sf):
     return table(spark, sf, "pages").select("page_id", page_link(F.col("url"), ext, F.nullif(F.col("page_id") % 4, F.lit(2))).alias("link"))
 
 
+def image_context(spark, sf):
+    """Lines of documents as spans, five to a page and not in the order of their heights, with an image in the middle of each page."""
+    lines = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("k", "text"))
+    spans = lines.select("doc", F.floor(F.col("k") / 5).alias("page"), (F.col("k") * 3 % 5).cast("double").alias("y"), F.col("k").alias("seq"), "text")
+    images = spans.groupBy("doc", "page").agg(F.min("seq").alias("image_id")).withColumn("y", F.col("page") % 5 - 0.5)
+    return files.surrounding_text(images, spans).select("doc", "image_id", "text_before", "text_after")
+
+
 def image_texts(spark, sf):
     """Every document's text around a caption, and the caption that its text alone would give."""
     d = table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 4 > 0, F.col("text")).alias("b"), F.concat_ws(" ", F.lit(" a picture of"), "source").alias("c"), F.when(F.col("doc_id") % 3 > 0, F.col("text")).alias("a"))
@@ -82,7 +91,7 @@ _BODY = _HTML.format(x="trim(regexp_replace(line, '^[-•* ]+', ''))")
 
 QUERIES = {
     "report_line_kinds": report_kinds, "report_html": report_html, "status_lines": status_lines, "summary_texts": summaries, "model_family": families, "row_access": access,
-    "page_links": page_links, "image_texts": image_texts, "sql_text": sql_text,
+    "page_links": page_links, "image_texts": image_texts, "image_context": image_context, "sql_text": sql_text,
 }
 ORACLE_SQL = {
     "report_line_kinds": f"WITH {_LINE} SELECT kind, count(*) AS n, count(*) FILTER (opens) AS opened, count(*) FILTER (closes) AS closed FROM g WHERE kind <> 'blank' GROUP BY 1",
@@ -96,6 +105,11 @@ ORACLE_SQL = {
     "model_family": "WITH m AS (SELECT ['gpt-4-turbo-preview', 'gpt-4', 'gpt-4o-2024', 'o1-mini', 'unknown'][user_id % 5 + 1] AS model, count(*) AS n FROM events GROUP BY 1) SELECT model, n, coalesce(list_filter(['gpt-4-turbo', 'gpt-4o', 'gpt-4', 'o1'], lambda p: starts_with(model, p))[1], 'gpt-4o-mini') AS family FROM m",
     "row_access": "SELECT 'user' AS role, count(*) AS n FROM orders WHERE o_custkey = 13 HAVING count(*) > 0 UNION ALL SELECT 'admin', count(*) FROM orders WHERE o_custkey % 10 = 3 UNION ALL SELECT 'super_admin', count(*) FROM orders",
     "page_links": "SELECT page_id, CASE WHEN page_id % 2 = 0 AND nullif(page_id % 4, 2) <> 0 THEN url || '#page=' || nullif(page_id % 4, 2) ELSE url END AS link FROM pages",
+    "image_context": """WITH line AS (SELECT doc_id AS doc, x[i] AS t, i - 1 AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
+ span AS (SELECT doc, k // 5 AS page, k * 3 % 5 AS y, k AS seq, trim(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM line),
+ image AS (SELECT doc, page, min(seq) AS image_id, page % 5 - 0.5 AS y FROM span GROUP BY doc, page),
+ near AS (SELECT i.doc, i.image_id, string_agg(t, ' ' ORDER BY s.y, seq) FILTER (t <> '' AND s.y <= i.y) AS b, string_agg(t, ' ' ORDER BY s.y, seq) FILTER (t <> '' AND s.y > i.y) AS a FROM image i JOIN span s USING (doc, page) GROUP BY ALL)
+SELECT doc, CAST(image_id AS INT) AS image_id, trim(right(coalesce(b, ''), 500)) AS text_before, trim(left(coalesce(a, ''), 500)) AS text_after FROM near""",
     "image_texts": """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 4 > 0 THEN text END AS b, ' a picture of ' || source AS c, CASE WHEN doc_id % 3 > 0 THEN text END AS a FROM documents),
  e AS (SELECT *, concat_ws(' ', CASE WHEN b <> '' THEN trim(b, ' ' || chr(10)) END, trim(c), CASE WHEN a <> '' THEN trim(a, ' ' || chr(10)) END) AS whole, CAST((8000 - length(c) - 2) // 2 AS BIGINT) AS h FROM d),
  f AS (SELECT *, concat_ws(' ', CASE WHEN b <> '' THEN trim(right(b, 100), ' ' || chr(10)) END, CASE WHEN a <> '' THEN trim(left(a, 100), ' ' || chr(10)) END) AS k FROM e)

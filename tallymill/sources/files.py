@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from collections import deque
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -233,9 +234,66 @@ def estimated_text(images: DataFrame, pages: DataFrame, n: int = 500) -> DataFra
 
 
 def surrounding_text(images: DataFrame, spans: DataFrame, n: int = 500) -> DataFrame:
-    """text_before and text_after of each image (doc, page, y) from the page's spans (doc, page, y, seq, text)."""
-    i = images.select("image_id", "doc", "page", F.col("y").alias("_y"))
-    rows = i.join(spans, ["doc", "page"])  # the spans of one page
-    parts = lambda cond: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("seq", "text")))), lambda s: s["text"]), " ")
-    held = rows.groupBy("image_id").agg(parts(F.col("y") < F.col("_y")).alias("b"), parts(F.col("y") >= F.col("_y")).alias("a"))
-    return images.join(held, "image_id", "left").select(images["*"], F.right(F.coalesce("b", F.lit("")), F.lit(n)).alias("text_before"), F.left(F.coalesce("a", F.lit("")), F.lit(n)).alias("text_after"))
+    """Images (doc, page, y and any others) with text_before and text_after: the last and first ``n`` characters of the page's
+    spans (doc, page, y, seq, text) above and below, in the order of y and seq. A span at an image's height is above it.
+
+    Images and spans of a page come in one order, and one pass keeps no more than ``n`` characters before, and those since
+    the first image that waits for its own. Spans without text or height are left out; images without a height, or on a
+    page without spans, have empty texts. Repeated images each get their row.
+    """
+    place = lambda doc, page, y, kind, seq: [doc.cast("string").alias("doc"), page.cast("long").alias("page"), y.cast("double").alias("y"), F.lit(kind).alias("kind"), seq.cast("long").alias("seq")]
+    kind = f"struct<{','.join(f'`{f.name}`:{f.dataType.simpleString()}' for f in images.schema.fields)}>"
+    text = strip(F.col("text"))
+    above = spans.where(F.col("y").isNotNull() & (text != "")).select(*place(F.col("doc"), F.col("page"), F.col("y"), 0, F.col("seq")), text.alias("text"), F.lit(None).cast(kind).alias("image"))
+    marks = images.select(*place(F.col("doc"), F.col("page"), F.col("y"), 1, F.lit(0)), F.lit(None).cast("string").alias("text"), F.struct("*").alias("image"))
+    rows = above.unionByName(marks).repartition("doc", "page").sortWithinPartitions("doc", "page", F.col("y").asc_nulls_first(), "kind", "seq")
+
+    def run(batches):
+        done: list[tuple[pa.Array, str, str]] = []
+        waiting: deque[tuple[pa.Array, str, int]] = deque()
+        page, tail, since, length = None, "", "", 0  # since: the page's text from where the first waiting image is
+
+        def finish():
+            nonlocal since
+            image, before, start = waiting.popleft()
+            done.append((image, before.strip(), since[: n + 1].strip()[:n].strip()))
+            if waiting:
+                since = since[waiting[0][2] - start :]
+
+        def out():
+            arrays = [pa.concat_arrays([x[0] for x in done]), *(pa.array([x[k] for x in done], pa.string()) for k in (1, 2))]
+            done.clear()
+            return pa.RecordBatch.from_arrays(arrays, ["image", "text_before", "text_after"])
+
+        for batch in batches:
+            docs, numbers, heights, kinds, texts = (batch.column(k).to_pylist() for k in (0, 1, 2, 3, 5))
+            for k, here in enumerate(zip(docs, numbers, strict=True)):
+                if here != page:
+                    while waiting:
+                        finish()
+                    page, tail, since, length = here, "", "", 0
+                if kinds[k]:
+                    image = batch.column(6).slice(k, 1)
+                    if heights[k] is None:
+                        done.append((image, "", ""))
+                    else:
+                        if not waiting:
+                            since = ""
+                        waiting.append((image, tail, length))
+                else:
+                    added = f" {texts[k]}" if length else texts[k]
+                    length += len(added)
+                    tail = (tail + added)[-n:]
+                    if waiting:
+                        since += added
+                        while waiting and length - waiting[0][2] > n:
+                            finish()
+                if len(done) >= 1024:
+                    yield out()
+        while waiting:
+            finish()
+        if done:
+            yield out()
+
+    found = rows.select("doc", "page", "y", "kind", "seq", "text", "image").mapInArrow(run, f"image {kind}, text_before string, text_after string")
+    return found.select(*(F.col(f"image.`{c}`").alias(c) for c in images.columns), "text_before", "text_after")

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import io
+import random
 import zipfile
 from decimal import Decimal
 
@@ -207,6 +208,23 @@ def test_pictures_and_context(spark):
     assert (r["text_before"], r["text_after"]) == ("above", "below")
 
 
+def test_text_around_pictures_against_the_whole_page(spark):
+    rng = random.Random(4)
+    spans = [(f"d{rng.randrange(3)}", rng.randrange(4), float(rng.randrange(40)), k, rng.choice(["", " ", "a", "some words", "x" * 30, "long " * 30, None])) for k in range(900)] + [("d0", 0, None, 900, "nowhere")]
+    images = [(k, f"d{rng.randrange(4)}", rng.randrange(4), float(rng.randrange(-1, 41)) if k % 9 else None, f"note {k}") for k in range(200)] + [(7, "d0", 0, 3.0, "note 7")] * 2
+    df = spark.createDataFrame(images, "image_id long, doc string, page int, y double, text string").repartition(3)
+    around = files.surrounding_text(df, spark.createDataFrame(spans, "doc string, page int, y double, seq int, text string").repartition(5), 50)
+    assert around.columns == [*df.columns, "text_before", "text_after"]
+    want = []
+    for i, d, p, y, note in images:
+        page = sorted((sy, q, t.strip()) for sd, sp, sy, q, t in spans if (sd, sp) == (d, p) and sy is not None and t and t.strip())
+        before, after = " ".join(t for sy, _, t in page if y is not None and sy <= y), " ".join(t for sy, _, t in page if y is not None and sy > y)
+        want.append((i, d, p, y, note, before[-50:].strip(), after[:50].strip()))
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, around.collect()), key=key) == sorted(want, key=key)
+    assert files.surrounding_text(df, spark.createDataFrame([], "doc string, page int, y double, seq int, text string")).where("text_before <> '' OR text_after <> ''").count() == 0
+
+
 def test_partition_write(spark, tmp_path):
     from tallymill.sources import tables
 
