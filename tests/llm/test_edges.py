@@ -1,6 +1,8 @@
 """Hot groups, very long rows, ties and clashing names, against plain versions."""
 
 import random
+import resource
+import time
 
 import brute
 import numpy as np
@@ -30,6 +32,39 @@ def test_many_items_share_a_seed(monkeypatch):
     assert {(t, i) for t, i, *_ in decontamination.leaks(*w.block_words([t.encode() for t in texts]), index)} == {(0, 3), (1, 40)}
 
 
+@pytest.mark.parametrize("shared", [6, 8, 12])
+def test_a_question_template_that_a_corpus_quotes(shared):
+    """A thousand items begin with the same words, which one text repeats 1,500 times; two items do leak."""
+    prompt = [f"p{k}" for k in range(shared)]
+    items = [[*prompt, *(f"i{k}x{j}" for j in range(14))] for k in range(1000)]
+    index = decontamination.build_index([(k, w.block_words([" ".join(x).encode()])[0]) for k, x in enumerate(items)])
+    leak = [items[k][j] if j % 6 else "?" for k in (17, 400) for j in range(len(items[0]))]
+    h, bounds = w.block_words([" ".join([*prompt * 1500, "z", *leak]).encode(), " ".join(prompt * 3).encode()])
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.process_time()
+    found = {(t, i) for t, i, *_ in decontamination.leaks(h, bounds, index)}
+    assert found == {(0, 17), (0, 400)} and time.process_time() - began < 4
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300 << 10  # in KB
+
+
+def test_shared_seeds_hide_no_leak(monkeypatch):
+    """With every seed shared, those that are left out are needed by no leak: all ways to differ, against the count on the diagonal."""
+    monkeypatch.setattr(decontamination, "HELD", 1)
+    rng = random.Random(41)
+    for shared in range(3, 13):
+        prompt = [f"p{k}" for k in range(shared)]
+        where = rng.randrange(0, 8)
+        items = [[*(f"a{k}x{j}" for j in range(where)), *prompt, *(f"i{k}x{j}" for j in range(22 - where - shared))] for k in range(4)]
+        index = decontamination.build_index([(k, w.block_words([" ".join(x).encode()])[0]) for k, x in enumerate(items)])
+        texts, want = [], set()
+        for t in range(300):
+            k = rng.randrange(4)
+            equal = [rng.random() < 0.8 for _ in items[k]]
+            texts.append(" ".join(["z", *(x if e else "?" for x, e in zip(items[k], equal, strict=True)), "z"]).encode())
+            if decontamination.longest_run(np.array([False, *equal, False]))[0] >= 13:
+                want.add((t, k))
+        assert {(t, k) for t, k, *_ in decontamination.leaks(*w.block_words(texts), index)} == want
+
+
 @pytest.mark.parametrize("n", range(4, 61))
 def test_every_allowed_number_of_substitutions(n):
     rng = random.Random(n)
