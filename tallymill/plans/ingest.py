@@ -207,11 +207,42 @@ def _plain(x):
 
 
 _EV = "ev AS (SELECT event_id, user_id AS document_id, event_type AS status, ts, value FROM events)"
-_CHUNK = """RECURSIVE walk AS (SELECT doc_id, text, CAST(0 AS BIGINT) AS s, CAST(NULL AS BIGINT) AS e FROM documents UNION ALL
- SELECT doc_id, text, CASE WHEN nxt - 200 > cur THEN nxt - 200 ELSE nxt END, nxt FROM (SELECT doc_id, text, s AS cur,
-  CASE WHEN s + 1000 < length(text) AND 1000 - strpos(reverse(substr(text, s + 1, 1000)), ' ') > 500 AND strpos(reverse(substr(text, s + 1, 1000)), ' ') > 0 THEN s + 1000 - strpos(reverse(substr(text, s + 1, 1000)), ' ') ELSE s + 1000 END AS nxt FROM walk WHERE s < length(text))),
- step AS (SELECT doc_id, text, coalesce(lag(s) OVER w, 0) AS a, e FROM walk WINDOW w AS (PARTITION BY doc_id ORDER BY e NULLS FIRST)),
- piece AS (SELECT doc_id, e, trim(substr(text, a + 1, e - a), ' ' || chr(10) || chr(9) || chr(13)) AS c FROM step WHERE e IS NOT NULL)"""
+
+
+def _fixed_walk(source, key, size, overlap):
+    """Windows of about ``size`` characters of each text in ``source`` (key, text): piece (key, e, c) with the end and the text of each."""
+    back = f"strpos(reverse(substr(text, s + 1, {size})), ' ')"
+    return f"""walk AS (SELECT {key}, text, CAST(0 AS BIGINT) AS s, CAST(NULL AS BIGINT) AS e FROM {source} UNION ALL
+ SELECT {key}, text, CASE WHEN nxt - {overlap} > cur THEN nxt - {overlap} ELSE nxt END, nxt FROM (SELECT {key}, text, s AS cur,
+  CASE WHEN s + {size} < length(text) AND {size} - {back} > {size // 2} AND {back} > 0 THEN s + {size} - {back} ELSE s + {size} END AS nxt FROM walk WHERE s < length(text))),
+ step AS (SELECT {key}, text, coalesce(lag(s) OVER w, 0) AS a, e FROM walk WINDOW w AS (PARTITION BY {key} ORDER BY e NULLS FIRST)),
+ piece AS (SELECT {key}, e, trim(substr(text, a + 1, e - a), ' ' || chr(10) || chr(9) || chr(13)) AS c FROM step WHERE e IS NOT NULL)"""
+
+
+_CHUNK = "RECURSIVE " + _fixed_walk("documents", "doc_id", 1000, 200)
+_PARTED = "text AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS t FROM documents WHERE trim(text, ' ' || chr(10) || chr(9) || chr(13)) <> '')"
+#: Sums of the lengths of the first k parts, from k = 0.
+_SUMS = "list_prepend(0, list_transform(range(1, len(parts) + 1), lambda k: list_sum(list_transform(parts[:k], lambda x: length(x)))))"
+#: Chunk by chunk: parts f to e are held, j is the first that the chunk before did not have; parts are added while the sum fits.
+_LAST = "greatest({j}, len(list_filter(sums, lambda x: x <= {size} + sums[{f}])) - 1)"
+
+
+def _packed_walk(source, key, size, again):
+    """Chunks (key, f, e) of the parts in ``source`` (key, parts, sums); ``again`` is the first part of w.f to w.e that the next chunk repeats."""
+    return f"""pack AS (SELECT {key}, CAST(1 AS BIGINT) AS f, CAST({_LAST.format(j=1, f=1, size=size)} AS BIGINT) AS e FROM {source} UNION ALL
+ SELECT {key}, f, CAST({_LAST.format(j='j', f='f', size=size)} AS BIGINT) FROM (SELECT {', '.join(f'w.{k.strip()}' for k in key.split(','))}, parts, sums, w.e + 1 AS j, CAST({again} AS BIGINT) AS f FROM pack w JOIN {source} b USING ({key}) WHERE w.e < len(parts)))"""
+
+
+_SENTENCES = f"""RECURSIVE {_PARTED}, sentence AS (SELECT doc_id, string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM text),
+ summed AS (SELECT doc_id, parts, {_SUMS} AS sums FROM sentence), {_packed_walk('summed', 'doc_id', 600, 'greatest(w.f, 1 + len(list_filter(sums, lambda x: x < sums[w.e + 1] - 120)))')}
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY e) - 1 AS INT) AS chunk_index, md5(c) AS md5, CAST(length(c) AS INT) AS n_chars FROM (SELECT doc_id, e, array_to_string(parts[f:e], ' ') AS c FROM pack JOIN summed USING (doc_id))"""
+_PARAGRAPHS = f"""RECURSIVE {_PARTED}, para AS (SELECT doc_id, x[k] AS text, k FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(t, '\\n\\s*\\n'), lambda y: trim(y, ' ' || chr(10) || chr(9) || chr(13))), lambda y: y <> '') AS x FROM text), unnest(range(1, len(x) + 1)) AS u(k)),
+ cut AS (SELECT *, sum(CASE WHEN length(text) > 600 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM para),
+ long AS (SELECT doc_id, k, text FROM cut WHERE length(text) > 600), short AS (SELECT doc_id, run, min(k) AS k, list(text ORDER BY k) AS parts FROM cut WHERE length(text) <= 600 GROUP BY doc_id, run),
+ summed AS (SELECT doc_id, k, parts, {_SUMS} AS sums FROM short), {_packed_walk('summed', 'doc_id, k', 600, 'CASE WHEN length(parts[w.e]) <= 120 THEN w.e ELSE w.e + 1 END')},
+ {_fixed_walk('long', 'doc_id, k', 600, 120)},
+ every AS (SELECT doc_id, k, e, array_to_string(parts[f:e], chr(10) || chr(10)) AS c FROM pack JOIN summed USING (doc_id, k) UNION ALL SELECT doc_id, k, e, c FROM piece WHERE c <> '')
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k, e) - 1 AS INT) AS chunk_index, md5(c) AS md5, CAST(length(c) AS INT) AS n_chars FROM every"""
 _PYMETA = r"regexp_extract_all(text, '[^\s]+')"
 
 
@@ -239,6 +270,8 @@ QUERIES = {
 
 ORACLE_SQL = {
     "chunk_fixed": f"WITH {_CHUNK} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY e) - 1 AS INT) AS chunk_index, md5(c) AS md5, CAST(length(c) AS INT) AS n_chars FROM piece WHERE c <> ''",
+    "chunk_sentence": f"WITH {_SENTENCES}",
+    "chunk_paragraph": f"WITH {_PARAGRAPHS}",
     "text_metadata": f"SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 1 AS line_count, len({_PYMETA}) AS word_count, length(text) AS character_count FROM documents",
     "scrape_name": r"""WITH p AS (SELECT page_id, url, CASE WHEN page_id % 5 = 0 THEN 'Label ' || page_id WHEN page_id % 3 = 1 THEN 'Title ' || page_id || '.md' ELSE left(replace(regexp_extract(url, '://([^/?#]*)', 1), 'www.', '') ||
  CASE WHEN regexp_extract(url, '://[^/?#]*/*([^?#]*?)/*(?:[?#]|$)', 1) <> '' THEN '_' || replace(regexp_extract(url, '://[^/?#]*/*([^?#]*?)/*(?:[?#]|$)', 1), '/', '_') ELSE '' END, 100) END AS name FROM pages)
