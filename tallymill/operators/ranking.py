@@ -36,12 +36,16 @@ def faq_match(hits: DataFrame, documents: DataFrame, query: Column, k: int = 50)
     return one.join(found, F.lit(True), "left").select(F.col("b").isNotNull().alias("matched"), "question", *(f"b.{c}" for c in fields))
 
 
-def image_rank(hits: DataFrame, captions: DataFrame, query: Column, k: int) -> DataFrame:
-    """Image hits joined with their captions: 0.7 of the vector score and 0.3 of the words' (caption 0.5, all text 0.3, surroundings 0.2)."""
-    rows = hits.join(captions, "id")
+def scored_images(rows: DataFrame, query: Column) -> DataFrame:
+    """Image hits with captions: 0.7 of the vector score and 0.3 of the words' (caption 0.5, all text 0.3, surroundings 0.2)."""
     around = F.concat_ws(" ", "text_before", "text_after")
     words = 0.5 * t.keyword_score(query, F.col("caption")) + 0.3 * t.keyword_score(query, F.col("text")) + 0.2 * t.keyword_score(query, around)
-    return rows.withColumn("keyword_score", F.bround(words, 6)).withColumn("final_score", F.bround(0.7 * F.col("score") + 0.3 * words, 6)).orderBy(F.desc("final_score"), "id").limit(k)
+    return rows.withColumn("keyword_score", F.bround(words, 6)).withColumn("final_score", F.bround(0.7 * F.col("score") + 0.3 * words, 6))
+
+
+def image_rank(hits: DataFrame, captions: DataFrame, query: Column, k: int) -> DataFrame:
+    """The k best image hits by vector and words, joined with their captions."""
+    return scored_images(hits.join(captions, "id"), query).orderBy(F.desc("final_score"), "id").limit(k)
 
 
 def image_text(before: Column, caption: Column, after: Column, most: int = 8000) -> Column:
@@ -74,11 +78,11 @@ def best_citations(hits: DataFrame, keys: list[str]) -> DataFrame:
     return kept.select(*keys, F.col("b.document_name").alias("document_title"), url.alias("document_url"), t.snippet(F.col("b.text"), 500, "…").alias("snippet"), F.col("b.page_number").alias("page_number"), position.alias("position"))
 
 
-def citations(hits: DataFrame, documents: DataFrame) -> DataFrame:
-    """A citation for each hit in rank order: link by document id (``#`` without one), 500 characters."""
-    ids = documents.select(F.col("doc_id").alias("document_id"), F.col("id").alias("_db"))
-    url = F.coalesce(F.concat(F.lit("/documents/"), F.col("_db").cast("string")), F.lit("#"))
-    return hits.join(ids, "document_id", "left").select("rank", "document_id", url.alias("document_url"), t.snippet(F.col("text"), 500, "...").alias("snippet"), F.col("rank").alias("position"))
+def citations(hits: DataFrame, documents: DataFrame, keys: tuple[str, ...] = (), within: tuple[str, ...] = ()) -> DataFrame:
+    """A citation for each hit in rank order: link by document id, unique ``within`` some columns (``#`` without one), 500 characters."""
+    ids = documents.select(*within, F.col("doc_id").alias("document_id"), F.struct("id").alias("_db"))
+    url = F.coalesce(F.concat(F.lit("/documents/"), F.col("_db.id").cast("string")), F.lit("#"))
+    return hits.join(ids, [*within, "document_id"], "left").select(*keys, "rank", "document_id", url.alias("document_url"), t.snippet(F.col("text"), 500, "...").alias("snippet"), F.col("rank").alias("position"))
 
 
 def pack_context(hits: DataFrame, keys: list[str], budget: int = 8000, most_snippet: int = 2000, reserve: int = 5, least: int = 200) -> DataFrame:

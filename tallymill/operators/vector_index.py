@@ -19,7 +19,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -170,24 +170,6 @@ def search(spark: SparkSession, index: Index, points_schema, query: Sequence[flo
         probes *= 2
 
 
-def _packed(rows: DataFrame, dims: int, group: str | None) -> DataFrame:
-    """Rows (list, id, embedding[, group]) in blocks of one list: list, ids, groups and the matrix."""
-
-    def run(batches):
-        for batch in batches:
-            lists = batch.column(0).to_numpy()
-            cuts = np.flatnonzero(np.diff(lists, prepend=lists[:1] - 1)) if len(lists) else []
-            for first, last in zip(cuts, [*cuts[1:], len(lists)], strict=True):
-                for k in range(first, last, _ROWS):
-                    part = batch.slice(k, min(_ROWS, last - k))
-                    groups = part.column(3).cast(pa.int64()) if group else pa.array(np.zeros(part.num_rows, np.int64))
-                    one = lambda column: pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column)
-                    yield pa.RecordBatch.from_arrays([pa.array([int(lists[k])], pa.int32()), one(part.column(1)), one(groups), pa.array([_matrix(part.column(2), dims).tobytes()], pa.binary())], [LIST, "ids", "groups", "matrix"])
-
-    cols = rows.select(F.col(LIST).cast("int"), F.col("id").cast("long"), "embedding", *([group] if group else []))
-    return cols.sortWithinPartitions(LIST).mapInArrow(run, f"{LIST} int, ids array<long>, groups array<long>, matrix binary")
-
-
 def search_each(spark: SparkSession, index: Index, points_schema, queries: DataFrame, k: int, probes: int | None = None, group: str | None = None) -> DataFrame:
     """query_id[, group], rank, id and score of the k best points (of each group) for every query (id, embedding); a query is no hit of its own.
 
@@ -205,18 +187,11 @@ def search_each(spark: SparkSession, index: Index, points_schema, queries: DataF
                 row = np.repeat(np.arange(part.num_rows), lists.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(lists.ravel().astype(np.int32)), *(c.take(pa.array(row)) for c in part.columns)], [LIST, "id", "embedding"])
 
-    def meet(batches):
-        for batch in batches:
-            for qi, q, pi, g, p in zip(*(batch.column(c) for c in range(5)), strict=True):
-                yield vc.best_of_block(np.array(qi.as_py()), np.frombuffer(q.as_buffer()).reshape(-1, dims), np.array(pi.as_py()), np.array(g.as_py()), np.frombuffer(p.as_buffer()).reshape(-1, dims), k, name)
-
     asked = usable(queries.select(F.col("id").cast("long").alias("id"), "embedding"), dims)
     asked = asked.mapInArrow(probe, asked.select(F.lit(0).alias(LIST), "id", "embedding").schema)
-    left = _packed(asked.repartition(LIST), dims, None).select(LIST, F.col("ids").alias("qi"), F.col("matrix").alias("q"))
-    right = _packed(points_of(spark, index, points_schema), dims, group).select(LIST, F.col("ids").alias("pi"), "groups", F.col("matrix").alias("p"))
-    found = left.join(right, LIST).select("qi", "q", "pi", "groups", "p").mapInArrow(meet, f"query_id long, {name} long, id long, score double")
-    w = Window.partitionBy("query_id", name).orderBy(F.desc("score"), "id")
-    out = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    left = vc.blocks_by(asked.repartition(LIST), LIST, dims)
+    right = vc.blocks_by(points_of(spark, index, points_schema), LIST, dims, group)
+    out = vc.meet(left, right, LIST, dims, k, name)
     return out if group else out.drop(name)
 
 

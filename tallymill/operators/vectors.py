@@ -59,10 +59,11 @@ def _blocks(points: DataFrame, group: str | None, dims: int) -> DataFrame:
     return rows.select(F.col("id").cast("long"), "embedding", *([group] if group else [])).mapInArrow(run, "ids array<long>, groups array<long>, matrix binary")
 
 
-def best_of_block(qi: np.ndarray, q: np.ndarray, pi: np.ndarray, groups: np.ndarray, p: np.ndarray, k: int, group: str) -> pa.RecordBatch:
-    """query_id, group, id and score of the k best points p of each group for every query q."""
+def best_of_block(qi: np.ndarray, q: np.ndarray, pi: np.ndarray, groups: np.ndarray, p: np.ndarray, k: int, group: str, itself: bool = False) -> pa.RecordBatch:
+    """query_id, group, id and score of the k best points p of each group for every query q; not of the query ``itself`` unless told."""
     score = np.round(q @ p.T, 6)
-    score[qi[:, None] == pi] = -np.inf
+    if not itself:
+        score[qi[:, None] == pi] = -np.inf
     rows = []
     for value in np.unique(groups):
         own = np.flatnonzero(groups == value)
@@ -80,8 +81,7 @@ def top_k_each(points: DataFrame, queries: DataFrame, k: int, group: str) -> Dat
     partitions, and each block of queries goes to all shares; each pair is one matrix product, of which only the k best of
     each query and group leave the task. Vectors of another length than the first query's are left out, as are those with nulls.
     """
-    first = queries.where("embedding IS NOT NULL").select(F.size("embedding")).first()
-    dims = first[0] if first else 0
+    dims = dimensions(queries)
     shares = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
@@ -97,6 +97,59 @@ def top_k_each(points: DataFrame, queries: DataFrame, k: int, group: str) -> Dat
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def blocks_by(rows: DataFrame, key: str, dims: int, group: str | None = None) -> DataFrame:
+    """Unit vectors of rows (key, id, embedding[, group]) in blocks of one key: key, ids, groups and the matrix."""
+
+    def run(batches):
+        one = lambda column: pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column)
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1)) if len(keys) else []
+            for first, last in zip(cuts, [*cuts[1:], len(keys)], strict=True):
+                for k in range(first, last, _BLOCK_ROWS):
+                    part = batch.slice(k, min(_BLOCK_ROWS, last - k))
+                    matrix = part.column(2).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(part.num_rows, dims)
+                    norm = np.linalg.norm(matrix, axis=1, keepdims=True)
+                    packed = np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0).tobytes()
+                    groups = part.column(3) if group else pa.array(np.zeros(part.num_rows, np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array([int(keys[k])], pa.int64()), one(part.column(1)), one(groups), pa.array([packed], pa.binary())], [key, "ids", "groups", "matrix"])
+
+    kept = rows.where((F.size("embedding") == dims) & ~F.exists("embedding", lambda x: x.isNull()) & F.col(key).isNotNull() & F.col("id").isNotNull())
+    cols = kept.select(F.col(key).cast("long").alias(key), F.col("id").cast("long").alias("id"), "embedding", *([F.col(group).cast("long")] if group else []))
+    return cols.sortWithinPartitions(key).mapInArrow(run, f"{key} long, ids array<long>, groups array<long>, matrix binary")
+
+
+def meet(left: DataFrame, right: DataFrame, key: str, dims: int, k: int, group: str = "group", itself: bool = False) -> DataFrame:
+    """query_id, group, id, score and rank of the k best points (blocks ``right``) of each query (blocks ``left``) of the same key."""
+
+    def run(batches):
+        for batch in batches:
+            for qi, q, pi, g, p in zip(*(batch.column(c) for c in range(5)), strict=True):
+                yield best_of_block(np.array(qi.as_py()), np.frombuffer(q.as_buffer()).reshape(-1, dims), np.array(pi.as_py()), np.array(g.as_py()), np.frombuffer(p.as_buffer()).reshape(-1, dims), k, group, itself)
+
+    q = left.select(key, F.col("ids").alias("qi"), F.col("matrix").alias("q"))
+    p = right.select(key, F.col("ids").alias("pi"), "groups", F.col("matrix").alias("p"))
+    found = q.join(p, key).select("qi", "q", "pi", "groups", "p").mapInArrow(run, f"query_id long, {group} long, id long, score double")
+    w = Window.partitionBy("query_id", group).orderBy(F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def dimensions(queries: DataFrame) -> int:
+    """The length of the first vector, 0 without any; vectors of another length are left out of a search."""
+    first = queries.where("embedding IS NOT NULL").select(F.size("embedding")).first()
+    return first[0] if first else 0
+
+
+def top_k_own(points: DataFrame, queries: DataFrame, k: int, own: str = "tenant_id") -> DataFrame:
+    """query_id, rank, id and cosine score of the k best points for every query (id, embedding) among the points of its own tenant.
+
+    Blocks of a tenant's queries meet blocks of its points; the blocks of a large tenant are dealt out by adaptive execution.
+    """
+    dims = dimensions(queries)
+    asked = blocks_by(queries.repartition(own), own, dims)
+    return meet(asked, blocks_by(points, own, dims), own, dims, k, itself=True).drop("group")
+
+
 def over_fetch(k: int) -> int:
     return max(3 * k, 5)
 

@@ -229,16 +229,40 @@ def request(spark, sf):
     return out.select("query", "query_type", "chunks_retrieved", "user_content", "answer", F.size("history").alias("n_history"), F.array_join(F.transform("citations", lambda c: F.concat_ws(" ", c["position"].cast("string"), c["document_url"])), ",").alias("citations"))
 
 
+def requests(spark, sf):
+    """A request for every conversation, in one job: a question or a greeting by number, every fourth one about four documents of its own."""
+    points = _points(spark, sf).withColumn("tenant_id", F.col("document_id") % 3)
+    docs = _documents(spark, sf).withColumn("tenant_id", F.col("id") % 3)
+    turns = table(spark, sf, "conversations").select(F.col("conv_id").alias("conversation_id"), F.col("turn").alias("id"), F.col("turn").alias("created_at"), "role", F.col("text").alias("content"))
+    c = F.col("conversation_id")
+    asked = F.when(c % 5 == 0, "Hello there!").otherwise(F.concat(F.lit("What of {context} the erst "), c.cast("string"), F.lit("?")))
+    tenant = F.when(c % 11 == 7, 9).otherwise(c % 3)
+    own = F.when(c % 4 == 1, F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: c + k))
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("conversation_id"), "embedding")
+    questions = turns.select("conversation_id").distinct().join(vectors, "conversation_id", "left").select(c.alias("request_id"), "conversation_id", tenant.alias("tenant_id"), asked.alias("query"), "embedding", own.alias("document_ids"))
+    i = F.col("id").cast("string")
+    images = points.where("id % 2 = 1").select("id", "tenant_id", "document_id", "embedding", F.concat(F.lit("/images/"), i).alias("image_url"), F.concat(F.lit("the picture "), i).alias("caption"), F.concat(F.lit("erst "), i).alias("text"), F.lit("what").alias("text_before"), F.lit(None).cast("string").alias("text_after"))
+    out = ch.requests(points, _texts(spark, sf), docs, turns, questions, images, most_images=2)
+    listed = lambda column, f: F.array_join(F.transform(column, f), ",")
+    return out.select(
+        "request_id", "query_type", "chunks_retrieved", F.md5("user_content").alias("user_content"), F.left("answer", F.lit(20)).alias("answer"), F.size("history").alias("n_history"),
+        listed("citations", lambda x: F.concat_ws(" ", x["position"].cast("string"), x["document_url"])).alias("citations"), listed("images", lambda x: x["image_url"]).alias("images"),
+    )
+
+
 _DOC = f"WITH {DOCUMENTS_SQL}"
 _FULL = f"""{_DOC}, full_doc AS (SELECT *, nullif(lang, 'fr') AS doc_category, CASE WHEN id % 2 = 0 THEN 'FY2024' END AS doc_date_range, md5(text) AS summary, CASE WHEN id % 3 > 0 THEN '/box/' || source END AS box_path FROM doc)"""
 _NEAR = "list_cosine_similarity(CAST(embedding AS DOUBLE[]), [" + ", ".join(f"CAST({x!r} AS DOUBLE)" for x in VECTOR) + "])"
 _STAGE_COUNTS = ", ".join(f"count(*) FILTER (event_id % 6 IN (2, 3) AND user_id % 6 = {k}) AS stage_{s}" for k, s in enumerate(("downloading", "extracting", "chunking", "embedding", "storing")))
 
+#: The share of a query's words (``words``) among those of a text, and half the share found in it, at most 1.
+_KEYS = "least(1.0, len(list_intersect(words, regexp_extract_all(lower({t}), '[a-z0-9]+'))) / len(words) + 0.5 * len(list_filter(words, lambda x: contains(lower({t}), x))) / len(words))"
+
 QUERIES = {
     "document_details": details, "documents_completed": completed, "failed_documents": failures, "progress_breakdown": breakdown, "eager_parent": parents, "select_in_load": lookups, "first_per_key": first_urls,
     "bulk_insert": inserted, "config_delete_default": without_config, "config_set_default": new_default, "config_history_json": history_settings, "message_defaults": message_defaults, "stage_durations": stage_durations,
     "vector_chunk_points": chunk_points, "vector_image_points": image_points, "vector_summary_upsert": summary_upsert, "vector_summary_delete": summary_delete, "summary_search": relevant, "vector_scroll": scroll,
-    "vector_replace_document": replaced, "vector_hit_ids": hit_ids, "delete_everywhere": deleted_everywhere, "chunk_payload": chunk_payloads, "upload_split": uploads, "retrieval_request": request, "latest_of_key": latest_order, "page_with_total": page_total, "stage_list": stage_lists, "sign_up_stages": sign_up_stages,
+    "vector_replace_document": replaced, "vector_hit_ids": hit_ids, "delete_everywhere": deleted_everywhere, "chunk_payload": chunk_payloads, "upload_split": uploads, "retrieval_request": request, "retrieval_requests": requests, "latest_of_key": latest_order, "page_with_total": page_total, "stage_list": stage_lists, "sign_up_stages": sign_up_stages,
 }
 
 ORACLE_SQL = {
@@ -279,6 +303,28 @@ SELECT 'What of the erst tion?' AS query, CASE WHEN r.n > 0 THEN 'retrieval' ELS
  || 'IMPORTANT: Please answer the question using the information provided in the "Retrieved Documents" section above. If the answer is in the retrieved documents, provide it directly. Only say you don' || chr(39) || 't have information if the retrieved documents truly don' || chr(39) || 't contain relevant information about the question.' END AS user_content,
  CASE WHEN r.n = 0 THEN 'I couldn' || chr(39) || 't find any relevant information in the documents to answer your question. Please try rephrasing your query or ensure documents have been processed.' END AS answer, n_history, cited AS citations FROM k, r, h
 UNION ALL SELECT 'Hello there!', 'casual', 0, 'Hello there!', NULL, n_history, '' FROM h""",
+    "retrieval_requests": f"""WITH q AS (SELECT c.conv_id AS request_id, CASE WHEN conv_id % 11 = 7 THEN 9 ELSE conv_id % 3 END AS tenant_id, conv_id % 5 = 0 AS casual, conv_id % 4 = 1 AS own, CAST(embedding AS DOUBLE[]) AS asked,
+  CASE WHEN conv_id % 5 = 0 THEN 'Hello there!' ELSE 'What of {{context}} the erst ' || conv_id || '?' END AS query FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN embeddings ON vec_id = conv_id),
+ point AS (SELECT vec_id AS id, vec_id // 4 AS document_id, (vec_id // 4) % 3 AS tenant_id, CAST(embedding AS DOUBLE[]) AS embedding, text, 'doc' || ((vec_id // 4) % 11) AS document_name FROM embeddings LEFT JOIN documents ON doc_id = vec_id
+  WHERE vec_id // 4 IN (SELECT doc_id FROM documents WHERE doc_id % 4 = 2)),
+ scored AS (SELECT request_id, own, query, p.*, round(list_cosine_similarity(p.embedding, asked), 6) AS score FROM q JOIN point p USING (tenant_id) WHERE NOT casual AND asked IS NOT NULL),
+ hit AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, id) AS rank FROM scored WHERE NOT own OR document_id BETWEEN request_id AND request_id + 3 QUALIFY rank <= 5),
+ p AS (SELECT *, '[Source ' || rank || '] ' || document_name || ': ' AS prefix FROM hit),
+ s AS (SELECT *, length(prefix) + length(coalesce(text, '')) AS n, sum(length(prefix) + length(coalesce(text, ''))) OVER (PARTITION BY request_id ORDER BY rank) AS total FROM p),
+ o AS (SELECT *, sum(CAST(total > 8000 AS INT)) OVER (PARTITION BY request_id ORDER BY rank) AS over_, 8000 - (total - n) - length(prefix) - 5 AS room FROM s),
+ l AS (SELECT *, CAST(least(2000, room) AS BIGINT) AS lim FROM o WHERE over_ <= 1),
+ c AS (SELECT request_id, rank, CASE WHEN over_ = 0 THEN prefix || coalesce(text, '') WHEN room > 200 THEN prefix || CASE WHEN length(text) <= lim THEN text ELSE left(text, CAST(floor((lim - 19) * 0.8) AS BIGINT)) || '... [truncated] ...' || right(text, lim - 19 - CAST(floor((lim - 19) * 0.8) AS BIGINT)) END END AS part FROM l),
+ k AS (SELECT request_id, coalesce(string_agg(part, chr(10) || chr(10) ORDER BY rank), '') AS context FROM c GROUP BY 1),
+ r AS (SELECT request_id, count(*) AS n, string_agg(rank || ' /documents/' || document_id, ',' ORDER BY rank) AS cited FROM hit GROUP BY 1),
+ pic AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, id) AS place FROM scored WHERE id % 2 = 1 QUALIFY place <= 6),
+ w AS (SELECT *, list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')) AS words FROM pic),
+ f AS (SELECT request_id, id, round(0.7 * score + 0.3 * (0.5 * {_KEYS.format(t="'the picture ' || id")} + 0.3 * {_KEYS.format(t="'erst ' || id")} + 0.2 * {_KEYS.format(t="'what'")}), 6) AS final FROM w),
+ g AS (SELECT request_id, string_agg('/images/' || id, ',' ORDER BY final DESC, id) AS pictures FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY final DESC, id) <= 2) GROUP BY 1),
+ h AS (SELECT conv_id AS request_id, CAST(least(6, count(*)) AS INT) AS n_history FROM conversations GROUP BY 1),
+ kind AS (SELECT q.*, n, context, cited, pictures, n_history, CASE WHEN casual THEN 'casual' WHEN tenant_id = 9 THEN 'no_documents' WHEN n IS NULL THEN 'no_results' ELSE 'retrieval' END AS query_type FROM q LEFT JOIN k USING (request_id) LEFT JOIN r USING (request_id) LEFT JOIN g USING (request_id) JOIN h USING (request_id))
+SELECT request_id, query_type, coalesce(n, 0) AS chunks_retrieved, md5(CASE query_type WHEN 'casual' THEN query WHEN 'retrieval' THEN 'Retrieved Documents:' || chr(10) || context || chr(10) || chr(10) || 'Current Question: ' || query || chr(10) || chr(10)
+ || 'IMPORTANT: Please answer the question using the information provided in the "Retrieved Documents" section above. If the answer is in the retrieved documents, provide it directly. Only say you don' || chr(39) || 't have information if the retrieved documents truly don' || chr(39) || 't contain relevant information about the question.' END) AS user_content,
+ CASE query_type WHEN 'no_documents' THEN left('I don' || chr(39) || 't have any documents to search.', 20) WHEN 'no_results' THEN left('I couldn' || chr(39) || 't find any relevant', 20) END AS answer, n_history, coalesce(cited, '') AS citations, CASE WHEN query_type = 'retrieval' THEN coalesce(pictures, '') ELSE '' END AS images FROM kind""",
     "vector_image_points": """WITH i AS (SELECT vec_id // 4 AS d, label % 3 AS t, vec_id % 2 AS p, 'text ' || vec_id AS txt, CASE WHEN vec_id % 3 > 0 THEN 'picture ' || vec_id ELSE 'text ' || vec_id END AS caption FROM embeddings),
  n AS (SELECT *, CAST(row_number() OVER (PARTITION BY t, d ORDER BY p, txt) - 1 AS INT) AS image_index FROM i) SELECT sha256(d || '_image_' || image_index) AS id, CAST(d AS BIGINT) AS document_id, image_index, 'image' AS type, caption, txt AS text FROM n""",
     "vector_summary_upsert": f"{_FULL} SELECT sha256(vec_id || '_summary') AS id, vec_id AS document_id, CASE WHEN vec_id % 2 = 0 THEN 'new' ELSE summary END AS summary, doc_category AS category FROM embeddings LEFT JOIN full_doc ON id = vec_id",

@@ -289,3 +289,25 @@ def test_estimated_text(spark):
     # two images: at a third and two thirds of 400 words; 50 words around each are its own
     assert got[1] == (" ".join(f"w{k}" for k in range(33, 83)), " ".join(f"w{k}" for k in range(183, 233)))
     assert got[2][0].split()[-1] == "w215" and got[2][1].split()[0] == "w316" and got[3] == ("", "") and got[4] == ("", "")
+
+
+def test_requests_of_many_tenants(spark):
+    points = spark.createDataFrame([(k, k % 2, f"d{k // 2}", f"D{k // 2}", [1.0, float(k)]) for k in range(8)] + [(8, 0, "d9", "other length", [1.0]), (9, 0, "d0", "no vector", None)], "id long, tenant_id long, document_id string, document_name string, embedding array<double>")
+    texts = spark.createDataFrame([(k, f"text {k} {{query}} {{context}}") for k in range(8)], "id long, text string")
+    docs = spark.createDataFrame([(10 + d, f"d{d}", t, "completed" if d < 3 else "failed") for d in range(4) for t in (0, 1)], "id long, doc_id string, tenant_id long, processing_status string").where("id < 13 OR tenant_id = 0").where("NOT (id = 12 AND tenant_id = 1)")
+    turns = spark.createDataFrame([(1, k, k, "user" if k % 2 else "assistant", f"m{k}") for k in range(9)] + [(1, 9, 9, "user", "what {context}?")], "conversation_id long, id long, created_at long, role string, content string")
+    asked = [(1, 0, 1, "what {context}?", [1.0, 0.0], None), (2, 0, 2, "what {context}?", [1.0, 0.0], ["d1", "d1", "d3"]), (3, 1, None, "who?", [1.0, 9.0], []), (4, 7, 1, "who?", [1.0, 0.0], None), (5, 0, 1, "hello", [1.0, 0.0], None), (6, 0, 2, "who?", None, None), (7, 0, 2, "who?", [1.0, 0.0], ["nowhere"]), (8, 0, 2, None, [0.0, 0.0], None)]
+    questions = spark.createDataFrame(asked, "request_id long, tenant_id long, conversation_id long, query string, embedding array<double>, document_ids array<string>").withColumn("images", F.lit("a clashing name"))
+    images = points.where("id < 8").select("id", "tenant_id", "document_id", "embedding", F.lit("u").alias("image_url"), F.concat(F.lit("who "), F.col("id").cast("string")).alias("caption"), F.lit("").alias("text"), F.lit(None).cast("string").alias("text_before"), F.lit(None).cast("string").alias("text_after"))
+    got = {r["request_id"]: r for r in chain.requests(points, texts, docs, turns, questions.drop("images"), images, k=2).collect()}
+    assert {k: (r["query_type"], r["chunks_retrieved"]) for k, r in got.items()} == {1: ("retrieval", 2), 2: ("retrieval", 1), 3: ("retrieval", 2), 4: ("no_documents", 0), 5: ("casual", 0), 6: ("no_results", 0), 7: ("no_results", 0), 8: ("retrieval", 2)}
+    assert got[1]["user_content"] is None and len(got[1]["history"]) == 6  # asked already
+    assert "[Source 1] D1: text 2 {query} {context}" in got[2]["user_content"] and "Current Question: what {context}?\n" in got[2]["user_content"]
+    assert [c["document_url"] for c in got[2]["citations"]] == ["/documents/11"]
+    assert [i["id"] for i in got[3]["images"]] == [3] and got[4]["images"] == got[5]["images"] == [] and got[3]["history"] == []
+    assert {r["request_id"] for r in chain.requests(points, texts, docs, turns, questions.drop("images"), k=2).where("size(images) = 0").collect()} == set(range(1, 9))
+
+
+def test_braces_in_a_question(spark):
+    row = spark.range(1).select(chain.user_turn(F.lit("a {query} b"), F.lit("c {context} d")).alias("x")).first()["x"]
+    assert row.startswith("Retrieved Documents:\na {query} b\n\nCurrent Question: c {context} d\n\nIMPORTANT")
