@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tallymill.functions import text as tx
 from tallymill.operators import chunking
 from tallymill.operators import pipeline_state as ps
-from tallymill.sources import files, pages
+from tallymill.sources import files, pages, uploads
 from tallymill.streaming import keyed, state
 from tallymill.streaming import usage as stream
 
@@ -36,6 +38,50 @@ def chunk_rows(spark, sf):
     return chunking.row_groups(rows, ["path"]).select("path", "chunk_index", "row_start", "row_end", F.length("chunk").alias("n_chars"), F.left("chunk", F.lit(40)).alias("head"))
 
 
+def _write_files(rows, path):
+    """Files of documents (bundle, number, text), twenty to a file: Markdown, DOCX and XLSX by turns. Writing a file again leaves the same file."""
+
+    def run(batches):
+        system, at = uploads.opened(path)
+        system.create_dir(at, recursive=True)
+        bundle, held = None, []
+
+        def out():
+            lines = [line for text in held for line in text.split("\n")]
+            kind = ("md", "docx", "xlsx")[bundle % 3]
+            data = "\n".join(lines).encode() if kind == "md" else files.docx_bytes(lines) if kind == "docx" else files.xlsx_bytes({"Lines": [["number", "line"], *([str(k), x] for k, x in enumerate(lines))]})
+            with system.open_output_stream(f"{at}/{bundle:09d}.{kind}") as f:
+                f.write(data)
+
+        for batch in batches:
+            for number, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if number != bundle and held:
+                    out()
+                    held = []
+                bundle = number
+                held.append(text or "")
+        if held:
+            out()
+        yield from ()
+
+    done = rows.repartition("bundle").sortWithinPartitions("bundle", "number").select("bundle", "number", "text").mapInArrow(run, "bundle long")
+    done.write.format("noop").mode("overwrite").save()
+
+
+def uploads_read(spark, sf):
+    """Documents written as files, read back through the data source."""
+    path = f"{folder(spark)}/uploads-{uuid.uuid4().hex}"
+    _write_files(table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 20).alias("bundle"), F.col("doc_id").alias("number"), "text"), path)
+    uploads.register(spark)
+    found = spark.read.format(uploads.FORMAT).load(path)
+    bundle = F.regexp_extract("path", "([0-9]+)[.][a-z]+$", 1).cast("long").alias("bundle")
+    texts = found.where("kind <> '.xlsx'").select(bundle, "kind", F.md5("text").alias("md5"), F.length("text").cast("long").alias("size"), "error")
+    cells = uploads.workbook_rows(found).where("row_idx > 1")
+    held = F.array_sort(F.collect_list(F.struct("row_idx", F.get("cells", F.lit(1)).alias("line"))))
+    sheets = cells.groupBy("path").agg(F.array_join(F.transform(held, lambda r: r["line"]), "\n").alias("text"), F.count(F.lit(1)).alias("size"), F.max("error").alias("error"))
+    return texts.unionByName(sheets.select(bundle, F.lit(".xlsx").alias("kind"), F.md5("text").alias("md5"), "size", "error"))
+
+
 def text_metadata(spark, sf):
     return files.text_metadata(table(spark, sf, "documents").select("doc_id", "text")).drop("text")
 
@@ -260,7 +306,7 @@ _RATE = """k AS (SELECT user_id % 30 AS key, epoch_us(ts) AS t, row_number() OVE
   FROM f JOIN k ON k.key = f.key AND k.r = f.r + 1)"""
 
 QUERIES = {
-    "chunk_fixed": chunk_fixed, "chunk_sentence": _chunks("sentence"), "chunk_paragraph": _chunks("paragraph"), "chunk_table_rows": chunk_rows, "text_metadata": text_metadata, "html_metadata": html_metadata,
+    "chunk_fixed": chunk_fixed, "chunk_sentence": _chunks("sentence"), "chunk_paragraph": _chunks("paragraph"), "chunk_table_rows": chunk_rows, "text_metadata": text_metadata, "uploads_read": uploads_read, "html_metadata": html_metadata,
     "page_documents": page_documents, "scrape_name": scrape_names, "s3_key": s3_keys, "upload_check": upload_check, "safe_filename": safe_names, "price_match": price_match,
     "pipeline_latest_status": latest_status, "pipeline_stage_map": stage_map, "pipeline_last_errors": last_errors, "pipeline_active_jobs": active_jobs, "pipeline_status_overlay": overlay,
     "rate_limit": rate_limit, "session_activity": session_batches, "stream_daily_usage": stream_daily, "stream_session_activity": stream_sessions, "stream_sliding_counts": stream_sliding,
@@ -272,6 +318,10 @@ ORACLE_SQL = {
     "chunk_fixed": f"WITH {_CHUNK} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY e) - 1 AS INT) AS chunk_index, md5(c) AS md5, CAST(length(c) AS INT) AS n_chars FROM piece WHERE c <> ''",
     "chunk_sentence": f"WITH {_SENTENCES}",
     "chunk_paragraph": f"WITH {_PARAGRAPHS}",
+    "uploads_read": """WITH b AS (SELECT doc_id // 20 AS bundle, string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) AS t FROM documents GROUP BY 1),
+ x AS (SELECT bundle, ['.md', '.docx', '.xlsx'][bundle % 3 + 1] AS kind, t, string_split(t, chr(10)) AS lines FROM b),
+ r AS (SELECT bundle, kind, CASE kind WHEN '.md' THEN trim(t, ' ' || chr(9) || chr(10) || chr(13)) WHEN '.docx' THEN array_to_string(list_filter(lines, lambda y: trim(y, ' ' || chr(9) || chr(13)) <> ''), chr(10) || chr(10)) ELSE t END AS text, lines FROM x)
+SELECT bundle, kind, md5(text) AS md5, CAST(CASE kind WHEN '.xlsx' THEN len(lines) ELSE length(text) END AS BIGINT) AS size, CAST(NULL AS VARCHAR) AS error FROM r""",
     "text_metadata": f"SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 1 AS line_count, len({_PYMETA}) AS word_count, length(text) AS character_count FROM documents",
     "scrape_name": r"""WITH p AS (SELECT page_id, url, CASE WHEN page_id % 5 = 0 THEN 'Label ' || page_id WHEN page_id % 3 = 1 THEN 'Title ' || page_id || '.md' ELSE left(replace(regexp_extract(url, '://([^/?#]*)', 1), 'www.', '') ||
  CASE WHEN regexp_extract(url, '://[^/?#]*/*([^?#]*?)/*(?:[?#]|$)', 1) <> '' THEN '_' || replace(regexp_extract(url, '://[^/?#]*/*([^?#]*?)/*(?:[?#]|$)', 1), '/', '_') ELSE '' END, 100) END AS name FROM pages)

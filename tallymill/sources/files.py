@@ -7,6 +7,7 @@ import re
 import zipfile
 from collections import deque
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape, quoteattr
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -297,3 +298,31 @@ def surrounding_text(images: DataFrame, spans: DataFrame, n: int = 500) -> DataF
 
     found = rows.select("doc", "page", "y", "kind", "seq", "text", "image").mapInArrow(run, f"image {kind}, text_before string, text_after string")
     return found.select(*(F.col(f"image.`{c}`").alias(c) for c in images.columns), "text_before", "text_after")
+
+
+def docx_bytes(paragraphs: list[str]) -> bytes:
+    """A DOCX file of plain paragraphs."""
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    body = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(p)}</w:t></w:r></w:p>' for p in paragraphs)
+    return _archive({"word/document.xml": f"<w:document {w}><w:body>{body}</w:body></w:document>"})
+
+
+def xlsx_bytes(sheets: dict[str, list[list[str]]]) -> bytes:
+    """A workbook of text cells, a list of rows for each sheet."""
+    s = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    parts = {
+        "xl/workbook.xml": f"<workbook {s}><sheets>{''.join(f'<sheet name={quoteattr(n)} r:id="r{k}"/>' for k, n in enumerate(sheets))}</sheets></workbook>",
+        "xl/_rels/workbook.xml.rels": f"<Relationships>{''.join(f'<Relationship Id="r{k}" Target="worksheets/sheet{k}.xml"/>' for k in range(len(sheets)))}</Relationships>",
+    }
+    for k, rows in enumerate(sheets.values()):
+        cells = "".join(f'<row r="{n}">{"".join(f"<c t=\"inlineStr\"><is><t>{escape(c)}</t></is></c>" for c in row)}</row>' for n, row in enumerate(rows, 1))
+        parts[f"xl/worksheets/sheet{k}.xml"] = f"<worksheet {s}><sheetData>{cells}</sheetData></worksheet>"
+    return _archive(parts)
+
+
+def _archive(parts: dict[str, str]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+    return out.getvalue()
