@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallymill.functions.text import normalise_model_name
+from tallymill.operators import maintained
 from tallymill.operators import usage as u
 from tallymill.streaming import late
 
@@ -164,7 +165,24 @@ def kept_usage(spark, sf):
     return u.priced(late.usage(spark, f"{here}/live"), prices(spark))
 
 
+def _maintained(spark, sf):
+    """Bills after three deliveries of daily usage: of even users only, then the right rows of the first half and of the rest of the
+    month, the days between in both, each delivered twice."""
+    root = f"{folder(spark)}/bills-{uuid.uuid4().hex}"
+    of_even = u.priced(u.daily_usage(messages(spark, sf).where("user_id % 2 = 0")), prices(spark))
+    right = _usage(spark, sf)
+    for number, rows in enumerate((of_even, right.where("usage_date <= DATE'2024-01-16'"), right.where("usage_date >= DATE'2024-01-12'"))):
+        for _ in range(2):
+            maintained.apply(spark, root, rows, number)
+    return maintained.bills(spark, root)
+
+
+def maintained_yearly(spark, sf):
+    return u.yearly_summary(_maintained(spark, sf))
+
+
 QUERIES = {
+    "billing_maintained": _maintained, "billing_maintained_yearly": maintained_yearly,
     "usage_kept_by_stream": kept_usage,
     "usage_daily_cost": daily_cost, "backfill_range": backfill, "usage_summary_rollup": summary, "usage_by_model": by_model, "usage_user_stats": user_stats, "usage_tenant_stats": tenant_stats,
     "usage_upsert_replace": upsert_replace, "usage_upsert_counts": upsert_counts, "usage_upsert_increment": upsert_increment, "billing_monthly": monthly, "billing_month_summary": monthly_summary,
@@ -202,3 +220,6 @@ SELECT * FROM again UNION ALL SELECT * FROM usage o WHERE usage_date <= DATE '20
     "normalize_model_name": f"""WITH raw AS (SELECT CASE WHEN o_orderkey % 97 = 0 THEN 'unknown' ELSE o_orderpriority || ['-2024-07-18', '-0125', '20240229', '', '-', '-preview'][o_orderkey % 6 + 1] END AS model FROM orders)
 SELECT model, CASE WHEN model IN ('', 'unknown') THEN model ELSE {_NORMAL.format(c='model')} END AS normal, count(*) AS n FROM raw GROUP BY ALL""",
 }
+
+ORACLE_SQL["billing_maintained"] = ORACLE_SQL["billing_monthly"]
+ORACLE_SQL["billing_maintained_yearly"] = ORACLE_SQL["billing_yearly"]
