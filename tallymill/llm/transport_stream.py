@@ -3,8 +3,11 @@
 ``mux`` turns payload bytes into a transport stream: a program association
 table, a program map table, then elementary packets of private data with
 presentation times, clock references and random-access flags. ``demux`` parses
-the program tables of stored streams, checks continuity counters, reassembles
-the elementary packets and gives payload, timestamps and random-access points.
+the program tables of stored streams (several programs and streams, sections over
+several packets), checks continuity counters (repeated packets, packets without
+payload, announced discontinuities and the error flag as the format has them),
+reassembles the elementary packets of any stream id, also those of open length, and
+gives payload, timestamps and random-access points of the first stream.
 Both work on one row at a time; nothing is shuffled.
 
 ``round_trip`` does both and gives checksums, in one pass.
@@ -30,6 +33,9 @@ PACKET, SYNC, HZ = 188, 0x47, 90_000
 BLOCK = 576
 UNIT = 16 * BLOCK
 PMT_PID, ES_PID, PRIVATE_DATA = 0x1000, 0x0100, 0x06
+NULL_PID = 0x1FFF
+# Stream ids whose packets have no header beyond their length.
+PLAIN_IDS = (0xBC, 0xBE, 0xBF, 0xF0, 0xF1, 0xF2, 0xF8, 0xFF)
 FRAME_TICKS = HZ // 25
 RANDOM_ACCESS_EVERY = 4
 #: Bytes of texts or streams that a task holds at once, beyond one row.
@@ -38,7 +44,8 @@ SLICE = 8 << 20
 MUX_SCHEMA = "doc_id long, n_bytes long, media binary"
 DEMUX_SCHEMA = (
     "doc_id long, n_bytes long, payload binary, media_bytes long, media_sha256 string, program int, stream_type int, "
-    "packets long, continuity_errors long, timestamps array<long>, random_access array<struct<packet:long,pts:long>>, error string"
+    "packets long, continuity_errors long, damaged_units long, transport_errors long, timestamps array<long>, random_access array<struct<packet:long,pts:long>>, "
+    "streams array<struct<program:int,pid:int,stream_type:int>>, error string"
 )
 
 
@@ -110,59 +117,158 @@ def mux_bytes(payload: bytes) -> bytes:
     return b"".join(out)
 
 
-def _section(packet: np.ndarray, table_id: int) -> bytes:
-    body = packet.tobytes()[4:]
-    body = body[1 + body[0] :]
-    length = (body[1] & 0x0F) << 8 | body[2]
-    section = body[: 3 + length]
-    if section[0] != table_id or section_crc(section):
-        raise ValueError(f"damaged program table {table_id}")
-    return section
-
-
-def demux_bytes(media: bytes) -> dict:
-    if not media or len(media) % PACKET:
-        raise ValueError("not whole packets")
-    a = np.frombuffer(media, np.uint8).reshape(-1, PACKET)
-    if (a[:, 0] != SYNC).any():
-        raise ValueError("sync byte missing")
-    pid = (a[:, 1].astype(np.int32) & 0x1F) << 8 | a[:, 2]
-    found = np.flatnonzero(pid == 0)
-    if not len(found):
-        raise ValueError("no program association table")
-    pat = _section(a[found[0]], 0x00)
-    program, pmt_pid = int.from_bytes(pat[8:10], "big"), int.from_bytes(pat[10:12], "big") & 0x1FFF
-    found = np.flatnonzero(pid == pmt_pid)
-    if not len(found):
-        raise ValueError("no program map table")
-    pmt = _section(a[found[0]], 0x02)
-    info = 12 + ((pmt[10] & 0x0F) << 8 | pmt[11])
-    stream_type, es_pid = pmt[info], int.from_bytes(pmt[info + 1 : info + 3], "big") & 0x1FFF
-
-    at = np.flatnonzero(pid == es_pid)
-    es = a[at]
-    counter = es[:, 3] & 15
-    errors = int(((np.diff(counter.astype(np.int16)) & 15) != 1).sum())
-    adapted = es[:, 3] & 0x20 > 0
-    begin = np.where(adapted, 5 + es[:, 4].astype(np.int64), 4)
-    begin[es[:, 3] & 0x10 == 0] = PACKET
-    access = adapted & (es[:, 4] > 0) & (es[:, 5] & 0x40 > 0)
-    elementary = es[np.arange(PACKET) >= begin[:, None]].tobytes()
+class _Packets:
+    """A stream's packets as columns; ``ok`` are those that count: without the error flag, with a payload or an adaptation field."""
+
+    def __init__(self, media: bytes):
+        if not media or len(media) % PACKET:
+            raise ValueError("not whole packets")
+        self.a = a = np.frombuffer(media, np.uint8).reshape(-1, PACKET)
+        if (a[:, 0] != SYNC).any():
+            raise ValueError("sync byte missing")
+        self.pid = (a[:, 1].astype(np.int32) & 0x1F) << 8 | a[:, 2]
+        adapted = a[:, 3] & 0x20 > 0
+        self.solid = a[:, 3] & 0x10 > 0
+        self.ok = (a[:, 1] & 0x80 == 0) & (adapted | self.solid) & (self.pid != NULL_PID)
+        self.errors = int((a[:, 1] & 0x80 > 0).sum())
+        self.begin = np.where(adapted, np.minimum(PACKET, 5 + a[:, 4].astype(np.int64)), 4)
+        flags = np.where(adapted & (a[:, 4] > 0), a[:, 5], 0)
+        self.broken, self.access = flags & 0x80 > 0, flags & 0x40 > 0
+
+    def of(self, pid: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of a pid: its packets that count, less repeated ones; which of them have a payload; and which follow a gap.
+
+        The counter goes up by one with each payload and stays without one. A packet may come twice in a row. An
+        announced discontinuity is no gap.
+        """
+        at = np.flatnonzero(self.ok & (self.pid == pid))
+        solid = at[self.solid[at]]
+        same = np.flatnonzero((np.diff(self.a[solid, 3].astype(np.int16)) & 15) == 0) + 1
+        again = [k for k in same.tolist() if np.array_equal(self.payload(solid[k]), self.payload(solid[k - 1]))]
+        thrice = set(again) & {k + 1 for k in again}
+        kept = np.delete(solid, again)
+        gap = np.zeros(len(kept), bool)
+        gap[1:] = ((np.diff(self.a[kept, 3].astype(np.int16)) & 15) != 1) & ~self.broken[kept[1:]]
+        self.repeats = len(thrice)
+        drop = set(solid[again].tolist())
+        return at[[x not in drop for x in at.tolist()]] if drop else at, kept, gap
+
+    def payload(self, k: int) -> np.ndarray:
+        return self.a[k, self.begin[k] :]
+
+
+def _sections(packets: _Packets, pid: int, table_id: int, number: int | None = None) -> list[bytes] | None:
+    """The bodies of the sections of a table (of a ``number``), in order, of its first version that comes whole; null without any."""
+    _, solid, gap = packets.of(pid)
+    found: dict[int, dict[int, bytes]] = {}
+    held: bytes | None = None
+    for k, after_gap in zip(solid.tolist(), gap.tolist(), strict=True):
+        data = packets.payload(k).tobytes()
+        if after_gap:
+            held = None
+        if packets.a[k, 1] & 0x40 and data:
+            ends = [(held + data[1 : 1 + data[0]]) if held is not None else b"", data[1 + data[0] :]]
+        else:
+            ends = [held + data] if held is not None else []
+        for held in ends:
+            while len(held) >= 3 and held[0] != 0xFF and len(held) >= (size := 3 + ((held[1] & 0x0F) << 8 | held[2])):
+                section, held = held[:size], held[size:]
+                if section[0] == table_id and size >= 12 and section[5] & 1 and number in (None, int.from_bytes(section[3:5], "big")) and not section_crc(section):
+                    own = found.setdefault(section[5] >> 1 & 31, {})
+                    own[section[6]] = section[8:-4]
+                    if len(own) == section[7] + 1:
+                        return [own[n] for n in sorted(own)]
+    return None
+
+
+def programs(packets: _Packets) -> list[dict]:
+    """program, pmt_pid and streams (pid, stream_type) of each program; a program whose map does not come whole has null streams."""
+    table = _sections(packets, 0, 0x00)
+    if table is None:
+        raise ValueError("no whole program association table")
+    out = []
+    for body in table:
+        for k in range(0, len(body) - 3, 4):
+            program, pid = int.from_bytes(body[k : k + 2], "big"), int.from_bytes(body[k + 2 : k + 4], "big") & 0x1FFF
+            if not program:  # the network's table
+                continue
+            maps = _sections(packets, pid, 0x02, program)
+            streams = None if maps is None else []
+            for m in maps or []:
+                at = 4 + ((m[2] & 0x0F) << 8 | m[3])
+                while at + 5 <= len(m):
+                    streams.append((int.from_bytes(m[at + 1 : at + 3], "big") & 0x1FFF, m[at]))
+                    at += 5 + ((m[at + 3] & 0x0F) << 8 | m[at + 4])
+            out.append({"program": program, "pmt_pid": pid, "streams": streams})
+    return out
+
+
+def _time(head: bytes) -> int:
+    return (head[0] & 0x0E) << 29 | head[1] << 22 | (head[2] & 0xFE) << 14 | head[3] << 7 | head[4] >> 1
+
+
+def unit_data(unit: bytes) -> tuple[bytes, int | None, bool]:
+    """Data, presentation time (null without one) and soundness of an elementary packet; one of length 0 goes to its end."""
+    if len(unit) < 6 or unit[:3] != b"\x00\x00\x01":
+        return b"", None, False
+    size, at, time = int.from_bytes(unit[4:6], "big"), 6, None
+    if unit[3] not in PLAIN_IDS:
+        if len(unit) < 9 or unit[6] & 0xC0 != 0x80:
+            return b"", None, False
+        at = 9 + unit[8]
+        if unit[7] & 0x80:
+            if unit[8] < 5 or len(unit) < 14:
+                return b"", None, False
+            time = _time(unit[9:14])
+    end = 6 + size if size else len(unit)
+    return unit[at:end], time, at <= end <= len(unit)
+
+
+def elementary(packets: _Packets, pid: int) -> dict:
+    """Payload, timestamps and random-access points of an elementary stream, with its faults.
+
+    What comes before its first unit, and units that do not begin as one, are left out. A unit with a gap in it keeps what it has.
+    """
+    at, solid, gap = packets.of(pid)
+    repeats = packets.repeats
+    rows, begin = packets.a[solid], packets.begin[solid]
+    data = rows[np.arange(PACKET) >= begin[:, None]].tobytes()
     offset = np.concatenate([[0], np.cumsum(PACKET - begin)])
-    parts, times, points = [], [], []
-    for k in np.flatnonzero(es[:, 1] & 0x40):
-        o = int(offset[k])
-        head = elementary[o : o + 14]
-        if head[:4] != b"\x00\x00\x01\xbd" or not head[7] & 0x80:
-            raise ValueError("damaged elementary packet")
-        pts = (head[9] & 0x0E) << 29 | head[10] << 22 | (head[11] & 0xFE) << 14 | head[12] << 7 | head[13] >> 1
-        parts.append(elementary[o + 9 + head[8] : o + 6 + int.from_bytes(head[4:6], "big")])
-        times.append(pts)
-        if access[k]:
-            points.append({"packet": int(at[k]), "pts": pts})
-    return {
-        "payload": b"".join(parts), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "program": program, "stream_type": stream_type,
-        "packets": len(a), "continuity_errors": errors, "timestamps": times, "random_access": points, "error": None,
+    starts = np.flatnonzero(rows[:, 1] & 0x40)
+    ends = [*offset[starts[1:]].tolist(), len(data)]
+    parts, times, damaged = [], [], 0
+    time_of: list[int | None] = []
+    for k, end in zip(starts.tolist(), ends, strict=False):
+        part, time, sound = unit_data(data[int(offset[k]) : end])
+        parts.append(part)
+        time_of.append(time)
+        damaged += not sound
+        if time is not None:
+            times.append(time)
+    points = []
+    for k in at[packets.access[at]].tolist():  # a point is the next unit that begins
+        n = int(np.searchsorted(solid[starts], k))
+        if n < len(time_of) and time_of[n] is not None and not any(p["pts"] == time_of[n] for p in points[-1:]):
+            points.append({"packet": int(k), "pts": time_of[n]})
+    return {"payload": b"".join(parts), "timestamps": times, "random_access": points, "units": len(parts), "continuity_errors": int(gap.sum()) + repeats, "damaged_units": damaged}
+
+
+def demux_bytes(media: bytes, program: int | None = None, pid: int | None = None) -> dict:
+    """What one elementary stream of a transport stream holds: by default the first one of the first program that has any."""
+    packets = _Packets(media)
+    every = programs(packets)
+    if not every:
+        raise ValueError("no program")
+    if all(p["streams"] is None for p in every):
+        raise ValueError("no whole program map table")
+    streams = [(p["program"], s, kind) for p in every for s, kind in p["streams"] or []]
+    found = [x for x in streams if program in (None, x[0]) and pid in (None, x[1])]
+    if not found:
+        raise ValueError("no such elementary stream")
+    number, own, kind = found[0]
+    return elementary(packets, own) | {
+        "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "program": number, "stream_type": kind, "packets": len(packets.a), "transport_errors": packets.errors,
+        "streams": [{"program": n, "pid": s, "stream_type": t} for n, s, t in streams], "error": None,
     }
 
 
@@ -201,10 +307,10 @@ def demux_row(media: bytes | None) -> dict:
 
 def demux(media: DataFrame) -> DataFrame:
     """Payload, timestamps, random-access points and checks of each stored stream (doc_id, n_bytes, media)."""
-    fields = ["payload", "media_bytes", "media_sha256", "program", "stream_type", "packets", "continuity_errors", "timestamps", "random_access", "error"]
+    fields = ["payload", "media_bytes", "media_sha256", "program", "stream_type", "packets", "continuity_errors", "damaged_units", "transport_errors", "timestamps", "random_access", "streams", "error"]
     types = [
-        pa.binary(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()),
-        pa.list_(pa.struct([("packet", pa.int64()), ("pts", pa.int64())])), pa.string(),
+        pa.binary(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()),
+        pa.list_(pa.struct([("packet", pa.int64()), ("pts", pa.int64())])), pa.list_(pa.struct([("program", pa.int32()), ("pid", pa.int32()), ("stream_type", pa.int32())])), pa.string(),
     ]
 
     def run(batches):

@@ -181,3 +181,90 @@ def lexicon_fingerprints(texts, every, band, densities, of_each, seen):
         return sum(x == y for x, y in both) / len(both)
 
     return printed, likeness
+
+
+def crc_mpeg(data):
+    c = 0xFFFFFFFF
+    for byte in data:
+        for k in range(7, -1, -1):
+            top = c >> 31 ^ byte >> k & 1
+            c = (c << 1 & 0xFFFFFFFF) ^ (0x04C11DB7 if top else 0)
+    return c
+
+
+def transport(media):
+    """(payload, times, points, continuity errors, program, type) of the first stream, packet by packet; damaged streams are not for it."""
+    last, buffers, seen_tables = {}, {}, {}
+    programs, streams, chosen = {}, {}, None
+    packets = [media[k : k + 188] for k in range(0, len(media), 188)]
+    # program tables first, from the whole stream
+    for wanted in ("pat", "pmt"):
+        buffers, last = {}, {}
+        for p in packets:
+            pid = (p[1] & 31) << 8 | p[2]
+            if p[1] & 0x80 or not p[3] & 0x10 or (wanted == "pat") != (pid == 0) or (wanted == "pmt" and pid not in programs.values()):
+                continue
+            if last.get(pid) == p:
+                continue
+            last[pid] = p
+            data = p[5 + p[4] :] if p[3] & 0x20 else p[4:]
+            if p[1] & 0x40:
+                if pid in buffers:
+                    buffers[pid] += data[1 : 1 + data[0]]
+                    seen_tables.setdefault(pid, []).append(buffers[pid])
+                buffers[pid] = data[1 + data[0] :]
+            elif pid in buffers:
+                buffers[pid] += data
+        for pid, rest in buffers.items():
+            for held in [*seen_tables.get(pid, []), rest]:
+                while len(held) > 3 and held[0] != 0xFF:
+                    size = 3 + (held[1] % 16 * 256 + held[2])
+                    body, held = held[:size], held[size:]
+                    if len(body) < size or crc_mpeg(body):
+                        continue
+                    if wanted == "pat":
+                        for k in range(8, size - 4, 4):
+                            if body[k] or body[k + 1]:
+                                programs.setdefault(body[k] * 256 + body[k + 1], body[k + 2] % 32 * 256 + body[k + 3])
+                    else:
+                        k = 12 + body[10] % 16 * 256 + body[11]
+                        while k < size - 4:
+                            streams.setdefault(body[3] * 256 + body[4], {}).setdefault(body[k + 1] % 32 * 256 + body[k + 2], body[k])
+                            k += 5 + body[k + 3] % 16 * 256 + body[k + 4]
+        seen_tables = {}
+    program = next(n for n in programs if n in streams)
+    chosen, kind = next(iter(streams[program].items()))
+    units, marks, counter, before, errors = [], [], None, None, 0
+    waiting = []
+    for number, p in enumerate(packets):
+        if p[1] & 0x80 or (p[1] & 31) << 8 | p[2] != chosen or not p[3] & 0x30:
+            continue
+        adapted = p[3] & 0x20 and p[4]
+        data = (p[5 + p[4] :] if p[3] & 0x20 else p[4:]) if p[3] & 0x10 else None
+        if data is not None and counter is not None and p[3] & 15 == counter and data == before:
+            continue
+        if adapted and p[5] & 0x40:
+            waiting.append(number)
+        if data is None:
+            continue
+        if counter is not None and p[3] & 15 != (counter + 1) % 16 and not (adapted and p[5] & 0x80):
+            errors += 1
+        counter, before = p[3] & 15, data
+        if p[1] & 0x40:
+            units.append(b"")
+            marks.append(waiting[0] if waiting else None)
+            waiting = []
+        if units:
+            units[-1] += data
+    payload, times, points = b"", [], []
+    for unit, mark in zip(units, marks, strict=True):
+        size, at = unit[4] * 256 + unit[5], 6
+        if unit[3] not in (0xBC, 0xBE, 0xBF, 0xF0, 0xF1, 0xF2, 0xF8, 0xFF):
+            at = 9 + unit[8]
+            if unit[7] & 0x80:
+                bits = "".join(f"{x:08b}" for x in unit[9:14])
+                times.append(int(bits[4:7] + bits[8:23] + bits[24:39], 2))
+                if mark is not None:
+                    points.append((mark, times[-1]))
+        payload += unit[at : 6 + size if size else len(unit)]
+    return payload, times, points, errors, program, kind
