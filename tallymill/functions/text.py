@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import re
 import unicodedata
 
@@ -72,6 +74,12 @@ def keyword_score(query: Column, text: Column) -> Column:
     return F.when((q == "") | (t == ""), 0.0).otherwise(F.coalesce(F.least(F.lit(1.0), exact + part), F.lit(0.0)))
 
 
+def listed_name(model: Column, names: Sequence[str]) -> Column:
+    """The first of the names, in their order, that holds the model's name or is held by it, whatever the case; null for none."""
+    m = F.lower(model)
+    return F.get(F.filter(F.array(*map(F.lit, names)), lambda p: F.contains(m, F.lower(p)) | F.contains(F.lower(p), m)), 0)
+
+
 def conversation_title(content: Column, max_length: int = 50, max_words: int = 7) -> Column:
     """The first words, cut at a word before ``max_length``, with "..." if anything is missing."""
     clean = strip(content)

@@ -30,8 +30,10 @@ def stage_list(events: DataFrame, stages: list[str], keys: DataFrame, key: str)
 
 def overlay(rows: DataFrame, live: DataFrame, key: str, default: str) -> DataFrame:
     """Stored status under the live one, under a default."""
-    over = live.select(key, F.col("status").alias("_live"))
-    return rows.join(over, key, "left").withColumn("status", F.coalesce("_live", "status", F.lit(default))).drop("_live")
+    over = live.select(key, F.struct(F.col("status").alias("live")).alias("over"))
+    joined = rows.select(key, F.struct("*").alias("row")).join(over, key, "left")
+    status = F.coalesce("over.live", "row.status", F.lit(default)).alias("status")
+    return joined.select(*(status if c == "status" else F.col(f"row.`{c}`").alias(c) for c in rows.columns))
 
 
 def last_errors(events: DataFrame, key: str, error: str, n: int = 10) -> DataFrame:
@@ -47,6 +49,27 @@ def active(events: DataFrame, key: str, begin: str, end: str) -> DataFrame:
     return both.where("b is not null and (e is null or e < b)").select(key, F.col("b.ts").alias("started_at")).orderBy("started_at", key)
 
 
+def stage_records(updates: DataFrame, keys: list[str]) -> DataFrame:
+    """The record of each stage after its updates (keys, seq, status, ts, error_message, input_size, output_size), in the order of seq.
+
+    in_progress sets started_at; completed and failed set completed_at and, once it has started, the seconds since then.
+    Messages that are not empty and sizes that are not null stay until later ones come. A later run does not clear the
+    end of the one before. Updates of equal seq are taken in the order of their time.
+    """
+    order = Window.partitionBy(*keys).orderBy("seq", "ts")
+    begun = F.last(F.when(F.col("status") == "in_progress", F.col("ts")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = updates.withColumns({"begun": begun, "place": F.row_number().over(order)})
+    ended = F.col("status").isin("completed", "failed")
+    seconds = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("begun").cast("timestamp"))) / 1_000_000
+    last = lambda value, when: F.max_by(value, F.when(when, F.col("place")))
+    there = lambda c: F.col(c).isNotNull()
+    return rows.groupBy(*keys).agg(
+        last(F.col("status"), F.lit(True)).alias("status"), last(F.col("ts"), F.col("status") == "in_progress").alias("started_at"), last(F.col("ts"), ended).alias("completed_at"),
+        last(seconds, ended & there("begun")).alias("duration_seconds"), last(F.col("error_message"), there("error_message") & (F.col("error_message") != "")).alias("error_message"),
+        last(F.col("input_size"), there("input_size")).alias("input_size"), last(F.col("output_size"), there("output_size")).alias("output_size"),
+    )
+
+
 def durations(events: DataFrame, key: str) -> DataFrame:
     """Seconds from each event of a key to its next one."""
     w = Window.partitionBy(key).orderBy("ts", "event_id")

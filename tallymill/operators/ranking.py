@@ -67,15 +67,24 @@ def context_caption(before: Column, after: Column) -> Column:
     return F.when((F.coalesce(before, F.lit("")) == "") & (F.coalesce(after, F.lit("")) == ""), "Image from document").otherwise(cut)
 
 
-def best_citations(hits: DataFrame, keys: list[str]) -> DataFrame:
-    """The best-scored chunk of each document (the earliest of equal ones) in the order in which documents were first seen."""
+def best_citations(hits: DataFrame, keys: list[str], as_written: bool = False) -> DataFrame:
+    """The best-scored chunk of each document (the earliest of equal ones; no score is 0) in the order in which documents were first seen.
+
+    Positions are dense; ``as_written`` they are what a list gives that writes the number of documents seen so far, plus one,
+    whenever a better chunk takes a document's place.
+    """
     key = F.coalesce(F.nullif("document_name", F.lit("")), F.col("document_db_id").cast("string"), F.nullif("document_id", F.lit("")))
-    rows = hits.withColumn("_key", key).where("_key is not null")
-    best = F.max_by(F.struct("document_name", "document_db_id", "text", "page_number", "score"), F.struct("score", (-F.col("seq")).alias("s")))
-    kept = rows.groupBy(*keys, "_key").agg(F.min("seq").alias("_first"), best.alias("b"))
-    position = F.row_number().over(Window.partitionBy(*keys).orderBy("_first"))
-    url = F.coalesce(F.concat(F.lit("/documents/"), F.col("b.document_db_id").cast("string")), F.lit("#"))
-    return kept.select(*keys, F.col("b.document_name").alias("document_title"), url.alias("document_url"), t.snippet(F.col("b.text"), 500, "…").alias("snippet"), F.col("b.page_number").alias("page_number"), position.alias("position"))
+    rows = hits.select(*keys, "seq", key.alias("name"), F.struct("document_name", "document_db_id", "text", "page_number").alias("hit"), F.coalesce("score", F.lit(0.0)).alias("score")).where("name IS NOT NULL")
+    mine = Window.partitionBy(*keys, "name")
+    seen = Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("first", F.min("seq").over(mine))
+    rows = rows.withColumn("n_seen", F.sum((F.col("seq") == F.col("first")).cast("int")).over(seen))
+    best = F.max_by(F.struct("hit", "seq", "n_seen"), F.struct("score", (-F.col("seq")).alias("s")))
+    kept = rows.groupBy(*keys, "name").agg(F.min("seq").alias("first"), best.alias("b"))
+    dense = F.row_number().over(Window.partitionBy(*keys).orderBy("first"))
+    position = F.when(F.col("b.seq") == F.col("first"), dense).otherwise(F.col("b.n_seen") + 1).cast("int") if as_written else dense
+    url = F.coalesce(F.concat(F.lit("/documents/"), F.nullif("b.hit.document_db_id", F.lit(0)).cast("string")), F.lit("#"))
+    return kept.select(*keys, F.col("b.hit.document_name").alias("document_title"), url.alias("document_url"), t.snippet(F.col("b.hit.text"), 500, "…").alias("snippet"), F.col("b.hit.page_number").alias("page_number"), position.alias("position"))
 
 
 def citations(hits: DataFrame, documents: DataFrame, keys: tuple[str, ...] = (), within: tuple[str, ...] = ()) -> DataFrame:

@@ -122,9 +122,16 @@ def price_match(spark, sf):
     """The first listed price whose name holds the model's or is held by it."""
     names = ["gpt-4o", "gpt-4o-mini", "gpt-4", "gpt-4-turbo", "gpt-3.5-turbo"]
     models = table(spark, sf, "events").select(F.get(F.array(*map(F.lit, ("gpt-4o-mini-2024", "GPT-4-turbo", "gpt-3.5-turbo-0125", "gpt", "claude"))), (F.col("user_id") % 5).cast("int")).alias("model")).groupBy("model").agg(F.count(F.lit(1)).alias("n"))
-    m = F.lower("model")
-    first = F.get(F.filter(F.array(*map(F.lit, names)), lambda p: F.contains(m, p) | F.contains(p, m)), 0)
-    return models.select("model", "n", first.alias("price_name"))
+    return models.select("model", "n", tx.listed_name(F.col("model"), names).alias("price_name"))
+
+
+def stage_records(spark, sf):
+    """Events as updates of a stage: views begin it, purchases complete it, errors fail it, others leave it pending or carry sizes."""
+    e = _events(spark, sf)
+    kind = F.col("status")
+    status = F.when(kind == "view", "in_progress").when(kind == "purchase", "completed").when(kind == "error", "failed").otherwise("pending")
+    rows = e.select("document_id", F.floor(F.col("event_id") % 3).alias("stage"), F.col("event_id").alias("seq"), status.alias("status"), "ts", F.when(kind == "error", F.concat(F.lit("error "), "event_id")).when(kind == "view", "").alias("error_message"), F.when(F.col("event_id") % 4 == 0, F.col("event_id")).alias("input_size"), F.when(kind == "purchase", F.col("event_id") * 2).alias("output_size"))
+    return ps.stage_records(rows, ["document_id", "stage"])
 
 
 def _events(spark, sf):
@@ -307,7 +314,7 @@ _RATE = """k AS (SELECT user_id % 30 AS key, epoch_us(ts) AS t, row_number() OVE
 
 QUERIES = {
     "chunk_fixed": chunk_fixed, "chunk_sentence": _chunks("sentence"), "chunk_paragraph": _chunks("paragraph"), "chunk_table_rows": chunk_rows, "text_metadata": text_metadata, "uploads_read": uploads_read, "html_metadata": html_metadata,
-    "page_documents": page_documents, "scrape_name": scrape_names, "s3_key": s3_keys, "upload_check": upload_check, "safe_filename": safe_names, "price_match": price_match,
+    "page_documents": page_documents, "scrape_name": scrape_names, "s3_key": s3_keys, "upload_check": upload_check, "safe_filename": safe_names, "price_match": price_match, "stage_records": stage_records,
     "pipeline_latest_status": latest_status, "pipeline_stage_map": stage_map, "pipeline_last_errors": last_errors, "pipeline_active_jobs": active_jobs, "pipeline_status_overlay": overlay,
     "rate_limit": rate_limit, "session_activity": session_batches, "stream_daily_usage": stream_daily, "stream_session_activity": stream_sessions, "stream_sliding_counts": stream_sliding,
     "stream_distinct_events": stream_distinct, "stream_rate_limit": stream_rate_limit, "stream_latest_status": stream_status, "stream_batch_counts": stream_batches,
@@ -328,6 +335,12 @@ SELECT bundle, kind, md5(text) AS md5, CAST(CASE kind WHEN '.xlsx' THEN len(line
 SELECT page_id, CASE WHEN ends_with(name, '.md') THEN name ELSE name || '.md' END AS name, regexp_replace(url, '^https?://', 'https://') AS url FROM p""",
     "s3_key": r"WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+/(.*)$', 1) AS k FROM pages) SELECT page_id, nullif(CASE page_id % 6 WHEN 0 THEN k WHEN 5 THEN NULL WHEN 3 THEN k WHEN 4 THEN regexp_extract(k, '^[^?#]*') ELSE split_part(k, '?', 1) END, '') AS key FROM p",
     "upload_check": "SELECT doc_id AS id, CASE WHEN doc_id % 5 IN (2, 3) THEN 'unsupported type ' || CASE WHEN doc_id % 5 = 2 THEN '.exe' ELSE '' END WHEN n_chars * 20000 > 52428800 THEN 'too large' END AS problem, ['application/pdf', 'text/markdown; charset=utf-8', 'application/octet-stream', 'application/octet-stream', 'application/vnd.openxmlformats-officedocument.spreadsheetml.sheet'][doc_id % 5 + 1] AS mime FROM documents",
+    "stage_records": """WITH u AS (SELECT user_id AS document_id, event_id % 3 AS stage, event_id AS seq, CASE event_type WHEN 'view' THEN 'in_progress' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'pending' END AS status, ts,
+  CASE event_type WHEN 'error' THEN 'error ' || event_id WHEN 'view' THEN '' END AS m, CASE WHEN event_id % 4 = 0 THEN event_id END AS i, CASE WHEN event_type = 'purchase' THEN event_id * 2 END AS o FROM events),
+ b AS (SELECT *, max(CASE WHEN status = 'in_progress' THEN seq END) OVER (PARTITION BY document_id, stage ORDER BY seq) AS s FROM u), t AS (SELECT b.*, u.ts AS begun FROM b LEFT JOIN u ON u.seq = b.s)
+SELECT document_id, stage, arg_max(status, seq) AS status, arg_max(ts, seq) FILTER (status = 'in_progress') AS started_at, arg_max(ts, seq) FILTER (status IN ('completed', 'failed')) AS completed_at,
+ arg_max((epoch_us(ts) - epoch_us(begun)) / 1000000, seq) FILTER (status IN ('completed', 'failed') AND begun IS NOT NULL) AS duration_seconds, arg_max(m, seq) FILTER (m <> '') AS error_message,
+ arg_max(i, seq) FILTER (i IS NOT NULL) AS input_size, arg_max(o, seq) FILTER (o IS NOT NULL) AS output_size FROM t GROUP BY 1, 2""",
     "price_match": "WITH m AS (SELECT ['gpt-4o-mini-2024', 'GPT-4-turbo', 'gpt-3.5-turbo-0125', 'gpt', 'claude'][user_id % 5 + 1] AS model, count(*) AS n FROM events GROUP BY 1) SELECT model, n, list_filter(['gpt-4o', 'gpt-4o-mini', 'gpt-4', 'gpt-4-turbo', 'gpt-3.5-turbo'], lambda p: contains(lower(model), p) OR contains(p, lower(model)))[1] AS price_name FROM m",
     "pipeline_latest_status": f"WITH {_EV} SELECT document_id, arg_max(status, (ts, event_id)) AS status, max(ts) AS updated_at, count(*) AS n_events FROM ev GROUP BY 1 HAVING max(ts) > TIMESTAMP '2024-01-30 23:00:00' - INTERVAL 86400 SECOND",
     "pipeline_stage_map": f"WITH {_EV} SELECT document_id, status AS stage, arg_min(event_id, (ts, event_id)) AS first_event, min(ts) AS started_at, max(ts) AS last_at, count(*) AS runs FROM ev GROUP BY 1, 2",

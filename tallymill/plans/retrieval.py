@@ -133,6 +133,19 @@ def citations_best(spark, sf):
     return rk.best_citations(hits, ["tenant_id"])
 
 
+def citations_as_written(spark, sf):
+    """Citations of every tenant's chunks in the order of their ids, so that better chunks come after worse ones."""
+    hits = vc.ranked(vc.top_k(_points(spark, sf), VECTOR, 200)).select((F.col("id") % 3).alias("tenant_id"), F.col("id").alias("seq"), "document_name", F.col("document_id").alias("document_db_id"), F.lit("").alias("document_id"), F.lit("t").alias("text"), F.lit(1).alias("page_number"), "score")
+    return rk.best_citations(hits, ["tenant_id"], as_written=True).select("tenant_id", "document_title", "document_url", "position")
+
+
+def _by_metric(metric):
+    def query(spark, sf):
+        return vc.top_k(_points(spark, sf).withColumn("type", F.when(F.col("id") % 3 == 0, "image").otherwise("chunk")).transform(vc.payload_filter, 1, kind="image"), VECTOR, 10, metric).select("id", "score", "distance")
+
+    return query
+
+
 def citations(spark, sf):
     docs = table(spark, sf, "documents").where("doc_id % 3 > 0").select(F.col("doc_id").alias("id"), "doc_id")
     return rk.citations(_hits(spark, sf, 12), docs)
@@ -184,7 +197,7 @@ _FAQ_Q = "the and attion to thanedble the, anea. eriner thanea"
 QUERIES = {
     "vector_topk": topk, "vector_topk_filtered": topk_filtered, "vector_topk_tables": topk_tables, "vector_topk_per_tenant": topk_each, "vector_index_per_tenant": index_each, "vector_index_filtered": index_one, "vector_index_recall": index_recall, "vector_search_ids": search_ids, "vector_stats": stats,
     "vector_delete": delete, "vector_upsert": upsert, "vector_patch": patch, "lexical_boost_rerank": rerank, "lexical_boost": boosts, "keyword_score": keywords, "faq_match": faq,
-    "citations_best_per_doc": citations_best, "citations": citations, "context_pack": context, "casual_query": casual, "image_rank": images,
+    "citations_best_per_doc": citations_best, "citations": citations, "citations_as_written": citations_as_written, "vector_topk_dot": _by_metric("dot"), "vector_topk_l2": _by_metric("l2"), "context_pack": context, "casual_query": casual, "image_rank": images,
 }
 
 _NQ = r"regexp_replace(trim(regexp_replace(lower(regexp_replace({c}, '^\s*[0-9]+[.):\-\s]+', '')), '\s+', ' ', 'g')), '[?.!]+$', '')"
@@ -226,3 +239,9 @@ SELECT conv_id, turn, len(list_filter(['hi', 'hello', 'hey', 'howdy', 'greetings
 }
 
 ORACLE_SQL["vector_index_per_tenant"] = ORACLE_SQL["vector_topk_per_tenant"]
+ORACLE_SQL["citations_as_written"] = f"""WITH {_HITS.format(k=200)}, h AS (SELECT id % 3 AS t, id AS seq, document_name AS name, document_id AS db, score FROM hit), f AS (SELECT *, min(seq) OVER (PARTITION BY t, name) AS first FROM h),
+ n AS (SELECT *, sum(CAST(seq = first AS INT)) OVER (PARTITION BY t ORDER BY seq) AS seen FROM f), b AS (SELECT t, name, arg_max(seq, (score, -seq)) AS best FROM n GROUP BY 1, 2)
+SELECT b.t AS tenant_id, b.name AS document_title, CASE WHEN db = 0 THEN '#' ELSE '/documents/' || db END AS document_url, CAST(CASE WHEN seq = first THEN seen ELSE seen + 1 END AS INT) AS position FROM b JOIN n ON n.t = b.t AND n.seq = b.best"""
+_METRIC = {"dot": f"list_inner_product(embedding, {_Q})", "l2": f"1 - list_sum(list_transform(list_zip(embedding, {_Q}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"}
+for _name, _sql in _METRIC.items():
+    ORACLE_SQL[f"vector_topk_{_name}"] = f"WITH {_POINTS} SELECT id, s AS score, CASE WHEN s <= 1 THEN round(1 - s, 6) ELSE 0 END AS distance FROM (SELECT id, round({_sql}, 6) AS s FROM point WHERE tenant_id = 1 AND id % 3 = 0) ORDER BY s DESC, id LIMIT 10"

@@ -311,3 +311,25 @@ def test_requests_of_many_tenants(spark):
 def test_braces_in_a_question(spark):
     row = spark.range(1).select(chain.user_turn(F.lit("a {query} b"), F.lit("c {context} d")).alias("x")).first()["x"]
     assert row.startswith("Retrieved Documents:\na {query} b\n\nCurrent Question: c {context} d\n\nIMPORTANT")
+
+
+def test_citation_positions_as_written(spark):
+    scores = [("a", 0.5), ("b", 0.4), ("a", 0.5), ("c", None), ("b", 0.9), ("a", 0.6), ("d", 0.1), ("c", 0.0), ("b", 0.95), (None, 1.0)]
+    hits = spark.createDataFrame([(1, k, n, k, "", "t", 1, s) for k, (n, s) in enumerate(scores, 1)], "q int, seq int, document_name string, document_db_id int, document_id string, text string, page_number int, score double")
+    hits = hits.withColumn("document_db_id", F.when(F.col("document_name").isNotNull(), F.col("document_db_id")))
+    seen, best = {}, {}  # the list as it is written
+    for k, (name, score) in enumerate(scores, 1):
+        if name is None or name in seen and (score or 0.0) <= best[name]:
+            continue
+        best[name] = score or 0.0
+        seen[name] = (f"/documents/{k}", len(seen) + 1)
+    got = {r["document_title"]: (r["document_url"], r["position"]) for r in ranking.best_citations(hits, ["q"], as_written=True).collect()}
+    assert got == seen
+    assert sorted((r["position"], r["document_title"]) for r in ranking.best_citations(hits, ["q"]).collect()) == [(1, "a"), (2, "b"), (3, "c"), (4, "d")]
+
+
+def test_stage_records(spark):
+    u = [(1, 1, "pending", 0, None, None, None), (1, 2, "in_progress", 10, "", 5, None), (1, 3, "failed", 12, "bad", None, None), (1, 4, "in_progress", 20, None, None, 7), (2, 1, "completed", 9, None, None, None), (3, 1, "in_progress", 1, None, None, None), (3, 2, "completed", 4, "note", 1, 2)]
+    rows = spark.createDataFrame(u, "id int, seq int, status string, s long, error_message string, input_size int, output_size int").withColumn("ts", F.timestamp_seconds("s")).withColumn("place", F.lit("x")).drop("place")
+    got = {r["id"]: (r["status"], r["started_at"] and int(r["started_at"].timestamp()), r["completed_at"] and int(r["completed_at"].timestamp()), r["duration_seconds"], r["error_message"], r["input_size"], r["output_size"]) for r in ps.stage_records(rows, ["id"]).collect()}
+    assert got == {1: ("in_progress", 20, 12, 2.0, "bad", 5, 7), 2: ("completed", None, 9, None, None, None, None), 3: ("completed", 1, 4, 3.0, "note", 1, 2)}
