@@ -65,13 +65,12 @@ def lexical_boost(query: Column, text: Column) -> Column:
 def keyword_score(query: Column, text: Column) -> Column:
     """Share of the query's words among the text's, plus half the share found as substrings, at most 1."""
     q, t = F.lower(F.coalesce(query, F.lit(""))), F.lower(F.coalesce(text, F.lit("")))
-    word = F.lit(r"(?U)\b\w+\b")
-    qs = F.array_distinct(F.regexp_extract_all(q, word, 0))
-    ts = F.array_distinct(F.regexp_extract_all(t, word, 0))
+    qs = F.array_distinct(F.regexp_extract_all(q, F.lit(r"(?U)\b\w+\b"), 0))
     n = F.size(qs)
-    exact = F.size(F.array_intersect(qs, ts)) / F.nullif(n, F.lit(0))
-    part = F.size(F.filter(qs, lambda w: F.contains(t, w))) / F.nullif(n, F.lit(0)) * 0.5
-    return F.when((q == "") | (t == ""), 0.0).otherwise(F.coalesce(F.least(F.lit(1.0), exact + part), F.lit(0.0)))
+    # only words that are in the text at all are looked for between word bounds, up to the first place
+    held = F.transform(qs, lambda w: F.when(~F.contains(t, w), 0).when(F.rlike(t, F.concat(F.lit(r"(?U)\b"), w, F.lit(r"\b"))), 3).otherwise(1))
+    score = F.aggregate(held, F.lit(0.0), lambda s, x: s + F.when(x == 3, 1.5).when(x == 1, 0.5).otherwise(0.0)) / F.nullif(n, F.lit(0))
+    return F.when((q == "") | (t == ""), 0.0).otherwise(F.coalesce(F.least(F.lit(1.0), score), F.lit(0.0)))
 
 
 def listed_name(model: Column, names: Sequence[str]) -> Column:

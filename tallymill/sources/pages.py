@@ -55,6 +55,10 @@ def head_of(html: str) -> tuple[str, str, str]:
     head = _Head()
     head.feed(html)
     head.close()
+    return _told(head)
+
+
+def _told(head: _Head) -> tuple[str, str, str]:
     title = next((v for v in ("".join(head.texts["title"]) if "title" in head.texts else None, head.metas.get(("property", "og:title")), "".join(head.texts["h1"]) if "h1" in head.texts else None) if v is not None), "")
     first = lambda name, other: head.metas.get(("name", name), head.metas.get(("property", other), "")).strip()
     return title.strip() or "Untitled", first("description", "og:description"), first("author", "article:author")
@@ -143,6 +147,10 @@ def to_markdown(html: str) -> str:
     parser = _Markdown()
     parser.feed(html)
     parser.close()
+    return _tidied(parser)
+
+
+def _tidied(parser: _Markdown) -> str:
     lines = [x.rstrip() if x.startswith("  ") else x.strip() for x in "".join(parser.out).split("\n")]
     out: list[str] = []
     for line in lines:
@@ -151,6 +159,40 @@ def to_markdown(html: str) -> str:
     return "\n".join(out).strip()
 
 
+class _Page(_Markdown):
+    """Markdown and head in one pass over the page."""
+
+    def __init__(self):
+        super().__init__()
+        self.head = _Head()
+
+    def handle_starttag(self, tag, attrs):
+        self.head.handle_starttag(tag, attrs)
+        super().handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag):
+        self.head.handle_endtag(tag)
+        super().handle_endtag(tag)
+
+    def handle_data(self, data):
+        self.head.handle_data(data)
+        super().handle_data(data)
+
+
+def parts_of(html: str) -> tuple[str, str, str, str]:
+    """title, description, author and Markdown of a page."""
+    page = _Page()
+    page.feed(html)
+    page.close()
+    return *_told(page.head), _tidied(page)
+
+
+@F.pandas_udf(T.StructType([T.StructField(n, T.StringType()) for n in ("title", "description", "author", "content")]))
+def page_parts(html: pd.Series) -> pd.DataFrame:
+    """title, description, author and Markdown of a page (Spark has no HTML parser)."""
+    return pd.DataFrame([parts_of(h or "") for h in html], columns=["title", "description", "author", "content"])
+
+
 @F.pandas_udf(T.StringType())
 def markdown(html: pd.Series) -> pd.Series:
     """Markdown of a page's visible body (Spark has no HTML parser)."""
@@ -159,7 +201,7 @@ def markdown(html: pd.Series) -> pd.Series:
 
 def page_document(pages: DataFrame, with_metadata: bool = True) -> DataFrame:
     """page_id, title, author and the stored text of each page (page_id, url, html): a numbered template, or the content alone."""
-    rows = pages.select("page_id", "url", page_metadata("html").alias("m"), F.coalesce(markdown("html"), F.lit("")).alias("content")).select("page_id", "url", "m.*", "content")
+    rows = pages.select("page_id", "url", page_parts("html").alias("m")).select("page_id", "url", "m.*")
     parts = (("1. title:", "title"), ("2. Source URL:", "url"), ("3. Description:", "description"), ("4. content:", "content"))
     template = strip(F.concat_ws("\n\n", *(x for label, column in parts for x in (F.lit(label), F.coalesce(column, F.lit(""))))))
     return rows.select("page_id", "title", "author", (template if with_metadata else F.col("content")).alias("document"))

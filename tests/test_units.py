@@ -333,3 +333,11 @@ def test_stage_records(spark):
     rows = spark.createDataFrame(u, "id int, seq int, status string, s long, error_message string, input_size int, output_size int").withColumn("ts", F.timestamp_seconds("s")).withColumn("place", F.lit("x")).drop("place")
     got = {r["id"]: (r["status"], r["started_at"] and int(r["started_at"].timestamp()), r["completed_at"] and int(r["completed_at"].timestamp()), r["duration_seconds"], r["error_message"], r["input_size"], r["output_size"]) for r in ps.stage_records(rows, ["id"]).collect()}
     assert got == {1: ("in_progress", 20, 12, 2.0, "bad", 5, 7), 2: ("completed", None, 9, None, None, None, None), 3: ("completed", 1, 4, 3.0, "note", 1, 2)}
+
+
+def test_one_pass_over_a_page():
+    import duckdb
+
+    html = [r[0] for r in duckdb.sql("SELECT html FROM read_parquet('/root/testdata/sf0.001/pages.parquet')").fetchall()]
+    odd = ["<title>a<b>c</title><h1/>x<h1>y</h1>", "<script><title>no</title></script><h1>h<script>1</script></h1>", "<meta name=author content=w/><title></title>", "<p>open <title>never closed", ""]
+    assert all(pages.parts_of(h) == (*pages.head_of(h), pages.to_markdown(h)) for h in html + odd)
