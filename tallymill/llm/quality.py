@@ -11,7 +11,9 @@ Labelled documents are a bounded sample, at most ``max_labelled`` in the order o
 hash of doc_id. The pool is every unlabelled document: the surest are picked by
 exact cut-offs from counts, and Newton's sums are made where the rows are, so only
 counts and sums reach the driver. Which labels a row was given follows from the
-models and cut-offs of the rounds before; copies of a row are given the same.
+models and cut-offs of the rounds before; copies of a row are given the same. A
+round passes over the pool for its cut-offs and once more to write the rows that have
+labels as a table of their own, which is all that its fit reads.
 
 Null or empty text has measures of zero; null metadata is a value of its own. With
 no labels, or one class only, every score is the share of good labels (1 without
@@ -30,6 +32,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scratch import written
 
@@ -110,6 +113,44 @@ def meta_matrix(rows) -> np.ndarray:
     return np.hstack(parts)
 
 
+class Ascent:
+    """The maximum of a concave log-likelihood less a ridge (none to speak of on the intercept), by Newton's steps.
+
+    A step goes no further than ``FAR`` in any direction and is halved until it climbs: where the classes can be told
+    apart without a fault, whole steps overshoot and never come back.
+    """
+
+    FAR, ENOUGH = 4.0, 1e-6
+
+    def __init__(self, beta: np.ndarray, ridge: float):
+        self.beta, self.penalty = beta, np.concatenate([[1e-6], np.full(len(beta) - 1, ridge)])
+        self.kept, self.value, self.step, self.move = beta, -np.inf, np.zeros(len(beta)), np.inf
+
+    def tell(self, sums: np.ndarray) -> None:
+        """Takes log-likelihood, gradient and curvature at ``beta`` and moves it."""
+        n = len(self.beta)
+        value = sums[0] - (self.penalty * self.beta**2).sum() / 2
+        if value < self.value - 1e-12 * abs(self.value):
+            self.step = self.step / 2
+        else:
+            self.kept, self.value = self.beta, value
+            self.step = np.linalg.solve(sums[n + 1 :].reshape(n, n) + np.diag(self.penalty), sums[1 : n + 1] - self.penalty * self.beta)
+            self.step = self.step * min(1.0, self.FAR / max(self.FAR, np.abs(self.step).max()))
+        self.move = np.abs(self.step).max()
+        self.beta = self.kept + self.step
+
+    @property
+    def done(self) -> bool:
+        return self.move < self.ENOUGH
+
+
+def log_likelihood(z: np.ndarray, y: np.ndarray, weight, beta: np.ndarray) -> np.ndarray:
+    """Its value, gradient and curvature, one after the other."""
+    at = z @ beta
+    p = 1 / (1 + np.exp(-np.clip(at, -500, 500)))
+    return np.concatenate([[(weight * (y * at - np.logaddexp(0, at))).sum()], z.T @ (weight * (y - p)), ((z.T * (weight * p * (1 - p))) @ z).reshape(-1)])
+
+
 class Logistic:
     """Logistic regression on standardised columns, by Newton's method with a ridge."""
 
@@ -119,17 +160,12 @@ class Logistic:
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Logistic:
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-6
         z = np.hstack([np.ones((len(x), 1)), (x - self.mean) / self.scale])
-        w = np.ones(len(x)) if weight is None else weight
-        ridge = np.eye(z.shape[1]) * self.ridge
-        ridge[0, 0] = 1e-6
-        beta = np.zeros(z.shape[1])
-        for _ in range(30):
-            p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
-            step = np.linalg.solve((z.T * (w * p * (1 - p))) @ z + ridge, z.T @ (w * (y - p)) - ridge @ beta)
-            beta += step
-            if np.abs(step).max() < 1e-6:
+        ascent = Ascent(np.zeros(z.shape[1]), self.ridge)
+        for _ in range(100):
+            ascent.tell(log_likelihood(z, y, 1.0 if weight is None else weight, ascent.beta))
+            if ascent.done:
                 break
-        return self.set(beta)
+        return self.set(ascent.kept)
 
     def set(self, beta: np.ndarray) -> Logistic:
         self.slope = beta[1:] / self.scale
@@ -268,12 +304,25 @@ def cut_offs(pool: DataFrame, history: list, models: list[Logistic], most: list[
     return [end(p) for p in known]
 
 
-def fit_all(views: list[np.ndarray], y: np.ndarray, pool: DataFrame, history: list, before: list[Logistic], parts: int) -> list[Logistic]:
-    """Both views' models on the labelled rows and, at half weight, all rows with pseudo-labels; as ``Logistic.fit``."""
+def with_labels(pool: DataFrame, history: list) -> DataFrame:
+    """The rows that have a pseudo-label for any view, with both (-1 for none), as a table: a few of all rows, which every pass of a fit reads."""
+
+    def run(batches):
+        for batch in batches:
+            _, given = labels_given(batch, history)
+            has = pa.array((given[0] >= 0) | (given[1] >= 0))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(g, pa.int8()) for g in given)], [*batch.schema.names, "given0", "given1"]).filter(has)
+
+    rows = pool.mapInArrow(run, T.StructType([*pool.schema.fields, T.StructField("given0", T.ByteType()), T.StructField("given1", T.ByteType())]))
+    return written(rows, "pseudo-labels")
+
+
+def fit_all(views: list[np.ndarray], y: np.ndarray, taken: DataFrame, before: list[Logistic], parts: int) -> list[Logistic]:
+    """Both views' models on the labelled rows and, at half weight, all rows with pseudo-labels (``taken``); as ``Logistic.fit``."""
     width = [v.shape[1] for v in views]
 
     def own(batch):
-        values, given = labels_given(batch, history)
+        values, given = pool_views(batch), [batch.column(c).to_numpy(zero_copy_only=False) for c in ("given0", "given1")]
         for v in (0, 1):
             has = given[v] >= 0
             yield v, (one_hot(values[1][has]) if v else values[0][has]), given[v][has].astype(float)
@@ -281,35 +330,29 @@ def fit_all(views: list[np.ndarray], y: np.ndarray, pool: DataFrame, history: li
     def moments(batch):
         return np.concatenate([np.concatenate([[len(x)], (x - before[v].mean).sum(0), ((x - before[v].mean) ** 2).sum(0)]) for v, x, _ in own(batch)])
 
-    total = np.split(summed(pool, moments, sum(2 * w + 1 for w in width), parts), [2 * width[0] + 1])
-    mean, scale, beta = [], [], []
+    total = np.split(summed(taken, moments, sum(2 * w + 1 for w in width), parts), [2 * width[0] + 1])
+    mean, scale, ascents = [], [], []
     for v, w in enumerate(width):
         d = views[v] - before[v].mean
         n = total[v][0] + len(d)
         m = (total[v][1 : w + 1] + d.sum(0)) / n
         mean.append(before[v].mean + m)
         scale.append(np.sqrt(np.maximum(0, (total[v][w + 1 :] + (d**2).sum(0)) / n - m**2)) + 1e-6)
-        beta.append(np.concatenate([[before[v].intercept + mean[v] @ before[v].slope], before[v].slope * scale[v]]))
-
-    def newton(v, x, y, weight):
-        z = np.hstack([np.ones((len(x), 1)), (x - mean[v]) / scale[v]])
-        p = 1 / (1 + np.exp(-np.clip(z @ beta[v], -30, 30)))
-        return np.concatenate([z.T @ (weight * (y - p)), ((z.T * (weight * p * (1 - p))) @ z).reshape(-1)])
-
-    size = [(w + 1) * (w + 2) for w in width]
-    for _ in range(30):
-        sums = np.split(summed(pool, lambda batch: np.concatenate([newton(v, x, t, 0.5) for v, x, t in own(batch)]), sum(size), parts), [size[0]])
-        most = 0.0
-        for v, w in enumerate(width):
-            whole = sums[v] + newton(v, views[v], y, 1.0)
-            ridge = np.eye(w + 1)
-            ridge[0, 0] = 1e-6
-            step = np.linalg.solve(whole[w + 1 :].reshape(w + 1, w + 1) + ridge, whole[: w + 1] - ridge @ beta[v])
-            beta[v] = beta[v] + step
-            most = max(most, np.abs(step).max())
-        if most < 1e-6:
+        ascents.append(Ascent(np.concatenate([[before[v].intercept + mean[v] @ before[v].slope], before[v].slope * scale[v]]), before[v].ridge))
+
+    def sums_of(v, x, y, weight, beta):
+        return log_likelihood(np.hstack([np.ones((len(x), 1)), (x - mean[v]) / scale[v]]), y, weight, beta)
+
+    size = [1 + (w + 1) * (w + 2) for w in width]
+    for _ in range(100):
+        betas = [a.beta for a in ascents]
+        sums = np.split(summed(taken, lambda batch, betas=betas: np.concatenate([sums_of(v, x, t, 0.5, betas[v]) for v, x, t in own(batch)]), sum(size), parts), [size[0]])
+        for v, ascent in enumerate(ascents):
+            if not ascent.done:
+                ascent.tell(sums[v] + sums_of(v, views[v], y, 1.0, betas[v]))
+        if all(a.done for a in ascents):
             break
-    return [Logistic.of(*c) for c in zip(mean, scale, beta, strict=True)]
+    return [Logistic.of(m, s, a.kept) for m, s, a in zip(mean, scale, ascents, strict=True)]
 
 
 def co_train(views: list[np.ndarray], y: np.ndarray, pool: DataFrame, rounds: int = ROUNDS, share: float = SHARE) -> list[Logistic]:
@@ -318,7 +361,8 @@ def co_train(views: list[np.ndarray], y: np.ndarray, pool: DataFrame, rounds: in
     most = [max(1, int(share * n * (y == label).mean())) for _ in (0, 1) for label in (0, 1)]
     for _ in range(rounds if n else 0):
         history = [*history, (models, cut_offs(pool, history, models, most, parts))]
-        models = fit_all(views, y, pool, history, models, parts)
+        taken = with_labels(pool, history)
+        models = fit_all(views, y, taken, models, taken.rdd.getNumPartitions())
     return models
 
 

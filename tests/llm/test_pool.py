@@ -39,3 +39,20 @@ def test_every_unlabelled_row_can_get_a_label(spark):
     assert min(map(len, given)) > 1000
     for got, model in zip(quality.co_train([text[n:], hot[n:]], y, pool), expected, strict=True):
         assert np.allclose(got.slope, model.slope, atol=1e-4) and abs(got.intercept - model.intercept) < 1e-3
+
+
+def test_classes_that_can_be_told_apart():
+    """Whole Newton steps run away here; damped ones end at the penalised maximum, whatever they start from."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 5))
+    y = (x[:, 0] + x[:, 1] > 0).astype(int)
+    x[:, 0] += 4 * y
+    model = quality.Logistic().fit(x, y)
+    z = np.hstack([np.ones((400, 1)), (x - x.mean(0)) / (x.std(0) + 1e-6)])
+    for start in (np.zeros(6), np.full(6, 40.0), np.array([-300.0, 0, 9, 0, 0, 1])):
+        ascent = quality.Ascent(start, 1.0)
+        for _ in range(100):
+            ascent.tell(quality.log_likelihood(z, y, 1.0, ascent.beta))
+        assert ascent.done and np.allclose(z @ ascent.kept, model.logit(x), atol=1e-3)
+    gradient = quality.log_likelihood(z, y, 1.0, ascent.kept)[1:7] - ascent.penalty * ascent.kept
+    assert np.abs(gradient).max() < 1e-4 and ((model.logit(x) > 0) == y).all()
