@@ -83,7 +83,7 @@ def best_citations(hits: DataFrame, keys: list[str], as_written: bool = False) -
     kept = rows.groupBy(*keys, "name").agg(F.min("seq").alias("first"), best.alias("b"))
     dense = F.row_number().over(Window.partitionBy(*keys).orderBy("first"))
     position = F.when(F.col("b.seq") == F.col("first"), dense).otherwise(F.col("b.n_seen") + 1).cast("int") if as_written else dense
-    url = F.coalesce(F.concat(F.lit("/documents/"), F.nullif("b.hit.document_db_id", F.lit(0)).cast("string")), F.lit("#"))
+    url = F.coalesce(F.concat(F.lit("/documents/"), F.col("b.hit.document_db_id").cast("string")), F.lit("#"))
     return kept.select(*keys, F.col("b.hit.document_name").alias("document_title"), url.alias("document_url"), t.snippet(F.col("b.hit.text"), 500, "…").alias("snippet"), F.col("b.hit.page_number").alias("page_number"), position.alias("position"))
 
 

@@ -241,7 +241,7 @@ SELECT conv_id, turn, len(list_filter(['hi', 'hello', 'hey', 'howdy', 'greetings
 ORACLE_SQL["vector_index_per_tenant"] = ORACLE_SQL["vector_topk_per_tenant"]
 ORACLE_SQL["citations_as_written"] = f"""WITH {_HITS.format(k=200)}, h AS (SELECT id % 3 AS t, id AS seq, document_name AS name, document_id AS db, score FROM hit), f AS (SELECT *, min(seq) OVER (PARTITION BY t, name) AS first FROM h),
  n AS (SELECT *, sum(CAST(seq = first AS INT)) OVER (PARTITION BY t ORDER BY seq) AS seen FROM f), b AS (SELECT t, name, arg_max(seq, (score, -seq)) AS best FROM n GROUP BY 1, 2)
-SELECT b.t AS tenant_id, b.name AS document_title, CASE WHEN db = 0 THEN '#' ELSE '/documents/' || db END AS document_url, CAST(CASE WHEN seq = first THEN seen ELSE seen + 1 END AS INT) AS position FROM b JOIN n ON n.t = b.t AND n.seq = b.best"""
+SELECT b.t AS tenant_id, b.name AS document_title, '/documents/' || db AS document_url, CAST(CASE WHEN seq = first THEN seen ELSE seen + 1 END AS INT) AS position FROM b JOIN n ON n.t = b.t AND n.seq = b.best"""
 _METRIC = {"dot": f"list_inner_product(embedding, {_Q})", "l2": f"1 - list_sum(list_transform(list_zip(embedding, {_Q}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"}
 for _name, _sql in _METRIC.items():
     ORACLE_SQL[f"vector_topk_{_name}"] = f"WITH {_POINTS} SELECT id, s AS score, CASE WHEN s <= 1 THEN round(1 - s, 6) ELSE 0 END AS distance FROM (SELECT id, round({_sql}, 6) AS s FROM point WHERE tenant_id = 1 AND id % 3 = 0) ORDER BY s DESC, id LIMIT 10"
