@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from tallymill.functions.text import s3_key
 from tallymill.operators.usage import replace
 
 from . import ledger
+from .uploads import opened
 
 
 def read(spark: SparkSession, path: str, kind: str = "parquet", schema: str | None = None) -> DataFrame:
@@ -30,10 +32,45 @@ def read_objects(spark: SparkSession, path: str, pattern: str = "*") -> DataFram
     return rows.select("path", s3_key(F.regexp_replace("path", "^s3a:", "s3:")).alias("key"), F.col("modificationTime").alias("modified"), "length", "content")
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether there is anything at a path of any store that Spark reads."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+def _each_object(objects: DataFrame, act: Callable, *columns: str) -> DataFrame:
+    """path, done and error of an action on each object, in tasks. An action that is done again leaves the same."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for path, *rest in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns)), strict=True):
+                try:
+                    rows.append((path, bool(act(*opened(path), *rest)), None))
+                except Exception as e:  # noqa: BLE001  whatever a store raises
+                    rows.append((path, False, f"{type(e).__name__}: {e}"[:200]))
+            cols = list(zip(*rows, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.bool_()), pa.array(cols[2], pa.string())], ["path", "done", "error"])
+
+    return objects.where("path IS NOT NULL").select("path", *columns).mapInArrow(run, "path string, done boolean, error string")
+
+
+def put_objects(objects: DataFrame) -> DataFrame:
+    """Writes objects (path, content) in place of any at their paths; path, done and error of each. A null content is an empty object."""
+
+    def put(system, at, content):
+        system.create_dir(at.rpartition("/")[0], recursive=True)
+        with system.open_output_stream(at) as f:
+            f.write(content or b"")
+        return True
+
+    return _each_object(objects, put, "content")
+
+
+def delete_objects(objects: DataFrame) -> DataFrame:
+    """Deletes objects (path); done is false for those that were not there."""
+
+    def delete(system, at):
+        there = system.get_file_info(at).is_file
+        if there:
+            system.delete_file(at)
+        return there
+
+    return _each_object(objects, delete)
 
 
 def write_partitions(df: DataFrame, path: str, by: Sequence[str], sort: Sequence[str] = ()) -> None:

@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallymill.streaming import keyed
-from tallymill.streaming import usage as stream
 
 SCHEMA = "event_id long, key string, status string, s long"
 HOUR = 3600

@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tallymill.sources import files, uploads
+from tallymill.sources import files, tables, uploads
 
 
 @pytest.fixture
@@ -68,5 +68,15 @@ def test_stream_takes_each_file_once(source, tmp_path):
     assert run() == ["one", "three", "two"]
 
 
+def test_objects_put_and_deleted(source, tmp_path):
+    paths = [f"{tmp_path}/x/{k}.bin" for k in range(3)]
+    rows = source.createDataFrame([(paths[0], bytearray(b"one")), (paths[1], bytearray(b"two")), (paths[1], bytearray(b"two")), (f"file:{paths[2]}", None), ("nowhere://x/y", bytearray(b"z")), (None, None)], "path string, content binary")
+    put = {r["path"]: r for r in tables.put_objects(rows).collect()}
+    assert put[paths[0]]["done"] and not put["nowhere://x/y"]["done"] and put["nowhere://x/y"]["error"] and len(put) == 4
+    assert [open(p, "rb").read() for p in paths] == [b"one", b"two", b""]
+    gone = [tables.delete_objects(rows.where("path LIKE '%0.bin'")).first() for _ in range(2)]
+    assert [r["done"] for r in gone] == [True, False] and sorted(os.listdir(f"{tmp_path}/x")) == ["1.bin", "2.bin"]
+
+
 def test_missing_folder(source, tmp_path):
     assert source.read.format("uploads").load(f"{tmp_path}/nowhere").count() == 0
