@@ -2,9 +2,9 @@
 
 1. A term is a word (run outside white space) in lower case. The lexicon holds the terms
    whose inverse document frequency ln(N / df) is within ``BAND``: neither what everybody
-   writes nor what nobody else does. A term of idf below e counts in N / e^e documents at
-   least, so the lexicon has at most (mean distinct terms of a document) * e^7 terms,
-   however many documents there are.
+   writes nor what nobody else does. A term whose idf is below 7 is in more than N / e^7 of
+   the N documents, so the lexicon has at most (mean distinct terms of a document) * e^7
+   terms, however many documents there are.
 2. The lexicon has ``SUBSETS`` random subsets: four of each density 2^-9 to 2^-2, sparse ones
    first, and at last the whole of it. Which subsets a term is in follows from its hash.
 3. A document's distinct lexicon terms are sorted; each subset's share of them is hashed.
