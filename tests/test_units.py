@@ -114,6 +114,12 @@ def test_page_head():
     assert pages.head_of("<title> </title><h1>H</h1>")[0] == "Untitled" and pages.head_of("<h1>H <b>x</b></h1>")[0] == "H x" and pages.head_of("")[0] == "Untitled"
 
 
+def test_page_head_references_cut_off():
+    cut = "<title>A &amp; B&amp;&amp</title><meta name=author content='W &lt'><meta name=description content='x &unknown; &#39;y&#39; &#39'><p>&amp</p>"
+    assert pages.head_of(cut) == ("A & B&&amp", "x &unknown; 'y' &#39", "W &lt")
+    assert pages.parts_of(cut) == (*pages.head_of(cut), pages.to_markdown(cut)) and pages.to_markdown(cut) == "A & B&&\n\n&"  # a body is read as browsers do
+
+
 def test_page_document(spark):
     rows = spark.createDataFrame([(1, "http://x/", "<head><title>T</title></head><p>Body</p>"), (2, "http://y/", None)], "page_id long, url string, html string")
     got = {r["page_id"]: r["document"] for r in pages.page_document(rows).collect()}
