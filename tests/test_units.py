@@ -347,3 +347,17 @@ def test_one_pass_over_a_page():
     html = [r[0] for r in duckdb.sql("SELECT html FROM read_parquet('/root/testdata/sf0.001/pages.parquet')").fetchall()]
     odd = ["<title>a<b>c</title><h1/>x<h1>y</h1>", "<script><title>no</title></script><h1>h<script>1</script></h1>", "<meta name=author content=w/><title></title>", "<p>open <title>never closed", ""]
     assert all(pages.parts_of(h) == (*pages.head_of(h), pages.to_markdown(h)) for h in html + odd)
+
+
+def test_lexical_boost(spark):
+    def boost(query, text):
+        q, t = (" ".join((x or "").lower().split()) for x in (query, text))
+        ratio = len(set(q.split()) & set(t.split())) / max(len(set(q.split())), 1)
+        return (0.7 * (q in t) + (0.4 if ratio >= 0.5 else 0.2 if ratio >= 0.3 else 0.0)) if q and t else 0.0
+
+    queries = ["of  the THAT", "the", " a\u00a0b\u2003c d ", "", "  ", None]
+    texts = ["of\u3000the\x1c\x85 that", "bother of\tthem", "The", " the", "a c", "ab cd", "", " \u2028", None, "é the É"]
+    rows = spark.createDataFrame([(q, t) for q in queries for t in texts], "q string, t string")
+    got = rows.select("q", "t", F.round(tx.lexical_boost(F.col("q"), F.col("t")), 4).alias("b"))
+    assert [r["b"] for r in got.collect()] == [round(boost(r["q"], r["t"]), 4) for r in rows.collect()]
+    assert str(got._jdf.queryExecution().optimizedPlan()).count("coalesce(t#") == 1  # a text is normalised once, not for each use
