@@ -8,13 +8,15 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallymill.functions.arrow import parts
+
 SIZE, OVERLAP = 1000, 200
 ROWS_PER_CHUNK = 25
 
@@ -82,6 +84,15 @@ def paragraphs(text: str, size: int = SIZE, overlap: int = OVERLAP) -> Iterator[
 STRATEGIES = {"fixed": fixed, "sentence": sentences, "paragraph": paragraphs}
 
 
+def chunk_batches(batches: Iterable[pa.RecordBatch], cut: Callable[[str], Iterator[str]]) -> Iterator[pa.RecordBatch]:
+    """Batches with the chunks of the last column's texts in its place. Only a part of a batch's texts, by bytes, are Python objects at once."""
+    for batch in batches:
+        for rows in parts(batch.column(batch.num_columns - 1)):
+            part = batch.slice(rows.start, rows.stop - rows.start)
+            chunks = [list(cut(t)) if t and t.strip() else [] for t in part.column(part.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(chunks, pa.list_(pa.string()))], [*batch.schema.names[:-1], "chunks"])
+
+
 def chunk_texts(docs: DataFrame, strategy: str = "fixed", size: int = SIZE, overlap: int = OVERLAP, text: str = "text") -> DataFrame:
     """One row for each chunk, with chunk_index and chunk in place of the text. Blank texts have none; an unknown strategy is ``fixed``."""
     cut = STRATEGIES.get(strategy, fixed)
@@ -89,9 +100,7 @@ def chunk_texts(docs: DataFrame, strategy: str = "fixed", size: int = SIZE, over
     schema = T.StructType([*(docs.schema[c] for c in others), T.StructField("chunks", T.ArrayType(T.StringType()))])
 
     def run(batches):
-        for batch in batches:
-            chunks = [list(cut(t, size, overlap)) if t and t.strip() else [] for t in batch.column(len(others)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(chunks, pa.list_(pa.string()))], [*others, "chunks"])
+        return chunk_batches(batches, lambda t: cut(t, size, overlap))
 
     return docs.select(*others, text).mapInArrow(run, schema).select(*others, F.posexplode("chunks").alias("chunk_index", "chunk"))
 

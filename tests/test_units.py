@@ -3,9 +3,12 @@
 import datetime as dt
 import io
 import random
+import tracemalloc
 import zipfile
 from decimal import Decimal
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -361,3 +364,21 @@ def test_lexical_boost(spark):
     got = rows.select("q", "t", F.round(tx.lexical_boost(F.col("q"), F.col("t")), 4).alias("b"))
     assert [r["b"] for r in got.collect()] == [round(boost(r["q"], r["t"]), 4) for r in rows.collect()]
     assert str(got._jdf.queryExecution().optimizedPlan()).count("coalesce(t#") == 1  # a text is normalised once, not for each use
+
+
+def peak_mb(work):
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_chunks_in_parts():
+    texts = [None, "", "x" * 3_000_000, *(f"Word {k}. Two!\n\n" * 2_000 for k in range(600))]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": texts})
+    for cut in (chunking.fixed, chunking.sentences):
+        count = lambda: [(i, n) for b in chunking.chunk_batches([batch], cut) for i, n in zip(b["id"].to_pylist(), pc.list_value_length(b["chunks"]).to_pylist(), strict=True)]  # noqa: B023, E731
+        got, peak = peak_mb(count)
+        assert got == [(i, len(list(cut(t))) if t else 0) for i, t in enumerate(texts)]
+        assert peak < 25  # 21 MB of text, of which 1 MB and the long text are worked on at once
