@@ -377,7 +377,7 @@ def peak_mb(work):
 def test_chunks_in_parts():
     texts = [None, "", "x" * 3_000_000, *(f"Word {k}. Two!\n\n" * 2_000 for k in range(600))]
     batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": texts})
-    for cut in (chunking.fixed, chunking.sentences):
+    for cut in (chunking.fixed, chunking.sentences, chunking.paragraphs):
         count = lambda: [(i, n) for b in chunking.chunk_batches([batch], cut) for i, n in zip(b["id"].to_pylist(), pc.list_value_length(b["chunks"]).to_pylist(), strict=True)]  # noqa: B023, E731
         got, peak = peak_mb(count)
         assert got == [(i, len(list(cut(t))) if t else 0) for i, t in enumerate(texts)]
