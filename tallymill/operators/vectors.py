@@ -6,7 +6,7 @@ columns; partition them by ``tenant_id`` and every query here reads one partitio
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,7 @@ def ranked(hits: DataFrame) -> DataFrame:
 
 
 _BLOCK_ROWS = 2048
+_SCORES = 1 << 18
 
 
 def _blocks(points: DataFrame, group: str | None, dims: int) -> DataFrame:
@@ -59,19 +60,28 @@ def _blocks(points: DataFrame, group: str | None, dims: int) -> DataFrame:
     return rows.select(F.col("id").cast("long"), "embedding", *([group] if group else [])).mapInArrow(run, "ids array<long>, groups array<long>, matrix binary")
 
 
-def best_of_block(qi: np.ndarray, q: np.ndarray, pi: np.ndarray, groups: np.ndarray, p: np.ndarray, k: int, group: str, itself: bool = False) -> pa.RecordBatch:
-    """query_id, group, id and score of the k best points p of each group for every query q; not of the query ``itself`` unless told."""
-    score = np.round(q @ p.T, 6)
-    if not itself:
-        score[qi[:, None] == pi] = -np.inf
-    rows = []
-    for value in np.unique(groups):
-        own = np.flatnonzero(groups == value)
-        own = own[np.argsort(pi[own], kind="stable")]
-        best = np.argsort(-score[:, own], axis=1, kind="stable")[:, :k]
-        rows += [(int(qi[r]), int(value), int(pi[own[c]]), float(score[r, own[c]])) for r in range(len(qi)) for c in best[r] if np.isfinite(score[r, own[c]])]
-    cols = list(zip(*rows, strict=True)) or [[]] * 4
-    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.float64())], ["query_id", group, "id", "score"])
+def best_of_block(qi: np.ndarray, q: np.ndarray, pi: np.ndarray, groups: np.ndarray, p: np.ndarray, k: int, group: str, itself: bool = False) -> Iterator[pa.RecordBatch]:
+    """query_id, group, id and score of the k best points p of each group for every query q; not of the query ``itself`` unless told. At most ``_SCORES`` scores are held at once."""
+    owns = [(int(value), own[np.argsort(pi[own], kind="stable")]) for value in np.unique(groups) for own in [np.flatnonzero(groups == value)]]
+    step = max(1, _SCORES // max(1, len(pi)))
+    for at in range(0, len(qi), step):
+        ids = qi[at : at + step]
+        score = np.round(q[at : at + step] @ p.T, 6)
+        if not itself:
+            score[ids[:, None] == pi] = -np.inf
+        rows = []
+        for value, own in owns:
+            best = np.argsort(-score[:, own], axis=1, kind="stable")[:, :k]
+            rows += [(int(ids[r]), value, int(pi[own[c]]), float(score[r, own[c]])) for r in range(len(ids)) for c in best[r] if np.isfinite(score[r, own[c]])]
+        cols = list(zip(*rows, strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.float64())], ["query_id", group, "id", "score"])
+
+
+def best_of_pairs(batches: Iterable[pa.RecordBatch], dims: int, k: int, group: str, itself: bool = False) -> Iterator[pa.RecordBatch]:
+    """``best_of_block`` for each pair of blocks (qi, q, pi, groups, p); the matrices are read where they lie."""
+    for batch in batches:
+        for qi, q, pi, g, p in zip(*(batch.column(c) for c in range(5)), strict=True):
+            yield from best_of_block(np.array(qi.as_py()), np.frombuffer(q.as_buffer()).reshape(len(qi), dims), np.array(pi.as_py()), np.array(g.as_py()), np.frombuffer(p.as_buffer()).reshape(len(pi), dims), k, group, itself)
 
 
 def top_k_each(points: DataFrame, queries: DataFrame, k: int, group: str) -> DataFrame:
@@ -85,9 +95,7 @@ def top_k_each(points: DataFrame, queries: DataFrame, k: int, group: str) -> Dat
     shares = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
-        for batch in batches:
-            for qi, q, pi, g, p in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
-                yield best_of_block(np.array(qi), np.frombuffer(q).reshape(len(qi), -1), np.array(pi), np.array(g), np.frombuffer(p).reshape(len(pi), -1), k, group)
+        return best_of_pairs(batches, dims, k, group)
 
     every = F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share")
     q = _blocks(queries, None, dims).select(F.col("ids").alias("qi"), F.col("matrix").alias("q"), every)
@@ -123,9 +131,7 @@ def meet(left: DataFrame, right: DataFrame, key: str, dims: int, k: int, group:
     """query_id, group, id, score and rank of the k best points (blocks ``right``) of each query (blocks ``left``) of the same key."""
 
     def run(batches):
-        for batch in batches:
-            for qi, q, pi, g, p in zip(*(batch.column(c) for c in range(5)), strict=True):
-                yield best_of_block(np.array(qi.as_py()), np.frombuffer(q.as_buffer()).reshape(-1, dims), np.array(pi.as_py()), np.array(g.as_py()), np.frombuffer(p.as_buffer()).reshape(-1, dims), k, group, itself)
+        return best_of_pairs(batches, dims, k, group, itself)
 
     q = left.select(key, F.col("ids").alias("qi"), F.col("matrix").alias("q"))
     p = right.select(key, F.col("ids").alias("pi"), "groups", F.col("matrix").alias("p"))

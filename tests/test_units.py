@@ -7,6 +7,7 @@ import tracemalloc
 import zipfile
 from decimal import Decimal
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
@@ -382,3 +383,16 @@ def test_chunks_in_parts():
         got, peak = peak_mb(count)
         assert got == [(i, len(list(cut(t))) if t else 0) for i, t in enumerate(texts)]
         assert peak < 25  # 21 MB of text, of which 1 MB and the long text are worked on at once
+
+
+def test_scores_in_parts():
+    rng = np.random.default_rng(1)
+    q, p, groups = rng.normal(size=(2048, 8)), rng.normal(size=(2048, 8)), np.arange(2048) % 2
+    ids = np.arange(2048)
+    got, peak = peak_mb(lambda: [r for b in vectors.best_of_block(ids, q, ids[::-1], groups, p, 2, "g") for r in zip(*(c.to_pylist() for c in b.columns), strict=True)])
+    assert peak < 25  # the scores of all pairs alone take 34 MB
+    score = np.round(q @ p.T, 6)
+    assert len(got) == 2048 * 4
+    for query, group in ((0, 0), (1023, 1), (2047, 1)):
+        best = sorted((-score[query, c], 2047 - c) for c in range(2048) if c % 2 == group and 2047 - c != query)[:2]
+        assert [(i, s) for a, g, i, s in got if (a, g) == (query, group)] == [(i, -s) for s, i in best]
