@@ -7,11 +7,13 @@ from collections.abc import Callable, Sequence
 import re
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallymill.functions.arrow import parts
+
 #: Unicode white space, as Python's strip() and split() take it. Visible ASCII is ruled out first, which halves the time of a match.
 SPACE = r"[[^!-~]&&[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]]"
 
@@ -192,15 +194,15 @@ _ASCII = {
 }
 
 
-@F.pandas_udf(T.StringType())
-def to_ascii(names: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def to_ascii(names: pa.Array) -> pa.Array:
     """Compatibility decomposition without what is not ASCII (Spark has no such function)."""
     table = str.maketrans(_ASCII)
-    return names.map(lambda s: None if s is None else unicodedata.normalize("NFKD", s.translate(table)).encode("ascii", "ignore").decode())
+    plain = lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFKD", s.translate(table)).encode("ascii", "ignore").decode()
+    return pa.concat_arrays([pa.array([], pa.string()), *(pa.array([plain(s) for s in names[rows].to_pylist()], pa.string()) for rows in parts(names))])
 
 
 def safe_filename(name: Column) -> Column:
     """A name of ASCII word characters, dots and single hyphens."""
-    hyphens = F.regexp_replace(to_ascii(name), r"[^A-Za-z0-9_.-]|-", "-")
-    clean = F.regexp_replace(F.regexp_replace(hyphens, "-+", "-"), "^-|-$", "")
+    clean = F.btrim(F.regexp_replace(to_ascii(name), "[^A-Za-z0-9_.]+", "-"), F.lit("-"))
     return F.when(clean == "", "conversation-report").otherwise(clean)

@@ -385,6 +385,12 @@ def test_chunks_in_parts():
         assert peak < 25  # 21 MB of text, of which 1 MB and the long text are worked on at once
 
 
+def test_names_in_parts():
+    names = pa.array([None, "", "é", *(f"Naïve {k} " * 2_000 for k in range(1_000))])
+    got, peak = peak_mb(lambda: tx.to_ascii.func(names))
+    assert got.to_pylist()[:4] == [None, "", "e", "Naive 0 " * 2_000] and len(got) == 1_003 and peak < 12
+
+
 def test_scores_in_parts():
     rng = np.random.default_rng(1)
     q, p, groups = rng.normal(size=(2048, 8)), rng.normal(size=(2048, 8)), np.arange(2048) % 2
